@@ -50,8 +50,13 @@ def held_out(mod: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
+#: Longest text that a training row may have, so that a sample of texts has a bound in bytes too. Scoring has none.
+LONGEST_SAMPLE = 20_000
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, mod: int, rest: int, per_class: int) -> DataFrame:
-    """Texts of at most ``per_class`` training rows of each label, chosen by hash over all labelled rows.
+    """Texts of at most ``per_class`` training rows of each label, chosen by hash over all labelled rows, without those
+    of more than ``LONGEST_SAMPLE`` characters.
 
     Held-out documents, null labels and ids without a document never enter; of repeated ids one label stays.
     The ids taken are at most ``2 * per_class``, so broadcasting them has that bound.
@@ -64,7 +69,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, mod: int, r
                 .orderBy("h", "doc_id").limit(per_class).select("doc_id", "y"))
         picked = part if picked is None else picked.unionByName(part)
     picked = picked.groupBy("doc_id").agg(F.max("y").alias("y"))
-    return texts(docs).join(F.broadcast(picked), "doc_id")
+    return texts(docs).where(F.length("text") <= LONGEST_SAMPLE).join(F.broadcast(picked), "doc_id")
 
 
 def frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:

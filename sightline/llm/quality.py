@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int
                 yield as_batch({"doc_id": p.column("doc_id"), "y": p.column("y"), "bag": [found[i] for i in range(len(raws))]}, schema)
 
     rows = sample_labelled(docs, labels, "quality", mod, rest, per_class).mapInArrow(run, "doc_id long, y long, bag binary")
-    got = sorted((r["doc_id"], r["bag"], r["y"]) for r in rows.toLocalIterator())
+    got = sorted((r["doc_id"], r["bag"], r["y"]) for r in rows.collect())
     return train([(np.frombuffer(b, np.float16).reshape(-1, SIZE).astype(np.float32), int(y)) for _, b, y in got])
 
 

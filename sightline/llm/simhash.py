@@ -195,6 +195,7 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def first_of_group(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its group; of repeated ids all rows stay."""
+    """The rows of ``docs`` whose document is the smallest of its group; of repeated ids all rows stay, and rows with a
+    null id, which can't be the one that stays, go."""
     keep = groups(docs, words).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
