@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import as_batch
 
-#: Rows of a block, about. A task holds one block of each side.
-QUERY_BLOCK, CANDIDATE_BLOCK = 1_024, 8_192
+#: Rows of a block, about. A task holds one block of each side; a row is copied once for each block of the other side,
+#: so large blocks mean little shuffle.
+QUERY_BLOCK = CANDIDATE_BLOCK = 16_384
+#: Queries of a tile, which bounds its memory.
+TILE = 128
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 RANKED = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -119,8 +122,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, query_block: int =
         rows: list[tuple[int, int, float]] = []
         if q.any():
             qi, qv = ids[q], v[q]
-            for at in range(0, len(qi), 256):  # bounds a tile's memory
-                rows += tile(qi[at : at + 256], qv[at : at + 256], ids[c], v[c], k) if c.any() else []
+            for at in range(0, len(qi), TILE):
+                rows += tile(qi[at : at + TILE], qv[at : at + TILE], ids[c], v[c], k) if c.any() else []
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.table(dict(zip(FOUND.names, cols, strict=True)), schema=FOUND)
 
