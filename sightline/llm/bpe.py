@@ -15,6 +15,7 @@ repeated rows give repeated rows; further input columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -32,6 +33,8 @@ from sightline.llm.common import as_batch, pieces, texts
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Beyond these scripts a chunk is looked at for characters that Unicode versions class differently.
 FAR = regex.compile(r"[^\x00-\u052f]")
+#: Marks that are one word by themselves after letters.
+MARKS = frozenset(".,;:!?")
 #: White space to str.split() that the tokenizer's pattern doesn't take as such.
 ODD = regex.compile(r"[\x1c-\x1f]")
 GAP = regex.compile(r"\p{White_Space}+")
@@ -203,7 +206,9 @@ class Encoder:
         self.path = path
         self.word = regex.compile(WORD)
         self.decode = decode
-        self.seen: dict[str, tuple[bytes, str]] = {}
+        #: By chunk its ids, little-endian, and what they decode to; by word its ids.
+        self.seen: dict[str, bytes] = {}
+        self.text: dict[str, str] = {}
         self.words: dict[str, bytes] = {}
 
     def word_ids(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
@@ -215,22 +220,44 @@ class Encoder:
                 trie.insert(w)
             yield from trie.states()
 
+    def split(self, chunk: str) -> list[str]:
+        """The tokenizer's words of a chunk; the plain forms, letters and letters with one mark, need no pattern."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.word.findall(chunk)
+
     def learn(self, chunks: set[str]) -> None:
-        """Ids of new chunks, by way of the distinct words in them."""
-        find, names, known, keep = self.word.findall, self.v.names, self.words, self.seen
-        split = {c: find(c) for c in chunks}
-        new = {w for ws in split.values() for w in ws}
-        new.difference_update(known)
+        """Ids of new chunks, by way of the distinct words in them. It makes many lists and no cycles, so the search for
+        cycles, which would walk them again and again, waits."""
+        gc.disable()
+        try:
+            self._learn(chunks)
+        finally:
+            gc.enable()
+
+    def _learn(self, chunks: set[str]) -> None:
+        names, known, keep, text, split = self.v.names, self.words, self.seen, self.text, self.split
+        words = [(c, split(c)) for c in chunks]
+        new = {w for _, ws in words for w in ws}
         if len(known) + len(new) > self.KEEP:
             known.clear()
-            new = {w for ws in split.values() for w in ws}
+        new.difference_update(known)
         for w, ids in self.word_ids(list(new)):
             known[w] = array("I", ids).tobytes()
-        for c, ws in split.items():
-            raw = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
-            if FAR.search(c) and any(unicodedata.category(x) == "Cn" for x in c):
+        for c, ws in words:
+            if len(ws) == 1:
+                raw = known[ws[0]]
+            elif len(ws) == 2:
+                raw = known[ws[0]] + known[ws[1]]
+            else:
+                raw = b"".join([known[w] for w in ws])
+            if not c.isascii() and FAR.search(c) and any(unicodedata.category(x) == "Cn" for x in c):
                 raw = array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes()
-            keep[c] = (raw, " ".join([names[i] for i in memoryview(raw).cast("I")]) if self.decode else "")
+            keep[c] = raw
+            if self.decode:
+                text[c] = " ".join([names[i] for i in memoryview(raw).cast("I")])
 
     @property
     def library(self):
@@ -265,27 +292,26 @@ class Encoder:
     def batch(self, many: list[str]) -> Iterator[tuple[bytes, str]]:
         """For each text its ids (little-endian unsigned 32-bit) and what they decode to."""
         cut = [self.segments(t) for t in many]
-        new = {c for segs in cut for s in segs if type(s) is list for c in s}
-        new.difference_update(self.seen)
+        every = set().union(*(s for segs in cut for s in segs if type(s) is list))
+        new = every.difference(self.seen)
+        if len(self.seen) + len(new) > self.KEEP:
+            self.seen.clear()
+            self.text.clear()
+            new = every
         if new:
-            if len(self.seen) + len(new) > self.KEEP:
-                self.seen = {}
-                new = {c for segs in cut for s in segs if type(s) is list for c in s}
             self.learn(new)
-        seen = self.seen
+        ids, text, special = self.seen.__getitem__, self.text.__getitem__, self.v.names
         for segs in cut:
-            got: list[tuple[bytes, str]] = []
-            for s in segs:
-                if type(s) is list:
-                    got += [seen[c] for c in s]
-                else:
-                    got.append((int(s).to_bytes(4, "little"), self.v.names[s]))
-            yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got]) if self.decode else ""
+            raw = b"".join([b"".join(map(ids, s)) if type(s) is list else int(s).to_bytes(4, "little") for s in segs])
+            decoded = " ".join([part for s in segs if (part := " ".join(map(text, s)) if type(s) is list else special[s])]) if self.decode else ""
+            yield raw, decoded
 
 
 class LibraryEncoder(Encoder):
     """The same memory of words and chunks, with the tokenizers library's own model encoding each new word."""
 
+    KEEP = 600_000
+
     def word_ids(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         if not hasattr(self, "_model"):
             from tokenizers.models import BPE
