@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -222,8 +223,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 def flagger(lexicon: Lexicon):
     """The score as a function of a text column."""
-    import pandas as pd
-
     auto: list = []
 
     @F.pandas_udf("double")
