@@ -251,3 +251,8 @@ def cell_window(boxes: DataFrame, size: float, x0: float, y1: float, columns: in
     b = boxes.withColumn("c0", first(at((F.least("xa", "xb") - x0) / size, False))).withColumn("c1", F.least(at((F.greatest("xa", "xb") - x0) / size, True), F.lit(columns)))
     b = b.withColumn("r0", first(at((y1 - F.greatest("ya", "yb")) / size, False))).withColumn("r1", F.least(at((y1 - F.least("ya", "yb")) / size, True), F.lit(rows)))
     return b.withColumn("c1", F.greatest(c("c0"), c("c1"))).withColumn("r1", F.greatest(c("r0"), c("r1")))
+
+
+def pockets(cells: DataFrame, by: str, components) -> DataFrame:
+    """Cells that the mask encloses without holding them: places no scan has seen."""
+    return filled(cells, by, components).join(cells.select(by, "ix", "iy"), [by, "ix", "iy"], "left_anti")

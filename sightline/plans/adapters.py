@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators.triage import status_of
-from sightline.plans.registry import table
+from sightline.plans.base import table
 
 TODAY = "1998-01-01"
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import text as X
-from sightline.functions.expressions import box_area, box_overlap, half_even, half_up, snap
+from sightline.functions.expressions import box_overlap, half_even, half_up, snap
 from sightline.operators import cluster as C
 from sightline.operators import triage as T
 from sightline.plans import adapters as A
-from sightline.plans.registry import query, table
+from sightline.plans.base import query, table
 
 
 @query(f"""WITH {A.DET} SELECT scan, count(*) AS n, count(*) FILTER (confidence >= 0.75) AS auto, count(*) FILTER (confidence < 0.75) AS review,
@@ -130,9 +130,9 @@ def search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.search_any(p, " BRAND#1", ["p_name"], ["ids"]).select("id")
 
 
-@query("""SELECT c_custkey AS id FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'building') AND c_acctbal < 0""")
+@query("""SELECT c_custkey AS id FROM customer WHERE contains(lower(concat_ws(' ', c_name, c_mktsegment)), 'building')""")
 def search_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_acctbal < 0")
+    c = table(spark, sf_dir, "customer")
     return X.search_joined(c, "Building", ["c_name", "c_mktsegment"]).select(F.col("c_custkey").alias("id"))
 
 
@@ -171,7 +171,6 @@ def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = x.select("view", F.col("ord").alias("b"), *(F.col(c).alias(f"b{c}") for c in ("x1", "y1", "x2", "y2")))
     v = lambda p: [F.col(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")]
     iou, part = box_overlap(v("a"), v("b"))
-    _ = box_area
     return a.join(b, "view").where("a < b").withColumn("iou", iou).where("iou > 0.1").select("a", "b", F.round("iou", 6).alias("iou"), F.round(part, 6).alias("covered"))
 
 
@@ -184,7 +183,7 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def leader_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent; a test compares with a plain loop."""
-    return C.led_clusters(A.boxes(spark, sf_dir).where("conf >= 0.5").withColumn("scan", F.col("view")), "scan")
+    return C.led_clusters(A.boxes(spark, sf_dir).withColumn("scan", F.col("view")), "scan")
 
 
 @query(f"""WITH {A.BOX} SELECT view, count(DISTINCT scan) AS scans, count(DISTINCT (scan, ord % 7)) AS views FROM box GROUP BY view""")

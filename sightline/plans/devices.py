@@ -12,7 +12,7 @@ from sightline.operators import live as V
 from sightline.operators import maintenance as M
 from sightline.operators import triangulate as G
 from sightline.plans import adapters as A
-from sightline.plans.registry import query, table
+from sightline.plans.base import query, table
 
 T0 = A.TODAY
 

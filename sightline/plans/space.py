@@ -12,7 +12,7 @@ from sightline.operators import cluster as C
 from sightline.operators import layout as Y
 from sightline.operators import spatial as P
 from sightline.plans import adapters as A
-from sightline.plans.registry import query, table
+from sightline.plans.base import query, table
 
 
 @query(f"""WITH {A.PTS}, c AS (SELECT *, floor(x / 0.5) AS ix, floor(y / 0.5) AS iy, floor(z / 0.5) AS iz FROM pts)
@@ -247,12 +247,12 @@ def pixel_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(i.alias("id"), F.round(yaw, 5).alias("yaw"), F.round(pitch, 5).alias("pitch"))
 
 
-@query("""WITH s AS (SELECT CAST(n_nationkey AS BIGINT) AS scan FROM nation), v AS (SELECT 0 AS k, unnest(range(0, 360, 45)) AS yaw, [0] AS ps UNION ALL SELECT 1, unnest(range(0, 360, 30)), [-15, 15]
+@query("""WITH s AS (SELECT s_suppkey AS scan FROM supplier), v AS (SELECT 0 AS k, unnest(range(0, 360, 45)) AS yaw, [0] AS ps UNION ALL SELECT 1, unnest(range(0, 360, 30)), [-15, 15]
  UNION ALL SELECT 2, unnest(range(0, 360, 28)), [-30, -10, 10, 30] UNION ALL SELECT 3, unnest(range(0, 360, 20)), [-40, -20, 0, 20, 40])
 SELECT scan, CAST(k AS INTEGER) AS "set", CAST(yaw AS INTEGER) AS yaw, CAST(unnest(ps) AS INTEGER) AS pitch FROM s, v""")
 def view_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """174 virtual views of each scan, in four sets (8, 24, 52 and 90)."""
-    return Y.view_grid(A.scans(spark, sf_dir))
+    return Y.view_grid(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scan")))
 
 
 @query("""WITH d AS (SELECT c_custkey AS dir, c_nationkey AS site, radians(CAST(c_custkey * 7 % 360 AS DOUBLE)) AS y FROM customer), c AS (SELECT s_suppkey AS camera, s_nationkey AS site, radians(CAST(s_suppkey * 60 % 360 AS DOUBLE)) AS y FROM supplier),
@@ -366,3 +366,9 @@ def cell_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     b = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), v.alias("xa"), (v + 1.3).alias("xb"), (v / 2).alias("ya"), (v / 2 + 0.7).alias("yb"))
     return P.cell_window(b, 0.5, -1.0, 10.0, 40, 20).select("id", "c0", "c1", "r0", "r1")
+
+
+@query()
+def unseen_pockets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enclosed cells that the mask lacks; the holes of the flood-fill test."""
+    return P.pockets(mask(spark, sf_dir), "room", C.components)

@@ -48,8 +48,9 @@ def store(spark: SparkSession, path: str, schema: str, seed: DataFrame) -> tuple
     """A stored log, or the seed where it is missing or holds a corrupt record; the flag tells which."""
     if not exists(spark, path):
         return seed, True
-    df = spark.read.schema(schema + ", _corrupt_record string").json(path, mode="PERMISSIVE")
-    bad = df.select("_corrupt_record", "id").where("_corrupt_record is not null").limit(1).count()
+    read = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    df = spark.read.text(path).where("trim(value) <> ''").select(read.alias("r")).select("r.*")
+    bad = df.where("_corrupt_record is not null").limit(1).count()
     return (seed, True) if bad else (df.drop("_corrupt_record"), False)
 
 

@@ -69,6 +69,7 @@ def test_components_and_holes_of_a_grid(grid):
     empty = {(x, y) for x in range(-1, 15) for y in range(-1, 12)} - cells
     holes = {c for comp in flood(empty, FOUR) if (-1, -1) not in comp for c in comp}
     assert {(v.ix, v.iy) for v in P.filled(df, "room", C.components).collect()} == cells | holes
+    assert {(v.ix, v.iy) for v in P.pockets(df, "room", C.components).collect()} == holes
 
 
 def test_morphology(grid):
