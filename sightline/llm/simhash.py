@@ -136,9 +136,12 @@ def links(fps: DataFrame) -> DataFrame:
     hot = first.groupBy("part", "key").count().where(F.col("count") > HOT).select("part", "key", F.lit(True).alias("hot"))
     met = first.join(hot, ["part", "key"], "left")
     other = F.when(F.col("part") == 0, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
+
+    def quarter(number: int, bits: Column) -> Column:
+        return F.transform(variants(bits, 16), lambda v: F.struct(F.lit(number).alias("sub"), v.alias("more")))
+
     # the half that isn't the key differs in at most three bits, so one of its quarters in at most one
-    quarters = [F.transform(variants(q, 16), lambda v, k=k: F.struct(F.lit(k).alias("sub"), v.alias("more")))
-                for k, q in ((1, F.shiftrightunsigned(other, 16)), (2, other.bitwiseAND(F.lit(0xFFFF))))]
+    quarters = [quarter(1, F.shiftrightunsigned(other, 16)), quarter(2, other.bitwiseAND(F.lit(0xFFFF)))]
     whole = F.array(F.struct(F.lit(0).alias("sub"), F.lit(0).cast("long").alias("more")))
     met = met.withColumn("split", F.explode(F.when(F.col("hot"), F.concat(*quarters)).otherwise(whole)))
     met = met.select("fp", "part", "key", "split.sub", "split.more")
