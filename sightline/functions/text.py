@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,9 +92,21 @@ def approximate_search(df: DataFrame, term: str, field: str, threshold: float =
     return df.withColumn("score", 1 - rel).where(F.col("score") >= 1 - threshold).orderBy(F.desc("score"), field)
 
 
-def docs_for_variant(docs: DataFrame, variant: str, family: str) -> DataFrame:
-    """Documents of a device's own variant; if there are none, of its family with a warning flag; if none, all."""
-    own, near = docs["variant"] == variant, docs["variant"] == family
-    n_own, n_near = docs.agg(F.count_if(own), F.count_if(near)).first()
-    kept = docs.where(own) if n_own else docs.where(near) if n_near else docs
-    return kept.withColumn("fallback", F.lit(n_own == 0))
+#: What titles of one variant's documents begin with, and the family's stand-in for a missing manual.
+VARIANT_TITLE, FAMILY_TITLE = r"^RE[A-Z]615\b", r"(?i)^REF615 Product guide"
+
+
+def docs_for_variant(devices: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents of each device (device, type, variant) among those of its type (type, title), with ``warning``.
+
+    Documents of its own variant and those of no variant; if its own are missing, the family's and those of no variant,
+    with a warning; all where no document is of a variant.
+    """
+    w = Window.partitionBy("device")
+    some = F.col("title").rlike(VARIANT_TITLE)
+    own = some & F.coalesce((F.col("variant") != "unknown") & F.col("title").startswith(F.concat("variant", F.lit(" "))), F.lit(False))
+    family = ~some | F.col("title").rlike(FAMILY_TITLE)
+    count = lambda c: F.count_if(c).over(w)
+    j = devices.join(docs, "type").select("device", "title", some.alias("some"), own.alias("own"), family.alias("fam"), count(some).alias("n_some"), count(own).alias("n_own"), count(family).alias("n_fam"))
+    keep = F.when(F.col("n_some") == 0, True).when(F.col("n_own") > 0, F.col("own") | ~F.col("some")).when(F.col("n_fam") > 0, F.col("fam")).otherwise(True)
+    return j.where(keep).select("device", "title", ((F.col("n_some") > 0) & (F.col("n_own") == 0)).alias("warning"))

@@ -144,11 +144,15 @@ def is_rectangle(ring: Column) -> Column:
     return (F.size(ring) == 4) & (F.size(xs) == 2) & (F.size(ys) == 2)
 
 
-def view_grid(scans: DataFrame, sets: tuple[tuple[int, tuple[int, ...]], ...] = ((45, (0,)), (30, (-15, 15)), (360 // 13 + 1, (-30, -10, 10, 30)), (20, (-40, -20, 0, 20, 40)))) -> DataFrame:
+#: Vertical field of view, horizontal stretch, yaw step and pitches of each set of virtual views.
+VIEW_SETS = ((90, 1.0, 45, (0,)), (45, 1.0, 30, (0, 20)), (45, 2.0, 14, (0, 20)), (45, 3.5, 8, (0, 20)))
+
+
+def view_grid(scans: DataFrame, sets: tuple = VIEW_SETS) -> DataFrame:
     """Virtual views of each scan: every yaw step at every pitch of each set."""
     out = None
-    for k, (step, pitches) in enumerate(sets):
-        one = (scans.select("scan", F.lit(k).alias("set"), F.explode(F.sequence(F.lit(0), F.lit(359), F.lit(step))).alias("yaw"))
+    for k, (fov, stretch, step, pitches) in enumerate(sets):
+        one = (scans.select("scan", F.lit(k).alias("set"), F.lit(fov).alias("fov"), F.lit(stretch).alias("stretch"), F.explode(F.sequence(F.lit(0), F.lit(359), F.lit(step))).alias("yaw"))
                .withColumn("pitch", F.explode(F.array(*(F.lit(p) for p in pitches)))))
         out = one if out is None else out.unionByName(one)
     return out

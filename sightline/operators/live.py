@@ -59,11 +59,12 @@ def preferred_member(m: DataFrame, prefer: Column) -> DataFrame:
 
 
 def names(d: DataFrame) -> DataFrame:
-    """Display name and marker lines with plurals and whole percents."""
+    """Display name and marker line of each device (device, location, variant, scans, confidence); without a location it
+    is unregistered."""
     variant = F.when(F.col("variant") == "unknown", "615 series").otherwise(F.col("variant"))
-    return d.select("device", F.concat_ws(" · ", "location", variant).alias("name"),
-                    F.concat(F.col("members"), F.when(F.col("members") == 1, " detection").otherwise(" detections")).alias("line"),
-                    F.concat(F.floor(F.col("confidence") * 100 + 0.5), F.lit(" %")).alias("percent"))
+    name = F.when(F.col("location").isNull(), "Unregistered relay · 615 series").otherwise(F.concat_ws(" · ", "location", variant))
+    seen = F.concat(F.lit("Seen from "), F.col("scans"), F.when(F.col("scans") == 1, " scan point").otherwise(" scan points"))
+    return d.select("device", name.alias("name"), F.concat(seen, F.lit(" · "), F.floor(F.col("confidence") * 100 + 0.5), F.lit("%")).alias("line"))
 
 
 def unlocated(u: DataFrame, detections: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from sightline.functions.expressions import angle_between, closest_approach, direction, lsq_solution, lsq_sums, view
 
-GAP, NEAR, FAR, MIN_ANGLE, SUPPORT, SAME = 0.3, 0.3, 8.0, 5.0, 2.0, 3.0
+#: Metres between two rays, nearest and furthest range, least angle of two rays, degrees of support, degrees
+#: within which detections of one scan are one device.
+GAP, NEAR, FAR, MIN_ANGLE, SUPPORT, SAME = 0.05, 0.3, 8.0, 10.0, 2.0, 3.0
 
 
 def rays(detections: DataFrame, scans: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def _sees(p: np.ndarray, o: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (r >= NEAR) & (r <= FAR) & (np.degrees(np.arccos(np.clip(cos, -1, 1))) <= SUPPORT)
 
 
-def consensus(pdf: pd.DataFrame) -> pd.DataFrame:
+def consensus(pdf: pd.DataFrame, gap_m: float = GAP, angle: float = MIN_ANGLE) -> pd.DataFrame:
     """Clusters of one site's rays: strongest candidate first, refined once; leftovers joined by direction within a scan."""
     pdf = pdf.sort_values("ord").reset_index(drop=True)
     o, d = pdf[["ox", "oy", "oz"]].to_numpy(float), pdf[["dx", "dy", "dz"]].to_numpy(float)
@@ -87,7 +89,7 @@ def consensus(pdf: pd.DataFrame) -> pd.DataFrame:
     p1, p2 = o[i] + t[:, None] * d[i], o[j] + s[:, None] * d[j]
     gap = np.sqrt(((p1 - p2) ** 2).sum(1))
     ang = np.degrees(np.arccos(np.clip(np.abs(b), 0, 1)))
-    ok &= (gap <= GAP) & (t >= NEAR) & (t <= FAR) & (s >= NEAR) & (s <= FAR) & (ang >= MIN_ANGLE)
+    ok &= (gap <= gap_m) & (t >= NEAR) & (t <= FAR) & (s >= NEAR) & (s <= FAR) & (ang >= angle)
     points = ((p1 + p2) / 2)[ok]
     free, cluster, out = np.ones(n, bool), np.full(n, -1), []
     sees = _sees(points, o, d) if len(points) else np.zeros((0, n), bool)
@@ -122,10 +124,10 @@ def consensus(pdf: pd.DataFrame) -> pd.DataFrame:
                          "x": [p[0] for p in at], "y": [p[1] for p in at], "z": [p[2] for p in at]})
 
 
-def clusters(r: DataFrame) -> DataFrame:
+def clusters(r: DataFrame, gap: float = GAP, angle: float = MIN_ANGLE) -> DataFrame:
     """``site, id, cluster, multi, x, y, z``. The greedy choice is exact within a site, the unit in which scans see each
     other; a site is a room's worth of rays, and sites are independent."""
-    return r.groupBy("site").applyInPandas(consensus, "site long, id long, cluster long, multi boolean, x double, y double, z double")
+    return r.groupBy("site").applyInPandas(lambda pdf: consensus(pdf, gap, angle), "site long, id long, cluster long, multi boolean, x double, y double, z double")
 
 
 def eligible(members: DataFrame, within: str) -> DataFrame:

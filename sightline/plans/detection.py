@@ -136,10 +136,17 @@ def search_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.search_joined(c, "Building", ["c_name", "c_mktsegment"]).select(F.col("c_custkey").alias("id"))
 
 
-@query("""SELECT doc_id, lang AS variant, true AS fallback FROM documents WHERE lang = 'fr'""")
+@query("""WITH t AS (SELECT p_partkey // 20 AS type, CASE p_partkey % 5 WHEN 0 THEN 'REF615 Product guide ' || p_partkey WHEN 1 THEN 'REM615 Manual ' || p_partkey WHEN 2 THEN 'RET615 Manual ' || p_partkey ELSE 'Installation ' || p_partkey END AS title FROM part WHERE p_partkey // 20 % 4 <> 1 OR p_partkey % 5 > 2),
+d AS (SELECT s_suppkey AS device, s_suppkey AS type, CASE s_suppkey % 3 WHEN 0 THEN 'REM615' WHEN 1 THEN 'unknown' ELSE 'REX615' END AS variant FROM supplier),
+j AS (SELECT device, title, regexp_matches(title, '^RE[A-Z]615') AS s, variant <> 'unknown' AND starts_with(title, variant || ' ') AS o, NOT regexp_matches(title, '^RE[A-Z]615') OR starts_with(title, 'REF615 Product guide') AS f FROM d JOIN t USING (type)),
+n AS (SELECT *, count(*) FILTER (s) OVER w AS ns, count(*) FILTER (o) OVER w AS no, count(*) FILTER (f) OVER w AS nf FROM j WINDOW w AS (PARTITION BY device))
+SELECT device, title, ns > 0 AND no = 0 AS warning FROM n WHERE CASE WHEN ns = 0 THEN true WHEN no > 0 THEN o OR NOT s WHEN nf > 0 THEN f ELSE true END""")
 def docs_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("variant"))
-    return X.docs_for_variant(d, "none", "fr")
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    kind = F.when(k % 5 == 0, "REF615 Product guide ").when(k % 5 == 1, "REM615 Manual ").when(k % 5 == 2, "RET615 Manual ").otherwise("Installation ")
+    docs = table(spark, sf_dir, "part").select(F.floor(k / 20).alias("type"), F.concat(kind, k).alias("title"), k).where((F.col("type") % 4 != 1) | (k % 5 > 2)).select("type", "title")
+    devices = table(spark, sf_dir, "supplier").select(s.alias("device"), s.alias("type"), F.when(s % 3 == 0, "REM615").when(s % 3 == 1, "unknown").otherwise("REX615").alias("variant"))
+    return X.docs_for_variant(devices, docs)
 
 
 @query()

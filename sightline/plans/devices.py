@@ -198,12 +198,12 @@ def preferred_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.preferred_member(members(spark, sf_dir), F.col("scan") == 3)
 
 
-@query(f"""WITH {MEM}, {LIVE} SELECT device, concat_ws(' · ', CASE WHEN device % 3 <> 0 THEN c_mktsegment END, CASE WHEN device % 2 = 0 THEN '615 series' ELSE 'REF615' END) AS name,
- members || CASE WHEN members = 1 THEN ' detection' ELSE ' detections' END AS line, CAST(floor((device % 100) / 100.0 * 100 + 0.5) AS BIGINT) || ' %' AS percent FROM live JOIN customer ON c_custkey = device""")
+@query(f"""WITH {MEM}, {LIVE} SELECT device, CASE WHEN device % 3 = 0 THEN 'Unregistered relay · 615 series' ELSE c_mktsegment || ' · ' || CASE WHEN device % 2 = 0 THEN '615 series' ELSE 'REF615' END END AS name,
+ 'Seen from ' || members || CASE WHEN members = 1 THEN ' scan point' ELSE ' scan points' END || ' · ' || CAST(floor((device % 100) / 100.0 * 100 + 0.5) AS BIGINT) || '%' AS line FROM live JOIN customer ON c_custkey = device""")
 def device_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("location"))
     d = live_rows(spark, sf_dir).join(c, "device").withColumn("variant", F.when(F.col("device") % 2 == 0, "unknown").otherwise("REF615")).withColumn("confidence", (F.col("device") % 100) / 100)
-    return V.names(d)
+    return V.names(d.withColumnRenamed("members", "scans"))
 
 
 @query(f"""WITH {MEM}, {LIVE} SELECT device, status, members, coalesce(status = 'review', false) AS matches FROM live""")
@@ -309,7 +309,7 @@ pc AS (SELECT * FROM cand WHERE gap <= 0.3 AND t BETWEEN 0.3 AND 8 AND s BETWEEN
 
 @query(f"WITH {RAY} SELECT site, i, j, round(t, 5) AS t, round(s, 5) AS s, round(gap, 5) AS gap, round(mx, 5) AS mx, round(my, 5) AS my FROM pc")
 def pair_closest_approach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.pair_candidates(pooled(spark, sf_dir)).select("site", "i", "j", *(F.round(c, 5).alias(c) for c in ("t", "s", "gap", "mx", "my")))
+    return G.pair_candidates(pooled(spark, sf_dir), gap=0.3, angle=5.0).select("site", "i", "j", *(F.round(c, 5).alias(c) for c in ("t", "s", "gap", "mx", "my")))
 
 
 @query(f"""WITH {RAY}, w AS (SELECT pc.site, pc.i, pc.j, r.scan, r.conf, r.yaw, r.pitch, mx - r.ox AS vx, my - r.oy AS vy, mz - r.oz AS vz, sqrt((mx - r.ox) ** 2 + (my - r.oy) ** 2 + (mz - r.oz) ** 2) AS rng FROM pc JOIN dir r ON pc.site = r.site),
@@ -317,7 +317,7 @@ a AS (SELECT *, {_ang('yaw', 'pitch', 'degrees(atan2(vx, vy))', 'degrees(asin(le
 SELECT i, j, count(*) AS n, count(DISTINCT scan) AS scans, round(10 * count(*) + sum(conf), 4) AS score FROM a WHERE rng BETWEEN 0.3 AND 8 AND off <= 2 GROUP BY i, j HAVING count(DISTINCT scan) >= 2""")
 def ray_supporters(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = pooled(spark, sf_dir)
-    p = G.pair_candidates(r).select("site", F.struct("i", "j").alias("key"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
+    p = G.pair_candidates(r, gap=0.3, angle=5.0).select("site", F.struct("i", "j").alias("key"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
     return G.scored(G.supporters(p, r)).select("key.i", "key.j", "n", "scans", F.round("score", 4).alias("score"))
 
 
@@ -332,7 +332,7 @@ def lsq_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy consensus within each site; a test compares with a plain loop."""
-    c = G.clusters(pooled(spark, sf_dir))
+    c = G.clusters(pooled(spark, sf_dir), gap=0.3, angle=5.0)
     return c.select("site", "id", "cluster", "multi", *(F.round(a, 4).alias(a) for a in "xyz"))
 
 

@@ -247,9 +247,9 @@ def pixel_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(i.alias("id"), F.round(yaw, 5).alias("yaw"), F.round(pitch, 5).alias("pitch"))
 
 
-@query("""WITH s AS (SELECT s_suppkey AS scan FROM supplier), v AS (SELECT 0 AS k, unnest(range(0, 360, 45)) AS yaw, [0] AS ps UNION ALL SELECT 1, unnest(range(0, 360, 30)), [-15, 15]
- UNION ALL SELECT 2, unnest(range(0, 360, 28)), [-30, -10, 10, 30] UNION ALL SELECT 3, unnest(range(0, 360, 20)), [-40, -20, 0, 20, 40])
-SELECT scan, CAST(k AS INTEGER) AS "set", CAST(yaw AS INTEGER) AS yaw, CAST(unnest(ps) AS INTEGER) AS pitch FROM s, v""")
+@query("""WITH s AS (SELECT s_suppkey AS scan FROM supplier), v AS (SELECT 0 AS k, 90 AS fov, 1.0 AS st, unnest(range(0, 360, 45)) AS yaw, [0] AS ps UNION ALL SELECT 1, 45, 1.0, unnest(range(0, 360, 30)), [0, 20]
+ UNION ALL SELECT 2, 45, 2.0, unnest(range(0, 360, 14)), [0, 20] UNION ALL SELECT 3, 45, 3.5, unnest(range(0, 360, 8)), [0, 20])
+SELECT scan, CAST(k AS INTEGER) AS "set", CAST(fov AS INTEGER) AS fov, CAST(st AS DOUBLE) AS stretch, CAST(yaw AS INTEGER) AS yaw, CAST(unnest(ps) AS INTEGER) AS pitch FROM s, v""")
 def view_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """174 virtual views of each scan, in four sets (8, 24, 52 and 90)."""
     return Y.view_grid(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scan")))

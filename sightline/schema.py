@@ -7,8 +7,10 @@ PERIODIC = ("inspection", "secondary_injection_test", "trip_test")
 STATUSES = ("open", "in_progress", "done")
 RESULTS = ("ok", "remarks", "fault")
 SOURCES = ("autotag", "field-app", "seed")
-#: Longest text of each field of an entry.
-LIMITS = {"title": 160, "performedBy": 120, "company": 160, "findings": 4000, "actions": 4000, "workPermitRef": 80}
+#: Shortest and longest text of an entry's fields. Those in TRIMMED are measured without outer blanks.
+LENGTHS = {"title": (3, 120), "performedBy": (2, 80), "company": (0, 80), "findings": (0, 2000), "actions": (0, 2000), "firmwareBefore": (0, 40), "firmwareAfter": (0, 40), "workPermitRef": (0, 60)}
+TRIMMED = ("title", "performedBy", "company", "firmwareBefore", "firmwareAfter", "workPermitRef")
+ATTACHMENTS = 10
 
 DETECTION = """id string, scanPointId string, image string, assetTypeId string, ocrText string, confidence double,
  bbox array<int>, pitch double, yaw double, status string, instanceId string"""

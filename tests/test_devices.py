@@ -51,7 +51,7 @@ PLACE = {f.split()[0]: k for k, f in enumerate(FIELDS.split(", "))}
 
 @pytest.mark.parametrize("change, fields", [({}, []), ({"performedAt": None, "nextDueAt": None}, ["performedAt"]), ({"result": None}, ["result"]), ({"kind": "party"}, ["kind"]), ({"performedAt": "2999-01-01", "nextDueAt": None}, ["performedAt"]),
                                             ({"nextDueAt": "2026-08-01"}, ["nextDueAt"]), ({"status": "open", "performedAt": None, "result": None, "kind": "fault", "nextDueAt": None}, []), ({"performedAt": "2026-13-40"}, ["performedAt"]),
-                                            ({"title": "  "}, ["title"]), ({"title": "x" * 161, "source": "mail"}, ["source", "title"]), ({"findings": " " * 5000 + "ok"}, [])])
+                                            ({"title": "  "}, ["title"]), ({"title": "x" * 161, "source": "mail"}, ["source", "title"]), ({"findings": " " * 2001}, ["findings"]), ({"title": " ab ", "performedBy": "A"}, ["performedBy", "title"]), ({"company": " " * 90 + "x"}, [])])
 def test_validation(spark, change, fields):
     row = list(GOOD)
     for k, v in change.items():

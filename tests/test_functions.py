@@ -96,7 +96,10 @@ def test_searches(spark):
 
 
 def test_documents_by_variant(spark):
-    df = spark.createDataFrame([("a", "REF615"), ("b", "615"), ("c", "REM615")], "doc string, variant string")
-    assert [(r.doc, r.fallback) for r in X.docs_for_variant(df, "REM615", "615").collect()] == [("c", False)]
-    assert [(r.doc, r.fallback) for r in X.docs_for_variant(df, "RET615", "615").collect()] == [("b", True)]
-    assert X.docs_for_variant(df, "none", "none").count() == 3
+    docs = spark.createDataFrame([(1, "REF615 Product guide"), (1, "REM615 Application manual"), (1, "615 series Installation manual"), (2, "Brochure")], "type int, title string")
+    devices = spark.createDataFrame([("m", 1, "REM615"), ("t", 1, "RET615"), ("u", 1, "unknown"), ("n", 1, None), ("b", 2, "REM615")], "device string, type int, variant string")
+    got = {}
+    for r in X.docs_for_variant(devices, docs).collect():
+        got.setdefault(r.device, set()).add((r.title.split()[0], r.warning))
+    family = {("REF615", True), ("615", True)}
+    assert got == {"m": {("REM615", False), ("615", False)}, "t": family, "u": family, "n": family, "b": {("Brochure", False)}}
