@@ -15,7 +15,7 @@ Components come from links between distinct fingerprints by star contraction, wi
 
 Defined cases: null and empty texts have the fingerprint zero, linked like any other; repeated rows are repeated in
 the result; an empty table gives no rows; a null doc_id keeps its row but can name no component other than null;
-texts are taken whole.
+texts are taken whole. Where one document of each group is kept, documents are rows: see ``first_of_group``.
 """
 
 from __future__ import annotations
@@ -54,17 +54,17 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, words: int = WORDS, *more: str) -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint as a signed long, and ``more`` columns of longs as they are."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *more)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in pieces(b):
                 fp = np.array([fingerprint(t, words) for t in p.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-                yield as_batch({"doc_id": p.column("doc_id"), "fp": fp}, schema)
+                yield as_batch({"doc_id": p.column("doc_id"), "fp": fp} | {c: p.column(c) for c in more}, schema)
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, *more).mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
 
 
 def variants(half: Column, width: int) -> Column:
@@ -185,20 +185,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return e.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root")
 
 
+def rooted(firsts: DataFrame) -> DataFrame:
+    """``firsts`` (fp, first), one row for each fingerprint, with the ``root`` of its component."""
+    roots = components(links(firsts.select("fp")))
+    return firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id``, ``fingerprint`` (hex) and ``component_id`` (smallest reachable doc_id) of every row."""
     each = stored(fingerprints(docs, words), "fingerprints")
-    firsts = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(firsts.select("fp")))
     # components of fingerprints, then the smallest document of each
-    named = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = rooted(each.groupBy("fp").agg(F.min("doc_id").alias("first")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(least, "root").select("fp", "component_id")
     return each.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_group(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its group; of repeated ids all rows stay, and rows with a
-    null id, which can't be the one that stays, go."""
-    keep = groups(docs, words).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Exactly one row of ``docs`` for each group of near duplicates: that of the smallest doc_id, one with a null id only
+    where all ids of the group are null. Rows are told apart by a number that is stored with them, so of repeated rows one
+    stays, a repeated id with two texts counts as two documents, and a null id is no reason to go."""
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "numbered")
+    each = stored(fingerprints(numbered.select("doc.doc_id", "doc.text", "row"), words, "row"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    named = rooted(each.groupBy("fp").agg(F.min(first).alias("first")))
+    keep = named.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
+    return numbered.join(keep, "row", "left_semi").select("doc.*")
