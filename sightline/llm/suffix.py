@@ -14,6 +14,11 @@ their k-mers (their anchor), so the work splits exactly by anchors:
    ties are in document order, so no next smaller position can give another. A bit for each window goes back.
 3. The group removes what the windows with an earlier match cover.
 
+Hot anchors: around a phrase that many documents share, the texts differ at their edges, so all would go to one bucket.
+A group that has more than one text under an anchor says how many bytes they are, and where these add up to more than
+``HOT`` the bucket answers that the anchor is hot. Its windows then go singly, each distinct one once from a group, with
+a hash of all their bytes as anchor: equal windows still meet, and no others need to.
+
 Hot passages are aggregated before each shuffle: a group of documents sends a string once however many of them hold
 it. Texts are dealt once; all three steps read the same shuffle.
 
@@ -36,6 +41,9 @@ from pyspark.sql import types as T
 LENGTH, KMER = 50, 24
 #: Bytes of text in a group, anchors in a bucket, bytes of text in a bucket: about.
 GROUP, ANCHORS, BUCKET = 2 << 20, 1 << 20, 4 << 20
+#: Bytes of text under one anchor before its windows are dealt singly. Groups with one text under it don't count; they
+#: send at most LONGEST_RUN bytes each, but for periodic texts.
+HOT, LONGEST_RUN = 1 << 19, 2 * LENGTH - KMER
 LAST = (1 << 63) - 1
 #: Anchors for each byte of text, about: two for each window of k-mers.
 DENSITY = 2 / (LENGTH - KMER + 2)
@@ -74,9 +82,12 @@ class Windows:
         n = len(self.raw)
         empty = np.zeros(0, dtype=np.int64)
         self.anchor, self.start, self.count, self.owner = np.zeros(0, np.uint64), empty, empty, empty
+        self.whole = np.zeros(0, np.uint64)
         if n < LENGTH:
             return
         least = kmer_hashes(self.raw)
+        # of LENGTH bytes, from three k-mers that cover them
+        self.whole = mixed(mixed(mixed(least[: n - LENGTH + 1]) + least[KMER : n - LENGTH + 1 + KMER]) + least[LENGTH - KMER : n - KMER + 1])
         width, want = 1, LENGTH - KMER + 1
         while 2 * width <= want:
             np.minimum(least[:-width], least[width:], out=least[:-width])
@@ -94,24 +105,41 @@ class Windows:
         self.start, self.count = start[fine], count[fine]
         self.anchor, self.owner = mixed(least[self.start]), owner[self.start]
 
-    def anchors(self, buckets: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """By bucket: distinct anchors, ascending, and whether more than one document here has each."""
+    def anchors(self, buckets: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By bucket: distinct anchors, ascending, whether more than one document here has each, and the bytes of their
+        distinct texts here."""
         if not len(self.anchor):
             return {}
-        low, high = self.docs[self.owner], self.docs[self.owner]
-        order = np.argsort(self.anchor, kind="stable")
-        a = self.anchor[order]
+        doc = self.docs[self.owner]
+        # a text is known by its first and last window and its length; a clash only makes the bytes count as fewer
+        text = mixed(self.whole[self.start] + np.uint64(3) * self.whole[self.start + self.count - 1] + self.count.astype(np.uint64))
+        order = np.lexsort((text, self.anchor))
+        a, text = self.anchor[order], text[order]
         first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        fresh = np.append(True, (a[1:] != a[:-1]) | (text[1:] != text[:-1]))
+        size = np.add.reduceat(np.where(fresh, self.count[order] + LENGTH - 1, 0), first)
         a = a[first]
-        several = np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first)
-        return {int(b): (a[k], several[k]) for b, k in by_bucket(bucket_of(a, buckets))}
+        several = np.minimum.reduceat(doc[order], first) < np.maximum.reduceat(doc[order], first)
+        return {int(b): (a[k], several[k], size[k]) for b, k in by_bucket(bucket_of(a, buckets))}
 
     def shared(self, known: dict[int, bytes], buckets: int) -> np.ndarray:
-        """Runs whose anchor other documents have, by the buckets' answers."""
-        yes = [np.zeros(0, np.uint64)]
-        for b, (a, _) in self.anchors(buckets).items():
-            yes.append(a[np.unpackbits(np.frombuffer(known[b], np.uint8), count=len(a)).astype(bool)])
-        return np.flatnonzero(np.isin(self.anchor, np.concatenate(yes)))
+        """Runs whose anchor other documents have, by the buckets' answers; those of hot anchors are split first, so that
+        each of their windows is a run of its own."""
+        yes, hot = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for b, (a, _, _) in self.anchors(buckets).items():
+            bits, places = np.split(np.frombuffer(known[b], np.uint8), [-(-len(a) // 8)])
+            yes.append(a[np.unpackbits(bits, count=len(a)).astype(bool)])
+            hot.append(a[places.view("<u4")])
+        keep = np.isin(self.anchor, np.concatenate(yes))
+        single = keep & np.isin(self.anchor, np.concatenate(hot))
+        if single.any():
+            n, s, o = self.count[single], self.start[single], self.owner[single]
+            start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
+            rest = keep & ~single
+            self.start, self.count = np.append(self.start[rest], start), np.append(self.count[rest], np.ones_like(start))
+            self.anchor, self.owner = np.append(self.anchor[rest], mixed(self.whole[start])), np.append(self.owner[rest], np.repeat(o, n))
+            return np.arange(len(self.start))
+        return np.flatnonzero(keep)
 
     def entries(self, runs: np.ndarray) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct texts of the runs, the entry of each run, and by entry its smallest document and its anchor."""
@@ -208,7 +236,7 @@ def bucket_answers(groups: list[int], docs: list[np.ndarray], anchors: list[np.n
     return out
 
 
-ASK = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("anchors", pa.binary()), ("several", pa.binary())])
+ASK = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("anchors", pa.binary()), ("several", pa.binary()), ("places", pa.binary()), ("bytes", pa.binary())])
 RUNS = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("docs", pa.binary()), ("anchors", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
 BITS = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("bits", pa.binary())])
 BITS_DDL = "g long, b long, bits binary"
@@ -256,8 +284,9 @@ def covered(w: Windows, first: dict[int, bytes], second: dict[int, bytes], bucke
     return np.cumsum(delta[:n]) > 0
 
 
-def exchange(docs: DataFrame, finish: Callable, schema: T.StructType) -> DataFrame:
-    """The three steps; ``finish`` turns a group's table and its bytes to remove into rows."""
+def messages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int]]:
+    """The first step and half of the second: the dealt texts, the answers about anchors, the texts sent to buckets, and
+    the numbers of buckets of both steps."""
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
     each = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"),
                        (F.struct(*other) if other else F.lit(None).cast("string")).alias("_rest"))
@@ -265,11 +294,16 @@ def exchange(docs: DataFrame, finish: Callable, schema: T.StructType) -> DataFra
     n_groups = max(1, -(-total // GROUP))
     buckets = (max(1, int(total * DENSITY / ANCHORS)), max(1, -(-total * LENGTH // (10 * BUCKET))))
     dealt = each.withColumn("g", F.pmod(F.xxhash64("_doc"), F.lit(n_groups)).cast("long"))
+    most = HOT
 
     def ask(t: pa.Table) -> pa.Table:
         g = t.column("g")[0].as_py()
-        return rows(ASK, [(b, g, np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(), np.packbits(s).tobytes())
-                          for b, (a, s) in windows_of(t).anchors(buckets[0]).items()])
+        out = []
+        for b, (a, s, size) in windows_of(t).anchors(buckets[0]).items():
+            large = np.flatnonzero(size > LONGEST_RUN)
+            out.append((b, g, np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(), np.packbits(s).tobytes(),
+                        large.astype("<u4").tobytes(), size[large].astype("<i8").tobytes()))
+        return rows(ASK, out)
 
     def tell(t: pa.Table) -> pa.Table:
         b = t.column("b")[0].as_py()
@@ -282,8 +316,12 @@ def exchange(docs: DataFrame, finish: Callable, schema: T.StructType) -> DataFra
         several = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(c)) for s, c in zip(t.column("several").to_pylist(), cut, strict=True)])
         _, which, n = np.unique(every, return_inverse=True, return_counts=True)
         yes = (n > 1) | (np.bincount(which, weights=several, minlength=len(n)) > 0)
-        ends = np.cumsum([len(c) for c in cut])[:-1]
-        return rows(BITS, [(g, b, np.packbits(bits).tobytes()) for g, bits in zip(t.column("g").to_pylist(), np.split(yes[which], ends), strict=True)])
+        ends = np.cumsum([len(c) for c in cut])
+        large = np.concatenate([np.frombuffer(p, "<u4") + e - len(c) for p, e, c in zip(t.column("places").to_pylist(), ends, cut, strict=True)]).astype(np.int64)
+        size = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("bytes").to_pylist()])
+        hot = yes & (np.bincount(which[large], weights=size, minlength=len(n)) > most)
+        return rows(BITS, [(g, b, np.packbits(y).tobytes() + np.flatnonzero(h).astype("<u4").tobytes())
+                           for g, y, h in zip(t.column("g").to_pylist(), np.split(yes[which], ends[:-1]), np.split(hot[which], ends[:-1]), strict=True)])
 
     def send(t: pa.Table, known: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -294,6 +332,16 @@ def exchange(docs: DataFrame, finish: Callable, schema: T.StructType) -> DataFra
         return rows(RUNS, [(b, g, least[k].astype("<i8").tobytes(), anchor[k].astype("<u8").tobytes(), np.array([len(texts[i]) for i in k], "<u4").tobytes(),
                             b"".join([texts[i] for i in k])) for b, k in by_bucket(bucket_of(anchor, buckets[1]))])
 
+    asked = dealt.groupBy("g").applyInArrow(ask, "b long, g long, anchors binary, several binary, places binary, bytes binary")
+    told = asked.groupBy("b").applyInArrow(tell, BITS_DDL)
+    sent = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(send, "b long, g long, docs binary, anchors binary, sizes binary, text binary")
+    return dealt, told, sent, buckets
+
+
+def exchange(docs: DataFrame, finish: Callable, schema: T.StructType) -> DataFrame:
+    """The three steps; ``finish`` turns a group's table and its bytes to remove into rows."""
+    dealt, told, sent, buckets = messages(docs)
+
     def match(t: pa.Table) -> pa.Table:
         b, groups = t.column("b")[0].as_py(), t.column("g").to_pylist()
         docs_ = [np.frombuffer(x, "<i8") for x in t.column("docs").to_pylist()]
@@ -310,9 +358,6 @@ def exchange(docs: DataFrame, finish: Callable, schema: T.StructType) -> DataFra
         first, second = (answers(known.filter(pa.array(m))) if known.num_rows else {} for m in (~is_last, is_last))
         return finish(t, w, covered(w, first, second, buckets))
 
-    asked = dealt.groupBy("g").applyInArrow(ask, "b long, g long, anchors binary, several binary")
-    told = asked.groupBy("b").applyInArrow(tell, BITS_DDL)
-    sent = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(send, "b long, g long, docs binary, anchors binary, sizes binary, text binary")
     matched = sent.groupBy("b").applyInArrow(match, BITS_DDL)
     both = told.withColumn("step", F.lit(1)).unionByName(matched.withColumn("step", F.lit(2)))
     return dealt.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(end, schema)
