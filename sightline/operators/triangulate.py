@@ -6,9 +6,11 @@ Rays: (site, ord, id, scan, ox, oy, oz, dx, dy, dz, yaw, pitch, conf). ``ord`` i
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,19 +151,30 @@ def register_stats(members: DataFrame, multi: DataFrame) -> DataFrame:
 
 def greedy_match(pairs: DataFrame, first_free: bool) -> DataFrame:
     """One-to-one matches of each site's eligible pairs (site, a, b, dist): by distance, then by order of a and b; or,
-    with ``first_free``, each ``a`` in order takes its first free ``b`` in order."""
-    order = ["a", "b"] if first_free else ["dist", "a", "b"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, rows = set(), set(), []
-        for p in pdf.sort_values(order, kind="stable").itertuples():
-            if p.a not in used_a and p.b not in used_b:
-                used_a.add(p.a)
-                used_b.add(p.b)
-                rows.append((p.site, p.a, p.b, p.dist))
-        return pd.DataFrame(rows, columns=["site", "a", "b", "dist"])
+    with ``first_free``, each ``a`` in order takes its first free ``b`` in order.
 
-    return pairs.groupBy("site").applyInPandas(run, "site long, a long, b long, dist double")
+    Spark sorts a site's pairs, on disk where they are many, and they pass in batches; only the ids already taken are held.
+    """
+    order = ["a", "b"] if first_free else ["dist", "a", "b"]
+    kinds = {"site": pa.int64(), "a": pa.int64(), "b": pa.int64(), "dist": pa.float64()}
+    schema = pa.schema(list(kinds.items()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used_a, used_b = None, set(), set()
+        for batch in batches:
+            rows = []
+            for p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p[0] != at:
+                    at, used_a, used_b = p[0], set(), set()
+                if p[1] not in used_a and p[2] not in used_b:
+                    used_a.add(p[1])
+                    used_b.add(p[2])
+                    rows.append(p)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], schema=schema)
+
+    typed = pairs.select(*(F.col(c).cast("double" if c == "dist" else "long").alias(c) for c in kinds))
+    return typed.repartition("site").sortWithinPartitions("site", *order).mapInArrow(run, "site long, a long, b long, dist double")
 
 
 def stable_ids(new: DataFrame, matched: DataFrame, old: DataFrame, site: str = "site") -> DataFrame:
