@@ -164,7 +164,8 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """``node`` and ``root`` (smallest node reachable) for all nodes with an edge, by large- and small-star steps."""
+    """``node`` and ``root`` (smallest node reachable) for all nodes with an edge, by large- and small-star steps. An
+    error where they still change after ``rounds``."""
     shared_dir(edges.sparkSession)
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     e = stored(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
@@ -182,6 +183,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return e.groupBy("v").agg(F.min("u").alias("root")).select(F.col("v").alias("node"), "root")
 
 

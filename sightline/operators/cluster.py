@@ -23,7 +23,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root`` (smallest node of its component) of all nodes with an edge (a, b).
 
     Alternates pointing every neighbour at the smallest one around it with keeping one pointer a node, so long chains
-    shorten by half and hubs stay single rows. Stops when nothing changes.
+    shorten by half and hubs stay single rows. Stops when nothing changes; an error if that isn't so after ``rounds``.
     """
     e = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     e, before = _kept(e), None
@@ -38,6 +38,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     one = e.groupBy("hi").agg(F.min("lo").alias("root")).select(F.col("hi").alias("node"), "root")
     return one.unionByName(one.select(F.col("root").alias("node"), "root").distinct())
 

@@ -32,12 +32,14 @@ def largest(mask: np.ndarray) -> tuple[int, int, int, int] | None:
     return best
 
 
-def rectangles(cells: DataFrame, room: str, least: int = 1, most: int = 1000) -> DataFrame:
-    """Greedy decomposition of each room's mask into rectangles, largest first: (room, n, ix0, ix1, iy0, iy1, area)."""
+def rectangles(cells: DataFrame, room: str, least: int = 1, most: int | None = None) -> DataFrame:
+    """Greedy decomposition of each room's mask into rectangles, largest first: (room, n, ix0, ix1, iy0, iy1, area).
+
+    All cells are covered unless ``least`` or ``most`` says otherwise."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m, x0, y0 = _mask(pdf)
         rows = []
-        while len(rows) < most and (b := largest(m)) is not None:
+        while (most is None or len(rows) < most) and (b := largest(m)) is not None:
             r0, r1, c0, c1 = b
             if (r1 - r0) * (c1 - c0) < least:
                 break
