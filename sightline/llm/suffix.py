@@ -1,4 +1,6 @@
-"""Removal of repeated passages by longest-previous-factor arrays over suffix order (operator 3).
+"""Removal of repeated passages by grouping equal windows of 50 bytes in suffix order (operator 3).
+
+No longest-previous-factor array is built: whether an earlier document holds a window is all that LPF >= 50 would say.
 
 Every byte is removed that a string of ``LENGTH`` bytes covers which also starts in a document with a smaller id; the
 first copy stays. Matches are judged on the input and never cross documents.
@@ -9,9 +11,8 @@ their k-mers (their anchor), so the work splits exactly by anchors:
 1. Documents are dealt into groups of about two megabytes by a hash of their id. A group sends each anchor it has,
    once, to the anchor's bucket (five bytes each, packed), and gets a bit back: does any other document have it?
 2. For anchors that others have, a group sends the runs of windows around them, each distinct text once with its
-   smallest document. A bucket sorts the windows of texts under one anchor into suffix order (prefix doubling to
-   LENGTH), and the previous smaller position in that order whose common prefix is LENGTH long is the earlier match;
-   ties are in document order, so no next smaller position can give another. A bit for each window goes back.
+   smallest document. A bucket ranks the windows of texts under one anchor by prefix doubling to LENGTH and compares
+   each with the smallest document of its equals. A bit for each window goes back.
 3. The group removes what the windows with an earlier match cover.
 
 Hot anchors: around a phrase that many documents share, the texts differ at their edges, so all would go to one bucket.
