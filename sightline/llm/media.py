@@ -286,7 +286,7 @@ def stored_digests(docs: DataFrame) -> DataFrame:
                     cut, d = shots(pictures)
                     s = facts["frame_us"] / 1e6
                     feature = (f"frames={len(pictures)};shots={len(cut)};seconds={len(pictures) * s:.2f};cuts="
-                               f"{','.join(f'{a * s:.2f}' for a, _ in cut[1:9])};mean={pictures.mean():.3f};change={d.mean() if len(d) else 0:.4f}")
+                               f"{','.join(f'{a * s:.2f}' for a, _ in cut[1:])};mean={pictures.mean():.3f};change={d.mean() if len(d) else 0:.4f}")
                     rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(avi), hashlib.sha256(avi).hexdigest(), feature))
                 yield as_batch(dict(zip(DIGEST.names, zip(*rows, strict=True), strict=True)), DIGEST)
 
