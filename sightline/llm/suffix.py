@@ -1,19 +1,23 @@
-"""Removal of repeated passages by grouping equal windows of 50 bytes in suffix order (operator 3).
-
-No longest-previous-factor array is built: whether an earlier document holds a window is all that LPF >= 50 would say.
+"""Removal of repeated passages by longest-previous-factor arrays (operator 3).
 
 Every byte is removed that a string of ``LENGTH`` bytes covers which also starts in a document with a smaller id; the
 first copy stays. Matches are judged on the input and never cross documents.
 
+The longest previous factor (LPF) of a suffix is the longest prefix that also starts in an earlier document. In suffix
+order it is the larger of the common prefixes with the previous and with the next entry of a smaller document. Bytes
+that suffixes with an LPF of at least ``LENGTH`` cover are removed; since only that bound matters, suffixes are sorted,
+and factors measured, to a depth of ``LENGTH``, and suffixes shorter than it are left out.
+
 No suffix array of everything is built in one place. Equal strings of LENGTH bytes have the same smallest hash among
 their k-mers (their anchor), so the work splits exactly by anchors:
 
-1. Documents are dealt into groups of about two megabytes by a hash of their id. A group sends each anchor it has,
-   once, to the anchor's bucket (five bytes each, packed), and gets a bit back: does any other document have it?
+1. Documents are dealt into groups of about two megabytes by a hash of the row. A group sends each anchor it has, once,
+   to the anchor's bucket (five bytes each, packed), and gets a bit back: does any other document have it?
 2. For anchors that others have, a group sends the runs of windows around them, each distinct text once with its
-   smallest document. A bucket ranks the windows of texts under one anchor by prefix doubling to LENGTH and compares
-   each with the smallest document of its equals. A bit for each window goes back.
-3. The group removes what the windows with an earlier match cover.
+   smallest and largest document. A bucket builds the LPF array of its texts (see ``longest_previous``). Of a text it
+   takes two copies, those of the smallest and the largest document; what holds for the latter holds for all but the
+   first, since the first is an earlier match of the whole text. A bit for each window goes back.
+3. The group removes what the windows with a long enough LPF cover.
 
 Hot anchors: around a phrase that many documents share, the texts differ at their edges, so all would go to one bucket.
 A group that has more than one text under an anchor says how many bytes they are, and where these add up to more than
@@ -24,8 +28,9 @@ Hot passages are aggregated before each shuffle: a group of documents sends a st
 it. Texts are dealt once; all three steps read the same shuffle.
 
 Defined cases: null text is empty and loses nothing; texts under LENGTH bytes lose nothing; repeated rows share an id,
-so neither removes from the other; a null doc_id counts as larger than all others; very long texts are taken whole; an
-empty table gives no rows; other columns are carried along untouched where documents are returned.
+so neither removes from the other (a hot id is dealt over all groups, equal rows of it by their input partition); a null
+doc_id counts as larger than all others; very long texts are taken whole; an empty table gives no rows; other columns
+are carried along untouched where documents are returned.
 """
 
 from __future__ import annotations
@@ -142,18 +147,21 @@ class Windows:
             return np.arange(len(self.start))
         return np.flatnonzero(keep)
 
-    def entries(self, runs: np.ndarray) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct texts of the runs, the entry of each run, and by entry its smallest document and its anchor."""
+    def entries(self, runs: np.ndarray) -> tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct texts of the runs, the entry of each run, and by entry its smallest document, its largest, and its
+        anchor."""
         number: dict[bytes, int] = {}
         raw = self.raw
         s = self.start[runs].tolist()
         e = (self.start[runs] + self.count[runs] + LENGTH - 1).tolist()
         which = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(s, e, strict=True)], dtype=np.int64)
-        least = np.full(len(number), LAST)
-        np.minimum.at(least, which, self.docs[self.owner[runs]])
+        doc = self.docs[self.owner[runs]]
+        least, most = np.full(len(number), LAST), np.full(len(number), -LAST)
+        np.minimum.at(least, which, doc)
+        np.maximum.at(most, which, doc)
         anchor = np.zeros(len(number), np.uint64)
         anchor[which] = self.anchor[runs]
-        return number, which, least, anchor
+        return number, which, least, most, anchor
 
 
 def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -167,78 +175,138 @@ def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(bucket[k[0]]), k) for k in np.split(order, first[1:]) if len(k)]
 
 
-def earlier_match(texts: list[bytes], docs: np.ndarray) -> np.ndarray:
-    """For each window of LENGTH bytes of each text, in order: does it also start in a text of a smaller document?
-
-    ``texts`` come in document order. Suffixes are sorted to a depth of LENGTH by prefix doubling; in that order a
-    window's previous smaller position with a common prefix of LENGTH is the one before it, back to the first of its
-    equals, whose document decides.
-    """
+def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of at least LENGTH bytes of all texts, numbered text by text, in suffix order to that depth, and the
+    common prefix (LENGTH at most) of each with the one before it in that order."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    buf = np.frombuffer(b"".join(texts) + b"\0" * 64, np.uint8)
-    n = int(sizes.sum())
-    key = np.zeros(n + 56, np.uint64)
-    for k in range(8):
-        key |= buf[k : k + n + 56].astype(np.uint64) << np.uint64(56 - 8 * k)
-    rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-    for step in (8, 16, LENGTH - 32):  # depth 8, 16, 32, LENGTH
-        pair = (rank[:-step] << np.uint64(32)) | rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-    windows = sizes - LENGTH + 1
-    begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(texts)), windows)
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + begins[owner]
-    r, d = rank[place], docs[owner]
-    order = np.argsort(r, kind="stable")  # suffix order; equal prefixes stay in text, that is document order
-    r, d = r[order], d[order]
-    first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-    head = np.repeat(d[first], np.diff(np.append(first, len(r))))  # where the chain of previous smaller positions ends
-    out = np.zeros(len(owner), dtype=bool)
-    out[order] = head < d
-    return out
-
-
-def bucket_answers(groups: list[int], docs: list[np.ndarray], anchors: list[np.ndarray], texts: list[list[bytes]]) -> list[bytes]:
-    """For each message a bit for each window of its texts: some document smaller than the text's own has it."""
+    n = sizes - LENGTH + 1
+    place = np.arange(n.sum()) + np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(n) - n), n)
+    raw = b"".join(texts) + b"\0" * 8
+    word = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
+    key = word[place].astype(np.uint64)
+    order = np.argsort(key)
+    shared = np.zeros(len(order), dtype=np.int64)
+    # from the left, eight bytes a round: only suffixes that are equal so far are sorted on
+    tied, group = np.arange(len(order)), np.zeros(len(order), dtype=np.int64)
+    sub = key[order]
+    for depth in range(8, LENGTH + 8, 8):
+        differ = sub[1:] ^ sub[:-1]
+        equal = np.zeros(len(sub) + 1, dtype=bool)  # with the one before
+        within = group[1:] == group[:-1]
+        equal[1:-1] = within & (differ == 0)
+        apart = np.flatnonzero(within & (differ != 0)) + 1
+        if len(apart):  # leading bytes that agree
+            byte = differ[apart - 1].astype(">u8").view(np.uint8).reshape(-1, 8)
+            shared[tied[apart]] = np.minimum(depth - 8 + np.argmax(byte != 0, axis=1), LENGTH)
+        stays = equal[:-1] | equal[1:]
+        group = np.cumsum(~equal[:-1])[stays]
+        joined = equal[:-1][stays]
+        tied = tied[stays]
+        if not len(tied):
+            break
+        if depth >= LENGTH:
+            shared[tied[joined]] = LENGTH
+            break
+        mine = order[tied]
+        sub = word[place[mine] + depth].astype(np.uint64)
+        if depth + 8 > LENGTH:
+            sub &= ~np.uint64((1 << 8 * (depth + 8 - LENGTH)) - 1)
+        by = np.lexsort((sub, group))
+        order[tied], sub = mine[by], sub[by]
+    return order, shared
+
+
+def smaller_before(value: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each entry the common prefix with the nearest one before it that has a smaller value; 0 without one.
+
+    Pointers jump from an entry to the candidate of its candidate, all at once. Where chains are long, a stack, which
+    takes each entry once, does the same.
+    """
+    n = len(value)
+    at, least = np.arange(n) - 1, shared.copy()
+    active = np.flatnonzero(at >= 0)
+    active = active[value[at[active]] >= value[active]]
+    for _ in range(64):
+        if not len(active):
+            break
+        q = at[active]
+        least[active] = np.minimum(least[active], least[q])
+        at[active] = at[q]
+        active = active[at[active] >= 0]
+        active = active[value[at[active]] >= value[active]]
+    else:
+        stack: list[tuple[int, int]] = []  # values, ascending, each with the prefix shared with the one below it
+        for k, (v, m) in enumerate(zip(value.tolist(), shared.tolist(), strict=True)):
+            while stack and stack[-1][0] >= v:
+                m = min(m, stack.pop()[1])
+            least[k] = m if stack else 0
+            stack.append((v, m))
+        return least
+    least[at < 0] = 0
+    return least
+
+
+def longest_previous(texts: list[bytes], first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LPF (LENGTH at most) of each suffix of at least LENGTH bytes, text by text: of the text's copy in document
+    ``first``, and of its copy in ``last`` (0 where that is the same).
+
+    Both copies stand side by side in suffix order; among all entries the previous and the next of a smaller document
+    are found, and the longer of the prefixes shared with these two is the LPF.
+    """
+    order, shared = suffix_order(texts)
+    owner = np.repeat(np.arange(len(texts)), [len(t) - LENGTH + 1 for t in texts])[order]
+    copies = 1 + (last > first)[owner]
+    entry = np.repeat(np.arange(len(order)), copies)
+    second = np.append(False, entry[1:] == entry[:-1])
+    doc = np.where(second, last[owner[entry]], first[owner[entry]])
+    doc = np.unique(doc, return_inverse=True)[1].astype(np.int32)
+    shared = np.where(second, LENGTH, shared[entry])
+    before = smaller_before(doc, shared)
+    after = smaller_before(doc[::-1], np.append(0, shared[:0:-1]))[::-1]
+    found = np.maximum(before, after)
+    out = np.zeros((2, len(order)), dtype=np.int64)
+    out[second.astype(np.int64), order[entry]] = found
+    return out[0], out[1]
+
+
+def bucket_answers(firsts: list[np.ndarray], lasts: list[np.ndarray], anchors: list[np.ndarray], texts: list[list[bytes]]) -> list[bytes]:
+    """For each message a bit for each window of its texts, is its LPF at least LENGTH: of the copies in the documents
+    ``firsts``, and then of those in ``lasts`` where these differ."""
     least: dict[bytes, int] = {}
+    most: dict[bytes, int] = {}
     anchor_of: dict[bytes, int] = {}
-    for ds, an, ts in zip(docs, anchors, texts, strict=True):
-        for d, a, t in zip(ds.tolist(), an.tolist(), ts, strict=True):
-            if (seen := least.get(t)) is None or d < seen:
-                least[t] = d
-            anchor_of[t] = a
-    several: dict[int, int] = {}
-    for a in anchor_of.values():
-        several[a] = several.get(a, 0) + 1
-    # texts alone under their anchor have no windows in common with others; the rest goes into suffix order
-    mixed_ = sorted((t for t, a in anchor_of.items() if several[a] > 1), key=lambda t: (anchor_of[t], least[t], t))
-    found: dict[bytes, np.ndarray] = {}
+    for ds, es, an, ts in zip(firsts, lasts, anchors, texts, strict=True):
+        for d, e, a, t in zip(ds.tolist(), es.tolist(), an.tolist(), ts, strict=True):
+            if (seen := least.get(t)) is None:
+                least[t], most[t], anchor_of[t] = d, e, a
+            else:
+                if d < seen:
+                    least[t] = d
+                if e > most[t]:
+                    most[t] = e
+    every = sorted(anchor_of, key=anchor_of.__getitem__)
+    found: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
     at = 0
-    while at < len(mixed_):
+    while at < len(every):
         end, size = at, 0
-        while end < len(mixed_) and (size < BUCKET or anchor_of[mixed_[end]] == anchor_of[mixed_[end - 1]]):
-            size += len(mixed_[end])
+        while end < len(every) and (size < BUCKET or anchor_of[every[end]] == anchor_of[every[end - 1]]):
+            size += len(every[end])
             end += 1
-        part = sorted(mixed_[at:end], key=lambda t: (least[t], t))
-        bits = earlier_match(part, np.array([least[t] for t in part]))
+        part = every[at:end]
+        lpf = longest_previous(part, np.array([least[t] for t in part]), np.array([most[t] for t in part]))
         cut = np.cumsum([len(t) - LENGTH + 1 for t in part])[:-1]
-        found.update(zip(part, np.split(bits, cut), strict=True))
+        found.update(zip(part, zip(*(np.split(x >= LENGTH, cut) for x in lpf), strict=True), strict=True))
         at = end
     out = []
-    for ds, ts in zip(docs, texts, strict=True):
-        bits = []
-        for d, t in zip(ds.tolist(), ts, strict=True):
-            n = len(t) - LENGTH + 1
-            if least[t] < d:
-                bits.append(np.ones(n, dtype=bool))
-            else:
-                bits.append(found[t] if t in found else np.zeros(n, dtype=bool))
+    for ds, es, ts in zip(firsts, lasts, texts, strict=True):
+        bits = [found[t][d > least[t]] for d, t in zip(ds.tolist(), ts, strict=True)]
+        bits += [found[t][1] for d, e, t in zip(ds.tolist(), es.tolist(), ts, strict=True) if e > d]
         out.append(np.packbits(np.concatenate(bits)).tobytes() if bits else b"")
     return out
 
 
 ASK = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("anchors", pa.binary()), ("several", pa.binary()), ("places", pa.binary()), ("bytes", pa.binary())])
-RUNS = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("docs", pa.binary()), ("anchors", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
+RUNS = pa.schema([("b", pa.int64()), ("g", pa.int64()), ("first", pa.binary()), ("last", pa.binary()), ("anchors", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary())])
 BITS = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("bits", pa.binary())])
 BITS_DDL = "g long, b long, bits binary"
 
@@ -268,20 +336,26 @@ def covered(w: Windows, first: dict[int, bytes], second: dict[int, bytes], bucke
     runs = w.shared(first, buckets[0])
     delta = np.zeros(n + 1, dtype=np.int32)
     if len(runs):
-        _, which, least, anchor = w.entries(runs)
+        _, which, least, most, anchor = w.entries(runs)
         counts = np.zeros(len(least), dtype=np.int64)
         counts[which] = w.count[runs]
         bits: list = [None] * len(least)
+        later: list = [None] * len(least)
         for b, places in by_bucket(bucket_of(anchor, buckets[1])):
-            flat = np.unpackbits(np.frombuffer(second[b], np.uint8), count=int(counts[places].sum())).astype(bool)
-            for p, piece in zip(places.tolist(), np.split(flat, np.cumsum(counts[places])[:-1]), strict=True):
-                bits[p] = piece
-        flat = np.concatenate([bits[e] for e in which.tolist()])
+            again = places[most[places] > least[places]]
+            both = np.append(counts[places], counts[again])
+            flat = np.unpackbits(np.frombuffer(second[b], np.uint8), count=int(both.sum())).astype(bool)
+            for k, piece in enumerate(np.split(flat, np.cumsum(both)[:-1])):
+                if k < len(places):
+                    bits[places[k]] = piece
+                else:
+                    later[again[k - len(places)]] = piece
+        is_later = w.docs[w.owner[runs]] > least[which]
+        flat = np.concatenate([later[e] if x else bits[e] for e, x in zip(which.tolist(), is_later.tolist(), strict=True)])
         own = np.repeat(np.arange(len(runs)), w.count[runs])
         place = np.arange(len(own)) - np.repeat(np.cumsum(w.count[runs]) - w.count[runs], w.count[runs]) + w.start[runs][own]
-        gone = flat | (w.docs[w.owner[runs]] > least[which])[own]
-        delta += np.bincount(place[gone], minlength=n + 1).astype(np.int32)
-        delta -= np.bincount(place[gone] + LENGTH, minlength=n + 1).astype(np.int32)
+        delta += np.bincount(place[flat], minlength=n + 1).astype(np.int32)
+        delta -= np.bincount(place[flat] + LENGTH, minlength=n + 1).astype(np.int32)
     return np.cumsum(delta[:n]) > 0
 
 
@@ -294,7 +368,7 @@ def messages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[in
     total = each.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n_groups = max(1, -(-total // GROUP))
     buckets = (max(1, int(total * DENSITY / ANCHORS)), max(1, -(-total * LENGTH // (10 * BUCKET))))
-    dealt = each.withColumn("g", F.pmod(F.xxhash64("_doc"), F.lit(n_groups)).cast("long"))
+    dealt = each.withColumn("g", F.pmod(F.xxhash64("_doc", "_text", F.spark_partition_id()), F.lit(n_groups)).cast("long"))
     most = HOT
 
     def ask(t: pa.Table) -> pa.Table:
@@ -328,14 +402,14 @@ def messages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[in
         if not t.num_rows:
             return rows(RUNS, [])
         g, w = t.column("g")[0].as_py(), windows_of(t)
-        number, _, least, anchor = w.entries(w.shared(answers(known), buckets[0]))
+        number, _, least, most, anchor = w.entries(w.shared(answers(known), buckets[0]))
         texts = list(number)
-        return rows(RUNS, [(b, g, least[k].astype("<i8").tobytes(), anchor[k].astype("<u8").tobytes(), np.array([len(texts[i]) for i in k], "<u4").tobytes(),
+        return rows(RUNS, [(b, g, least[k].astype("<i8").tobytes(), most[k].astype("<i8").tobytes(), anchor[k].astype("<u8").tobytes(), np.array([len(texts[i]) for i in k], "<u4").tobytes(),
                             b"".join([texts[i] for i in k])) for b, k in by_bucket(bucket_of(anchor, buckets[1]))])
 
     asked = dealt.groupBy("g").applyInArrow(ask, "b long, g long, anchors binary, several binary, places binary, bytes binary")
     told = asked.groupBy("b").applyInArrow(tell, BITS_DDL)
-    sent = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(send, "b long, g long, docs binary, anchors binary, sizes binary, text binary")
+    sent = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(send, "b long, g long, first binary, last binary, anchors binary, sizes binary, text binary")
     return dealt, told, sent, buckets
 
 
@@ -345,13 +419,13 @@ def exchange(docs: DataFrame, finish: Callable, schema: T.StructType) -> DataFra
 
     def match(t: pa.Table) -> pa.Table:
         b, groups = t.column("b")[0].as_py(), t.column("g").to_pylist()
-        docs_ = [np.frombuffer(x, "<i8") for x in t.column("docs").to_pylist()]
+        first, last = ([np.frombuffer(x, "<i8") for x in t.column(c).to_pylist()] for c in ("first", "last"))
         anchors = [np.frombuffer(x, "<u8") for x in t.column("anchors").to_pylist()]
         texts = []
         for x, sizes in zip(t.column("text").to_pylist(), t.column("sizes").to_pylist(), strict=True):
             ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
             texts.append([x[s:e] for s, e in zip([0, *ends], ends, strict=False)])
-        return rows(BITS, [(g, b, bits) for g, bits in zip(groups, bucket_answers(groups, docs_, anchors, texts), strict=True)])
+        return rows(BITS, [(g, b, bits) for g, bits in zip(groups, bucket_answers(first, last, anchors, texts), strict=True)])
 
     def end(t: pa.Table, known: pa.Table) -> pa.Table:
         w = windows_of(t)

@@ -204,17 +204,37 @@ def test_suffix_dedup_of_repetitive_texts(spark, monkeypatch):
     assert rows(suffix.removed_digests(docs), *COLUMNS) == plain_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)])
 
 
-def test_earlier_match_is_the_longest_previous_factor():
+def test_longest_previous_factors(monkeypatch):
+    """Against all pairs of suffixes, for texts with a first and a later copy."""
     rng = random.Random(2)
-    texts = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(50, 90))).encode() for _ in range(30)})
-    texts += [t[3:] + b"a" * 50 for t in texts[:5]]
-    docs = np.arange(len(texts))
-    first, want = {}, []
-    for d, t in enumerate(texts):
-        for i in range(len(t) - 49):
-            first.setdefault(t[i : i + 50], d)
-            want.append(first[t[i : i + 50]] < d)
-    assert suffix.earlier_match(texts, docs).tolist() == want
+    for letters in ("ab", "abcdefgh", "a"):
+        texts = list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randrange(50, 80))).encode() for _ in range(8)))
+        texts = list(dict.fromkeys([*texts, *(t[3:] + b"c" * 9 for t in texts)]))
+        first = np.array([rng.randrange(-3, 6) for _ in texts])
+        last = first + np.array([rng.choice([0, 0, 2]) for _ in texts])
+        suffixes = [(k, t[i : i + 50]) for k, t in enumerate(texts) for i in range(len(t) - 49)]
+
+        def factor(s, doc):
+            best = 0
+            for k, t in suffixes:
+                if first[k] < doc or last[k] < doc:
+                    best = max(best, next((i for i in range(50) if s[i] != t[i]), 50))
+            return best
+
+        want = [[factor(s, first[k]) for k, s in suffixes], [factor(s, last[k]) if last[k] > first[k] else 0 for k, s in suffixes]]
+        assert [x.tolist() for x in suffix.longest_previous(texts, first, last)] == want
+
+
+def test_nearest_smaller_in_long_chains():
+    """An ascending chain with a small value at its end takes the stack, other values the pointers."""
+    rng = random.Random(8)
+    for value in (list(range(300)) + [0, 150], [rng.randrange(9) for _ in range(400)], [3] * 50):
+        shared = [0] + [rng.randrange(51) for _ in value[1:]]
+        want = []
+        for i, v in enumerate(value):
+            j = next((j for j in range(i - 1, -1, -1) if value[j] < v), None)
+            want.append(0 if j is None else min(shared[j + 1 : i + 1]))
+        assert suffix.smaller_before(np.array(value), np.array(shared)).tolist() == want
 
 
 def test_suffix_dedup_of_odd_tables(odd_docs, no_docs):

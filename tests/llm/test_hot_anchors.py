@@ -42,3 +42,21 @@ def test_hot_anchors_are_split(spark, monkeypatch):
     assert heaviest(docs) <= 2_000 + groups * suffix.LONGEST_RUN
     monkeypatch.setattr(suffix, "HOT", 1 << 40)
     assert heaviest(docs) > 10_000
+
+
+def test_one_sentence_in_thousands_of_contexts(spark, monkeypatch):
+    """The largest bucket stays near the median, and rows of one id, or without one, are dealt over many groups."""
+    for name, value in (("GROUP", 40_000), ("ANCHORS", 60_000), ("BUCKET", 100_000), ("HOT", 4_000)):
+        monkeypatch.setattr(suffix, name, value)
+    rng = random.Random(6)
+    own = lambda n: " ".join(hashlib.md5(rng.randbytes(8)).hexdigest()[: rng.randrange(3, 12)] for _ in range(n))
+    sentence = f"please note that {PHRASE} apply to every order of goods and services."
+    assert len(sentence) >= 75
+    docs = spark.createDataFrame([(None if k % 3 == 0 else k, f"{own(9)} {sentence} {own(9)}") for k in range(4000)], "doc_id long, text string").repartition(4)
+    dealt, _, sent, _ = suffix.messages(docs)
+    sizes = sorted(r.s for r in sent.selectExpr("b", "length(text) s").groupBy("b").sum("s").toDF("b", "s").collect())
+    assert len(sizes) > 5 and sizes[-1] < 3 * sizes[len(sizes) // 2]
+    groups = sorted(r["count"] for r in dealt.groupBy("g").count().collect())
+    assert groups[-1] < 3 * groups[len(groups) // 2]
+    got = suffix.removed_digests(docs).selectExpr("count_if(n_removed >= 75) n", "min(if(n_removed > 0, doc_id, null)) first").first()
+    assert got.n == 3999 and got["first"] == 2  # all but that of document 1
