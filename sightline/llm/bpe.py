@@ -10,7 +10,9 @@ merging leaves alone; exactly one token fits (tested against the tokenizers libr
 
 Defined cases: null text is encoded as empty (no ids, empty decoded text); the strings of special tokens in a
 text give their ids, as in the library; very long texts and words need memory in proportion to themselves;
-repeated rows give repeated rows; further input columns are ignored.
+repeated rows give repeated rows; further input columns are ignored. Vocabularies whose normaliser, pre-tokeniser,
+decoder or model settings are other than those built here raise ValueError. Null ids decode to null, and ids that the
+vocabulary lacks are left out.
 """
 
 from __future__ import annotations
@@ -38,6 +40,15 @@ MARKS = frozenset(".,;:!?")
 #: White space to str.split() that the tokenizer's pattern doesn't take as such.
 ODD = regex.compile(r"[\x1c-\x1f]")
 GAP = regex.compile(r"\p{White_Space}+")
+#: The settings of a vocabulary file that this module does the work of.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None, "decoder": None}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 
 
 def default_vocabulary() -> str:
@@ -65,6 +76,9 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if any(spec.get(k) != v for k, v in SETTINGS.items()) or any(model.get(k, v) != v for k, v in MODEL.items()) or any(
+                t.get(k, v) != v for t in spec["added_tokens"] for k, v in ADDED.items()):
+            raise ValueError(f"{path}: settings other than those that this module applies")
         self.end = model.get("end_of_word_suffix") or ""
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -78,7 +92,8 @@ class Vocabulary:
             self.merges.setdefault((left, right), rank)
             self.parts.setdefault(self.ids[a + b], (left, right, rank))
         self.symbols = byte_symbols()
-        #: Longest token by its last three symbols.
+        #: Symbols of the longest token, and the longest by its last three symbols.
+        self.longest = max(map(len, self.ids))
         self.reach: dict[str, int] = {}
         for s in self.ids:
             close = len(self.end) if self.end and s.endswith(self.end) else 0
@@ -155,8 +170,9 @@ class Trie:
         node[symbols[raw[-1]] + self.v.end] = word
 
     def states(self) -> Iterator[tuple[str, list[int]]]:
-        """(word, ids), depth first. ``last`` and ``size`` hold the states on the path to the current node."""
-        own, apart, reach, fits, end = self.v.own, self.v.apart, self.v.reach, self.v.fits, len(self.v.end)
+        """(word, ids), depth first. ``last`` and ``size`` hold the states on the path to the current node; of the path
+        itself each level keeps only as many symbols as a token may have."""
+        own, apart, reach, fits, end, longest = self.v.own, self.v.apart, self.v.reach, self.v.fits, len(self.v.end), self.v.longest
         last, size = [-1], [0]
         work = [("", iter(self.root.items()))]
         while work:
@@ -190,7 +206,7 @@ class Trie:
             else:
                 last.append(token)
                 size.append(n)
-                work.append((here, iter(below.items())))
+                work.append((here[-longest:], iter(below.items())))
 
 
 class Encoder:
@@ -198,8 +214,8 @@ class Encoder:
 
     #: Chunks and words kept; beyond it the memory starts anew. Only speed depends on it.
     KEEP = 400_000
-    #: Words in a trie at once, which bounds its memory.
-    TRIE = 50_000
+    #: Words in a trie at once, which bounds its memory, and characters of a chunk or word that outlives its batch.
+    TRIE, SHORT = 50_000, 256
 
     def __init__(self, path: str, decode: bool = True):
         self.v = Vocabulary(path)
@@ -210,6 +226,8 @@ class Encoder:
         self.seen: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
         self.words: dict[str, bytes] = {}
+        #: Whether the batch has chunks that are too long to be kept.
+        self.forgets = False
 
     def word_ids(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Each word's tokens; sorted, so that words with a shared prefix meet in one trie."""
@@ -239,7 +257,7 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         names, known, keep, text, split = self.v.names, self.words, self.seen, self.text, self.split
-        words = [(c, split(c)) for c in chunks]
+        words = [(c, split(c) if c.isascii() or not FAR.search(c) or all(unicodedata.category(x) != "Cn" for x in c) else self.library_split(c)) for c in chunks]
         new = {w for _, ws in words for w in ws}
         if len(known) + len(new) > self.KEEP:
             known.clear()
@@ -253,20 +271,20 @@ class Encoder:
                 raw = known[ws[0]] + known[ws[1]]
             else:
                 raw = b"".join([known[w] for w in ws])
-            if not c.isascii() and FAR.search(c) and any(unicodedata.category(x) == "Cn" for x in c):
-                raw = array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes()
             keep[c] = raw
             if self.decode:
                 text[c] = " ".join([names[i] for i in memoryview(raw).cast("I")])
 
-    @property
-    def library(self):
-        """Only for characters unassigned in this Python's Unicode tables, which versions class differently."""
+    def library_split(self, chunk: str) -> list[str]:
+        """Words of a chunk with characters that are unassigned in this Python's Unicode tables, which versions class
+        differently: the library says where words end. Their ids come from the trie like all others."""
         if not hasattr(self, "_library"):
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.path)
-        return self._library
+        back = {s: b for b, s in enumerate(self.v.symbols)}
+        found = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))
+        return [bytes([back[x] for x in piece]).decode() for piece, _ in found]
 
     def chunks(self, text: str) -> list[str]:
         if not text.isascii():
@@ -300,11 +318,16 @@ class Encoder:
             new = every
         if new:
             self.learn(new)
+            self.forgets = any(len(c) > self.SHORT for c in new)
         ids, text, special = self.seen.__getitem__, self.text.__getitem__, self.v.names
         for segs in cut:
             raw = b"".join([b"".join(map(ids, s)) if type(s) is list else int(s).to_bytes(4, "little") for s in segs])
             decoded = " ".join([part for s in segs if (part := " ".join(map(text, s)) if type(s) is list else special[s])]) if self.decode else ""
             yield raw, decoded
+        for memory in (self.seen, self.text, self.words):
+            for c in [c for c in memory if len(c) > self.SHORT] if self.forgets else ():
+                del memory[c]
+        self.forgets = False
 
 
 class LibraryEncoder(Encoder):
@@ -349,6 +372,20 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
+def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``doc_id`` and ``decoded``, the text of ``ids``."""
+    path = vocabulary or default_vocabulary()
+    schema = pa.schema([("doc_id", pa.int64()), ("decoded", pa.string())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = encoder(path).v.names
+        for b in batches:
+            got = [None if ids is None else " ".join([names[i] for i in ids if i in names]) for ids in b.column("ids").to_pylist()]
+            yield as_batch({"doc_id": b.column("doc_id"), "decoded": got}, schema)
+
+    return encoded.selectExpr("cast(doc_id as long) doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
+
+
 def encode_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """As ``encode``, with counts and digests in place of ids and decoded text, which never leave the task."""
     path = vocabulary or default_vocabulary()

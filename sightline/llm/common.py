@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local test session) a folder under the warehouse is set instead.
+    Only a local session (a test) may leave that unset and gets a folder under its warehouse; on a cluster it is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(own)
@@ -33,10 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stored``, and the path, for callers that can tell when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -50,26 +63,24 @@ def held_out(mod: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-#: Longest text that a training row may have, so that a sample of texts has a bound in bytes too. Scoring has none.
-LONGEST_SAMPLE = 20_000
-
-
 def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, mod: int, rest: int, per_class: int) -> DataFrame:
-    """Texts of at most ``per_class`` training rows of each label, chosen by hash over all labelled rows, without those
-    of more than ``LONGEST_SAMPLE`` characters.
+    """``doc_id, y, h, text`` of at most ``per_class`` training rows of each label, chosen by a hash ``h`` of the id over
+    all labelled ids that have a document; stored.
 
-    Held-out documents, null labels and ids without a document never enter; of repeated ids one label stays.
-    The ids taken are at most ``2 * per_class``, so broadcasting them has that bound.
+    Held-out documents and null labels never enter. Of repeated ids one label (the larger) and one text (the smallest)
+    stay, so there is one row for each id. Ids are picked before any text is touched; at most ``2 * per_class`` of them
+    are broadcast.
     """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     y = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
-         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(~held_out(mod, rest)))
+         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(~held_out(mod, rest))
+         .groupBy("doc_id").agg(F.max("y").alias("y")).join(ids, "doc_id", "left_semi"))
     picked = None
     for v in (0, 1):
-        part = (y.where(F.col("y") == v).select("doc_id", "y", F.xxhash64("doc_id").alias("h"))
-                .orderBy("h", "doc_id").limit(per_class).select("doc_id", "y"))
+        part = y.where(F.col("y") == v).select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    picked = picked.groupBy("doc_id").agg(F.max("y").alias("y"))
-    return texts(docs).where(F.length("text") <= LONGEST_SAMPLE).join(F.broadcast(picked), "doc_id")
+    rows = texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "h").agg(F.min("text").alias("text"))
+    return stored(rows, "sample")
 
 
 def frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:

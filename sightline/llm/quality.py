@@ -5,9 +5,9 @@ a few measures of repetition, go through a learned layer to a representation h.
 sigmoid(U h)), gives each passage a weight (softmax over the document), and the score is logistic in the weighted
 sum of the representations. Only document labels train it; the weights of passages are learned from them.
 
-Training rows are a bounded, documented sample (``per_class`` of each label); encoding runs in Spark's tasks, so the
-driver gets at most ``2 * per_class`` short bags of numbers. The sample's passages are capped for training alone
-(evenly spaced over the text); scoring takes every passage of every text, a few thousand at a time.
+Training rows are a bounded, documented sample: ``per_class`` of each label, and ``most_bytes`` of their texts together.
+Encoding runs in Spark's tasks; the driver gets the encoded passages of the sample, about as many bytes as its texts.
+Every passage of a sampled text trains, and every passage of every text is scored, a few thousand at a time.
 
 Defined cases: null and empty texts are one empty passage and get its score; very long texts have many passages and
 bounded memory (the softmax is accumulated); repeated rows are scored each; null labels and labels without a document
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import as_batch, pieces, sample_labelled, texts
@@ -32,8 +32,8 @@ THRESHOLD = 0.7
 PER_CLASS = 1_500
 #: Bytes of a passage; a text's last passage may be shorter.
 PASSAGE = 512
-#: Passages of a training row, at most.
-BAG = 24
+#: Bytes of text of all training rows of a label together, at most.
+MOST_BYTES = 64 << 20
 #: Byte classes: control, space, line end, digit, lower, upper, sentence end, comma, quotes, brackets, dash,
 #: pipe and slash, other signs, lead bytes of UTF-8, its further bytes.
 KINDS = 16
@@ -187,8 +187,9 @@ def train(rows: list[tuple[np.ndarray, int]], width: int = 24, gate: int = 12, e
     return Model(mean.astype(np.float32), scale.astype(np.float32), {k: v.astype(np.float32) for k, v in w.items()})
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int = 4, rest: int = 2) -> Model:
-    """Train on at most ``per_class`` rows of each label outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int = 4, rest: int = 2, most_bytes: int = MOST_BYTES) -> Model:
+    """Train on at most ``per_class`` rows of each label outside the held-out fold, in the order of a hash of their ids as
+    long as their texts are no more than ``most_bytes``; a text that alone is longer isn't among them."""
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("bag", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,14 +198,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int
                 raws = [t.encode() for t in p.column("text").to_pylist()]
                 found: dict[int, bytes] = {}
                 for x, owner in bags(raws):
-                    for d in np.unique(owner):
-                        mine = x[owner == d]
-                        if len(mine) > BAG:
-                            mine = mine[np.linspace(0, len(mine) - 1, BAG).astype(int)]
-                        found[int(d)] = mine.astype(np.float16).tobytes()
+                    x = x.astype(np.float16)
+                    edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                    for d, mine in zip(owner[edges].tolist(), np.split(x, edges[1:]), strict=True):
+                        found[d] = mine.tobytes()
                 yield as_batch({"doc_id": p.column("doc_id"), "y": p.column("y"), "bag": [found[i] for i in range(len(raws))]}, schema)
 
-    rows = sample_labelled(docs, labels, "quality", mod, rest, per_class).mapInArrow(run, "doc_id long, y long, bag binary")
+    sample = sample_labelled(docs, labels, "quality", mod, rest, per_class)
+    size = F.octet_length("text")
+    upto = Window.partitionBy("y").orderBy("h", "doc_id")  # over ids and sizes of the sample alone
+    fits = (sample.select("doc_id", "y", "h", size.alias("size")).where(size <= most_bytes)
+            .withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= most_bytes).select("doc_id"))
+    rows = sample.join(F.broadcast(fits), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y long, bag binary")
     got = sorted((r["doc_id"], r["bag"], r["y"]) for r in rows.collect())
     return train([(np.frombuffer(b, np.float16).reshape(-1, SIZE).astype(np.float32), int(y)) for _, b, y in got])
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import as_batch, pieces, shared_dir, stored, texts
+from sightline.llm.common import as_batch, forget, pieces, shared_dir, stored, stored_at, texts
 
 RADIUS, WORDS, SEED = 3, 3, 42
 #: Fingerprints that meet in one variant before the group is split by further variants.
@@ -168,7 +168,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     error where they still change after ``rounds``."""
     shared_dir(edges.sparkSession)
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    e = stored(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    e, path = stored_at(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -178,7 +178,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = down.groupBy("v").agg(F.min("u").alias("m"))
         small = down.join(least, "v").select(F.col("m").alias("x"), "u", "v")
         small = small.select(F.col("x").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u <> v").distinct()
-        e = stored(small, "edges")
+        old = path
+        e, path = stored_at(small, "edges")
+        forget(e.sparkSession, old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

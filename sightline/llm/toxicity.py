@@ -8,6 +8,8 @@ The lexicon is learned from a bounded, documented number of labelled rows (``per
 word beginnings that many more toxic than other texts hold, weighted by their log odds. Phrases of two words that
 hold a lexicon word but occur in texts not marked toxic become exceptions: a match inside one doesn't count.
 The score is logistic in the matched weight and in that weight for each hundred words (length normalisation).
+Texts stay in Spark's tasks, whatever their length: they are folded there, entries and phrases are counted by
+aggregation, and the driver gets entries that many toxic texts hold, exceptions, and two numbers for each row.
 
 Defined cases: null and empty texts have no match and the lowest score; very long texts are matched whole; repeated
 rows are scored each; labels that are null, or whose document is missing, teach nothing; without labels of both
@@ -28,10 +30,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import as_batch, pieces, sample_labelled, texts
+from sightline.llm.common import as_batch, pieces, sample_labelled, stored, texts
 
 THRESHOLD = 0.7
 #: Labelled rows of each kind that the lexicon is learned from, at most.
@@ -96,9 +99,16 @@ class Lexicon:
                 spared.append((start, end))
             elif w > at.get(start, 0.0):
                 at[start] = w
-        if spared:
-            at = {s: w for s, w in at.items() if not any(a <= s < b for a, b in spared)}
-        return sum(at.values()), max(0, folded.count(" ") - 1)
+        if spared:  # both in the order of their starts, so that each is looked at once
+            spared.sort()
+            reach, j = -1, 0
+            for s in sorted(at):
+                while j < len(spared) and spared[j][0] <= s:
+                    reach = max(reach, spared[j][1])
+                    j += 1
+                if s < reach:
+                    del at[s]
+        return sum(w for _, w in sorted(at.items())), max(0, folded.count(" ") - 1)
 
     def score(self, weight: float, words: int) -> float:
         if not self.total and not self.density:
@@ -116,70 +126,53 @@ def entries_of(folded: str) -> set[str]:
     return out
 
 
-def learn(rows: Iterable[tuple[str, int]], least: int = 5, ratio: float = 2.5, size: int = 2_000) -> Lexicon:
-    """Lexicon from (text, label) pairs. Entries must be in ``least`` toxic texts (fewer where few texts are given)
-    and have log odds over ``ratio``."""
-    folded, known = [], set()
-    for t, y in rows:
-        f = fold(t or "")
-        w = f.split()
-        marks = {h for h in map(hash, zip(w, w[1:], w[2:], w[3:], w[4:], strict=False)) if not h % 4}
-        if len(marks) < 4 or len(marks & known) < 0.3 * len(marks):  # copies would lend weight to chance words
-            folded.append((f, int(y)))
-        known |= marks
-    n1 = sum(y for _, y in folded)
-    n0 = len(folded) - n1
-    if not n0 or not n1:
-        return Lexicon()
-    toxic, clean = Counter(), Counter()
-    for t, y in folded:
-        (toxic if y else clean).update(entries_of(t))
-    least = max(2, min(least, n1 // 20))
-    # careful odds: what is certain of the toxic texts' share against what is possible of the others'
-    sure = {e: c - 2 * math.sqrt(c) for e, c in toxic.items() if c >= least}
-    odds = {e: math.log(c / n1) - math.log((clean[e] + 1) / n0) for e, c in sure.items() if c > 0}
+def marks_of(folded: str) -> set[int]:
+    """Hashes of a quarter of the text's shingles of five words, to know copies by."""
+    w = folded.split()
+    found = {xxhash.xxh64_intdigest(" ".join(s)) for s in zip(w, w[1:], w[2:], w[3:], w[4:], strict=False)}
+    return {(h >> 2) - (1 << 61) for h in found if not h % 4}
+
+
+def phrases_of(folded: str, automaton: ahocorasick.Automaton) -> Iterator[str]:
+    """Each match with the word before it and with the word after it."""
+    for end, (entry, _) in automaton.iter(folded):
+        start = end - len(entry) + 1
+        before = folded.rfind(" ", 0, start)
+        stop = folded.find(" ", start + 1)
+        after = folded.find(" ", stop + 1)
+        yield from {folded[a : z + 1] for a, z in ((before, stop), (start, after)) if a >= 0 and z > 0}
+
+
+def chosen(candidates: dict[str, tuple[list[int], int]], n1: int, n0: int, least: int) -> dict[str, float]:
+    """Entries with their log odds out of candidates (toxic rows that hold each, number of other rows), greedily: what
+    covers toxic rows that earlier entries don't; chance entries cover few anew."""
+    odds = {e: math.log(len(held) / n1) - math.log((clean + 1) / n0) for e, (held, clean) in candidates.items()}
     best: dict[str, float] = {}
-    # greedily, what covers most toxic texts that earlier entries don't; chance entries cover few anew
-    candidates = sorted((e for e, w in odds.items() if w >= ratio), key=lambda e: (10 * clean[e] * n1 / n0 - toxic[e], -len(e), e))[:20 * size]
-    holds: dict[str, list[int]] = {e: [] for e in candidates}
-    for k, (t, y) in enumerate(folded):
-        if y:
-            for e in entries_of(t):
-                if e in holds:
-                    holds[e].append(k)
-    covered: Counter = Counter()
-    for e in candidates:
-        if any(e.startswith(b) for b in best if not b.endswith(" ")):
+    beginnings: set[str] = set()
+    longer: dict[str, set[int]] = {}  # rows of chosen entries, by their own beginnings
+    covered: set[int] = set()
+    many = max(least, n1 // 60)
+    for e in sorted(candidates, key=lambda e: (10 * candidates[e][1] * n1 / n0 - len(candidates[e][0]), -len(e), e)):
+        held = candidates[e][0]
+        if any(e[:n] in beginnings for n in range(5, len(e) + 1)):
             continue
-        longer = {k for b in best if b.startswith(e) for k in holds[b]}
-        if longer and sum(k not in longer for k in holds[e]) < max(least, n1 // 60):
+        if e in longer and sum(k not in longer[e] for k in held) < many:
             continue
-        if sum(covered[k] < 1 for k in holds[e]) >= least or toxic[e] >= max(least, n1 // 60):
+        if len(held) >= many or sum(k not in covered for k in held) >= least:
             best[e] = min(odds[e], 8.0)
-            covered.update(holds[e])
-            if len(best) >= size:
-                break
-    lex = Lexicon(weights=best)
-    auto = lex.automaton()
-    spared: Counter = Counter()
-    meant: Counter = Counter()
-    if auto is not None:
-        for t, y in folded:
-            for end, (entry, _) in auto.iter(t):
-                start = end - len(entry) + 1
-                before = t.rfind(" ", 0, start)
-                stop = t.find(" ", start + 1)
-                after = t.find(" ", stop + 1)
-                for phrase in ({t[before : stop + 1]} if before >= 0 else set()) | ({t[start : after + 1]} if after > 0 else set()):
-                    (meant if y else spared)[phrase] += 1
-    lex.exceptions = frozenset(p for p, c in spared.items() if c >= max(2, 2 * meant[p]))
-    auto = lex.automaton()
-    x = np.array([(math.log1p(w), math.log1p(100 * w / max(n, 1))) for w, n in (lex.matched(auto, t) for t, _ in folded)])
-    y = np.array([y for _, y in folded], dtype=float)
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    c = np.zeros(3)
-    a = np.c_[np.ones(len(x)), x]
-    for _ in range(30):  # Newton steps of a ridge logistic regression with both labels of equal weight
+            covered.update(held)
+            if not e.endswith(" "):
+                beginnings.add(e)
+            for n in range(5, len(e)):
+                longer.setdefault(e[:n], set()).update(held)
+    return best
+
+
+def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Newton steps of a ridge logistic regression with both labels of equal weight."""
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    c, a = np.zeros(3), np.c_[np.ones(len(x)), x]
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
         g = a.T @ (weight * (p - y)) + 1e-4 * c
         h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-4 * np.eye(3)
@@ -187,17 +180,82 @@ def learn(rows: Iterable[tuple[str, int]], least: int = 5, ratio: float = 2.5, s
         c -= step
         if np.abs(step).max() < 1e-9:
             break
-    lex.bias, lex.total, lex.density = (float(v) for v in c)
+    return tuple(float(v) for v in c)
+
+
+FEATURES = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("folded", pa.string()), ("entries", pa.list_(pa.string())), ("marks", pa.list_(pa.int64()))])
+
+
+def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folded texts with their entries and marks."""
+    for b in batches:
+        for p in pieces(b, 1 << 20):
+            folded = [fold(t) for t in p.column("text").to_pylist()]
+            yield as_batch({"doc_id": p.column("doc_id"), "y": p.column("y"), "folded": folded, "entries": [sorted(entries_of(f)) for f in folded],
+                            "marks": [sorted(marks_of(f)) for f in folded]}, FEATURES)
+
+
+def fresh(rows: DataFrame) -> DataFrame:
+    """Rows without those of whose marks rows of smaller ids hold 0.3 or more: copies would lend weight to chance words."""
+    mark = rows.select("doc_id", F.explode("marks").alias("mark"))
+    first = mark.groupBy("mark").agg(F.min("doc_id").alias("first"))
+    copies = (mark.join(first, "mark").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("first") < F.col("doc_id")).alias("again"))
+              .where((F.col("n") >= 4) & (F.col("again") >= 0.3 * F.col("n"))))
+    return rows.join(copies, "doc_id", "left_anti")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int = 3, rest: int = 1, least: int = 5, ratio: float = 2.5) -> Lexicon:
+    """Learn from at most ``per_class`` rows of each label outside the held-out fold. Entries must be in ``least`` toxic
+    texts (fewer where few texts are given) and have log odds over ``ratio``."""
+    sample = sample_labelled(docs, labels, "toxic", mod, rest, per_class)
+    rows = sample.select("doc_id", F.col("y").cast("long").alias("y"), "text").mapInArrow(
+        featured, "doc_id long, y long, folded string, entries array<string>, marks array<long>")
+    rows = stored(fresh(stored(rows, "features")).drop("marks"), "fresh")
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    n0 = n - n1
+    if not n0 or not n1:
+        return Lexicon()
+    least = max(2, min(least, n1 // 20))
+    entry = rows.select("y", "doc_id", F.explode("entries").alias("entry")).groupBy("entry")
+    toxic, clean = F.col("toxic"), F.col("clean")
+    counted = entry.agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"), F.collect_list(F.when(F.col("y") == 1, F.col("doc_id"))).alias("held"))
+    # careful odds: what is certain of the toxic texts' share, two standard deviations off, must be something
+    likely = counted.where((toxic >= least) & (toxic > 2 * F.sqrt(toxic)) & (F.log(toxic / n1) - F.log((clean + 1) / n0) >= ratio))
+    lex = Lexicon(weights=chosen({r["entry"]: (sorted(r["held"]), r["clean"]) for r in likely.collect()}, n1, n0, least))
+    if lex.weights:
+        lex.exceptions = exceptions(rows, lex)
+
+    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = lex.automaton()
+        for b in batches:
+            got = [lex.matched(auto, t) for t in b.column("folded").to_pylist()]
+            yield as_batch({"doc_id": b.column("doc_id"), "y": b.column("y"), "w": [w for w, _ in got], "n": [k for _, k in got]}, MEASURED)
+
+    got = sorted(rows.select("doc_id", "y", "folded").mapInArrow(measured, "doc_id long, y long, w double, n long").collect())
+    x = np.array([(math.log1p(r["w"]), math.log1p(100 * r["w"] / max(r["n"], 1))) for r in got])
+    lex.bias, lex.total, lex.density = fitted(x, np.array([r["y"] for r in got], dtype=float))
     return lex
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int = 3, rest: int = 1) -> Lexicon:
-    """Learn from at most ``per_class`` rows of each label outside the held-out fold.
+MEASURED = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("w", pa.float64()), ("n", pa.int64())])
+PHRASES = pa.schema([("phrase", pa.string()), ("y", pa.int64()), ("n", pa.int64())])
+
 
-    The sample has a fixed bound in rows and in characters, so the driver may hold it.
-    """
-    rows = sample_labelled(docs, labels, "toxic", mod, rest, per_class)
-    return learn((r["text"], r["y"]) for r in sorted(rows.select("doc_id", "text", "y").collect()))
+def exceptions(rows: DataFrame, lex: Lexicon) -> frozenset[str]:
+    """Phrases around matches that rows not marked toxic hold twice and at least twice as often as others."""
+
+    def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = lex.automaton()
+        for b in batches:
+            found: Counter = Counter()
+            for t, y in zip(b.column("folded").to_pylist(), b.column("y").to_pylist(), strict=True):
+                found.update((p, y) for p in phrases_of(t, auto))
+            if found:
+                yield as_batch({"phrase": [p for p, _ in found], "y": [y for _, y in found], "n": list(found.values())}, PHRASES)
+
+    each = rows.select("y", "folded").mapInArrow(around, "phrase string, y long, n long").groupBy("phrase")
+    spared, meant = (F.sum(F.when(F.col("y") == v, F.col("n")).otherwise(0)) for v in (0, 1))
+    return frozenset(r["phrase"] for r in each.agg(spared.alias("spared"), meant.alias("meant")).where("spared >= 2 and spared >= 2 * meant").collect())
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -37,6 +38,27 @@ def test_trie_encodes_as_the_library(library):
     assert [x for k in range(0, len(texts), 40) for x in small.batch(texts[k : k + 40])] == list(e.batch(texts))
 
 
+def test_long_words_need_linear_memory(library):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdethino") for _ in range(200_000)), "a" * 120_000, "é" * 60_000]
+    e = bpe.Encoder(bpe.default_vocabulary())
+    tracemalloc.start()
+    got = [np.frombuffer(i, "<u4").tolist() for i, _ in e.batch(words)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 900 * sum(map(len, words))
+    assert not any(len(c) > e.SHORT for m in (e.seen, e.text, e.words) for c in m)
+    assert got == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_unassigned_characters_and_other_vocabularies(library):
+    texts = ["ab\u0378cd it's\U0001fbfa!x", "\u2fe0\u2fe0", "x\u0530y 1\U000e0fff2"]
+    e = bpe.Encoder(bpe.default_vocabulary())
+    assert [np.frombuffer(i, "<u4").tolist() for i, _ in e.batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError, match="settings"):
+        bpe.Encoder(bpe.default_vocabulary().replace("word_bpe_49k", "byte_bpe_50k"))
+
+
 def test_encoding_of_odd_tables(odd_docs, no_docs, library):
     got = bpe.encode_digests(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -46,8 +68,11 @@ def test_encoding_of_odd_tables(odd_docs, no_docs, library):
         assert by_id[r.doc_id].n_tokens == len(ids)
         assert by_id[r.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert bpe.encode_digests(no_docs).count() == 0
-    full = bpe.encode(odd_docs.where("doc_id = 1")).first()
-    assert full.decoded == library.decode(list(full.ids), skip_special_tokens=False)
+    full = bpe.encode(odd_docs.where("doc_id = 1"))
+    one = full.first()
+    assert one.decoded == library.decode(list(one.ids), skip_special_tokens=False) == bpe.decode(full).first().decoded
+    odd = odd_docs.sparkSession.createDataFrame([(1, None), (2, []), (3, [49407, 77777777, 320])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in bpe.decode(odd).orderBy("doc_id").collect()] == [None, "", "<|endoftext|> a</w>"]
 
 
 def check_packing(df, docs, library, width):
@@ -245,9 +270,17 @@ def test_suffix_dedup_of_odd_tables(odd_docs, no_docs):
     assert suffix.without_repeats(no_docs).count() == 0 and suffix.removed_digests(no_docs).count() == 0
 
 
+def plain_payload(text):
+    """UTF-8 and zero bytes up to a positive multiple of 64, by counting up."""
+    raw = bytearray((text or "").encode())
+    while not raw or len(raw) % 64:
+        raw.append(0)
+    return bytes(raw)
+
+
 def test_media_round_trip():
     rng = random.Random(1)
-    for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 9000):
+    for n in (0, 1, 63, 64, 65, 1023, 1024, 1025, 9000, media.STEP * media.FRAME + 65):
         for raw in (rng.randbytes(n), b"\xff" * n, b"\xff\xd0\x00" * (n // 3), b"text " * (n // 5)):
             payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
             avi = media.write_avi(payload)
@@ -255,10 +288,137 @@ def test_media_round_trip():
             assert back == payload and len(pictures) == len(facts["frames"]) == -(-len(payload) // media.FRAME)
             spans, _ = media.shots(pictures)
             assert spans[0][0] == 0 and spans[-1][1] == len(pictures)
+            size, sha, crc, n_avi, sha_avi, feature, clips = media.read_digests(avi)
+            assert (size, sha, crc) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+            assert (n_avi, sha_avi) == (len(avi), hashlib.sha256(avi).hexdigest())
+            assert [(c["first_frame"], c["end_frame"]) for c in clips] == spans and all(c["start_s"] == c["first_frame"] / 25 for c in clips)
+            assert feature.startswith(f"frames={len(pictures)};shots={len(spans)};") and f"mean={pictures.mean():.3f}" in feature
     with pytest.raises(ValueError):
         media.load(media.write_avi(b"x" * 64)[:200])
 
 
+def plain_cuts(d):
+    cuts, begun = [0], 0
+    for k in range(len(d)):
+        past = d[begun:k]
+        if d[k] > (max(0.05, np.mean(past) + 3 * np.std(past)) if len(past) >= 2 else 0.35):
+            cuts.append(k + 1)
+            begun = k + 1
+    return cuts
+
+
+def test_cuts_are_those_of_the_whole_shot():
+    rng = random.Random(3)
+    for _ in range(30):
+        d = [rng.choice([0.01, 0.02, 0.3, 0.9]) * rng.random() for _ in range(200)]
+        assert media.cuts_of(d) == plain_cuts(d)
+
+
+def test_media_memory_is_a_small_multiple():
+    payload = random.Random(2).randbytes(6 << 20)
+    tracemalloc.start()
+    avi = media.write_avi(payload)
+    wrote = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    media.read_digests(avi)
+    read = tracemalloc.get_traced_memory()[1] - len(avi)
+    tracemalloc.stop()
+    assert wrote < 5 * len(payload) and read < 3 * len(payload) + (8 << 20)
+
+
+def by_java(spark, jpeg):
+    """Samples of the first band by the JVM's own decoder."""
+    jvm = spark._jvm
+    raster = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(jpeg)).getRaster()
+    w, h = raster.getWidth(), raster.getHeight()
+    return np.array([[raster.getSample(x, y, 0) for x in range(w)] for y in range(h)])
+
+
+def test_own_frames_by_other_decoders(spark):
+    raw = random.Random(5).randbytes(media.FRAME)
+    frame = next(media.encode_frames(raw))
+    grey = media.samples(media.own_codes([frame]))[0].reshape(4, 4, 8, 8).transpose(0, 2, 1, 3).reshape(32, 32)
+    assert np.abs(by_java(spark, frame) - grey.astype(int)).max() <= 1
+    assert np.abs(media.picture(frame)[0].astype(int) - grey).max() <= 1
+
+
+@pytest.mark.parametrize(("width", "height", "kind"), [(37, 21, "colour"), (16, 16, "colour"), (40, 33, "grey")])
+def test_any_baseline_frame(spark, width, height, kind):
+    """Frames that the JVM writes (with its tables, and with half resolution of colours), decoded as the JVM does."""
+    jvm = spark._jvm
+    kinds = jvm.java.awt.image.BufferedImage
+    image = kinds(width, height, kinds.TYPE_BYTE_GRAY if kind == "grey" else kinds.TYPE_INT_RGB)
+    for y in range(height):
+        for x in range(width):
+            v = (x * 7 + y * 11) % 256
+            image.setRGB(x, y, v << 16 | v << 8 | v if kind == "grey" else v << 16 | (255 - v) << 8 | (x * 5) % 256)
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    jpeg = bytes(out.toByteArray())
+    got = media.picture(jpeg)
+    assert got[0].shape == (height, width) and len(got) == (1 if kind == "grey" else 3)
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(jpeg))
+    rgb = np.array([[[back.getRGB(x, y) >> s & 255 for s in (16, 8, 0)] for x in range(width)] for y in range(height)])
+    if kind == "grey":
+        assert np.abs(got[0].astype(int) - by_java(spark, jpeg)).max() <= 1
+    else:
+        assert np.abs(got[0] - rgb @ [0.299, 0.587, 0.114]).max() <= 3
+
+
+def test_usual_tables_and_restarts(spark):
+    """A frame without Huffman tables takes the standard's, which are those that the JVM writes."""
+    jvm = spark._jvm
+    kinds = jvm.java.awt.image.BufferedImage
+    image = kinds(24, 24, kinds.TYPE_INT_RGB)
+    for k in range(24 * 24):
+        image.setRGB(k % 24, k // 24, k * 7919 % (1 << 24))
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    jpeg, bare, at = bytes(out.toByteArray()), b"\xff\xd8", 2
+    while jpeg[at + 1] != 0xDA:
+        n = int.from_bytes(jpeg[at + 2 : at + 4], "big") + 2
+        bare += b"" if jpeg[at + 1] == 0xC4 else jpeg[at : at + n]
+        at += n
+    bare += jpeg[at:]
+    assert len(bare) < len(jpeg) - 300 and all((a == b).all() for a, b in zip(media.picture(jpeg), media.picture(bare), strict=True))
+    avi = media.write_avi(b"x" * 5000)
+    facts = media.read_avi(avi)
+    other = avi[:8] + avi[8:].replace(avi[facts["frames"][0][0] : facts["frames"][0][0] + 20], b"\xff\xfe" * 10)
+    with pytest.raises(ValueError):
+        list(media.decoded(other, media.read_avi(other)))
+    for bad in (b"", b"\xff\xd8\xff\xd9", jpeg[: len(jpeg) // 2], jpeg.replace(b"\xff\xc0", b"\xff\xc2", 1)):
+        with pytest.raises(ValueError):
+            media.picture(bad)
+
+
+def test_files_of_other_writers(spark):
+    """Two streams, an index that counts from the file's beginning or none, an empty frame, and frames of another codec."""
+    jvm = spark._jvm
+    kinds = jvm.java.awt.image.BufferedImage
+    frames = []
+    for grey in (30, 30, 31, 220, 221):
+        image = kinds(20, 12, kinds.TYPE_INT_RGB)
+        for k in range(240):
+            image.setRGB(k % 20, k // 20, grey * 0x10101)
+        out = jvm.java.io.ByteArrayOutputStream()
+        jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+        frames.append(bytes(out.toByteArray()))
+    frames.insert(2, b"")
+    c = media.chunk
+    strl = lambda kind: c(b"LIST", b"strl" + c(b"strh", kind + b"MJPG" + bytes(12) + (2).to_bytes(4, "little") + (20).to_bytes(4, "little") + bytes(28)))
+    head = b"AVI " + c(b"LIST", b"hdrl" + c(b"avih", bytes(56)) + strl(b"auds") + strl(b"vids"))
+    for indexed in (True, False):
+        body, index = b"movi", b""
+        for f in frames:
+            for name, raw in ((b"01dc", f), (b"00wb", b"sound")):
+                index += name + (16).to_bytes(4, "little") + (8 + len(head) + 8 + len(body)).to_bytes(4, "little") + len(raw).to_bytes(4, "little")
+                body += c(name, raw)
+        data = head + c(b"LIST", body) + (c(b"idx1", index) if indexed else b"")
+        avi = b"RIFF" + len(data).to_bytes(4, "little") + data
+        got = media.clips(spark.createDataFrame([(1, avi), (2, None)], "doc_id long, avi binary")).orderBy("clip").collect()
+        assert [(r.doc_id, r.first_frame, r.end_frame, round(r.end_s, 6)) for r in got] == [(1, 0, 4, 0.4), (1, 4, 6, 0.6)]
+
+
 def test_media_samples_are_the_inverse_transform():
     codes = np.arange(64, dtype=np.uint8).reshape(1, 1, 64)
     c = np.zeros((8, 8))
@@ -286,9 +446,10 @@ def test_media_of_odd_tables(odd_docs, no_docs):
     assert len(got) == odd_docs.count()
     by = {r.doc_id: r for r in got}
     for r in odd_docs.collect():
-        n, payload = media.padded(r.text or "")
+        payload = plain_payload(r.text)
         m = by[r.doc_id]
-        assert (m.n_bytes, m.payload_bytes, m.payload_sha256, m.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (m.n_bytes, m.payload_bytes, m.payload_sha256, m.tail_crc32) == (len((r.text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert m.clips[0].start_s == 0 and [c.end_frame for c in m.clips][:-1] == [c.first_frame for c in m.clips][1:]
     assert by[1].media_sha256 == by[2].media_sha256 and by[3].payload_bytes == 64
     clips = media.clips(media.media(odd_docs.where("doc_id in (6, 9)")))
     assert {r.doc_id for r in clips.collect()} == {6, 9} and clips.where("end_s <= start_s").count() == 0
