@@ -33,7 +33,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = F.lit("</s>[INST] ok [/INST]").alias("text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard)
-    return chat.read_back(chat.format_turns(turns.unionByName(extra))).drop("valid")
+    return chat.read_back(chat.formatted(turns.unionByName(extra)))
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +99,16 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
        sha256(unhex(CASE WHEN x.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
 FROM d LEFT JOIN x USING (doc_id)""",
     "op4_chat": f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT *, coalesce(lag(role) OVER w, '(start)') AS before, lead(role) OVER w IS NULL AS is_last FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length({_escaped('text')}) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
-                ELSE 26 + length({_escaped('role')}) END) AS BIGINT) AS formatted_chars
+                ELSE 26 + length({_escaped('role')}) END) AS BIGINT) AS formatted_chars,
+       bool_and((before || '>' || role) IN ('(start)>system', '(start)>user', 'system>user', 'user>assistant', 'assistant>user')
+                AND (NOT is_last OR role IN ('user', 'assistant'))) AS valid
 FROM c GROUP BY conv_id""",
     "op7_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -63,7 +63,8 @@ def test_chat_digests(spark):
     rows = [(1, 1, "user", "hi </s> \\ there"), (1, 2, "assistant", "<s>yes</s>[INST]"), (1, 0, "system", None), (2, 0, "assistant", "wrong start"), (2, 1, "tool", "x[INST]"), (3, 0, None, None), (None, 5, "user", "u"),
             (4, 0, "user", "same"), (4, 0, "user", "same"), (5, None, "user", "first"), (5, 0, "assistant", "é" * 70_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, segment string")
-    got = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    got = {r.conv_id: r for r in chat.read_back(chat.formatted(df)).collect()}
+    assert {r.conv_id: r for r in chat.read_back(chat.formatted(df, piece=7)).collect()} == got  # cuts within marks and escapes
     for conv in (1, 2, 3, 4, 5, None):
         mine = sorted([(r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == conv])
         loss = "".join(x for _, role, x in mine if role == "assistant")
@@ -72,7 +73,38 @@ def test_chat_digests(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in mine).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert {c: got[c].valid for c in got} == {1: True, 2: False, 3: False, 4: False, 5: True, None: True}
-    assert chat.read_back(chat.format_turns(df.where("false"))).count() == 0
+    assert chat.read_back(chat.formatted(df.where("false"))).count() == 0
+    for p in chat.formatted(df, piece=1000).where("conv_id = 5 and piece > 0").orderBy("piece").collect():
+        assert p.start == 1000 * p.piece and all(p.start <= s.start <= s.end <= p.start + len(p.text) for s in p.loss)
+
+
+def test_reading_needs_the_escapes(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.formatted(df)).first().n_turns == 2
+
+    class Raw(chat.Template):
+        def escape(self, text, breaker):
+            return text
+
+    with pytest.raises(Exception, match="without its beginning|another mark breaks"):
+        chat.read_back(chat.formatted(df, Raw())).collect()
+    r = chat.Reader(chat.Template())
+    for bad in ("stray[INST]x[/INST]", "[INST]x", "x", "[/INST]", "[INST]<s>[/INST]", "<<ROLE>>tool[INST]"):
+        with pytest.raises(ValueError):
+            r = chat.Reader(chat.Template())
+            r.feed(bad, [])
+            r.row(1, True)
+
+
+def test_other_templates(spark):
+    t = chat.Template(marks={"user": ("<|u|>", "<|e|>"), "assistant": ("<|a|>", "<|e|>")}, other=("<|o|>", "<|n|>", "<|e|>"))
+    rows = [(1, 0, "user", "a <|u|> b\\"), (1, 1, "assistant", "<|e|>" * 3), (1, 2, "odd <|n|>", "t")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.formatted(df, t, piece=5), t).first()
+    assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, _, a, b in rows).encode()).hexdigest() and r.loss_chars == 15
+    for marks in ({"user": ("", "x"), "a": ("y", "z")}, {"user": ("<u>", "</u>"), "a": ("<u>", "</a>")}, {"user": ("ab\\", "c")}, {"user": ("ab", "bc")}):
+        with pytest.raises(ValueError):
+            chat.Template(marks=marks)
 
 
 def test_chat_query_holds_the_hard_conversation(spark, sf):
