@@ -12,7 +12,8 @@ work splits evenly whatever the data: no cross join of rows, no side is broadcas
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a
 null id; vectors of different dimension are never compared; ties go to the smaller id; repeated ids are separate
-candidates, but never neighbours of their own id; an empty table gives no rows; further columns are ignored.
+candidates, but never neighbours of their own id; an id that several query rows have is one query, answered by the k
+best pairs with any of its vectors (equal vectors once); an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import as_batch
 
-#: Rows of a block, about. A task holds one block of each side; a row is copied once for each block of the other side,
-#: so large blocks mean little shuffle.
-QUERY_BLOCK = CANDIDATE_BLOCK = 16_384
-#: Queries of a tile, which bounds its memory.
-TILE = 128
+#: Bytes of a block, about, as doubles. A task holds one block of each side; a row is copied once for each block of the
+#: other side, so large blocks mean little shuffle.
+BLOCK = 8 << 20
+#: Queries times candidates of a tile, which bounds its memory.
+TILE = 1 << 21
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 RANKED = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -98,17 +99,19 @@ def offer(heap: list, item: tuple, k: int) -> None:
         heapq.heapreplace(heap, item)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score`` of the k candidates of largest cosine for each query row."""
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, query_block: int | None = None, candidate_block: int | None = None) -> DataFrame:
+    """``query_id``, ``rank``, ``vec_id``, ``score`` of the k candidates of largest cosine for each query id. Blocks hold
+    so many rows, by default what BLOCK bytes of the largest dimension are."""
     every = usable(vectors)
     queries = every.where(is_query).select("vec_id", "v", "dim").dropDuplicates(["vec_id", "v"])
-    n, nq = every.count(), queries.count()
+    n, nq, dim = every.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max("dim"), F.lit(1))).first()
+    rows_of = max(1, BLOCK // (8 * dim))
     # blocks by counts of all rows; sizes vary little around their mean, as ids are hashed
-    nb, qb = max(1, -(-n // candidate_block)), max(1, -(-nq // query_block))
+    nb, qb = max(1, -(-n // (candidate_block or rows_of))), max(1, -(-nq // (query_block or rows_of)))
 
     def side(df: DataFrame, kind: int, own: int, other: int, names: tuple[str, str]) -> DataFrame:
-        # salted with the vector, so that repeated ids don't meet in one block
-        return (df.withColumn(names[0], F.pmod(F.xxhash64("vec_id", "v"), F.lit(own)).cast("int"))
+        # salted with the vector and, for candidates, the row, so that neither repeated ids nor repeated rows meet in one block
+        return (df.withColumn(names[0], F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id() if kind else F.lit(0)), F.lit(own)).cast("int"))
                 .withColumn(names[1], F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
                 .select("dim", "qb", "cb", F.lit(kind).alias("kind"), "vec_id", "v"))
 
@@ -122,8 +125,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, query_block: int =
         rows: list[tuple[int, int, float]] = []
         if q.any():
             qi, qv = ids[q], v[q]
-            for at in range(0, len(qi), TILE):
-                rows += tile(qi[at : at + TILE], qv[at : at + TILE], ids[c], v[c], k) if c.any() else []
+            step = max(1, TILE // max(1, int(c.sum())))
+            for at in range(0, len(qi), step):
+                rows += tile(qi[at : at + step], qv[at : at + step], ids[c], v[c], k) if c.any() else []
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.table(dict(zip(FOUND.names, cols, strict=True)), schema=FOUND)
 

@@ -9,7 +9,7 @@ Archives are kept as rows of a table in the shared folder (name, bytes), which a
 hold; each row's bytes are a complete .warc.zst file.
 
 Defined cases: null html is an empty payload, and empty payloads are equal payloads like others; of repeated rows
-with the largest page_id each is a response; a null page_id is smaller than any other, and where all ids of a payload
+with the largest page_id each is a response, and equal rows, being one capture, have equal record ids; a null page_id is smaller than any other, and where all ids of a payload
 are null each row is a response; an empty table gives no archive and no rows; further columns are ignored. A payload
 larger than the bound makes an archive of its own.
 """
@@ -33,27 +33,38 @@ from sightline.llm.common import as_batch, pieces, stored
 ROLL, SAMPLES, SAMPLE_BYTES, DICTIONARY = 8 << 20, 128, 4096, 16 << 10
 MAGIC = 0x184D2A5D
 VERSION = b"WARC/1.1\r\n"
+COLUMNS = ("page_id", "url", "html", "sha1", "keep", "keep_url")
 
 
 def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """One uncompressed WARC record. Null ids and addresses leave their header out."""
+DATE = "1970-01-01T00:00:00Z"
+
+
+def record_id(page_id: int | None, digest: str, kind: str) -> str:
+    name = hashlib.sha1(f"{page_id} {digest} {kind}".encode()).hexdigest()
+    return f"<urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:32]}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One uncompressed WARC record. Null ids and addresses leave their header out. A revisit names the response's
+    record, address and date."""
     n = len(payload)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
     if kind == "response":
         block += payload
-    name = hashlib.sha1(f"{page_id} {digest} {kind}".encode()).hexdigest()
-    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name[:8]}-{name[8:12]}-{name[12:16]}-{name[16:20]}-{name[20:32]}>",
-             "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, kind)}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {' '.join(url.split())}")
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                  f"WARC-Refers-To: {record_id(refers_to, digest, 'response')}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
+        if refers_url is not None:
+            lines.append(f"WARC-Refers-To-Target-URI: {' '.join(refers_url.split())}")
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return VERSION + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -79,15 +90,15 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 8 + size
     while at < len(data):
         one = reader.decompressobj()
-        text = one.decompress(data[at:] if len(data) - at < 1 << 16 else data[at : at + (1 << 16)])
+        parts = [one.decompress(data[at : at + (1 << 16)])]
         fed = min(len(data), at + (1 << 16))
         while not one.eof:
             if fed == len(data):
                 raise ValueError("a record without an end")
-            text += one.decompress(data[fed : fed + (1 << 20)])
+            parts.append(one.decompress(data[fed : fed + (1 << 20)]))
             fed = min(len(data), fed + (1 << 20))
         at = fed - len(one.unused_data)
-        head, _, rest = text.partition(b"\r\n\r\n")
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         if not head.startswith(VERSION):
             raise ValueError("not a WARC record")
         fields = dict(line.split(": ", 1) for line in head[len(VERSION) :].decode().split("\r\n"))
@@ -102,7 +113,7 @@ def planned(pages: DataFrame) -> DataFrame:
     """
     each = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     each = each.withColumn("sha1", F.sha1("html"))
-    keep = each.groupBy("sha1").agg(F.max("page_id").alias("keep"))
+    keep = each.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("best")).select("sha1", F.col("best.page_id").alias("keep"), F.col("best.url").alias("keep_url"))
     return each.join(keep, "sha1")
 
 
@@ -118,9 +129,9 @@ def write(pages: DataFrame, roll: int = ROLL) -> DataFrame:
 
         for b in batches:
             for p in pieces(b, column="html"):
-                for page, url, html, sha1, keep in zip(*(p.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "keep")), strict=True):
+                for page, url, html, sha1, keep, keep_url in zip(*(p.column(c).to_pylist() for c in COLUMNS), strict=True):
                     own = page == keep
-                    held.append(record(page, url, html.encode(), base32(sha1), "response" if own else "revisit", None if own else keep))
+                    held.append(record(page, url, html.encode(), base32(sha1), "response" if own else "revisit", None if own else keep, keep_url))
                     size += len(held[-1])
                     if size >= roll:
                         yield out()
@@ -128,7 +139,7 @@ def write(pages: DataFrame, roll: int = ROLL) -> DataFrame:
         if held:
             yield out()
 
-    return stored(planned(pages).select("page_id", "url", "html", "sha1", "keep").mapInArrow(run, "archive string, content binary"), "warc")
+    return stored(planned(pages).select(*COLUMNS).mapInArrow(run, "archive string, content binary"), "warc")
 
 
 def read(archives: DataFrame) -> DataFrame:

@@ -132,6 +132,13 @@ def test_archives(spark):
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
     assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
     assert warc.read(warc.write(df.where("false"))).count() == 0
+    heads = [f for a in archives.collect() for f, _ in warc.records(bytes(a.content))]
+    ids = {f["WARC-Record-ID"]: f for f in heads}
+    for f in heads:
+        if f["WARC-Type"] == "revisit":
+            to = ids[f["WARC-Refers-To"]]
+            assert to["WARC-Type"] == "response" and to["X-Page-ID"] == f["X-Refers-To-Page-ID"] and to["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+            assert f.get("WARC-Refers-To-Target-URI") == to.get("WARC-Target-URI") and f["WARC-Refers-To-Date"] == to["WARC-Date"]
     data = bytes(archives.first().content)
     with pytest.raises(ValueError):
         list(warc.records(data[8:]))
