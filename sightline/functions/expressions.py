@@ -27,6 +27,12 @@ def half_even(x: Column | str, digits: int = 0) -> Column:
     return F.bround(col(x), digits)
 
 
+def zero_padded(number: Column, digits: int = 2) -> Column:
+    """A number as text with at least so many digits; longer ones stay whole."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(digits)), F.lit("0"))
+
+
 def snap(x: Column | str, step: float) -> Column:
     return F.rint(col(x) / step) * step
 

@@ -6,17 +6,23 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sightline.sources.shared import shared_folder
 
-def _kept(df: DataFrame) -> DataFrame:
+
+def _kept(df: DataFrame) -> tuple[DataFrame, str]:
     """Cut the plan with files in the shared checkpoint folder of the session, so that a lost executor loses nothing."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    path = f"{root}/components-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -26,14 +32,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     shorten by half and hubs stay single rows. Stops when nothing changes; an error if that isn't so after ``rounds``.
     """
     e = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    e, before = _kept(e), None
+    (e, path), before = _kept(e), None
     for _ in range(rounds):
         ends = e.unionByName(e.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = ends.groupBy("lo").agg(F.least(F.min("hi"), F.first("lo")).alias("m"))
         up = ends.join(least, "lo").where("hi > lo").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
         first = up.groupBy("hi").agg(F.min("lo").alias("m"))
         e = up.join(first, "hi").select("m", F.explode(F.array("lo", "hi")).alias("hi")).where("m <> hi").select(F.col("m").alias("lo"), "hi").distinct()
-        e = _kept(e)
+        old, (e, path) = path, _kept(e)
+        _forget(e.sparkSession, old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -106,20 +113,22 @@ def led_clusters(c: DataFrame, scan: str, share: float = 0.5) -> DataFrame:
 def constrained(points: DataFrame, site: str, same_deg: float = 3.0, reach: float = 0.15) -> DataFrame:
     """Clusters under cannot-link rules, one site at a time: ``id, cluster, refused``.
 
-    Two detections of one scan further apart than ``same_deg`` never share a cluster. First those of one scan within it
-    merge, by angle then ids; then points within ``reach``, by distance then ids. A merge that would bring a forbidden
-    pair together is refused and counted. ``points`` (site, id, scan, yaw, pitch, x, y, z).
+    Two detections of one image further apart than ``same_deg`` never share a cluster. First those of one scan nearer than
+    that merge, by angle then ids; then points within ``reach``, by distance then ids. A merge that would bring a forbidden
+    pair together is refused and counted. ``points`` (site, id, scan, image, yaw, pitch, x, y, z); without a direction a
+    detection has no angles, without a place no distances.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        n, scan = len(pdf), pdf["scan"].to_numpy()
+        n, scan, image = len(pdf), pdf["scan"].to_numpy(), pdf["image"].to_numpy()
         y, p = np.radians(pdf["yaw"].to_numpy(float)), np.radians(pdf["pitch"].to_numpy(float))
         v = np.c_[np.sin(y) * np.cos(p), np.cos(y) * np.cos(p), np.sin(p)]
         xyz = pdf[["x", "y", "z"]].to_numpy(float)
         i, j = np.triu_indices(n, 1)
         ang = np.degrees(np.arccos(np.clip((v[i] * v[j]).sum(1), -1, 1)))
-        one = scan[i] == scan[j]
-        apart = {(a, b) for a, b in zip(i[one & (ang > same_deg)].tolist(), j[one & (ang > same_deg)].tolist(), strict=True)}
+        one = (scan[i] == scan[j]) & np.isfinite(ang)
+        far = one & (image[i] == image[j]) & (ang > same_deg)
+        apart = set(zip(i[far].tolist(), j[far].tolist(), strict=True))
         dist = np.sqrt(((xyz[i] - xyz[j]) ** 2).sum(1))
         m1, m2 = one & (ang < same_deg), dist <= reach
         steps = [*sorted(zip(ang[m1], i[m1], j[m1], strict=True)), *sorted(zip(dist[m2], i[m2], j[m2], strict=True))]
@@ -181,13 +190,19 @@ def sampled(d: DataFrame, site: str, prefer: Column, n: int) -> DataFrame:
 
 
 def sampled_stacks(d: DataFrame, site: str, n: int = 8) -> DataFrame:
-    """Rays to look at: stacked devices first, one of each scan, up to n; later ones skip scans already taken."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, rows = set(), []
-        for r in pdf.sort_values(["stack_size", "id"], ascending=[False, True]).itertuples():
-            if r.scan not in seen and len(rows) < n:
-                seen.add(r.scan)
-                rows.append((getattr(r, site), r.id, r.scan, len(rows) + 1))
-        return pd.DataFrame(rows, columns=[site, "id", "scan", "place"])
-
-    return d.groupBy(site).applyInPandas(run, f"{site} long, id long, scan long, place long")
+    """Rays to look at, up to n of each site: devices in order, stacked ones first, each with its first ray whose scan no
+    earlier device has taken.
+
+    ``d`` (site, device, stacked, ord, id, scan), a row for each ray that hits; ``ord`` orders a device's rays. Of a scan
+    no more than its first n devices can matter (each of n earlier ones takes a ray, of this scan or another), so that
+    much of a site is folded in order.
+    """
+    key = F.struct((~F.col("stacked")).alias("later"), F.col("device"))
+    d = d.withColumn("_key", key).withColumn("_n", F.dense_rank().over(Window.partitionBy(site, "scan").orderBy("_key"))).where(F.col("_n") <= n)
+    each = F.array_sort(F.collect_list(F.struct("_key", "ord", "id", "scan")))
+    kind = f"array<struct<device:{dict(d.dtypes)['device']},id:{dict(d.dtypes)['id']},scan:{dict(d.dtypes)['scan']}>>"
+    new = lambda r: F.struct(r["_key"]["device"].alias("device"), r["id"].alias("id"), r["scan"].alias("scan"))
+    taken = lambda out, r: F.exists(out, lambda x: (x["scan"] == r["scan"]) | (x["device"] == r["_key"]["device"]))
+    fold = F.aggregate("rays", F.array().cast(kind), lambda out, r: F.when((F.size(out) < n) & ~taken(out, r), F.concat(out, F.array(new(r)))).otherwise(out))
+    got = d.groupBy(site).agg(each.alias("rays")).select(site, F.posexplode(fold).alias("place", "r"))
+    return got.select(site, "r.device", "r.id", "r.scan", (F.col("place") + 1).alias("place"))

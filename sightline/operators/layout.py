@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.expressions import half_up
+from sightline.operators.spatial import SIDES
+
 
 def _mask(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
     ix, iy = pdf["ix"].to_numpy(), pdf["iy"].to_numpy()
@@ -15,36 +18,64 @@ def _mask(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
     return m, int(ix.min()), int(iy.min())
 
 
-def largest(mask: np.ndarray) -> tuple[int, int, int, int] | None:
-    """(row0, row1, col0, col1), ends exclusive, of the largest all-true rectangle; the first found on ties."""
-    best, area = None, 0
-    h = np.zeros(mask.shape[1] + 1, int)
-    for r, row in enumerate(mask):
-        h[:-1] = np.where(row, h[:-1] + 1, 0)
-        stack: list[int] = []
-        for c in range(len(h)):
-            while stack and h[stack[-1]] >= h[c]:
-                top = h[stack.pop()]
-                left = stack[-1] + 1 if stack else 0
-                if top * (c - left) > area:
-                    area, best = top * (c - left), (r - top + 1, r + 1, left, c)
-            stack.append(c)
-    return best
-
-
-def rectangles(cells: DataFrame, room: str, least: int = 1, most: int | None = None) -> DataFrame:
+class Rectangles:
+    """Largest all-true rectangles of a mask, one after the other. For each row the best one that stands on it is kept, and
+    worked out anew only where a removal changed the heights above the row."""
+
+    def __init__(self, mask: np.ndarray, side: int = 1):
+        self.mask, self.side = mask, side
+        self.heights = np.zeros(mask.shape, int)
+        self.best: list[tuple[int, int, int, int, int]] = [(0, 0, 0, 0, 0)] * len(mask)  # area, then rows and columns
+        self.refresh(0)
+
+    def refresh(self, top: int) -> None:
+        above = self.heights[top - 1] if top else np.zeros(self.mask.shape[1], int)
+        for r in range(top, len(self.mask)):
+            h = np.where(self.mask[r], above + 1, 0)
+            if r > top and (h == self.heights[r]).all() and self.best[r][0]:
+                break
+            self.heights[r] = above = h
+            self.best[r] = self.standing(r, h.tolist())
+
+    def standing(self, r: int, h: list[int]) -> tuple[int, int, int, int, int]:
+        best, stack = (0, 0, 0, 0, 0), []
+        for c, now in enumerate([*h, 0]):
+            left = c
+            while stack and stack[-1][1] >= now:
+                left, top = stack.pop()
+                if top >= self.side and c - left >= self.side and top * (c - left) > best[0]:
+                    best = (top * (c - left), r - top + 1, r + 1, left, c)
+            stack.append((left, now))
+        return best
+
+    def take(self) -> tuple[int, int, int, int] | None:
+        """(row0, row1, col0, col1), ends exclusive, of the largest left, which is removed; the first found on ties."""
+        area, r0, r1, c0, c1 = max(self.best, key=lambda b: b[0], default=(0,))
+        if not area:
+            return None
+        self.mask[r0:r1, c0:c1] = False
+        self.refresh(r0)
+        return r0, r1, c0, c1
+
+
+def largest(mask: np.ndarray, side: int = 1) -> tuple[int, int, int, int] | None:
+    """The largest all-true rectangle with no side under ``side`` cells."""
+    return Rectangles(mask.copy(), side).take()
+
+
+def rectangles(cells: DataFrame, room: str, least: int = 1, side: int = 1) -> DataFrame:
     """Greedy decomposition of each room's mask into rectangles, largest first: (room, n, ix0, ix1, iy0, iy1, area).
 
-    All cells are covered unless ``least`` or ``most`` says otherwise."""
+    It ends where no rectangle of ``least`` cells, with no side under ``side`` cells, is left; by default all cells are
+    covered."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m, x0, y0 = _mask(pdf)
-        rows = []
-        while (most is None or len(rows) < most) and (b := largest(m)) is not None:
+        rows, left = [], Rectangles(m, side)
+        while (b := left.take()) is not None:
             r0, r1, c0, c1 = b
             if (r1 - r0) * (c1 - c0) < least:
                 break
             rows.append((pdf[room].iloc[0], len(rows) + 1, x0 + c0, x0 + c1 - 1, y0 + r0, y0 + r1 - 1, (r1 - r0) * (c1 - c0)))
-            m[r0:r1, c0:c1] = False
         return pd.DataFrame(rows, columns=[room, "n", "ix0", "ix1", "iy0", "iy1", "area"])
 
     return cells.select(room, "ix", "iy").groupBy(room).applyInPandas(run, f"{room} long, n long, ix0 long, ix1 long, iy0 long, iy1 long, area long")
@@ -82,49 +113,198 @@ def trace(mask: np.ndarray) -> list[list[tuple[int, int]]]:
     return rings
 
 
-def contours(cells: DataFrame, room: str) -> DataFrame:
-    """Rings of each room's mask: (room, ring, corners, area); the area of a hole is negative."""
+def straightened(ring: np.ndarray, least: float) -> np.ndarray:
+    """A ring of right-angled corners without sides shorter than ``least``: the shortest goes first, and the two sides it
+    joins, which are parallel, move to the mean of their places, weighted by their lengths. Four corners stay."""
+    p = np.asarray(ring, float)
+    while len(p) > 4:
+        side = np.abs(np.roll(p, -1, 0) - p).sum(1)  # of each corner to the next
+        k = int(np.argmin(side))
+        if side[k] >= least:
+            break
+        n = len(p)
+        before, after = side[k - 1], side[(k + 1) % n]
+        axis = int(np.argmax(np.abs(p[(k + 1) % n] - p[k]))) if side[k] else int(np.argmin(np.abs(p[k] - p[k - 1])))
+        at = (before * p[k, axis] + after * p[(k + 1) % n, axis]) / (before + after) if before + after > 0 else p[k, axis]
+        p[k - 1, axis] = p[(k + 2) % n, axis] = at
+        p = np.delete(p, [k, (k + 1) % n], axis=0)
+    return p
+
+
+def area_of(ring: np.ndarray) -> float:
+    return float((ring[:, 0] * np.roll(ring[:, 1], -1) - np.roll(ring[:, 0], -1) * ring[:, 1]).sum() / 2)
+
+
+def contours(cells: DataFrame, room: str, size: float = 1.0, least_edge: float = 0.0, step: float | None = None, least_area: float = 0.0) -> DataFrame:
+    """Rings of each room's mask in metres, for cells of ``size``: (room, ring, corners, area, points); the area of a hole
+    is negative. Sides under ``least_edge`` are straightened, corners snapped to multiples of ``step``, and rings of less
+    than ``least_area`` left out."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         m, x0, y0 = _mask(pdf)
         rows = []
-        for k, ring in enumerate(trace(m), 1):
-            q = np.array(ring) + (x0, y0)
-            a = (q[:, 0] * np.roll(q[:, 1], -1) - np.roll(q[:, 0], -1) * q[:, 1]).sum() / 2
-            rows.append((pdf[room].iloc[0], k, len(q), float(a), q.astype(float).tolist()))
+        for ring in trace(m):
+            q = straightened((np.array(ring) + (x0, y0)) * size, least_edge)
+            if step:
+                q = straightened(np.round(q / step) * step, 1e-6)
+            a = area_of(q)
+            if abs(a) > 0 and abs(a) >= least_area:
+                rows.append((pdf[room].iloc[0], len(rows) + 1, len(q), a, q.tolist()))
         return pd.DataFrame(rows, columns=[room, "ring", "corners", "area", "points"])
 
     return cells.select(room, "ix", "iy").groupBy(room).applyInPandas(run, f"{room} long, ring long, corners long, area double, points array<array<double>>")
 
 
-def cabinet_rows(devices: DataFrame, occupied: DataFrame, room: str, gap: float = 0.25, cell: float = 0.1) -> DataFrame:
-    """Rows of cabinets of each room: devices grouped along x by gaps, each row's span walked out over occupied cells,
-    height the 75th percentile of occupied tops clipped to 1.0-2.6 m, panel width the median spacing clipped to 0.6-1.2 m.
-
-    ``devices`` (room, id, x, y), ``occupied`` (room, ix, iy, top).
+#: Fixed values of cabinet rows, in metres: gap between rows, room left beside the outer devices, longest walk, gap a walk
+#: may cross, depth where none is measured and largest depth, least height and cut, range of panel widths and width
+#: without neighbours, grid of all results.
+ROW_GAP, BESIDE, WALK, CROSSED, DEPTH, DEEPEST, LOW, CUT = 0.25, 0.3, 12.0, 0.24, 0.8, 2.6, 1.0, 2.6
+NARROW, WIDE, ALONE, SNAP = 0.6, 1.2, 0.8, 0.05
+
+
+def on_grid(v: float) -> float:
+    return round(round(v / SNAP) * SNAP, 3)
+
+
+class Strips:
+    """A room's masks turned so that a side of the room is in front: the first axis runs along the front, the second
+    behind it. Shares of boxes come from sums over corners."""
+
+    def __init__(self, cells: pd.DataFrame, fx: int, fy: int, size: float):
+        ix, iy = cells["ix"].to_numpy(), cells["iy"].to_numpy()
+        # cell k of an axis covers k to k + 1; turned round it is cell -k - 1
+        along = (iy if fx > 0 else -iy - 1) if fx else (-ix - 1 if fy > 0 else ix)
+        behind = (-ix - 1 if fx > 0 else ix) if fx else (-iy - 1 if fy > 0 else iy)
+        self.size, self.a0, self.b0 = size, along.min(), behind.min()
+        self.shape = (along.max() - self.a0 + 1, behind.max() - self.b0 + 1)
+        self.sums, self.tops = {}, np.full(self.shape, np.nan)
+        for name in ("floor", "inside", "like"):
+            m = np.zeros(self.shape)
+            m[along - self.a0, behind - self.b0] = cells[name].to_numpy(float)
+            self.sums[name] = np.pad(m.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        self.tops[along - self.a0, behind - self.b0] = cells["top"].to_numpy(float)
+
+    def window(self, s0, s1, n0, n1) -> tuple[np.ndarray, ...]:
+        """Cells that boxes touch: ``s`` along the front, ``n`` the depth axis (world, growing away from the front)."""
+        low = lambda v, o: np.floor(np.asarray(v, float) / self.size + 1e-6).astype(int) - o
+        high = lambda v, o: np.ceil(np.asarray(v, float) / self.size - 1e-6).astype(int) - o
+        return (np.clip(low(s0, self.a0), 0, self.shape[0]), np.clip(high(s1, self.a0), 0, self.shape[0]),
+                np.clip(low(n0, self.b0), 0, self.shape[1]), np.clip(high(n1, self.b0), 0, self.shape[1]))
+
+    def share(self, name: str, s0, s1, n0, n1) -> np.ndarray:
+        a, b, c, d = np.broadcast_arrays(*self.window(s0, s1, n0, n1))
+        t, area = self.sums[name], np.maximum(b - a, 0) * np.maximum(d - c, 0)
+        return np.where(area > 0, (t[b, d] - t[a, d] - t[b, c] + t[a, c]) / np.maximum(area, 1), 0.0)
+
+
+def walked(m: Strips, start: float, sign: int, back: float) -> float:
+    """How far a row reaches from ``start``: on over strips that look like cabinets and show no floor, across short gaps,
+    until the room ends or a gap is too long. ``back``: where the front is on the depth axis."""
+    k = np.arange(int(WALK / m.size))
+    a, b = (start + k * m.size, start + (k + 1) * m.size) if sign > 0 else (start - (k + 1) * m.size, start - k * m.size)
+    inside = m.share("inside", a, b, back + 0.04, back + 0.36) > 0.5
+    fine = inside & (m.share("floor", a, b, back + 0.04, back + 0.5) <= 0.25) & (m.share("like", a, b, back + 0.04, back + 0.36) >= 0.6)
+    last = np.maximum.accumulate(np.where(fine, k, -1))
+    stop = np.flatnonzero(~fine & (~inside | ((k - last) * m.size > CROSSED)))
+    reached = last[stop[0]] if len(stop) else last[-1] if len(k) else -1
+    return start + sign * (reached + 1) * m.size
+
+
+def measured_depth(m: Strips, lo: float, hi: float, back: float) -> float:
+    """Median of probes every 12 cm, each from 30 cm behind the front to the first floor or the end of the room; a row
+    that nearly reaches the room's end stands against it."""
+    s, n = np.arange(lo + 0.1, hi - 0.1, 0.12)[:, None], 0.3 + m.size * np.arange(max(1, int(np.ceil((DEEPEST - 0.3) / m.size - 1e-9))))[None]
+    depth = DEPTH
+    if len(s):
+        ends = (m.share("inside", s, s + 0.12, back + n, back + n + m.size) < 0.5) | (m.share("floor", s, s + 0.12, back + n, back + n + m.size) >= 0.5)
+        depth = float(np.median(np.where(ends.any(1), n[0][np.argmax(ends, 1)], n[0, -1] + m.size)))
+    if depth >= DEEPEST - 0.05:
+        depth = DEPTH
+    mid, more = (lo + hi) / 2, depth + m.size * np.arange(int(np.ceil(0.25 / m.size - 1e-9)))
+    out = m.share("inside", mid - 0.2, mid + 0.2, back + more, back + more + m.size) < 0.5
+    return max(on_grid(float(more[np.argmax(out)]) if out.any() else depth), 0.4)
+
+
+def panels(along: np.ndarray, lo: float, hi: float) -> list[tuple[float, float]]:
+    """Borders of a row's panels: half-way between devices (stacked ones share a panel), what is left at the ends as end
+    panels, long ones divided, narrow ones merged with their neighbour."""
+    v = np.sort(along)
+    centre = np.array([g.mean() for g in np.split(v, np.flatnonzero(np.diff(v) > 0.3) + 1)])
+    wide = float(np.clip(np.median(np.diff(centre)), NARROW, WIDE)) if len(centre) > 1 else ALONE
+    first, last = centre[0] - wide / 2, centre[-1] + wide / 2
+    borders = [lo, *([first] if first - lo >= 0.3 else []), *((centre[1:] + centre[:-1]) / 2), *([last] if hi - last >= 0.3 else []), hi]
+    fine: list[float] = []
+    for a, b in zip(borders, borders[1:], strict=False):
+        parts = max(round((b - a) / wide), 1) if b - a > 1.4 * wide else 1
+        fine += [a + (b - a) * k / parts for k in range(parts)]
+    fine.append(hi)
+    kept = [fine[0]]
+    for k, border in enumerate(fine[1:], 1):
+        if len(kept) > 1 and (border - fine[k - 1] < 0.35 or kept[-1] - kept[-2] < 0.35):
+            kept[-1] = border
+        else:
+            kept.append(border)
+    return [(on_grid(a), on_grid(b)) for a, b in zip(kept, kept[1:], strict=False)]
+
+
+def cabinet_rows(devices: DataFrame, cells: DataFrame, room: str, size: float) -> DataFrame:
+    """Panels of the cabinet rows of each room: (room, side, row, devices, front, depth, height, panel, s0, s1).
+
+    Devices that face one side and whose fronts are within ROW_GAP make a row. From its outer devices it is walked out
+    over strips that look like cabinets; its depth is measured by probes, its height is the 75th percentile of the tops of
+    its front, and it is divided into panels. ``front`` lies along the side's axis, ``s0`` and ``s1`` along the row
+    (a quarter turn left of the side). ``devices`` (room, id, x, y, side), ``cells`` (room, ix, iy, floor, solid, inside,
+    top); a room without cells has no rows. A room is one group, whose size is that of a room.
     """
-    def run(d: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
-        names = [room, "row", "devices", "x", "y0", "y1", "height", "panel"]
-        if not len(d):
-            return pd.DataFrame(columns=names)
-        d = d.sort_values(["x", "id"])
-        group = np.cumsum(np.append(0, np.diff(d["x"].to_numpy()) > gap))
-        taken = {(int(a), int(b)): t for a, b, t in zip(o["ix"], o["iy"], o["top"], strict=True)}
-        rows = []
-        for g in range(group[-1] + 1):
-            m = d[group == g]
-            x = float(np.median(m["x"]))
-            ix, lo, hi = int(np.floor(x / cell)), int(np.floor(m["y"].min() / cell)), int(np.floor(m["y"].max() / cell))
-            while (ix, lo - 1) in taken:
-                lo -= 1
-            while (ix, hi + 1) in taken:
-                hi += 1
-            tops = [taken[ix, k] for k in range(lo, hi + 1) if (ix, k) in taken]
-            space = np.diff(np.sort(m["y"].to_numpy()))
-            rows.append((d[room].iloc[0], g, len(m), x, lo * cell, (hi + 1) * cell, float(np.clip(np.percentile(tops, 75), 1.0, 2.6)) if tops else 1.0,
-                         float(np.clip(np.median(space), 0.6, 1.2)) if len(space) else 0.6))
-        return pd.DataFrame(rows, columns=names)
-
-    return devices.groupBy(room).cogroup(occupied.groupBy(room)).applyInPandas(run, f"{room} long, row long, devices long, x double, y0 double, y1 double, height double, panel double")
+    names = [room, "side", "row", "devices", "front", "depth", "height", "panel", "s0", "s1"]
+
+    def run(d: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(c):
+            c = c.assign(like=c["solid"] | (c["inside"] & ~c["floor"]))
+            for side, fx, fy in SIDES:
+                mine = d[d["side"] == side]
+                if not len(mine):
+                    continue
+                m = Strips(c, fx, fy, size)
+                u, s = (mine["x"] * fx + mine["y"] * fy).to_numpy(), (mine["y"] * fx - mine["x"] * fy).to_numpy()
+                order = np.argsort(u, kind="stable")
+                for k, at in enumerate(np.split(order, np.flatnonzero(np.diff(u[order]) > ROW_GAP) + 1)):
+                    front = float(np.median(u[at]))
+                    lo, hi = (walked(m, e, sign, -front) for e, sign in ((s[at].min() - BESIDE, -1), (s[at].max() + BESIDE, 1)))
+                    lo, hi = on_grid(lo), on_grid(hi)
+                    a, b, p, q = m.window(lo, hi, -front, -front + 0.3)
+                    tops = m.tops[a:b, p:q]
+                    tops = tops[np.isfinite(tops)]
+                    height = on_grid(float(np.clip(np.percentile(tops, 75) if tops.size else 2.2, LOW, CUT)))
+                    depth = measured_depth(m, lo, hi, -front)
+                    for j, (x, y) in enumerate(panels(s[at], lo, hi)):
+                        out.append((d[room].iloc[0], side, k, len(at), round(front, 2), depth, height, j, x, y))
+        return pd.DataFrame(out, columns=names)
+
+    typed = cells.select(room, "ix", "iy", "floor", "solid", "inside", F.when(F.col("solid"), F.col("top").cast("double")).alias("top"))
+    return devices.groupBy(room).cogroup(typed.groupBy(room)).applyInPandas(
+        run, f"{room} long, side string, row long, devices long, front double, depth double, height double, panel long, s0 double, s1 double")
+
+
+def partitions(tall: DataFrame, room: str, size: float, least: float = 0.8, thickest: float = 0.5, wall: float = 0.15) -> DataFrame:
+    """Straight partitions between rooms: (room, axis, x0, x1, y0, y1). Cells (room, ix, iy) of full height that lie in a
+    run of at least ``least`` metres along an axis; neighbouring runs are one line, which is left out if it is thicker than
+    ``thickest``; it becomes a wall of fixed thickness around its median."""
+    from sightline.operators.cluster import components
+    from sightline.operators.spatial import grid_edges
+
+    out = None
+    for axis, line, along, low, high in (("x", "iy", "ix", "x", "y"), ("y", "ix", "iy", "y", "x")):
+        run = walls(tall, room, int(least / size)).where(F.col("axis") == axis)
+        lines = run.select(room, F.col("line").alias(line), F.explode(F.sequence("start", "end")).alias(along))
+        node = lines.withColumn("node", F.struct(room, "ix", "iy")).join(components(grid_edges(lines.select(room, "ix", "iy"), room, eight=False)), "node", "left")
+        one = node.groupBy(room, F.coalesce("root", "node").alias("root")).agg(F.min(along).alias("a"), F.max(along).alias("b"), F.min(line).alias("p"), F.max(line).alias("q"), F.percentile(line, 0.5).alias("mid"))
+        one = one.where((F.col("q") - F.col("p") + 1) * size <= thickest)
+        centre = (F.col("mid") + 0.5) * size
+        got = one.select(room, F.lit(axis).alias("axis"), (F.col("a") * size).alias(f"{low}0"), ((F.col("b") + 1) * size).alias(f"{low}1"),
+                         (centre - wall / 2).alias(f"{high}0"), (centre + wall / 2).alias(f"{high}1")).select(room, "axis", "x0", "x1", "y0", "y1")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def walls(cells: DataFrame, room: str, least: int) -> DataFrame:
@@ -140,10 +320,19 @@ def walls(cells: DataFrame, room: str, least: int) -> DataFrame:
     return out
 
 
+def as_rectangle(ring: Column) -> Column:
+    """(xa, ya, xb, yb) of a ring of (x, y) points that is a rectangle along the axes, else null: four corners on two x and
+    two y values, and no diagonal side."""
+    xs, ys = F.transform(ring, lambda p: p[0]), F.transform(ring, lambda p: p[1])
+    onward = F.concat(F.slice(ring, 2, 3), F.slice(ring, 1, 1))
+    straight = F.forall(F.zip_with(ring, onward, lambda a, b: (a[0] == b[0]) | (a[1] == b[1])), lambda x: x)
+    two = (F.size(F.array_distinct(xs)) == 2) & (F.size(F.array_distinct(ys)) == 2)
+    box = F.struct(F.array_min(xs).alias("xa"), F.array_min(ys).alias("ya"), F.array_max(xs).alias("xb"), F.array_max(ys).alias("yb"))
+    return F.when((F.size(ring) == 4) & two & straight, box)
+
+
 def is_rectangle(ring: Column) -> Column:
-    """Whether a ring of (x, y) points has four corners on two x and two y values."""
-    xs, ys = F.array_distinct(F.transform(ring, lambda p: p[0])), F.array_distinct(F.transform(ring, lambda p: p[1]))
-    return (F.size(ring) == 4) & (F.size(xs) == 2) & (F.size(ys) == 2)
+    return as_rectangle(ring).isNotNull()
 
 
 #: Vertical field of view, horizontal stretch, yaw step and pitches of each set of virtual views.
@@ -194,37 +383,41 @@ def ring_shift(profiles: DataFrame, key: str) -> DataFrame:
     return profiles.select(key, "a", "b").mapInPandas(lambda it: map(run, it), f"{key} long, shift double, peak double, ratio double")
 
 
-#: Fixed values of a panel's model, in metres: half a seam, plinth height and recess, door thickness.
-SEAM, PLINTH, RECESS, DOOR = 0.008, 0.1, 0.04, 0.012
+#: A panel's model. Of each part, when it is there, its ends along the front (from the left), its ends in
+#: depth (from the front backwards) and in height, as SQL over the panel's width ``w``, depth ``d``, height ``h``, the
+#: inset ``i`` of its doors, and ``m``, the height between two doors (null where one door is enough).
+PARTS = (
+    ("plinth", "true", "0.008", "w - 0.008", "0.04", "d", "0.0", "0.1"),
+    ("body", "true", "0.008", "w - 0.008", "0.0", "d", "0.1", "h"),
+    ("door", "h >= 0.58", "0.008 + i", "w - 0.008 - i", "-0.012", "0.0", "0.18", "coalesce(m - 0.03, h - 0.08)"),
+    ("door", "h >= 0.58 and m is not null", "0.008 + i", "w - 0.008 - i", "-0.012", "0.0", "m + 0.03", "h - 0.08"),
+    ("handle", "h >= 0.58", "w - 0.078 - i", "w - 0.048 - i", "-0.037", "-0.012", "(0.18 + coalesce(m - 0.03, h - 0.08)) / 2 - 0.09", "(0.18 + coalesce(m - 0.03, h - 0.08)) / 2 + 0.09"),
+    ("handle", "h >= 0.58 and m is not null", "w - 0.078 - i", "w - 0.048 - i", "-0.037", "-0.012", "(m + h - 0.05) / 2 - 0.09", "(m + h - 0.05) / 2 + 0.09"),
+)
 
 
 def cabinet_parts(panels: DataFrame) -> DataFrame:
-    """A panel's model as boxes: (panel, part, s0, s1, d0, d1, z0, z1), ``s`` along the front and ``d`` into the depth.
+    """Each panel's model as boxes in the world: (panel, part, xa, xb, ya, yb, z0, z1), rounded to tenths of a millimetre.
 
-    ``panels`` (panel, width, depth, height). Seams are cut off both sides; tall panels have two doors, lower ones one,
-    and very low ones none. All parts are column expressions over the panel's own row.
+    ``panels`` (panel, ring, height, fx, fy): ``ring`` is the footprint, a ring that is no rectangle has no parts; the
+    front looks along (fx, fy), one of the four axes, by default (0, -1).
     """
-    h, w = F.col("height"), F.col("width")
-    left, right = F.lit(SEAM), w - SEAM
-    inset = F.least(F.lit(0.05), (right - left) / 6)
-    top, tall = h - 0.08, h >= 1.9
-    split = F.least(F.lit(1.55), h - 0.6)
-    has_door = top - PLINTH - 0.1 >= 0.3
-
-    def part(name: str, s0: Column, s1: Column, d0: Column | float, d1: Column | float, z0: Column | float, z1: Column | float) -> Column:
-        as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
-        return F.struct(F.lit(name).alias("part"), *(as_col(v).alias(n) for n, v in (("s0", s0), ("s1", s1), ("d0", d0), ("d1", d1), ("z0", z0), ("z1", z1))))
-
-    def leaf(low: Column, high: Column) -> list[Column]:
-        mid = F.least(F.greatest((low + high) / 2, low + 0.1), high - 0.1)
-        grip = right - inset - 0.07
-        return [part("door", left + inset, right - inset, -DOOR, 0.0, low, high), part("handle", grip, grip + 0.03, -DOOR - 0.025, -DOOR, mid - 0.09, mid + 0.09)]
-
-    low = F.lit(PLINTH + 0.08)
-    case = [part("plinth", left, right, RECESS, F.col("depth"), 0.0, PLINTH), part("body", left, right, 0.0, F.col("depth"), PLINTH, h)]
-    two, one = [*leaf(low, split - 0.03), *leaf(split + 0.03, top)], leaf(low, top)
-    parts = F.when(has_door & tall, F.array(*case, *two)).when(has_door, F.array(*case, *one)).otherwise(F.array(*case))
-    return panels.select("panel", F.explode(parts).alias("p")).select("panel", "p.*")
+    fx, fy = F.coalesce("fx", F.lit(0)).cast("double"), F.coalesce("fy", F.when(F.col("fx").isNull(), -1).otherwise(0)).cast("double")
+    p = panels.select("panel", F.col("height").alias("h"), fx.alias("fx"), fy.alias("fy"), as_rectangle(F.col("ring")).alias("r")).where("r is not null")
+    wide, deep = F.col("r.xb") - F.col("r.xa"), F.col("r.yb") - F.col("r.ya")
+    p = p.withColumn("w", F.when(F.col("fx") == 0, wide).otherwise(deep)).withColumn("d", F.when(F.col("fx") == 0, deep).otherwise(wide))
+    p = p.withColumn("i", F.expr("least(0.05, (w - 0.016) / 6)")).withColumn("m", F.expr("case when h >= 1.9 then least(1.55, h - 0.6) end"))
+    names = ("part", "there", "s0", "s1", "n0", "n1", "z0", "z1")
+    each = F.array(*(F.struct(F.lit(row[0]).alias("part"), *(F.expr(e if n == "there" else f"double({e})").alias(n) for n, e in zip(names[1:], row[1:], strict=True))) for row in PARTS))
+    p = p.select("panel", "fx", "fy", "r", F.explode(each).alias("b")).where("b.there").select("panel", "fx", "fy", "r", "b.*")
+    # the front's left end, seen from inside the panel: where the axis along the front begins
+    left = F.when(F.col("fx") + F.col("fy") > 0, F.struct(F.col("r.xb").alias("x"), F.when(F.col("fx") > 0, F.col("r.ya")).otherwise(F.col("r.yb")).alias("y")))
+    left = left.otherwise(F.struct(F.col("r.xa").alias("x"), F.when(F.col("fx") < 0, F.col("r.yb")).otherwise(F.col("r.ya")).alias("y")))
+    p = p.withColumn("o", left)
+    at = lambda s, n, c: F.col(f"o.{c}") + (F.col(s) * (-F.col("fy") if c == "x" else F.col("fx")) - F.col(n) * F.col(f"f{c}"))
+    low, high = ((at("s0", "n0", c), at("s1", "n1", c)) for c in "xy")
+    tidy = lambda v: half_up(v, 4)
+    return p.select("panel", "part", tidy(F.least(*low)).alias("xa"), tidy(F.greatest(*low)).alias("xb"), tidy(F.least(*high)).alias("ya"), tidy(F.greatest(*high)).alias("yb"), "z0", "z1")
 
 
 def badge_anchor(d: DataFrame, floor_z: float = 0.0, step: float = 0.34, out: float = 0.25, lift: float = 0.55) -> DataFrame:

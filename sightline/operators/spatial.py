@@ -52,9 +52,33 @@ def bounds(points: DataFrame, by: str | None = None) -> DataFrame:
     return g.agg(*(f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))), F.count("*").alias("n"))
 
 
+#: Bins of each key in which ranks are looked for.
+BINS = 4096
+
+
 def percentiles(df: DataFrame, by: str, value: str, at: tuple[float, ...]) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return df.groupBy(by).agg(*(F.percentile(value, q).alias(f"p{q:g}".replace(".", "_")) for q in at))
+    """Exact percentiles with linear interpolation, as columns p0_5 and so on.
+
+    Values are counted in bins between each key's ends; only values in the bins that hold a wanted rank are then put in
+    order, each bin by itself and equal values as one row. So no task takes all values of a key.
+    """
+    v = df.select(by, F.col(value).cast("double").alias("v")).where("v is not null")
+    ends = v.groupBy(by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    part = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+    v = v.join(ends, by).withColumn("bin", F.when(F.col("hi") > F.col("lo"), part).otherwise(0)).select(by, "v", "bin")
+    w = Window.partitionBy(by).orderBy("bin")
+    bins = v.groupBy(by, "bin").agg(F.count("*").alias("m")).withColumn("end", F.sum("m").over(w)).withColumn("start", F.col("end") - F.col("m"))
+    place = lambda q: F.lit(q) * (F.col("n") - 1)
+    wanted = [F.struct(F.lit(k).alias("which"), (place(q) - F.floor(place(q))).alias("part"), r(place(q)).alias("r"), F.lit(upper).alias("upper"))
+              for k, q in enumerate(at) for r, upper in ((F.floor, False), (F.ceil, True))]
+    asked = ends.select(by, F.explode(F.array(*wanted)).alias("q")).select(by, "q.*")
+    asked = asked.join(bins, by).where((F.col("r") >= F.col("start")) & (F.col("r") < F.col("end"))).select(by, "bin", "which", "part", "upper", (F.col("r") - F.col("start")).alias("r"))
+    few = v.join(asked.select(by, "bin").distinct(), [by, "bin"], "left_semi").groupBy(by, "bin", "v").agg(F.count("*").alias("m"))
+    few = few.withColumn("end", F.sum("m").over(Window.partitionBy(by, "bin").orderBy("v")))
+    found = asked.join(few, [by, "bin"]).where((F.col("r") < F.col("end")) & (F.col("r") >= F.col("end") - F.col("m")))
+    low, high = (F.max(F.when(F.col("upper") == u, F.col("v"))) for u in (False, True))
+    each = found.groupBy(by, "which").agg((low + (high - low) * F.max("part")).alias("p"))
+    return each.groupBy(by).agg(*(F.max(F.when(F.col("which") == k, F.col("p"))).alias(f"p{q:g}".replace(".", "_")) for k, q in enumerate(at)))
 
 
 def near_semi(left: DataFrame, right: DataFrame, radius: float, site: str | None = None) -> DataFrame:
@@ -95,38 +119,56 @@ def cylinder_hits(rays: DataFrame, points: DataFrame, start: float = 0.4, stop:
     along = sum(((F.col(a) - F.col(f"o{a}")) * F.col(f"d{a}") for a in "xyz"), F.lit(0.0))
     off = sum(((F.col(a) - F.col(f"o{a}") - F.col("t") * F.col(f"d{a}")) ** 2 for a in "xyz"), F.lit(0.0))
     reach = F.greatest(F.lit(least), F.col("t") * tan)
-    return j.withColumn("t", along).where((F.col("t") >= start) & (F.col("t") <= stop)).where(off <= reach * reach).select("ray", "pid", "t", "x", "y", "z")
+    return j.withColumn("t", along).where((F.col("t") >= start) & (F.col("t") <= stop)).where(off < reach * reach).select("ray", "pid", "t", "x", "y", "z")
+
 
+def first_hit(hits: DataFrame, rays: DataFrame, half: float = 0.05, support: int = 8, low: float = 0.4, high: float = 8.0) -> DataFrame:
+    """The first place along each ray with enough points around it: (ray, x, y, z, t, support, spread).
 
-def first_hit(hits: DataFrame, half: float = 0.05, support: int = 8, low: float = 0.4, high: float = 8.0) -> DataFrame:
-    """The first place along each ray with enough points around it: median there, or no hit if that is out of range."""
+    The place is the median of the points there on each axis, ``t`` its distance along the ray (out of range: no hit),
+    ``spread`` their median distance to it. ``hits`` (ray, t, x, y, z), ``rays`` (ray, ox..dz).
+    """
     around = f"count(*) over (partition by ray order by t range between {half}D preceding and {half}D following)"
     dense = hits.withColumn("n", F.expr(around)).where(F.col("n") >= support)
     first = dense.groupBy("ray").agg(F.min("t").alias("t0"))
-    near = hits.join(first, "ray").where(F.col("t").between(F.col("t0") - half, F.col("t0") + half))
-    return near.groupBy("ray").agg(F.percentile("t", 0.5).alias("t"), F.count("*").alias("support")).where(F.col("t").between(low, high))
+    near = hits.join(first, "ray").where(F.col("t").between(F.col("t0") - half, F.col("t0") + half)).select("ray", "x", "y", "z")
+    place = near.groupBy("ray").agg(*(F.percentile(c, 0.5).alias(f"m{c}") for c in "xyz"), F.count("*").alias("support"))
+    t = sum(((F.col(f"m{c}") - F.col(f"o{c}")) * F.col(f"d{c}") for c in "xyz"), F.lit(0.0))
+    place = place.join(rays.select("ray", *(f"{k}{c}" for k in "od" for c in "xyz")), "ray").withColumn("t", t).where(F.col("t").between(low, high))
+    off = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    spread = near.join(place.select("ray", "mx", "my", "mz"), "ray").groupBy("ray").agg(F.percentile(off, 0.5).alias("spread"))
+    return place.join(spread, "ray").select("ray", *(F.col(f"m{c}").alias(c) for c in "xyz"), "t", "support", "spread")
+
 
+def histogram_peaks(df: DataFrame, value: str, width: float, by: str, share: float = 0.25, margin: int = 2) -> DataFrame:
+    """A histogram between the 0.1 and 99.9 percentiles, ``margin`` bins beyond either, with empty bins: (bin, mid, n,
+    mean3, high, peak).
 
-def histogram_peaks(df: DataFrame, value: str, width: float, by: str, share: float = 0.25) -> DataFrame:
-    """Bins of a histogram (empty ones between the ends included), a mean of three (missing neighbours count zero), and
-    whether the bin is a local maximum of at least the given share of the largest; ends never are."""
-    b = df.select(by, cell(value, width).cast("long").alias("bin")).groupBy(by, "bin").agg(F.count("*").alias("n"))
-    ends = b.groupBy(by).agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"))
-    all_ = ends.select(by, F.explode(F.sequence("lo", "hi")).alias("bin"))
-    j = all_.join(b, [by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ``mean3`` is a mean of three bins (missing neighbours count zero). A bin is ``high`` if it isn't at an end and no
+    neighbour's mean is larger; it is a ``peak`` if its mean is also the given share of the largest.
+    """
+    ends = percentiles(df, by, value, (0.001, 0.999)).toDF(by, "lo", "hi").withColumn("lo", F.col("lo") - margin * width)
+    ends = ends.withColumn("bins", (F.ceil((F.col("hi") + margin * width - F.col("lo")) / width) - 1).cast("long"))
+    all_ = ends.select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"), (F.col("lo") + (F.col("bin") + 0.5) * width).alias("mid"))
+    at = F.floor((F.col(value) - F.col("lo")) / width).cast("long")
+    n = df.select(by, value).join(ends, by).select(by, at.alias("bin")).groupBy(by, "bin").agg(F.count("*").alias("n"))
+    j = all_.join(n, [by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     w = Window.partitionBy(by).orderBy("bin")
-    j = j.withColumn("mean3", F.sum("n").over(w.rowsBetween(-1, 1)) / 3)
-    j = j.withColumn("before", F.lag("mean3").over(w)).withColumn("after", F.lead("mean3").over(w)).withColumn("top", F.max("mean3").over(Window.partitionBy(by)))
-    return j.select(by, "bin", "n", "mean3", F.coalesce((F.col("mean3") > F.col("before")) & (F.col("mean3") >= F.col("after")) & (F.col("mean3") >= share * F.col("top")), F.lit(False)).alias("peak"))
+    j = j.withColumn("sum3", F.sum("n").over(w.rowsBetween(-1, 1)))
+    j = j.withColumn("before", F.lag("sum3").over(w)).withColumn("after", F.lead("sum3").over(w)).withColumn("top", F.max("sum3").over(Window.partitionBy(by)))
+    high = F.coalesce((F.col("sum3") >= F.col("before")) & (F.col("sum3") >= F.col("after")), F.lit(False))
+    return j.select(by, "bin", "mid", "n", (F.col("sum3") / 3).alias("mean3"), high.alias("high"), (high & (F.col("sum3") >= share * F.col("top"))).alias("peak"))
 
 
-def floor_level(peaks: DataFrame, points: DataFrame, camera_z: DataFrame, by: str, width: float, low: float = 0.8, high: float = 2.2) -> DataFrame:
-    """The densest peak below the cameras, else the lowest peak; then the median of points within three bins of it."""
-    z = (F.col("bin") + 0.5) * width
-    p = peaks.where("peak").join(camera_z, by).withColumn("z0", z)
-    below = F.col("camera_z") - F.col("z0")
-    pick = p.groupBy(by).agg(F.coalesce(F.max_by("z0", F.when(below.between(low, high), F.struct("mean3", -F.col("z0")))), F.min("z0")).alias("z0"))
-    return points.join(pick, by).where(F.abs(F.col("z") - F.col("z0")) <= 3 * width).groupBy(by).agg(F.percentile("z", 0.5).alias("floor_z"))
+def floor_level(points: DataFrame, cameras: DataFrame, by: str, width: float = 0.01, low: float = 0.8, high: float = 2.2) -> DataFrame:
+    """The densest high bin between ``low`` and ``high`` below the median camera, else the lowest peak; then the median of
+    points within three bins of it. ``points`` (by, z), ``cameras`` (by, camera_z)."""
+    top = cameras.groupBy(by).agg(F.percentile("camera_z", 0.5).alias("camera_z"))
+    p = histogram_peaks(points, "z", width, by).where("high").join(top, by, "left").withColumn("below", F.col("camera_z") - F.col("mid"))
+    seen = F.max_by("mid", F.when(F.col("below").between(low, high), F.struct("mean3", -F.col("bin"))))
+    pick = p.groupBy(by).agg(F.coalesce(seen, F.min(F.when(F.col("peak"), F.col("mid")))).alias("z0"))
+    near = points.join(pick, by).where(F.abs(F.col("z") - F.col("z0")) <= 3 * width)
+    return percentiles(near, by, "z", (0.5,)).toDF(by, "floor_z")
 
 
 def grid_counts(points: DataFrame, size: float, by: str, least: int) -> DataFrame:
@@ -210,17 +252,46 @@ def disc_share(centres: DataFrame, cells: DataFrame, radius: float, size: float,
     return j.groupBy(site, "point").agg((F.sum(F.coalesce("set", F.lit(0))) / len(off)).alias("share")).withColumn("blocked", F.col("share") > 0.5)
 
 
-def facing(boxes: DataFrame, floor: DataFrame, site: str, depth: int = 3) -> DataFrame:
-    """Side (+x, -x, +y, -y) of each box (box, ix0, ix1, iy0, iy1) whose window has most floor; the first on ties."""
-    c = F.col
-    sides = [("+x", 0, c("ix1") + 1, c("ix1") + depth, c("iy0"), c("iy1")), ("-x", 1, c("ix0") - depth, c("ix0") - 1, c("iy0"), c("iy1")),
-             ("+y", 2, c("ix0"), c("ix1"), c("iy1") + 1, c("iy1") + depth), ("-y", 3, c("ix0"), c("ix1"), c("iy0") - depth, c("iy0") - 1)]
-    win = F.array(*(F.struct(F.lit(n).alias("side"), F.lit(k).alias("k"), a.alias("a"), b.alias("b"), d.alias("c"), e.alias("d")) for n, k, a, b, d, e in sides))
-    w = boxes.select(site, "box", F.explode(win).alias("w")).select(site, "box", "w.*")
+#: The sides in order, and the window in front of a device: metres from it, to it, and to both sides.
+SIDES = (("+x", 1, 0), ("-x", -1, 0), ("+y", 0, 1), ("-y", 0, -1))
+WINDOW = (0.15, 1.0, 0.3)
+
+
+def facing(devices: DataFrame, floor: DataFrame, site: str, size: float) -> DataFrame:
+    """Side (+x, -x, +y, -y) of each device (device, x, y) whose window, in metres, holds most floor; the first on ties.
+
+    Windows are spread over the cells of ``size`` that they touch and meet the floor's cells (site, ix, iy) there.
+    """
+    near, far, half = WINDOW
+
+    def ends(c: str, f: int) -> tuple[Column, Column]:
+        a, b = {1: (near, far), -1: (-far, -near), 0: (-half, half)}[f]
+        return F.floor((F.col(c) + a) / size + 1e-6).cast("long"), F.ceil((F.col(c) + b) / size - 1e-6).cast("long") - 1
+
+    win = []
+    for k, (name, fx, fy) in enumerate(SIDES):
+        (a, b), (c, d) = ends("x", fx), ends("y", fy)
+        win.append(F.struct(F.lit(name).alias("side"), F.lit(k).alias("k"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")))
+    w = devices.select(site, "device", F.explode(F.array(*win)).alias("w")).select(site, "device", "w.*")
     w = w.withColumn("ix", F.explode(F.sequence("a", "b"))).withColumn("iy", F.explode(F.sequence("c", "d")))
     j = w.join(floor.select(site, "ix", "iy", F.lit(1).alias("f")), [site, "ix", "iy"], "left")
-    share = j.groupBy(site, "box", "side", "k").agg(F.avg(F.coalesce("f", F.lit(0))).alias("share"))
-    return share.groupBy(site, "box").agg(F.max_by("side", F.struct("share", -c("k"))).alias("side"), F.max("share").alias("share"))
+    share = j.groupBy(site, "device", "side", "k").agg(F.avg(F.coalesce("f", F.lit(0))).alias("share"))
+    return share.groupBy(site, "device").agg(F.max_by("side", F.struct("share", -F.col("k"))).alias("side"), F.max("share").alias("share"))
+
+
+def kept_components(cells: DataFrame, by: str, components, least_area: float, size: float, eight: bool = False, support: DataFrame | None = None,
+                    least_support: int = 6, least_share: float = 0.08) -> DataFrame:
+    """Cells of the components that are large enough (square metres, for cells of ``size``) and, with ``support`` (by, ix,
+    iy: cells that stand on something), hold enough such cells, in number and as a share."""
+    cells = cells.select(by, "ix", "iy")
+    node = cells.withColumn("node", F.struct(by, "ix", "iy")).join(components(grid_edges(cells, by, eight=eight)), "node", "left")
+    node = node.withColumn("root", F.coalesce("root", "node")).drop("node")
+    stands = (support if support is not None else cells.where("false")).select(by, "ix", "iy", F.lit(1).alias("stands"))
+    size_of = node.join(stands, [by, "ix", "iy"], "left").groupBy("root").agg(F.count("*").alias("n"), F.count("stands").alias("low"))
+    fine = F.col("n") * (size * size) >= least_area
+    if support is not None:
+        fine = fine & (F.col("low") >= least_support) & (F.col("low") >= least_share * F.col("n"))
+    return node.join(size_of.where(fine), "root", "left_semi").select(by, "ix", "iy")
 
 
 def gap_groups(df: DataFrame, by: str, value: str, gap: float, tie: str) -> DataFrame:

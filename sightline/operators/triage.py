@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.expressions import half_even
+from sightline.functions.expressions import half_even, zero_padded
 
 AUTO = 0.75
 CUT_PX, ASPECT, MAX_PITCH = 8, (0.8, 2.3), 45.0
@@ -28,7 +28,7 @@ def detection_view(d: DataFrame, default_type: str = "relay-615") -> DataFrame:
     number = F.regexp_extract("scanPointId", r"(\d+)$", 1)
     return d.select("id", F.coalesce("assetTypeId", F.lit(default_type)).alias("assetTypeId"), F.col("ocrText").alias("label"), "confidence",
                     status_of(F.col("confidence")).alias("status"),
-                    F.when(F.col("scanPointId").isNotNull(), F.concat(F.lit("Scan point "), F.lpad(number, 2, "0"))).otherwise("").alias("position"))
+                    F.when(F.col("scanPointId").isNotNull(), F.concat(F.lit("Scan point "), zero_padded(number))).otherwise("").alias("position"))
 
 
 def usable_rays(d: DataFrame, scans: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.expressions import angle_between, closest_approach, direction, lsq_solution, lsq_sums, view
+from sightline.functions.expressions import direction, dot, half_up, lsq_solution, lsq_sums, zero_padded
+from sightline.operators.link import within_tolerance
 
 #: Metres between two rays, nearest and furthest range, least angle of two rays, degrees of support, degrees
 #: within which detections of one scan are one device.
@@ -27,25 +28,45 @@ def rays(detections: DataFrame, scans: DataFrame) -> DataFrame:
     return d.select("*", *(c.alias(n) for n, c in zip(("dx", "dy", "dz"), direction("yaw", "pitch"), strict=True)))
 
 
+def once(j: DataFrame, **values: Column) -> DataFrame:
+    """Further columns that are worked out once a row: a generator's output isn't pushed into later conditions, as the
+    formulas of plain columns are."""
+    return j.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in values.items())))))
+
+
 def pair_candidates(r: DataFrame, gap: float = GAP, near: float = NEAR, far: float = FAR, angle: float = MIN_ANGLE) -> DataFrame:
     """Points where two rays of different scans of a site nearly meet, with the order of both rays.
 
-    The site is the equality key; all else is a condition on the pair.
+    The site is the equality key; all else is a condition on the pair, cheapest first: three dot products decide the
+    angle (by its cosine) and the ranges before any point is worked out.
     """
     a = r.select("site", *(F.col(c).alias(f"a_{c}") for c in ("ord", "scan", "ox", "oy", "oz", "dx", "dy", "dz")))
     b = r.select("site", *(F.col(c).alias(f"b_{c}") for c in ("ord", "scan", "ox", "oy", "oz", "dx", "dy", "dz")))
     j = a.join(b, (a["site"] == b["site"]) & (F.col("a_ord") < F.col("b_ord")) & (F.col("a_scan") != F.col("b_scan"))).drop(b["site"])
     v = lambda p, q: tuple(F.col(f"{p}_{q}{n}") for n in "xyz")
-    m = closest_approach(v("a", "o"), v("a", "d"), v("b", "o"), v("b", "d"))
-    out = j.select("site", F.col("a_ord").alias("i"), F.col("b_ord").alias("j"), *(c.alias(n) for n, c in m.items()))
-    return out.where((F.col("gap") <= gap) & F.col("t").between(near, far) & F.col("s").between(near, far) & (F.col("angle") >= angle))
+    w = tuple(p - q for p, q in zip(v("a", "o"), v("b", "o"), strict=True))
+    j = once(j, c=dot(v("a", "d"), v("b", "d")), d=dot(v("a", "d"), w), e=dot(v("b", "d"), w))
+    m = 1 - F.col("c") * F.col("c")
+    j = j.where((m >= 1e-9) & (F.abs("c") <= math.cos(math.radians(angle)) + 1e-12))
+    j = once(j, t=(F.col("c") * F.col("e") - F.col("d")) / m, s=(F.col("e") - F.col("c") * F.col("d")) / m)
+    j = j.where(F.col("t").between(near, far) & F.col("s").between(near, far))
+    one = {n: F.col(f"a_o{n}") + F.col("t") * F.col(f"a_d{n}") for n in "xyz"}
+    two = {n: F.col(f"b_o{n}") + F.col("s") * F.col(f"b_d{n}") for n in "xyz"}
+    j = j.where(sum(((one[n] - two[n]) ** 2 for n in "xyz"), F.lit(0.0)) <= gap * gap * (1 + 1e-9))
+    out = j.select("site", F.col("a_ord").alias("i"), F.col("b_ord").alias("j"), "t", "s",
+                   F.sqrt(sum(((one[n] - two[n]) * (one[n] - two[n]) for n in "xyz"), F.lit(0.0))).alias("gap"),
+                   F.degrees(F.acos(F.least(F.abs("c"), F.lit(1.0)))).alias("angle"), *(((one[n] + two[n]) / 2).alias(f"m{n}") for n in "xyz"))
+    return out.where((F.col("gap") <= gap) & (F.col("angle") >= angle))
 
 
 def supporters(points: DataFrame, r: DataFrame, angle: float = SUPPORT, near: float = NEAR, far: float = FAR) -> DataFrame:
-    """Rays that see a candidate point (key, site, x, y, z) within the range and angle limits."""
-    yaw, pitch, dist = view(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), F.col("z") - F.col("oz"))
-    off = angle_between(F.col("yaw"), F.col("pitch"), yaw, pitch)
-    return points.join(r, "site").withColumn("range", dist).withColumn("off", off).where(F.col("range").between(near, far) & (F.col("off") <= angle))
+    """Rays that see a candidate point (key, site, x, y, z) within the range and angle limits, with ``range`` and the
+    cosine ``cos`` of the angle they miss it by."""
+    away = {n: F.col(n) - F.col(f"o{n}") for n in "xyz"}
+    j = once(points.join(r, "site"), range2=sum((v * v for v in away.values()), F.lit(0.0)), along=sum((v * F.col(f"d{n}") for n, v in away.items()), F.lit(0.0)))
+    j = j.where(F.col("range2").between(near * near * (1 - 1e-9), far * far * (1 + 1e-9)) & (F.col("along") >= math.cos(math.radians(angle)) * F.sqrt("range2")))
+    j = j.withColumn("range", F.sqrt("range2")).withColumn("cos", F.col("along") / F.col("range"))
+    return j.where(F.col("range").between(near, far)).drop("range2", "along")
 
 
 def scored(support: DataFrame) -> DataFrame:
@@ -132,21 +153,47 @@ def clusters(r: DataFrame, gap: float = GAP, angle: float = MIN_ANGLE) -> DataFr
     return r.groupBy("site").applyInPandas(lambda pdf: consensus(pdf, gap, angle), "site long, id long, cluster long, multi boolean, x double, y double, z double")
 
 
-def eligible(members: DataFrame, within: str) -> DataFrame:
-    """Clusters in the order they become devices: most automatic members, most members, highest confidence.
+def eligible(members: DataFrame, within: str, kind: str) -> DataFrame:
+    """Clusters that become devices, in their order: most automatic members, most members, highest confidence.
 
-    ``members`` (cluster, conf, auto)."""
-    c = members.groupBy(within, "cluster").agg(F.count_if("auto").alias("autos"), F.count("*").alias("n"), F.max("conf").alias("top"))
+    ``members`` (cluster, conf, auto, type): a cluster needs an automatic member, and no member of another type than
+    ``kind``; a null type counts as that.
+    """
+    c = members.groupBy(within, "cluster").agg(F.count_if("auto").alias("autos"), F.count("*").alias("n"), F.max("conf").alias("top"),
+                                               F.bool_and(F.coalesce("type", F.lit(kind)) == kind).alias("pure"))
     w = Window.partitionBy(within).orderBy(F.desc("autos"), F.desc("n"), F.desc("top"), "cluster")
-    return c.withColumn("place", F.row_number().over(w))
+    return c.where("autos > 0 and pure").withColumn("place", F.row_number().over(w)).drop("pure")
 
 
-def register_stats(members: DataFrame, multi: DataFrame) -> DataFrame:
-    """Detections, automatic ones, devices, devices with an automatic member, devices seen from several scans."""
-    per = members.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("auto").alias("autos"), F.countDistinct("scan").alias("scans"))
+def register_stats(members: DataFrame) -> DataFrame:
+    """Detections, automatic ones, clusters, clusters with an automatic member, clusters with a position, and members
+    that await review in clusters with both. ``members`` (cluster, auto, placed: the cluster has a position)."""
+    per = members.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("auto").alias("autos"), F.bool_or("placed").alias("placed"))
     return per.agg(F.sum("n").alias("detections"), F.sum("autos").alias("auto"), F.count("*").alias("devices"),
-                   F.count_if(F.col("autos") > 0).alias("devicesWithAuto"), F.count_if(F.col("scans") > 1).alias("multiView"),
-                   F.sum(F.when(F.col("autos") > 0, F.col("n") - F.col("autos")).otherwise(0)).alias("reviewOnAuto"))
+                   F.count_if(F.col("autos") > 0).alias("devicesWithAuto"), F.count_if("placed").alias("multiView"),
+                   F.sum(F.when(F.col("placed") & (F.col("autos") > 0), F.col("n") - F.col("autos")).otherwise(0)).alias("reviewOnAuto"))
+
+
+def same_devices(old: DataFrame, new: DataFrame, limit: float = 0.3) -> DataFrame:
+    """Pairs of an earlier device and a cluster that may be it (site, a, b, dist): positions within ``limit`` where both
+    have one, else any anchor within the device's tolerance of a member in the same scan (dist null).
+
+    ``old`` (site, a, x, y, z, anchors, tol), ``new`` (site, b, x, y, z, members); anchors and members are arrays of
+    (scan, yaw, pitch). Positions meet by grid cells, directions by angular cells.
+    """
+    p = old.where("x is not null").select("site", "a", *(F.col(c).alias(f"o{c}") for c in "xyz"))
+    q = new.where("x is not null").select("site", "b", "x", "y", "z", *(F.floor(F.col(c) / limit).alias(f"c{c}") for c in "xyz"))
+    near = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    for c in "xyz":
+        p = p.withColumn("_k", F.explode(near)).withColumn(f"c{c}", F.floor(F.col(f"o{c}") / limit) + F.col("_k")).drop("_k")
+    dist = F.sqrt(sum(((F.col(c) - F.col(f"o{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    placed = p.join(q, ["site", "cx", "cy", "cz"]).select("site", "a", "b", dist.alias("dist")).where(F.col("dist") <= limit)
+    anchor = old.select("site", "a", F.col("x").isNotNull().alias("op"), F.col("tol"), F.explode("anchors").alias("v"))
+    member = new.select("site", "b", F.col("x").isNotNull().alias("np"), F.explode("members").alias("m"))
+    views = anchor.select(F.struct("site", "v.scan").alias("scan"), F.struct("a", "op").alias("device"), "tol", F.col("v.yaw").alias("vyaw"), F.col("v.pitch").alias("vpitch"))
+    seen = member.select(F.struct("site", "m.scan").alias("scan"), F.struct("b", "np").alias("id"), "m.yaw", "m.pitch")
+    looked = within_tolerance(seen, views).where("not (device.op and id.np)").select("scan.site", "device.a", "id.b").distinct()
+    return placed.unionByName(looked.withColumn("dist", F.lit(None).cast("double")))
 
 
 def greedy_match(pairs: DataFrame, first_free: bool) -> DataFrame:
@@ -177,22 +224,35 @@ def greedy_match(pairs: DataFrame, first_free: bool) -> DataFrame:
     return typed.repartition("site").sortWithinPartitions("site", *order).mapInArrow(run, "site long, a long, b long, dist double")
 
 
-def stable_ids(new: DataFrame, matched: DataFrame, old: DataFrame, site: str = "site") -> DataFrame:
-    """Ids across reruns: matched devices keep theirs, missing ones stay, new ones count on from the largest.
+def close_pairs(old: DataFrame, new: DataFrame, site: str, limit: float = 0.2) -> DataFrame:
+    """Pairs within ``limit`` of each other (site, a, b, dist), by grid cells. ``old`` (site, a, x, y, z), ``new`` (site, b, x, y, z)."""
+    none = F.array().cast("array<struct<scan:long,yaw:double,pitch:double>>")
+    o = old.select(F.col(site).alias("site"), "a", "x", "y", "z", none.alias("anchors"), F.lit(0.0).alias("tol"))
+    n = new.select(F.col(site).alias("site"), "b", "x", "y", "z", none.alias("members"))
+    return same_devices(o, n, limit).where("dist is not null")
+
 
-    ``new`` (site, b, place), ``matched`` (site, a, b), ``old`` (site, a)."""
+def stable_ids(new: DataFrame, matched: DataFrame, old: DataFrame, site: str = "site", order: tuple[Column | str, ...] = ("place",)) -> DataFrame:
+    """Ids across reruns: matched devices keep theirs, missing ones stay, new ones count on from the largest in ``order``
+    (for devices of a floor: -x, y, z).
+
+    ``new`` (site, b and what the order needs), ``matched`` (site, a, b), ``old`` (site, a)."""
     top = old.groupBy(site).agg(F.max("a").alias("top"))
     j = new.join(matched.select(site, "a", "b"), [site, "b"], "left").join(top, site, "left")
-    fresh = F.row_number().over(Window.partitionBy(site, F.col("a").isNull()).orderBy("place"))
+    fresh = F.row_number().over(Window.partitionBy(site, F.col("a").isNull()).orderBy(*order, "b"))
     named = j.select(site, F.coalesce("a", F.coalesce("top", F.lit(0)) + fresh).alias("device"), F.lit("seen").alias("state"))
     lost = old.join(matched.select(site, "a"), [site, "a"], "left_anti").select(site, F.col("a").alias("device"), F.lit("missing").alias("state"))
     return named.unionByName(lost)
 
 
-def renumbered(devices: DataFrame, existing: DataFrame, most: int, within: str) -> DataFrame:
-    """New devices up to the number that is still free, numbered in physical order (rounded x, then y; unplaced last)."""
-    n = existing.groupBy(within).agg(F.count("*").alias("n"))
+def renumbered(devices: DataFrame, existing: DataFrame, most: int, within: str, prefix: str = "REL-") -> DataFrame:
+    """New devices up to the number that is still free, strongest first, counted on from the largest existing number in
+    physical order: x rounded (halves up), then y; unplaced ones last, in the order of their strength.
+
+    ``devices`` (within, place, x, y), ``existing`` (within, number)."""
+    n = existing.groupBy(within).agg(F.count("*").alias("n"), F.max("number").alias("top"))
     w = Window.partitionBy(within).orderBy("place")
     kept = (devices.join(n, within, "left").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.greatest(F.lit(0), most - F.coalesce("n", F.lit(0)))))
-    order = Window.partitionBy(within).orderBy(F.round("x", 0).asc_nulls_last(), F.col("y").asc_nulls_last(), "place")
-    return kept.withColumn("label", F.concat(F.lit("REL-"), F.lpad(F.row_number().over(order).cast("string"), 2, "0")))
+    order = Window.partitionBy(within).orderBy(half_up("x").asc_nulls_last(), F.when(F.col("x").isNotNull(), F.col("y")).asc_nulls_last(), "place")
+    number = F.coalesce("top", F.lit(0)) + F.row_number().over(order)
+    return kept.withColumn("label", F.concat(F.lit(prefix), zero_padded(number)))

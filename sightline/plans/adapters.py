@@ -1,6 +1,7 @@
 """The test tables in the roles of detections, devices, log entries, points and boxes, for Spark and for SQL.
 
-Both forms derive the same columns by arithmetic on the tables' own columns; all rows take part.
+Both forms derive the same columns by arithmetic on the tables' own columns; all rows take part. Scans, views, sites and
+rooms are blocks of neighbouring keys, so that their number, not their size, grows with the tables.
 """
 
 from __future__ import annotations
@@ -16,26 +17,25 @@ TODAY = "1998-01-01"
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    d = e.select(F.col("event_id").alias("id"), F.col("event_id").alias("ord"), F.when(F.col("user_id") % 10 != 0, F.col("user_id") % 18).alias("scan"),
+    d = e.select(F.col("event_id").alias("id"), F.col("event_id").alias("ord"), F.when(F.col("user_id") % 10 != 0, F.col("user_id") - F.col("user_id") % 3).alias("scan"),
                  (F.col("value") / (F.col("value") + 10)).alias("confidence"), (((F.col("event_id") * 37) % 3600).cast("double") / 10 - 180).alias("yaw"),
                  (F.col("event_id") % 60 - 30).cast("double").alias("pitch"), F.col("event_type").alias("type"), F.col("user_id").alias("device"), "value")
     given = F.when(F.col("id") % 11 == 0, "rejected").when(F.col("id") % 13 == 0, "confirmed")
     return d.withColumn("status", status_of(F.col("confidence"), given))
 
 
-DET = """det AS (SELECT event_id AS id, event_id AS ord, CASE WHEN user_id % 10 <> 0 THEN user_id % 18 END AS scan, value / (value + 10) AS confidence,
+DET = """det AS (SELECT event_id AS id, event_id AS ord, CASE WHEN user_id % 10 <> 0 THEN user_id - user_id % 3 END AS scan, value / (value + 10) AS confidence,
  CAST((event_id * 37) % 3600 AS DOUBLE) / 10 - 180 AS yaw, CAST(event_id % 60 - 30 AS DOUBLE) AS pitch, event_type AS type, user_id AS device, value,
  CASE WHEN event_id % 11 = 0 THEN 'rejected' WHEN event_id % 13 = 0 THEN 'confirmed' WHEN value / (value + 10) >= 0.75 THEN 'auto' ELSE 'review' END AS status FROM events)"""
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan positions, one for each nation key."""
-    n = table(spark, sf_dir, "nation")
-    k = F.col("n_nationkey").cast("long")
-    return n.select(k.alias("scan"), F.lit(0).cast("long").alias("site"), (k % 5).cast("double").alias("sx"), (k % 7).cast("double").alias("sy"), F.lit(1.5).alias("sz"))
+    """Scan positions, one for each supplier, two dozen to a site."""
+    k = F.col("s_suppkey").cast("long")
+    return table(spark, sf_dir, "supplier").select(k.alias("scan"), F.floor(k / 24).alias("site"), (k % 5).cast("double").alias("sx"), (k % 7).cast("double").alias("sy"), F.lit(1.5).alias("sz"))
 
 
-SCANS = """scans AS (SELECT CAST(n_nationkey AS BIGINT) AS scan, CAST(0 AS BIGINT) AS site, CAST(n_nationkey % 5 AS DOUBLE) AS sx, CAST(n_nationkey % 7 AS DOUBLE) AS sy, CAST(1.5 AS DOUBLE) AS sz FROM nation)"""
+SCANS = """scans AS (SELECT CAST(s_suppkey AS BIGINT) AS scan, CAST(s_suppkey // 24 AS BIGINT) AS site, CAST(s_suppkey % 5 AS DOUBLE) AS sx, CAST(s_suppkey % 7 AS DOUBLE) AS sy, CAST(1.5 AS DOUBLE) AS sz FROM supplier)"""
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +88,12 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     x, y = (i * 53 % 600).cast("double"), (i * 31 % 580).cast("double")
     w, h = (20 + i * 7 % 90).cast("double"), (20 + i * 11 % 60).cast("double")
-    return e.select(i.alias("ord"), (i % 500).alias("view"), (F.col("user_id") % 18).alias("scan"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"),
+    return e.select(i.alias("ord"), F.floor(i / 40).alias("view"), F.floor(i / 400).alias("scan"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"),
                     (F.col("value") / (F.col("value") + 10)).alias("conf"), ((i * 37 % 3600).cast("double") / 10 - 180).alias("yaw"), (i * 7 % 120 - 60).cast("double").alias("pitch"),
                     (F.lit(2.0) + i % 9).alias("size"), (F.lit(0.7) + (i % 31).cast("double") / 100).alias("similarity"), (i * 17 % 101).cast("double").alias("ocr"))
 
 
-BOX = """box AS (SELECT event_id AS ord, event_id % 500 AS view, user_id % 18 AS scan, CAST(event_id * 53 % 600 AS DOUBLE) AS x1, CAST(event_id * 31 % 580 AS DOUBLE) AS y1,
+BOX = """box AS (SELECT event_id AS ord, event_id // 40 AS view, event_id // 400 AS scan, CAST(event_id * 53 % 600 AS DOUBLE) AS x1, CAST(event_id * 31 % 580 AS DOUBLE) AS y1,
  CAST(event_id * 53 % 600 AS DOUBLE) + CAST(20 + event_id * 7 % 90 AS DOUBLE) AS x2, CAST(event_id * 31 % 580 AS DOUBLE) + CAST(20 + event_id * 11 % 60 AS DOUBLE) AS y2,
  value / (value + 10) AS conf, CAST(event_id * 37 % 3600 AS DOUBLE) / 10 - 180 AS yaw, CAST(event_id * 7 % 120 - 60 AS DOUBLE) AS pitch, CAST(2.0 AS DOUBLE) + event_id % 9 AS size,
  CAST(0.7 AS DOUBLE) + CAST(event_id % 31 AS DOUBLE) / 100 AS similarity, CAST(event_id * 17 % 101 AS DOUBLE) AS ocr FROM events)"""

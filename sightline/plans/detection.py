@@ -22,7 +22,7 @@ def triage_by_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {A.DET} SELECT id, CASE WHEN id % 7 = 0 THEN 'relay-615' ELSE type END AS "assetTypeId", type AS label, round(confidence, 6) AS confidence,
- CASE WHEN confidence >= 0.75 THEN 'auto' ELSE 'review' END AS status, CASE WHEN scan IS NULL THEN '' ELSE 'Scan point ' || lpad(CAST(scan AS VARCHAR), 2, '0') END AS position FROM det""")
+ CASE WHEN confidence >= 0.75 THEN 'auto' ELSE 'review' END AS status, CASE WHEN scan IS NULL THEN '' ELSE 'Scan point ' || lpad(CAST(scan AS VARCHAR), CAST(greatest(2, length(CAST(scan AS VARCHAR))) AS INTEGER), '0') END AS position FROM det""")
 def detection_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.detections(spark, sf_dir)
     raw = d.select("id", F.when(F.col("id") % 7 != 0, F.col("type")).alias("assetTypeId"), F.col("type").alias("ocrText"), F.round("confidence", 6).alias("r"), "confidence",
@@ -198,19 +198,25 @@ def distinct_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.boxes(spark, sf_dir).groupBy("view").agg(F.countDistinct("scan").alias("scans"), F.countDistinct("scan", F.col("ord") % 7).alias("views"))
 
 
+#: Reference vectors that may be sent to every task, at most; more raise ValueError.
+MOST_REFERENCES = 100
+
+
 @query("""WITH r AS (SELECT vec_id AS ref, embedding AS e FROM embeddings WHERE vec_id < 5) SELECT v.vec_id, round(max(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(r.e AS DOUBLE[]))), 5) AS best
- FROM embeddings v, r GROUP BY v.vec_id""")
+ FROM embeddings v LEFT JOIN r ON true GROUP BY v.vec_id""")
 def cosine_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best similarity to a few reference vectors (five rows, so sending them to every task has that bound)."""
+    """Best similarity to a few reference vectors, whose number is checked before they go to every task; null vectors have none."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
-    refs = [r["v"] for r in e.where("vec_id < 5").orderBy("vec_id").limit(5).collect()]
-    sims = []
+    refs = [r["v"] for r in e.where("vec_id < 5 and v is not null").limit(MOST_REFERENCES + 1).collect()]
+    if len(refs) > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} reference vectors")
+    sims = [F.lit(None).cast("double")] * 2
     for r in refs:
         ref = F.array(*(F.lit(float(x)) for x in r))
         dot = F.aggregate(F.zip_with("v", ref, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
         sims.append(dot / (norm(F.col("v")) * norm(ref)))
-    return e.select("vec_id", F.round(F.greatest(*sims) if len(sims) > 1 else sims[0], 5).alias("best"))
+    return e.select("vec_id", F.round(F.greatest(*sims), 5).alias("best"))
 
 
 @query(f"""WITH {A.BOX}, o AS (SELECT ord, scan, view, conf, row_number() OVER (PARTITION BY view ORDER BY conf DESC, ord) AS rn FROM box) SELECT view, ord, CAST(rn AS INTEGER) AS place FROM o WHERE rn <= 3""")

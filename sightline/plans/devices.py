@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import schema as S
+from sightline.functions.expressions import direction
 from sightline.operators import cluster as C
 from sightline.operators import link as L
 from sightline.operators import live as V
@@ -87,28 +88,54 @@ def create_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.create(e, A.devices(spark, sf_dir), f"{T0} 00:00:00").select("id", F.col("nextDueAt").cast("string").alias("nextDueAt"), "version")
 
 
-STORE = """s AS (SELECT o_orderkey AS id, o_custkey AS instanceId, o_orderstatus AS status, CAST(1 + o_orderkey % 3 AS INTEGER) AS version FROM orders),
-p AS (SELECT o_orderkey + CASE WHEN o_orderkey % 40 = 0 THEN 100000000 ELSE 0 END AS id, 'X' AS status, CAST(1 + o_orderkey % 2 AS INTEGER) AS base FROM orders WHERE o_orderkey % 4 = 0)"""
+#: Stored entries, and patches that set a status, a result, a date, or clear the due date; with the interval of the device.
+STORE = """s AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CASE WHEN o_orderkey % 3 = 0 THEN 'inspection' ELSE 'repair' END AS kind, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status,
+ CAST(o_orderdate AS DATE) AS performedAt, CASE WHEN o_orderstatus = 'F' THEN 'ok' END AS result, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 400 DAY AS DATE) END AS nextDueAt,
+ CAST(1 + o_orderkey % 3 AS INTEGER) AS version FROM orders),
+p AS (SELECT o_orderkey + CASE WHEN o_orderkey % 40 = 0 THEN 100000000 ELSE 0 END AS id, CAST(1 + o_orderkey % 2 AS INTEGER) AS base, 'done' AS status, CASE WHEN o_orderkey % 16 <> 0 THEN 'remarks' END AS result,
+ CASE WHEN o_orderkey % 24 = 0 THEN DATE '2030-01-01' END AS performedAt, o_orderkey % 8 = 0 AS clears FROM orders WHERE o_orderkey % 4 = 0),
+d AS (SELECT c_custkey AS instanceId, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 4 * 6 AS INTEGER) END AS months FROM customer),
+n AS (SELECT id, s.instanceId, s.version, p.base, d.instanceId IS NOT NULL AS known, s.kind, s.status AS old_status, s.result AS old_result, s.performedAt AS old_performed, s.nextDueAt AS old_due,
+ coalesce(p.status, s.status) AS status, coalesce(p.result, s.result) AS result, coalesce(p.performedAt, s.performedAt) AS performedAt, CASE WHEN p.clears THEN NULL ELSE s.nextDueAt END AS due, months
+ FROM s FULL JOIN p USING (id) LEFT JOIN d USING (instanceId)),
+q AS (SELECT *, coalesce(due, CASE WHEN kind = 'inspection' AND status = 'done' THEN CAST(performedAt + to_months(months) AS DATE) END) AS new_due FROM n),
+w AS (SELECT *, CASE WHEN version IS NULL THEN 'not_found' WHEN base IS NULL THEN 'kept' WHEN base <> version THEN 'conflict' WHEN NOT known THEN 'unknown_device'
+ WHEN (status = 'done' AND (result IS NULL OR performedAt IS NULL)) OR performedAt > DATE '2026-10-03' OR new_due <= performedAt THEN 'invalid' ELSE 'applied' END AS outcome FROM q)"""
 
 
 def store_and_patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    s = o.select(k.alias("id"), F.col("o_custkey").alias("instanceId"), F.col("o_orderstatus").alias("status"), (1 + k % 3).cast("int").alias("version"))
-    p = o.where(k % 4 == 0).select((k + F.when(k % 40 == 0, 100000000).otherwise(0)).alias("id"), F.lit("X").alias("status"), (1 + k % 2).cast("int").alias("base"))
+    at, f = F.to_date("o_orderdate"), F.col("o_orderstatus") == "F"
+    text = F.lit("as found")
+    s = o.select(k.alias("id"), F.col("o_custkey").alias("instanceId"), F.when(k % 3 == 0, "inspection").otherwise("repair").alias("kind"), F.when(f, "done").otherwise("open").alias("status"), F.lit("Work").alias("title"),
+                 at.alias("performedAt"), F.lit("Ann").alias("performedBy"), text.alias("findings"), F.when(f, "ok").alias("result"), F.when(k % 2 == 0, F.date_add(at, 400)).alias("nextDueAt"), F.lit("field-app").alias("source"),
+                 (1 + k % 3).cast("int").alias("version"), at.cast("timestamp").alias("createdAt"), at.cast("timestamp").alias("updatedAt"))
+    p = o.where(k % 4 == 0).select((k + F.when(k % 40 == 0, 100000000).otherwise(0)).alias("id"), (1 + k % 2).cast("int").alias("base"), F.lit("done").alias("status"), F.when(k % 16 != 0, "remarks").alias("result"),
+                                   F.when(k % 24 == 0, F.lit("2030-01-01")).cast("date").alias("performedAt"), F.when(k % 8 == 0, F.array(F.lit("nextDueAt"))).alias("clear"))
     return s, p
 
 
-@query(f"""WITH {STORE}, j AS (SELECT id, s.instanceId, s.status, s.version, p.status AS new, p.base, CASE WHEN s.version IS NULL THEN 'not_found' WHEN p.base IS NULL THEN 'kept' WHEN p.base = s.version THEN 'applied'
- ELSE 'conflict' END AS outcome FROM s FULL JOIN p USING (id))
-SELECT id, instanceId, CASE WHEN outcome = 'applied' THEN new ELSE status END AS status, CAST(version + (outcome = 'applied')::INT AS INTEGER) AS version, outcome FROM j""")
+def updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s, p = store_and_patches(spark, sf_dir)
+    return M.versioned_update(s, p, A.devices(spark, sf_dir), "2026-10-03 10:00:00", "2026-10-03"), p
+
+
+@query(f"""WITH {STORE}, a AS (SELECT *, outcome = 'applied' AS hit FROM w) SELECT id, "instanceId", CASE WHEN hit THEN status ELSE old_status END AS status, CASE WHEN hit THEN result ELSE old_result END AS result,
+ CAST(CASE WHEN hit THEN performedAt ELSE old_performed END AS VARCHAR) AS "performedAt", CAST(CASE WHEN hit THEN new_due ELSE old_due END AS VARCHAR) AS "nextDueAt", CAST(version + hit::INT AS INTEGER) AS version,
+ CASE WHEN hit THEN true WHEN version IS NULL THEN NULL ELSE false END AS touched, outcome FROM a""")
 def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.versioned_update(*store_and_patches(spark, sf_dir))
+    out, _ = updated(spark, sf_dir)
+    return out.select("id", "instanceId", "status", "result", F.col("performedAt").cast("string").alias("performedAt"), F.col("nextDueAt").cast("string").alias("nextDueAt"), "version",
+                      (F.col("updatedAt") > F.col("createdAt")).alias("touched"), "outcome")
 
 
-@query(f"""WITH {STORE} SELECT id, s.status AS current_status, s.version AS current_version, p.status AS patch_status, p.base AS patch_base FROM s JOIN p USING (id) WHERE p.base <> s.version""")
+@query(f"""WITH {STORE}, x AS (SELECT w.id, old_status, w.version, p.status AS mine FROM w JOIN p USING (id) WHERE outcome = 'conflict') SELECT id, 'stored' AS keep, old_status AS status, version AS base FROM x UNION ALL SELECT id, 'mine', mine, version FROM x""")
 def version_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, p = store_and_patches(spark, sf_dir)
-    return M.conflicts(M.versioned_update(s, p), p)
+    """The draft of each conflict under both policies."""
+    out, p = updated(spark, sf_dir)
+    c = M.conflicts(out, p)
+    mine = M.resolved(c, "mine").select("id", F.lit("mine").alias("keep"), "status", "base")
+    return M.resolved(c, "stored").select("id", F.lit("stored").alias("keep"), "status", F.col("version").alias("base")).unionByName(mine)
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CASE WHEN o_orderkey % 3 = 0 THEN 'seed' ELSE 'field-app' END AS source, CAST(1 + o_orderkey % 2 AS INTEGER) AS version FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0),
@@ -129,15 +156,16 @@ def unknown_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.unknown_devices(e, A.devices(spark, sf_dir).where("id % 3 = 0"))
 
 
-@query(f"""WITH t AS (SELECT * FROM (VALUES ('overdue', 'inspection', 'done', 480, 12), ('overdue', 'secondary_injection_test', 'done', 864, NULL), ('open-fault', 'inspection', 'done', 215, 12),
- ('open-fault', 'fault', 'open', NULL, NULL), ('ok', 'inspection', 'done', 113, 12), ('ok', 'trip_test', 'done', 334, NULL), ('ok-firmware', 'firmware_update', 'done', 177, 12)) v(profile, kind, status, ago, months)),
+@query("""WITH t AS (SELECT * FROM (VALUES ('overdue', 1, 'inspection', 'done', 'ok', '2025-06-10', '2025-06-10', '2026-06-10'), ('overdue', 2, 'secondary_injection_test', 'done', 'ok', '2024-05-22', '2024-05-22', NULL),
+ ('open-fault', 1, 'inspection', 'done', 'ok', '2026-03-02', '2026-03-02', '2027-03-02'), ('open-fault', 2, 'fault', 'open', NULL, NULL, '2026-09-28', NULL), ('ok', 1, 'inspection', 'done', 'ok', '2026-06-12', '2026-06-12', '2027-06-12'),
+ ('ok', 2, 'trip_test', 'done', 'ok', '2025-11-03', '2025-11-03', NULL), ('ok-firmware', 1, 'firmware_update', 'done', 'ok', '2026-04-09', '2026-04-09', '2027-04-09')) v(profile, no, kind, status, result, performedAt, created, nextDueAt)),
 d AS (SELECT c_custkey AS dev, CASE c_custkey % 5 WHEN 0 THEN 'overdue' WHEN 1 THEN 'open-fault' WHEN 2 THEN 'ok' WHEN 3 THEN 'ok-firmware' ELSE 'empty' END AS profile FROM customer)
-SELECT 'seed-' || dev || '-' || kind AS id, dev AS "instanceId", kind, status, CAST(CAST(DATE '{T0}' - ago AS DATE) AS VARCHAR) AS "performedAt", CAST(CAST(CAST(DATE '{T0}' - ago AS DATE) + to_months(months) AS DATE) AS VARCHAR) AS "nextDueAt" FROM d JOIN t USING (profile)""")
+SELECT 'seed-' || dev || '-' || no AS id, dev AS "instanceId", kind, status, result, performedAt AS "performedAt", nextDueAt AS "nextDueAt", created || ' 08:00:00' AS "createdAt" FROM d JOIN t USING (profile)""")
 def seed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 5
     prof = F.when(k == 0, "overdue").when(k == 1, "open-fault").when(k == 2, "ok").when(k == 3, "ok-firmware").otherwise("empty")
-    h = M.seed_history(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), prof.alias("profile")), T0)
-    return h.withColumn("performedAt", F.col("performedAt").cast("string")).withColumn("nextDueAt", F.col("nextDueAt").cast("string"))
+    h = M.seed_history(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), prof.alias("profile")))
+    return h.select("id", "instanceId", "kind", "status", "result", *(F.col(c).cast("string").alias(c) for c in ("performedAt", "nextDueAt", "createdAt")))
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,8 +273,8 @@ def member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linkable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as devices with an anchor and a place each."""
     k = F.col("s_suppkey")
-    anchor = F.struct((k % 18).alias("scan"), ((k * 61 % 3600).cast("double") / 10 - 180).alias("yaw"), (k * 13 % 60 - 30).cast("double").alias("pitch"))
-    return table(spark, sf_dir, "supplier").select(k.alias("device"), F.lit(0).cast("long").alias("site"), F.array(anchor).alias("anchors"), F.when(k % 2 == 0, (k % 11).cast("double") / 2).alias("x"),
+    anchor = F.struct((k - k % 3).alias("scan"), ((k * 61 % 3600).cast("double") / 10 - 180).alias("yaw"), (k * 13 % 60 - 30).cast("double").alias("pitch"))
+    return table(spark, sf_dir, "supplier").select(k.alias("device"), F.floor(k / 24).alias("site"), F.array(anchor).alias("anchors"), F.when(k % 2 == 0, (k % 11).cast("double") / 2).alias("x"),
                                                    (k % 13).cast("double").alias("y"), F.lit(2.0).alias("z"), (F.lit(2.0) + k % 3).alias("tol"))
 
 
@@ -254,9 +282,9 @@ def _ang(y1: str, p1: str, y2: str, p2: str) -> str:
     return (f"degrees(acos(least(greatest(sin(radians({p1})) * sin(radians({p2})) + cos(radians({p1})) * cos(radians({p2})) * cos(radians({y1} - {y2})), -1), 1)))")
 
 
-@query(f"""WITH {A.DET}, {A.SCANS}, s AS (SELECT s_suppkey AS device, s_suppkey % 18 AS ascan, CAST(s_suppkey * 61 % 3600 AS DOUBLE) / 10 - 180 AS ayaw, CAST(s_suppkey * 13 % 60 - 30 AS DOUBLE) AS apitch,
+@query(f"""WITH {A.DET}, {A.SCANS}, s AS (SELECT s_suppkey AS device, s_suppkey // 24 AS site, s_suppkey - s_suppkey % 3 AS ascan, CAST(s_suppkey * 61 % 3600 AS DOUBLE) / 10 - 180 AS ayaw, CAST(s_suppkey * 13 % 60 - 30 AS DOUBLE) AS apitch,
  CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 11 AS DOUBLE) / 2 END AS x, CAST(s_suppkey % 13 AS DOUBLE) AS y, CAST(2.0 AS DOUBLE) AS z, CAST(2.0 AS DOUBLE) + s_suppkey % 3 AS tol FROM supplier),
-p AS (SELECT device, tol, scan, x - sx AS dx, y - sy AS dy, z - sz AS dz, sqrt((x - sx) ** 2 + (y - sy) ** 2 + (z - sz) ** 2) AS r FROM s, scans WHERE x IS NOT NULL),
+p AS (SELECT device, tol, scan, x - sx AS dx, y - sy AS dy, z - sz AS dz, sqrt((x - sx) ** 2 + (y - sy) ** 2 + (z - sz) ** 2) AS r FROM s JOIN scans ON s.site = scans.site WHERE x IS NOT NULL),
 v AS (SELECT device, tol, ascan AS scan, ayaw AS vyaw, apitch AS vpitch FROM s UNION ALL SELECT device, tol, scan, degrees(atan2(dx, dy)), degrees(asin(least(greatest(dz / r, -1), 1))) FROM p WHERE r <= 8),
 q AS (SELECT d.id, v.device, {_ang('yaw', 'pitch', 'vyaw', 'vpitch')} AS dist, tol FROM det d JOIN v ON d.scan = v.scan), m AS (SELECT id, device, min(dist) AS dist FROM q WHERE dist <= tol GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS second FROM m WINDOW w AS (PARTITION BY id ORDER BY dist, device))
@@ -268,33 +296,26 @@ def link_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("dist").isNull(), "none").when(F.col("device").isNull(), "ambiguous").otherwise("linked")).withColumn("dist", F.round("dist", 5))
 
 
-@query("""WITH h AS (SELECT s_suppkey AS header, s_nationkey AS site, CAST(s_suppkey % 7 AS DOUBLE) AS hx, abs(s_acctbal) / 1000 AS hy FROM supplier),
-c AS (SELECT c_custkey AS point, c_nationkey AS site, CAST(c_custkey % 7 AS DOUBLE) AS x, abs(c_acctbal) / 1000 AS y FROM customer),
+@query("""WITH h AS (SELECT s_suppkey AS header, s_suppkey // 8 AS site, CAST(s_suppkey % 7 AS DOUBLE) AS hx, abs(s_acctbal) / 1000 AS hy FROM supplier),
+c AS (SELECT c_custkey AS point, c_custkey // 120 AS site, CAST(c_custkey % 7 AS DOUBLE) AS x, abs(c_acctbal) / 1000 AS y FROM customer),
 p AS (SELECT header, h.site, point, sqrt((hx - x) ** 2 + (hy - y) ** 2) AS dist FROM h JOIN c ON h.site = c.site),
 r AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS second FROM p WINDOW w AS (PARTITION BY header ORDER BY dist, point)), f AS (SELECT *, count(*) OVER (PARTITION BY site, point) AS used FROM r WHERE rn = 1)
 SELECT header, point, round(dist, 6) AS dist, round(second, 6) AS second, used = 1 AND dist < 0.1 AS sure FROM f""")
 def header_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("header"), F.col("s_nationkey").alias("site"), (F.col("s_suppkey") % 7).cast("double").alias("hx"), (F.abs("s_acctbal") / 1000).alias("hy"), F.lit(0.0).alias("hz"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), F.col("c_nationkey").alias("site"), (F.col("c_custkey") % 7).cast("double").alias("x"), (F.abs("c_acctbal") / 1000).alias("y"), F.lit(0.0).alias("z"))
+    h = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("header"), F.floor(F.col("s_suppkey") / 8).alias("site"), (F.col("s_suppkey") % 7).cast("double").alias("hx"), (F.abs("s_acctbal") / 1000).alias("hy"), F.lit(0.0).alias("hz"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), F.floor(F.col("c_custkey") / 120).alias("site"), (F.col("c_custkey") % 7).cast("double").alias("x"), (F.abs("c_acctbal") / 1000).alias("y"), F.lit(0.0).alias("z"))
     return L.nearest_pairing(h, c).select("header", "point", F.round("dist", 6).alias("dist"), F.round("second", 6).alias("second"), "sure")
 
 
-def rays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as rays: a site for each user and day part, so that sites stay as small as rooms."""
+def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rays, 40 to a site, so that sites stay as small as rooms."""
     i = F.col("event_id")
-    from sightline.functions.expressions import direction
-
     e = table(spark, sf_dir, "events").select(
-        (F.col("user_id") * 1000000 + F.floor(i / 40)).alias("site"), i.alias("ord"), i.alias("id"), (i % 6).alias("scan"), (i % 6 * 0.8).cast("double").alias("ox"), (i % 5 * 0.5).cast("double").alias("oy"),
+        F.floor(i / 40).alias("site"), i.alias("ord"), i.alias("id"), (i % 6).alias("scan"), (i % 6 * 0.8).cast("double").alias("ox"), (i % 5 * 0.5).cast("double").alias("oy"),
         F.lit(1.5).alias("oz"), (i * 37 % 60 - 30).cast("double").alias("yaw"), (i * 11 % 20 - 10).cast("double").alias("pitch"), (F.col("value") / (F.col("value") + 10)).alias("conf"))
     return e.select("*", *(c.alias(n) for n, c in zip(("dx", "dy", "dz"), direction("yaw", "pitch"), strict=True)))
 
 
-def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rays with 40 to a site."""
-    return rays(spark, sf_dir).withColumn("site", F.floor(F.col("ord") / 40))
-
-
 RAY = """ray AS (SELECT event_id // 40 AS site, event_id AS ord, event_id % 6 AS scan, event_id % 6 * CAST(0.8 AS DOUBLE) AS ox, event_id % 5 * CAST(0.5 AS DOUBLE) AS oy, CAST(1.5 AS DOUBLE) AS oz,
  CAST(event_id * 37 % 60 - 30 AS DOUBLE) AS yaw, CAST(event_id * 11 % 20 - 10 AS DOUBLE) AS pitch, value / (value + 10) AS conf FROM events),
 dir AS (SELECT *, sin(radians(yaw)) * cos(radians(pitch)) AS dx, cos(radians(yaw)) * cos(radians(pitch)) AS dy, sin(radians(pitch)) AS dz FROM ray),
@@ -336,26 +357,39 @@ def triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("site", "id", "cluster", "multi", *(F.round(a, 4).alias(a) for a in "xyz"))
 
 
-@query(f"""WITH {A.DET}, c AS (SELECT scan, device AS cluster, count(*) FILTER (confidence >= 0.75) AS autos, count(*) AS n, max(confidence) AS top FROM det GROUP BY 1, 2)
-SELECT scan, cluster, autos, n, CAST(row_number() OVER (PARTITION BY scan ORDER BY autos DESC, n DESC, top DESC, cluster) AS INTEGER) AS place FROM c""")
+KIND = "switch"
+#: Members of clusters: a fifth of the clusters has other types too, and one in ten no position.
+CLUSTERED = f"""{A.DET}, mem AS (SELECT scan, device AS cluster, confidence AS conf, confidence >= 0.75 AS auto, device % 10 <> 3 AS placed,
+ CASE WHEN device % 5 = 0 THEN type WHEN device % 5 > 2 THEN '{KIND}' END AS type FROM det)"""
+
+
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k = A.detections(spark, sf_dir), F.col("device")
+    return d.select("scan", k.alias("cluster"), F.col("confidence").alias("conf"), (F.col("confidence") >= 0.75).alias("auto"), (k % 10 != 3).alias("placed"),
+                    F.when(k % 5 == 0, F.col("type")).when(k % 5 > 2, F.lit(KIND)).alias("type"))
+
+
+@query(f"""WITH {CLUSTERED}, c AS (SELECT scan, cluster, count(*) FILTER (auto) AS autos, count(*) AS n, max(conf) AS top, count(*) FILTER (type <> '{KIND}') AS others FROM mem GROUP BY 1, 2)
+SELECT scan, cluster, autos, n, CAST(row_number() OVER (PARTITION BY scan ORDER BY autos DESC, n DESC, top DESC, cluster) AS INTEGER) AS place FROM c WHERE autos >= 1 AND others = 0""")
 def eligible_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = A.detections(spark, sf_dir).select("scan", F.col("device").alias("cluster"), F.col("confidence").alias("conf"), (F.col("confidence") >= 0.75).alias("auto"))
-    return G.eligible(d, "scan").select("scan", "cluster", "autos", "n", "place")
+    return G.eligible(clustered(spark, sf_dir), "scan", KIND).select("scan", "cluster", "autos", "n", "place")
 
 
-@query(f"""WITH {A.DET}, p AS (SELECT device, count(*) AS n, count(*) FILTER (confidence >= 0.75) AS autos, count(DISTINCT scan) AS scans FROM det GROUP BY device)
-SELECT CAST(sum(n) AS BIGINT) AS detections, CAST(sum(autos) AS BIGINT) AS auto, count(*) AS devices, count(*) FILTER (autos > 0) AS "devicesWithAuto", count(*) FILTER (scans > 1) AS "multiView",
- CAST(sum(CASE WHEN autos > 0 THEN n - autos ELSE 0 END) AS BIGINT) AS "reviewOnAuto" FROM p""")
+@query(f"""WITH {CLUSTERED}, t AS (SELECT DISTINCT cluster, placed FROM mem), a AS (SELECT DISTINCT cluster FROM mem WHERE auto)
+SELECT (SELECT count(*) FROM mem) AS detections, (SELECT count(*) FROM mem WHERE auto) AS auto, (SELECT count(*) FROM t) AS devices, (SELECT count(*) FROM a) AS "devicesWithAuto",
+ (SELECT count(*) FROM t WHERE placed) AS "multiView", (SELECT count(*) FROM mem WHERE NOT auto AND placed AND cluster IN (SELECT cluster FROM a)) AS "reviewOnAuto" """)
 def register_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = A.detections(spark, sf_dir).select(F.col("device").alias("cluster"), "scan", (F.col("confidence") >= 0.75).alias("auto"))
-    return G.register_stats(d, d)
+    return G.register_stats(clustered(spark, sf_dir))
 
 
 def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers of a block of keys whose balances are within 300, met by cells of that width."""
     s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    dist = F.abs(F.col("s_acctbal") - F.col("c_acctbal"))
-    return (s.join(c, (F.col("s_nationkey") == F.col("c_nationkey")) & (dist <= 300))
-            .select(F.col("s_nationkey").cast("long").alias("site"), F.col("s_suppkey").alias("a"), F.col("c_custkey").alias("b"), F.round(dist, 4).alias("dist")))
+    a = s.select(F.floor(F.col("s_suppkey") / 8).alias("site"), F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("u"), F.explode(F.array(*(F.lit(k) for k in (-1, 0, 1)))).alias("k"))
+    a = a.withColumn("cell", F.floor(F.col("u") / 300) + F.col("k"))
+    b = c.select(F.floor(F.col("c_custkey") / 120).alias("site"), F.col("c_custkey").alias("b"), F.col("c_acctbal").alias("v"), F.floor(F.col("c_acctbal") / 300).alias("cell"))
+    dist = F.abs(F.col("u") - F.col("v"))
+    return a.join(b, ["site", "cell"]).where(dist <= 300).select("site", "a", "b", F.round(dist, 4).alias("dist"))
 
 
 @query()
@@ -364,23 +398,35 @@ def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.greedy_match(match_pairs(spark, sf_dir), first_free=False)
 
 
+def registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as earlier devices and customers as new clusters: two thirds with a position, all with two directions."""
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    look = lambda k: F.array(*(F.struct((k * m % 4).cast("long").alias("scan"), (k * m * 7 % 360 - 180).cast("double").alias("yaw"), (k * m % 40 - 20).cast("double").alias("pitch")) for m in (1, 3)))
+    old = table(spark, sf_dir, "supplier").select(F.floor(s / 8).alias("site"), s.alias("a"), F.when(s % 3 != 0, (s % 11).cast("double") / 10).alias("x"), (s % 13).cast("double").alias("y"), F.lit(1.0).alias("z"),
+                                                  look(s).alias("anchors"), F.lit(3.0).alias("tol"))
+    new = table(spark, sf_dir, "customer").select(F.floor(c / 120).alias("site"), c.alias("b"), F.when(c % 3 != 1, (c % 11).cast("double") / 10 + 0.05).alias("x"), (c % 13).cast("double").alias("y"), F.lit(1.1).alias("z"),
+                                                  look(c).alias("members"))
+    return old, new
+
+
 @query()
 def match_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids kept across a rerun: earlier devices take the first free new one; the others count on."""
-    pairs = match_pairs(spark, sf_dir)
-    m = G.greedy_match(pairs, first_free=True)
-    new = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("site"), F.col("c_custkey").alias("b"), F.col("c_custkey").alias("place"))
-    old = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("site"), F.col("s_suppkey").alias("a"))
-    return G.stable_ids(new, m, old)
+    """Ids kept across a rerun: earlier devices, in order, take the first free cluster that may be them; the others count
+    on by place (-x, y, z). A test compares with a plain loop."""
+    old, new = registers(spark, sf_dir)
+    m = G.greedy_match(G.same_devices(old, new), first_free=True)
+    return G.stable_ids(new, m, old, order=(F.col("x").desc_nulls_last(), "y", "z"))
 
 
-@query("""WITH e AS (SELECT s_nationkey AS site, count(*) AS n FROM supplier GROUP BY 1), d AS (SELECT c_nationkey AS site, c_custkey AS place, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal / 100 END AS x, CAST(c_custkey % 17 AS DOUBLE) AS y FROM customer),
-k AS (SELECT d.*, row_number() OVER (PARTITION BY d.site ORDER BY place) AS rn, coalesce(n, 0) AS n FROM d LEFT JOIN e ON d.site = e.site)
-SELECT site, place, 'REL-' || lpad(CAST(row_number() OVER (PARTITION BY site ORDER BY round(x, 0) NULLS LAST, CASE WHEN x IS NULL THEN y ELSE y END NULLS LAST, place) AS VARCHAR), 2, '0') AS label FROM k WHERE rn <= greatest(0, 20 - n)""")
+@query("""WITH e AS (SELECT s_suppkey // 8 AS site, count(*) AS n, max(s_suppkey % 150) AS top FROM supplier GROUP BY 1), d AS (SELECT c_custkey // 120 AS site, c_custkey AS place, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal / 100 END AS x, CAST(c_custkey % 17 AS DOUBLE) AS y FROM customer),
+k AS (SELECT d.*, row_number() OVER (PARTITION BY d.site ORDER BY place) AS rn, coalesce(n, 0) AS n, coalesce(top, 0) AS top FROM d LEFT JOIN e ON d.site = e.site),
+r AS (SELECT site, place, CAST(top + row_number() OVER (PARTITION BY site ORDER BY CASE WHEN x IS NULL THEN 1 ELSE 0 END, floor(x + 0.5), CASE WHEN x IS NULL THEN 0 ELSE y END, place) AS VARCHAR) AS no FROM k WHERE rn <= greatest(0, 20 - n))
+SELECT site, place, 'REL-' || CASE WHEN length(no) < 2 THEN '0' ELSE '' END || no AS label FROM r""")
 def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    d = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("site"), k.alias("place"), F.when(k % 4 != 0, F.col("c_acctbal") / 100).alias("x"), (k % 17).cast("double").alias("y"))
-    return G.renumbered(d, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("site")), 20, "site").select("site", "place", "label")
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    d = table(spark, sf_dir, "customer").select(F.floor(k / 120).alias("site"), k.alias("place"), F.when(k % 4 != 0, F.col("c_acctbal") / 100).alias("x"), (k % 17).cast("double").alias("y"))
+    old = table(spark, sf_dir, "supplier").select(F.floor(s / 8).alias("site"), (s % 150).alias("number"))
+    return G.renumbered(d, old, 20, "site").select("site", "place", "label")
 
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +446,7 @@ def stack_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def constrained_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent; a test compares with a plain loop."""
-    p = pooled(spark, sf_dir).select("site", "id", "scan", "yaw", "pitch", (F.col("ox") + 0.1 * F.col("dx")).alias("x"), (F.col("oy") + 0.1 * F.col("dy")).alias("y"), F.col("dz").alias("z"))
+    p = pooled(spark, sf_dir).select("site", "id", "scan", (F.col("scan") * 2 + F.col("id") % 2).alias("image"), "yaw", "pitch", (F.col("ox") + 0.1 * F.col("dx")).alias("x"), (F.col("oy") + 0.1 * F.col("dy")).alias("y"), F.col("dz").alias("z"))
     return C.constrained(p, "site", reach=0.4)
 
 
@@ -461,8 +507,7 @@ def tag_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ray_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent choice of rays to look at, for each device group."""
-    d = A.detections(spark, sf_dir).where("scan is not null").select(F.col("device").alias("site"), "id", "scan", (F.col("id") % 4).alias("stack_size"))
-    return C.sampled_stacks(d, "site")
-
-
+    """Order-dependent choice of rays to look at, for each block of users; a test compares with a plain loop."""
+    d, k = A.detections(spark, sf_dir), F.col("device")
+    hits = d.where("scan is not null").select(F.floor(k / 30).alias("site"), "device", (k % 4 == 0).alias("stacked"), "ord", "id", F.floor(F.col("id") % 1000 / 90).alias("scan"))
+    return C.sampled_stacks(hits, "site")

@@ -13,6 +13,7 @@ from sightline.operators import layout as Y
 from sightline.operators import spatial as P
 from sightline.plans import adapters as A
 from sightline.plans.base import query, table
+from sightline.sources.shared import shared_folder
 
 
 @query(f"""WITH {A.PTS}, c AS (SELECT *, floor(x / 0.5) AS ix, floor(y / 0.5) AS iy, floor(z / 0.5) AS iz FROM pts)
@@ -27,25 +28,27 @@ def percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.toDF("flag", "lo", "mid", "hi", "top").select("flag", *(F.round(c, 2).alias(c) for c in ("lo", "mid", "hi", "top")))
 
 
-HIST = """b AS (SELECT l_returnflag AS flag, CAST(floor(l_extendedprice / 2000) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2),
-e AS (SELECT flag, unnest(generate_series(min(bin), max(bin))) AS bin FROM b GROUP BY flag), j AS (SELECT e.flag, e.bin, coalesce(n, 0) AS n FROM e LEFT JOIN b ON e.flag = b.flag AND e.bin = b.bin),
-m AS (SELECT *, sum(n) OVER (PARTITION BY flag ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS mean3 FROM j),
-w AS (SELECT *, lag(mean3) OVER v AS a, lead(mean3) OVER v AS z, max(mean3) OVER (PARTITION BY flag) AS t FROM m WINDOW v AS (PARTITION BY flag ORDER BY bin))"""
+HIST = """e AS (SELECT l_returnflag AS flag, quantile_cont(l_extendedprice, 0.001) - 4000 AS o, quantile_cont(l_extendedprice, 0.999) + 4000 AS z FROM lineitem GROUP BY 1),
+g AS (SELECT flag, o, unnest(range(0, CAST(ceil((z - o) / 2000) AS BIGINT) - 1)) AS bin FROM e),
+b AS (SELECT l_returnflag AS flag, CAST(floor((l_extendedprice - o) / 2000) AS BIGINT) AS bin, count(*) AS n FROM lineitem JOIN e ON flag = l_returnflag GROUP BY 1, 2),
+j AS (SELECT g.flag, g.bin, o + (g.bin + 0.5) * 2000 AS mid, coalesce(n, 0) AS n FROM g LEFT JOIN b ON g.flag = b.flag AND g.bin = b.bin),
+m AS (SELECT *, n + coalesce(lag(n) OVER v, 0) + coalesce(lead(n) OVER v, 0) AS s3 FROM j WINDOW v AS (PARTITION BY flag ORDER BY bin)),
+w AS (SELECT *, s3 >= lag(s3) OVER v AND s3 >= lead(s3) OVER v AS high, max(s3) OVER (PARTITION BY flag) AS t FROM m WINDOW v AS (PARTITION BY flag ORDER BY bin))"""
 
 
-@query(f"WITH {HIST} SELECT flag, bin, n, round(mean3, 6) AS mean3, coalesce(mean3 > a AND mean3 >= z AND mean3 >= 0.25 * t, false) AS peak FROM w")
+@query(f"WITH {HIST} SELECT flag, bin, n, round(s3 / 3, 6) AS mean3, coalesce(high, false) AS high, coalesce(high AND s3 >= 0.25 * t, false) AS peak FROM w")
 def hist_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag")
-    return P.histogram_peaks(li, "l_extendedprice", 2000.0, "flag").withColumn("mean3", F.round("mean3", 6))
+    return P.histogram_peaks(li, "l_extendedprice", 2000.0, "flag").withColumn("mean3", F.round("mean3", 6)).drop("mid")
 
 
-@query(f"""WITH {HIST}, k AS (SELECT flag, (bin + 0.5) * 2000 AS z0, mean3 FROM w WHERE mean3 > a AND mean3 >= z AND mean3 >= 0.25 * t), c AS (SELECT flag, z0, mean3, 100000 - z0 BETWEEN 20000 AND 90000 AS below FROM k),
-g AS (SELECT flag, coalesce(arg_max(z0, (mean3, -z0)) FILTER (below), min(z0)) AS z0 FROM c GROUP BY flag)
-SELECT g.flag, CAST(quantile_cont(l_extendedprice, 0.5) AS DOUBLE) AS floor_z FROM g JOIN lineitem ON l_returnflag = g.flag AND abs(l_extendedprice - z0) <= 6000 GROUP BY g.flag""")
+@query(f"""WITH {HIST}, k AS (SELECT *, 100000 - mid BETWEEN 20000 AND 90000 AS below, row_number() OVER (PARTITION BY flag, 100000 - mid BETWEEN 20000 AND 90000 ORDER BY s3 DESC, bin) AS strongest FROM w WHERE high),
+v AS (SELECT flag, coalesce(min(mid) FILTER (below AND strongest = 1), min(mid) FILTER (s3 >= 0.25 * t)) AS z0 FROM k GROUP BY flag)
+SELECT v.flag, CAST(quantile_cont(l_extendedprice, 0.5) AS DOUBLE) AS floor_z FROM v JOIN lineitem ON l_returnflag = v.flag AND abs(l_extendedprice - z0) <= 6000 GROUP BY v.flag""")
 def floor_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("z"))
-    cam = li.select("flag").distinct().withColumn("camera_z", F.lit(100000.0))
-    return P.floor_level(P.histogram_peaks(li, "z", 2000.0, "flag"), li, cam, "flag", 2000.0, 20000.0, 90000.0)
+    cam = li.select("flag").distinct().withColumn("camera_z", F.explode(F.array(F.lit(90000.0), F.lit(100000.0), F.lit(130000.0))))
+    return P.floor_level(li, cam, "flag", 2000.0, 20000.0, 90000.0)
 
 
 @query(f"""WITH {A.PTS} SELECT room, CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor(y / 0.5) AS BIGINT) AS iy, count(*) AS n, count(*) >= 5 AS mask FROM pts GROUP BY 1, 2, 3""")
@@ -98,16 +101,25 @@ def ray_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query("""WITH r AS (SELECT s_suppkey AS ray, s_suppkey % 3 AS site, radians(CAST(s_suppkey * 37 % 360 AS DOUBLE)) AS y, radians(CAST(s_suppkey * 11 % 20 - 10 AS DOUBLE)) AS p FROM supplier),
 d AS (SELECT ray, site, sin(y) * cos(p) AS dx, cos(y) * cos(p) AS dy, sin(p) AS dz FROM r), q AS (SELECT p_partkey AS pid, p_partkey % 3 AS site, 0.5 + CAST(p_partkey % 90 AS DOUBLE) / 10 AS f, radians(CAST(p_partkey * 7 % 360 AS DOUBLE)) AS y, radians(CAST(p_partkey * 3 % 20 - 10 AS DOUBLE)) AS p FROM part),
 c AS (SELECT pid, site, f * sin(y) * cos(p) AS x, f * cos(y) * cos(p) AS y, f * sin(p) AS z FROM q), t AS (SELECT ray, pid, x * dx + y * dy + z * dz AS t, x, y, z, dx, dy, dz FROM d JOIN c ON d.site = c.site)
-SELECT ray, pid, round(t, 5) AS t FROM t WHERE t BETWEEN 0.4 AND 10 AND (x - t * dx) ** 2 + (y - t * dy) ** 2 + (z - t * dz) ** 2 <= greatest(0.03, t * tan(radians(0.6))) ** 2""")
+SELECT ray, pid, round(t, 5) AS t FROM t WHERE t BETWEEN 0.4 AND 10 AND (x - t * dx) ** 2 + (y - t * dy) ** 2 + (z - t * dz) ** 2 < greatest(0.03, t * tan(radians(0.6))) ** 2""")
 def cylinder_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cylinder_hits(*ray_points(spark, sf_dir)).select("ray", "pid", F.round("t", 5).alias("t"))
 
 
-@query("""WITH w AS (SELECT user_id AS ray, value AS t, count(*) OVER (PARTITION BY user_id ORDER BY value RANGE BETWEEN CAST(0.75 AS DOUBLE) PRECEDING AND CAST(0.75 AS DOUBLE) FOLLOWING) AS n FROM events), f AS (SELECT ray, min(t) AS t0 FROM w WHERE n >= 5 GROUP BY ray),
-h AS (SELECT w.ray, quantile_cont(t, 0.5) AS t, count(*) AS support FROM w JOIN f ON w.ray = f.ray WHERE t BETWEEN t0 - 0.75 AND t0 + 0.75 GROUP BY w.ray) SELECT ray, round(t, 6) AS t, support FROM h WHERE t BETWEEN 0.4 AND 8""")
+@query("""WITH r AS (SELECT DISTINCT user_id AS ray, radians(CAST(user_id * 37 % 360 AS DOUBLE)) AS a, radians(CAST(user_id % 20 - 10 AS DOUBLE)) AS p FROM events), d AS (SELECT ray, sin(a) * cos(p) AS dx, cos(a) * cos(p) AS dy, sin(p) AS dz FROM r),
+h AS (SELECT user_id AS ray, value AS t, value * dx + event_id % 7 * 0.001 AS x, value * dy + event_id % 5 * 0.002 AS y, 1.5 + value * dz + event_id % 3 * 0.003 AS z, dx, dy, dz FROM events JOIN d ON ray = user_id),
+w AS (SELECT *, count(*) OVER (PARTITION BY ray ORDER BY t RANGE BETWEEN CAST(0.7531 AS DOUBLE) PRECEDING AND CAST(0.7531 AS DOUBLE) FOLLOWING) AS n FROM h), f AS (SELECT ray, min(t) AS t0 FROM w WHERE n >= 5 GROUP BY ray),
+k AS (SELECT w.* FROM w JOIN f ON w.ray = f.ray WHERE t BETWEEN t0 - 0.7531 AND t0 + 0.7531),
+c AS (SELECT ray, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my, quantile_cont(z, 0.5) AS mz, count(*) AS support, any_value(dx) AS dx, any_value(dy) AS dy, any_value(dz) AS dz FROM k GROUP BY ray),
+s AS (SELECT c.ray, quantile_cont(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2), 0.5) AS spread FROM k JOIN c ON k.ray = c.ray GROUP BY c.ray)
+SELECT c.ray, round(mx, 6) AS x, round(my, 6) AS y, round(mz, 6) AS z, round(mx * dx + my * dy + (mz - 1.5) * dz, 6) AS t, support, round(spread, 6) AS spread FROM c JOIN s ON c.ray = s.ray WHERE mx * dx + my * dy + (mz - 1.5) * dz BETWEEN 0.4 AND 8""")
 def ray_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "events").select(F.col("user_id").alias("ray"), F.col("value").alias("t"))
-    return P.first_hit(h, 0.75, 5).withColumn("t", F.round("t", 6))
+    e, u, i = table(spark, sf_dir, "events"), F.col("ray"), F.col("event_id")
+    d = E.direction((u * 37 % 360).cast("double"), (u % 20 - 10).cast("double"))
+    r = e.select(F.col("user_id").alias("ray")).distinct().select("ray", F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(1.5).alias("oz"), *(c.alias(f"d{n}") for n, c in zip("xyz", d, strict=True)))
+    v = F.col("value")
+    h = e.withColumnRenamed("user_id", "ray").join(r, "ray").select("ray", v.alias("t"), (v * F.col("dx") + i % 7 * 0.001).alias("x"), (v * F.col("dy") + i % 5 * 0.002).alias("y"), (1.5 + v * F.col("dz") + i % 3 * 0.003).alias("z"))
+    return P.first_hit(h, r, 0.7531, 5).select("ray", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "t")), "support", F.round("spread", 6).alias("spread"))
 
 
 @query(f"""WITH {A.PTS}, h AS (SELECT room, y - 1 AS h FROM pts WHERE x BETWEEN 1 AND 11 AND y BETWEEN 0 AND 15) SELECT room, count(*) FILTER (abs(h) <= 0.05) AS floor, count(*) FILTER (h BETWEEN 0.3 AND 2.0) AS obstacle, count(*) AS n FROM h GROUP BY room""")
@@ -128,12 +140,20 @@ def running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occupied cells of each room (a pattern thins them out, so that there are holes)."""
-    g = A.points(spark, sf_dir).select(F.lit(0).cast("long").alias("room"), P.cell("x", 0.25).alias("ix"), P.cell("y", 0.25).alias("iy")).distinct()
-    return g.where((F.col("ix") * 7 + F.col("iy") * 3) % 31 > 0)
-
-
-MASK = """m AS (SELECT DISTINCT CAST(0 AS BIGINT) AS room, CAST(floor(l_quantity / 4 / 0.25) AS BIGINT) AS ix, CAST(floor(l_extendedprice / 5000 / 0.25) AS BIGINT) AS iy FROM lineitem), c AS (SELECT * FROM m WHERE (ix * 7 + iy * 3) % 31 > 0)"""
+    """Occupied cells of each room, a block of ten suppliers; empty cells among them are holes."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.floor(F.col("l_suppkey") / 10).alias("room"), P.cell(F.col("l_quantity") / 4, 0.25).alias("ix"), P.cell(F.col("l_extendedprice") / 5000, 0.25).alias("iy")).distinct()
+
+
+MASK = """c AS (SELECT DISTINCT CAST(l_suppkey // 10 AS BIGINT) AS room, CAST(floor(l_quantity / 4 / 0.25) AS BIGINT) AS ix, CAST(floor(l_extendedprice / 5000 / 0.25) AS BIGINT) AS iy FROM lineitem)"""
+#: Components of four neighbours of the cells ``n`` (room, ix, iy): the smallest cell, as one number, that each reaches.
+JOINED = """e AS (SELECT a.room, a.ix, a.iy, b.ix AS jx, b.iy AS jy FROM n a JOIN n b ON a.room = b.room AND abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1),
+k(room, ix, iy, root) USING KEY (room, ix, iy) AS (SELECT room, ix, iy, ix * 1000000 + iy FROM n UNION
+ (SELECT u.room, u.ix, u.iy, min(v.root) FROM recurring.k u JOIN e ON u.room = e.room AND u.ix = e.ix AND u.iy = e.iy JOIN k v ON v.room = e.room AND v.ix = e.jx AND v.iy = e.jy WHERE v.root < u.root GROUP BY u.room, u.ix, u.iy))"""
+#: Cells of the box around each room's mask that aren't in it, and those of them that the box's edge doesn't reach.
+EMPTY = f"""{MASK}, x AS (SELECT room, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM c GROUP BY room),
+n AS (SELECT room, ix, iy FROM (SELECT room, ix, y0, y1, unnest(range(y0, y1 + 1)) AS iy FROM (SELECT *, unnest(range(x0, x1 + 1)) AS ix FROM x)) EXCEPT SELECT room, ix, iy FROM c), {JOINED},
+o AS (SELECT DISTINCT k.room, root FROM k JOIN x ON k.room = x.room WHERE ix IN (x0, x1) OR iy IN (y0, y1)), h AS (SELECT k.room, k.ix, k.iy, k.root FROM k LEFT JOIN o ON k.room = o.room AND k.root = o.root WHERE o.root IS NULL)"""
 _sq = "(SELECT unnest([-1, 0, 1]) AS i)"
 
 
@@ -148,46 +168,50 @@ def morphology_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.opened(mask(spark, sf_dir), "room", P.CROSS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {MASK}, n AS (SELECT * FROM c), {JOINED} SELECT room, root // 1000000 AS ix, root % 1000000 AS iy, count(*) AS size FROM k GROUP BY room, root""")
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected cells (four neighbours) with their sizes; a test compares with a flood fill."""
+    """Connected cells (four neighbours) with their sizes; a test compares with a flood fill too."""
     m = mask(spark, sf_dir)
     r = C.components(P.grid_edges(m, "room", eight=False))
     j = m.withColumn("node", F.struct("room", "ix", "iy")).join(r, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return j.groupBy("root").agg(F.count("*").alias("size")).select("root.room", "root.ix", "root.iy", "size")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EMPTY} SELECT room, ix, iy FROM c UNION ALL SELECT room, ix, iy FROM h""")
 def filled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask with its holes filled; a test compares with a flood fill."""
     return P.filled(mask(spark, sf_dir), "room", C.components)
 
 
-@query(f"""WITH {MASK}, f AS (SELECT s_suppkey AS point, CAST(floor((s_suppkey % 12) / 0.25) AS BIGINT) AS cx, CAST(floor((s_suppkey % 19) / 0.25) AS BIGINT) AS cy FROM supplier), o AS (SELECT a.i, b.j FROM (SELECT unnest(range(-4, 5)) AS i) a, (SELECT unnest(range(-4, 5)) AS j) b WHERE (i * 0.25) ** 2 + (j * 0.25) ** 2 <= 1),
-k AS (SELECT point, cx + i AS ix, cy + j AS iy FROM f, o) SELECT point, round(avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share, avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END) > 0.5 AS blocked FROM k LEFT JOIN c ON k.ix = c.ix AND k.iy = c.iy GROUP BY point""")
+@query(f"""WITH {MASK}, f AS (SELECT s_suppkey // 10 AS room, s_suppkey AS point, CAST(floor((s_suppkey % 12) / 0.25) AS BIGINT) AS cx, CAST(floor((s_suppkey % 19) / 0.25) AS BIGINT) AS cy FROM supplier),
+o AS (SELECT a.i, b.j FROM (SELECT unnest(range(-4, 5)) AS i) a, (SELECT unnest(range(-4, 5)) AS j) b WHERE (i * 0.25) ** 2 + (j * 0.25) ** 2 <= 1), k AS (SELECT room, point, cx + i AS ix, cy + j AS iy FROM f, o)
+SELECT point, round(avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share, avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END) > 0.5 AS blocked FROM k LEFT JOIN c ON k.room = c.room AND k.ix = c.ix AND k.iy = c.iy GROUP BY point""")
 def disc_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    c = table(spark, sf_dir, "supplier").select(F.lit(0).cast("long").alias("room"), k.alias("point"), (k % 12).cast("double").alias("x"), (k % 19).cast("double").alias("y"))
+    c = table(spark, sf_dir, "supplier").select(F.floor(k / 10).alias("room"), k.alias("point"), (k % 12).cast("double").alias("x"), (k % 19).cast("double").alias("y"))
     return P.disc_share(c, mask(spark, sf_dir), 1.0, 0.25, "room").select("point", F.round("share", 6).alias("share"), "blocked")
 
 
-@query(f"""WITH {MASK}, b AS (SELECT s_suppkey AS box, s_suppkey % 40 AS x0, s_suppkey % 40 + 2 AS x1, s_suppkey % 60 AS y0, s_suppkey % 60 + 3 AS y1 FROM supplier),
-s AS (SELECT box, '+x' AS side, 0 AS k, x1 + 1 AS a, x1 + 3 AS z, y0 AS p, y1 AS q FROM b UNION ALL SELECT box, '-x', 1, x0 - 3, x0 - 1, y0, y1 FROM b UNION ALL SELECT box, '+y', 2, x0, x1, y1 + 1, y1 + 3 FROM b UNION ALL SELECT box, '-y', 3, x0, x1, y0 - 3, y0 - 1 FROM b),
-g AS (SELECT box, side, k, i, unnest(range(p, q + 1)) AS j FROM (SELECT *, unnest(range(a, z + 1)) AS i FROM s)), h AS (SELECT box, side, k, avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM g LEFT JOIN c ON c.ix = i AND c.iy = j GROUP BY 1, 2, 3)
-SELECT box, arg_max(side, (share, -k)) AS side, round(max(share), 6) AS share FROM h GROUP BY box""")
+@query(f"""WITH {MASK}, d AS (SELECT s_suppkey AS device, s_suppkey // 10 AS room, CAST(s_suppkey % 11 AS DOUBLE) + 0.4 AS x, CAST(s_suppkey % 17 AS DOUBLE) + 0.3 AS y FROM supplier),
+s AS (SELECT *, unnest(['+x', '-x', '+y', '-y']) AS side, unnest([0, 1, 2, 3]) AS k, unnest([0.15, -1.0, -0.3, -0.3]) AS a, unnest([1.0, -0.15, 0.3, 0.3]) AS b, unnest([-0.3, -0.3, 0.15, -1.0]) AS p, unnest([0.3, 0.3, 1.0, -0.15]) AS q FROM d),
+g AS (SELECT *, unnest(range(CAST(floor((x + a) / 0.25 + 1e-6) AS BIGINT), CAST(ceil((x + b) / 0.25 - 1e-6) AS BIGINT))) AS ix FROM s), w AS (SELECT *, unnest(range(CAST(floor((y + p) / 0.25 + 1e-6) AS BIGINT), CAST(ceil((y + q) / 0.25 - 1e-6) AS BIGINT))) AS iy FROM g),
+h AS (SELECT device, side, k, avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM w LEFT JOIN c ON c.room = w.room AND c.ix = w.ix AND c.iy = w.iy GROUP BY 1, 2, 3)
+SELECT device, arg_max(side, (share, -k)) AS side, round(max(share), 6) AS share FROM h GROUP BY device""")
 def facing_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
-    b = table(spark, sf_dir, "supplier").select(F.lit(0).cast("long").alias("room"), k.alias("box"), (k % 40).alias("ix0"), (k % 40 + 2).alias("ix1"), (k % 60).alias("iy0"), (k % 60 + 3).alias("iy1"))
-    return P.facing(b, mask(spark, sf_dir), "room").select("box", "side", F.round("share", 6).alias("share"))
+    d = table(spark, sf_dir, "supplier").select(k.alias("device"), F.floor(k / 10).alias("room"), ((k % 11).cast("double") + 0.4).alias("x"), ((k % 17).cast("double") + 0.3).alias("y"))
+    return P.facing(d, mask(spark, sf_dir), "room", 0.25).select("device", "side", F.round("share", 6).alias("share"))
 
 
-@query(f"""WITH {MASK}, d AS (SELECT ix, iy FROM c WHERE ix % 2 = 0), e AS (SELECT ix, iy FROM c WHERE iy % 2 = 0) SELECT 'and' AS op, count(*) AS n FROM (SELECT * FROM d INTERSECT SELECT * FROM e)
+@query(f"""WITH {MASK}, d AS (SELECT * FROM c WHERE ix % 2 = 0), e AS (SELECT * FROM c WHERE iy % 2 = 0) SELECT 'and' AS op, count(*) AS n FROM (SELECT * FROM d INTERSECT SELECT * FROM e)
 UNION ALL SELECT 'or', count(*) FROM (SELECT * FROM d UNION SELECT * FROM e) UNION ALL SELECT 'minus', count(*) FROM (SELECT * FROM d EXCEPT SELECT * FROM e)""")
 def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mask(spark, sf_dir).select("ix", "iy")
+    """And, or and minus of two masks, the cells of even columns and of even rows."""
+    m = mask(spark, sf_dir)
     a, b = m.where("ix % 2 = 0"), m.where("iy % 2 = 0")
     n = lambda df, op: df.agg(F.count("*").alias("n")).select(F.lit(op).alias("op"), "n")
-    return n(a.join(b, ["ix", "iy"], "left_semi"), "and").unionByName(n(a.unionByName(b).distinct(), "or")).unionByName(n(a.join(b, ["ix", "iy"], "left_anti"), "minus"))
+    keys = ["room", "ix", "iy"]
+    return n(a.join(b, keys, "left_semi"), "and").unionByName(n(a.unionByName(b).distinct(), "or")).unionByName(n(a.join(b, keys, "left_anti"), "minus"))
 
 
 @query("""WITH o AS (SELECT user_id, event_id, value, CASE WHEN value - lag(value) OVER w > 2.0 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id)),
@@ -255,12 +279,12 @@ def view_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.view_grid(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scan")))
 
 
-@query("""WITH d AS (SELECT c_custkey AS dir, c_nationkey AS site, radians(CAST(c_custkey * 7 % 360 AS DOUBLE)) AS y FROM customer), c AS (SELECT s_suppkey AS camera, s_nationkey AS site, radians(CAST(s_suppkey * 60 % 360 AS DOUBLE)) AS y FROM supplier),
+@query("""WITH d AS (SELECT c_custkey AS dir, c_custkey // 120 AS site, radians(CAST(c_custkey * 7 % 360 AS DOUBLE)) AS y FROM customer), c AS (SELECT s_suppkey AS camera, s_suppkey // 8 AS site, radians(CAST(s_suppkey * 60 % 360 AS DOUBLE)) AS y FROM supplier),
 p AS (SELECT d.site, dir, camera, round(sin(d.y) * sin(c.y) + cos(d.y) * cos(c.y), 12) + 0.0 AS cs FROM d JOIN c ON d.site = c.site) SELECT site, dir, arg_max(camera, (cs, -camera)) AS camera, round(max(cs), 6) AS cos FROM p GROUP BY 1, 2""")
 def best_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.radians((F.col("c_custkey") * 7 % 360).cast("double")), F.radians((F.col("s_suppkey") * 60 % 360).cast("double"))
-    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dir"), F.col("c_nationkey").alias("site"), F.sin(a).alias("dx"), F.cos(a).alias("dy"), F.lit(0.0).alias("dz"))
-    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("camera"), F.col("s_nationkey").alias("site"), F.sin(b).alias("cx"), F.cos(b).alias("cy"), F.lit(0.0).alias("cz"))
+    d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dir"), F.floor(F.col("c_custkey") / 120).alias("site"), F.sin(a).alias("dx"), F.cos(a).alias("dy"), F.lit(0.0).alias("dz"))
+    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("camera"), F.floor(F.col("s_suppkey") / 8).alias("site"), F.sin(b).alias("cx"), F.cos(b).alias("cy"), F.lit(0.0).alias("cz"))
     return Y.best_source(d, c, "site").withColumn("cos", F.round("cos", 6))
 
 
@@ -276,31 +300,47 @@ def contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.contours(P.opened(mask(spark, sf_dir), "room", P.CROSS), "room").select("room", "ring", "corners", "area")
 
 
-@query()
+@query(f"""WITH {MASK}, a AS (SELECT room, 'x' AS axis, iy AS line, ix AS v FROM c UNION ALL SELECT room, 'y', ix, iy FROM c), g AS (SELECT *, v - row_number() OVER (PARTITION BY room, axis, line ORDER BY v) AS k FROM a)
+SELECT room, axis, line, min(v) AS start, max(v) AS "end" FROM g GROUP BY room, axis, line, k HAVING count(*) >= 6""")
 def wall_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.walls(mask(spark, sf_dir), "room", 6)
 
 
-@query("""WITH r AS (SELECT c_custkey AS id, CAST(c_custkey % 10 AS DOUBLE) AS a, CAST(c_custkey % 7 AS DOUBLE) AS b, c_custkey % 5 = 0 AS odd FROM customer) SELECT id, NOT odd AND b <> 0 AS rect FROM r""")
+@query("""WITH r AS (SELECT c_custkey AS id, CAST(c_custkey % 10 AS DOUBLE) AS a, CAST(c_custkey % 7 AS DOUBLE) AS b, c_custkey % 5 AS odd FROM customer) SELECT id, odd > 1 AND b <> 0 AS rect, CASE WHEN odd > 1 AND b <> 0 THEN a + 1 END AS xb FROM r""")
 def rectangle_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of four corners; of each five one has a corner moved and one is a bow tie, and some have no height."""
     k = F.col("c_custkey")
     a, b = (k % 10).cast("double"), (k % 7).cast("double")
     z = F.lit(0.0)
-    ring = F.array(F.array(a, z), F.array(a + 1, z), F.array(F.when(k % 5 == 0, a + 2).otherwise(a + 1), b), F.array(a, b))
-    return table(spark, sf_dir, "customer").select(k.alias("id"), Y.is_rectangle(ring).alias("rect"))
+    ring = F.array(F.array(a, z), F.array(F.when(k % 5 == 1, a).otherwise(a + 1), F.when(k % 5 == 1, b).otherwise(z)), F.array(F.when(k % 5 == 0, a + 2).otherwise(a + 1), F.when(k % 5 == 1, z).otherwise(b)),
+                   F.array(F.when(k % 5 == 1, a + 1).otherwise(a), b))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), Y.is_rectangle(ring).alias("rect"), Y.as_rectangle(ring)["xb"].alias("xb"))
 
 
 @query()
 def cabinet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of cabinets of each room, found by gaps and walked over the occupied cells."""
-    s = table(spark, sf_dir, "supplier")
-    d = s.select(F.col("s_nationkey").cast("long").alias("room"), F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 4).cast("double").alias("x"), (F.col("s_suppkey") % 29 * 0.7).cast("double").alias("y"))
-    o = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("room"), (F.col("c_custkey") % 4 * 10).alias("ix"), (F.col("c_custkey") % 200).alias("iy"), (F.lit(1.0) + F.col("c_custkey") % 20 / 10).alias("top"))
-    o = o.groupBy("room", "ix", "iy").agg(F.max("top").alias("top"))
-    return Y.cabinet_rows(d, o, "room")
+    """Panels of the rows of each room: suppliers stand as devices before the mask's cells; a test has a room with known rows."""
+    k = F.col("s_suppkey")
+    d = table(spark, sf_dir, "supplier").select(F.floor(k / 10).alias("room"), k.alias("id"), F.when(k % 2 == 0, 4.9).otherwise(8.2).alias("x"), (2.0 + k % 10 * 0.8).alias("y"), F.when(k % 2 == 0, "+x").otherwise("-y").alias("side"))
+    c = mask(spark, sf_dir).select("room", "ix", "iy", (F.col("ix") >= 20).alias("floor"), (F.col("ix") < 20).alias("solid"), F.lit(True).alias("inside"), (F.lit(1.5) + F.col("iy") % 4 * 0.3).alias("top"))
+    return Y.cabinet_rows(d, c, "room", 0.25)
 
 
 @query()
+def partition_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Straight lines of tall cells; a test has a room with known walls."""
+    return Y.partitions(P.opened(mask(spark, sf_dir), "room", P.CROSS), "room", 0.25, thickest=1.0)
+
+
+@query(f"""WITH RECURSIVE {MASK}, n AS (SELECT * FROM c WHERE (ix + iy) % 3 > 0), {JOINED}, z AS (SELECT room, root, count(*) AS m, count(*) FILTER (iy % 4 = 0) AS low FROM k GROUP BY room, root)
+SELECT k.room, k.ix, k.iy FROM k JOIN z ON k.room = z.room AND k.root = z.root WHERE m * 0.0625 >= 0.5 AND low >= 2 AND low >= 0.2 * m""")
+def supported_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of a thinned mask that are large enough and stand on enough cells."""
+    m = mask(spark, sf_dir).where("(ix + iy) % 3 > 0")
+    return P.kept_components(m, "room", C.components, 0.5, 0.25, support=m.where("iy % 4 = 0"), least_support=2, least_share=0.2)
+
+
+@query("""SELECT vec_id, CAST(vec_id % 64 AS INTEGER) AS shift, true AS sure FROM embeddings""")
 def ring_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked circular correlation of each vector with itself turned by a known shift, which it must find."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
@@ -315,8 +355,7 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: the events as a stream, in hourly windows; every batch's changed windows are appended, the last of each counts."""
     from sightline.streaming import log
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     static = table(spark, sf_dir, "events")
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -339,16 +378,24 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.event_sessions(table(spark, sf_dir, "events"), "6 hours", "1 day")
 
 
-@query("""WITH p AS (SELECT c_custkey AS panel, 0.6 + (c_custkey % 7) / 10.0 AS w, 1.0 AS d, 0.3 + (c_custkey % 23) / 10.0 AS h FROM customer),
-q AS (SELECT *, w - 0.008 AS r, least(0.05, (w - 0.016) / 6) AS i, h - 0.08 AS top, least(1.55, h - 0.6) AS split, h - 0.28 >= 0.3 AS door, h >= 1.9 AS tall FROM p),
-l AS (SELECT *, unnest(CASE WHEN door AND tall THEN [0.18, split + 0.03] WHEN door THEN [0.18] ELSE [] END) AS lo, unnest(CASE WHEN door AND tall THEN [split - 0.03, top] WHEN door THEN [top] ELSE [] END) AS hi FROM q)
-SELECT panel, 'plinth' AS part, round(CAST(r AS DOUBLE), 6) AS s1, CAST(0 AS DOUBLE) AS z0, CAST(0.1 AS DOUBLE) AS z1 FROM q UNION ALL SELECT panel, 'body', round(CAST(r AS DOUBLE), 6), 0.1, round(CAST(h AS DOUBLE), 6) FROM q
-UNION ALL SELECT panel, 'door', round(CAST(r - i AS DOUBLE), 6), round(CAST(lo AS DOUBLE), 6), round(CAST(hi AS DOUBLE), 6) FROM l
-UNION ALL SELECT panel, 'handle', round(CAST(r - i - 0.04 AS DOUBLE), 6), round(CAST(least(greatest((lo + hi) / 2, lo + 0.1), hi - 0.1) - 0.09 AS DOUBLE), 6), round(CAST(least(greatest((lo + hi) / 2, lo + 0.1), hi - 0.1) + 0.09 AS DOUBLE), 6) FROM l""")
+@query("""WITH p AS (SELECT c_custkey AS panel, CAST(c_custkey % 50 AS DOUBLE) AS x, CAST(c_custkey % 30 AS DOUBLE) AS y, CAST(0.6 + c_custkey % 7 * 0.1 AS DOUBLE) AS w, CAST(0.8 + c_custkey % 3 * 0.2 AS DOUBLE) AS d, CAST(0.3 + c_custkey % 23 * 0.1 AS DOUBLE) AS h, c_custkey % 4 AS f FROM customer),
+q AS (SELECT *, least(0.05, (w - 0.016) / 6) AS i, CASE WHEN h >= 1.9 THEN least(1.55, h - 0.6) END AS m, h - 0.08 AS top FROM p),
+l AS (SELECT *, unnest(CASE WHEN top - 0.2 < 0.3 THEN [] WHEN m IS NULL THEN [0.18] ELSE [0.18, m + 0.03] END) AS lo, unnest(CASE WHEN top - 0.2 < 0.3 THEN [] WHEN m IS NULL THEN [top] ELSE [m - 0.03, top] END) AS hi FROM q),
+b AS (SELECT panel, 'plinth' AS part, x, y, w, d, f, 0.008 AS s0, w - 0.008 AS s1, 0.04 AS n0, d AS n1, 0.0 AS z0, 0.1 AS z1 FROM q UNION ALL SELECT panel, 'body', x, y, w, d, f, 0.008, w - 0.008, 0, d, 0.1, h FROM q
+ UNION ALL SELECT panel, 'door', x, y, w, d, f, 0.008 + i, w - 0.008 - i, -0.012, 0, lo, hi FROM l
+ UNION ALL SELECT panel, 'handle', x, y, w, d, f, w - 0.078 - i, w - 0.048 - i, -0.037, -0.012, least(greatest((lo + hi) / 2, lo + 0.1), hi - 0.1) - 0.09, least(greatest((lo + hi) / 2, lo + 0.1), hi - 0.1) + 0.09 FROM l),
+c AS (SELECT panel, part, z0, z1, CASE f WHEN 0 THEN [x + s0, x + s1, y + n0, y + n1] WHEN 1 THEN [x + d - n1, x + d - n0, y + s0, y + s1] WHEN 2 THEN [x + w - s1, x + w - s0, y + d - n1, y + d - n0] ELSE [x + n0, x + n1, y + w - s1, y + w - s0] END AS v FROM b)
+SELECT panel, part, round(v[1], 3) AS xa, round(v[2], 3) AS xb, round(v[3], 3) AS ya, round(v[4], 3) AS yb, round(z0, 6) AS z0, round(z1, 6) AS z1 FROM c""")
 def cabinet_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels that look to each of the four sides, the first by default."""
     k = F.col("c_custkey")
-    p = table(spark, sf_dir, "customer").select(k.alias("panel"), (0.6 + (k % 7) / 10).alias("width"), F.lit(1.0).alias("depth"), (0.3 + (k % 23) / 10).alias("height"))
-    return Y.cabinet_parts(p).select("panel", "part", *(F.round(c, 6).alias(c) for c in ("s1", "z0", "z1")))
+    p = table(spark, sf_dir, "customer").select(k.alias("panel"), (k % 50).cast("double").alias("x"), (k % 30).cast("double").alias("y"), (0.6 + k % 7 * 0.1).alias("w"), (0.8 + k % 3 * 0.2).alias("d"), (0.3 + k % 23 * 0.1).alias("height"), (k % 4).alias("f"))
+    across, deep = (F.when(F.col("f") % 2 == 0, F.col(a)).otherwise(F.col(b)) for a, b in (("w", "d"), ("d", "w")))
+    x, y, xb, yb = F.col("x"), F.col("y"), F.col("x") + across, F.col("y") + deep
+    ring = F.array(F.array(x, y), F.array(xb, y), F.array(xb, yb), F.array(x, yb))
+    fx, fy = F.when(F.col("f") == 1, 1).when(F.col("f") == 2, 0).when(F.col("f") == 3, -1), F.when(F.col("f") == 2, 1).when(F.col("f") > 0, 0)
+    out = Y.cabinet_parts(p.select("panel", ring.alias("ring"), "height", fx.alias("fx"), fy.alias("fy")))
+    return out.select("panel", "part", *(F.round(c, 3).alias(c) for c in ("xa", "xb", "ya", "yb")), F.round("z0", 6).alias("z0"), F.round("z1", 6).alias("z1"))
 
 
 @query("""WITH d AS (SELECT s_suppkey AS device, s_acctbal / 1000 AS x, CAST(s_suppkey % 9 AS DOUBLE) AS y, 1.5 AS z, s_suppkey % 3 AS place, 3 AS size FROM supplier)
@@ -368,7 +415,7 @@ def cell_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cell_window(b, 0.5, -1.0, 10.0, 40, 20).select("id", "c0", "c1", "r0", "r1")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EMPTY} SELECT room, ix, iy FROM h""")
 def unseen_pockets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enclosed cells that the mask lacks; the holes of the flood-fill test."""
     return P.pockets(mask(spark, sf_dir), "room", C.components)

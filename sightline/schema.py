@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: Kinds, those that recur, states, results and sources of log entries.
 KINDS = ("inspection", "secondary_injection_test", "trip_test", "firmware_update", "settings_change", "fault", "repair", "other")
 PERIODIC = ("inspection", "secondary_injection_test", "trip_test")
 STATUSES = ("open", "in_progress", "done")

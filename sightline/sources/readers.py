@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sightline.functions.expressions import zero_padded
 from sightline import schema as S
 
 
@@ -40,7 +41,7 @@ def with_scan_ids(images: DataFrame) -> DataFrame:
     key = F.transform("translation", lambda v: F.round(v, 2))
     seen = images.groupBy(key.alias("_k")).agg(F.min("ord").alias("_first"))
     # one row for each place: a site's cameras, so numbering them in one window is small
-    ids = seen.withColumn("n", F.row_number().over(Window.orderBy("_first")) - 1).select("_k", F.concat(F.lit("scan-"), F.lpad(F.col("n").cast("string"), 2, "0")).alias("scanPointId"))
+    ids = seen.withColumn("n", F.row_number().over(Window.orderBy("_first")) - 1).select("_k", F.concat(F.lit("scan-"), zero_padded(F.col("n"))).alias("scanPointId"))
     return images.withColumn("_k", key).join(ids, "_k").drop("_k")
 
 

@@ -21,14 +21,17 @@ def event_sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
             .agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n"))
 
 
-def upsert_batches(patches: DataFrame, base: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Apply a stream of patches (id, status, base, ts) to a stored log, batch by batch; each batch writes a new version
-    of the log under ``target``, named by its number, so a batch that is run again overwrites its own folder."""
+def upsert_batches(patches: DataFrame, base: str, devices: DataFrame, target: str, checkpoint: str, now: str, today: str) -> StreamingQuery:
+    """Apply a stream of patches (id, base, ts and the columns to set) to a stored log, batch by batch; each batch writes a
+    new version of the log under ``target``, named by its number, so a batch that is run again overwrites its own folder.
+    Of several patches of an id in a batch the latest counts."""
+    fields = [c for c in patches.columns if c not in ("id", "ts")]
+
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{target}/{number - 1}" if number else base)
-        latest = batch.groupBy("id").agg(F.max_by(F.struct("status", "base"), F.struct("ts", "base")).alias("p")).select("id", "p.*")
-        out = versioned_update(before, latest)
+        latest = batch.groupBy("id").agg(F.max_by(F.struct(*fields), F.struct("ts", "base")).alias("p")).select("id", "p.*")
+        out = versioned_update(before, latest, devices, now, today)
         out.where("outcome <> 'not_found'").drop("outcome").write.mode("overwrite").parquet(f"{target}/{number}")
 
     unique = patches.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["id", "base"])

@@ -71,15 +71,50 @@ def test_quarantine_and_create(spark):
     assert set(made) == {"1", "3"} and made["1"].nextDueAt == D("2027-09-01") and made["3"].nextDueAt is None and made["1"].version == 1
 
 
-def test_versions_and_conflicts(spark):
-    s = spark.createDataFrame([("a", "D", "open", 1), ("b", "D", "open", 3), ("c", "D", "open", 1)], "id string, instanceId string, status string, version int")
-    p = spark.createDataFrame([("a", "done", 1), ("b", "done", 1), ("z", "done", 1)], "id string, status string, base int")
-    out = M.versioned_update(s, p)
-    assert sorted(tuple(r) for r in out.where("outcome <> 'not_found'").collect()) == [("a", "D", "done", 2, "applied"), ("b", "D", "open", 3, "conflict"), ("c", "D", "open", 1, "kept")]
-    assert out.where("outcome = 'not_found'").first().id == "z"
-    assert tuple(M.conflicts(out, p).first()) == ("b", "open", 3, "done", 1)
-    again = M.versioned_update(out.where("outcome <> 'not_found'").drop("outcome"), p.where("id = 'a'"))
-    assert again.where("id = 'a'").first().outcome == "conflict"
+ENTRY = ("id string, instanceId string, kind string, status string, title string, performedAt date, performedBy string, findings string, result string, nextDueAt date, "
+         "source string, version int, createdAt timestamp, updatedAt timestamp")
+MADE = dt.datetime(2026, 1, 1)
+
+
+def stored_entry(i, dev="DEV-1", kind="inspection", status="done", done="2026-09-01", result="ok", due="2027-09-01", version=1):
+    return i, dev, kind, status, "check", done and D(done), "Ann", "", result, due and D(due), "field-app", version, MADE, MADE
+
+
+def test_full_updates(spark):
+    s = spark.createDataFrame([stored_entry("a", kind="fault", status="open", done=None, result=None, due=None), stored_entry("b", version=3), stored_entry("c"), stored_entry("d"), stored_entry("e"),
+                               stored_entry("f", dev="GONE"), stored_entry("g"), stored_entry("h")], ENTRY)
+    p = [("a", 1, "done", "2026-10-03", "ok", "HMI replaced", "DEV-2", None, None), ("b", 1, None, None, None, "stale", None, None, None), ("d", 1, None, "2999-01-01", None, None, None, None, None),
+         ("e", 1, None, "2026-09-20", None, None, None, ["nextDueAt"], None), ("f", 1, None, None, None, "x", None, None, None), ("g", 1, None, None, None, None, None, ["result"], None),
+         ("h", 1, None, None, None, None, None, None, "2026-08-01"), ("z", 1, "done", None, None, None, None, None, None)]
+    patches = spark.createDataFrame([(*r[:3], r[3] and D(r[3]), *r[4:8], r[8] and D(r[8])) for r in p],
+                                    "id string, base int, status string, performedAt date, result string, findings string, instanceId string, clear array<string>, nextDueAt date")
+    devices = spark.createDataFrame([("DEV-1", 12), ("DEV-2", 6)], "id string, maintenanceIntervalMonths int")
+    out = M.versioned_update(s, patches, devices, "2026-10-03 12:00:00", "2026-10-03")
+    got = {r.id: r for r in out.collect()}
+    assert {i: r.outcome for i, r in got.items()} == {"a": "applied", "b": "conflict", "c": "kept", "d": "invalid", "e": "applied", "f": "unknown_device", "g": "invalid", "h": "invalid", "z": "not_found"}
+    a, e = got["a"], got["e"]
+    assert (a.version, a.status, a.findings, a.instanceId, a.createdAt, a.updatedAt) == (2, "done", "HMI replaced", "DEV-1", MADE, dt.datetime(2026, 10, 3, 12)) and a.nextDueAt is None
+    assert e.nextDueAt == D("2027-09-20") and e.performedAt == D("2026-09-20")  # due anew, one interval after the new date
+    assert all(got[i].version == v and got[i].updatedAt == MADE and got[i].findings == "" for i, v in (("b", 3), ("c", 1), ("d", 1), ("f", 1)))
+    c = M.conflicts(out, patches)
+    assert [(r.id, r.version, r.findings) for r in M.resolved(c, "stored").collect()] == [("b", 3, "")]
+    again = M.resolved(c, "mine")
+    assert [(r.id, r.base, r.findings) for r in again.collect()] == [("b", 3, "stale")]
+    after = M.versioned_update(out.where("outcome <> 'not_found'").drop("outcome"), again, devices, "2026-10-03 13:00:00", "2026-10-03")
+    assert [(r.version, r.findings, r.outcome) for r in after.where("id = 'b'").collect()] == [(4, "stale", "applied")]
+    with pytest.raises(ValueError):
+        M.resolved(c, "both")
+
+
+def test_seed_history_is_valid_and_fixed(spark):
+    d = spark.createDataFrame([("R1", "overdue"), ("R2", "open-fault"), ("R3", "empty"), ("R4", "ok"), ("R5", "ok-firmware")], "id string, profile string")
+    h = M.seed_history(d)
+    got = {r.id: (str(r.performedAt), str(r.nextDueAt), r.version, r.source, r.createdAt) for r in h.collect()}
+    assert len(got) == 7 and got["seed-R1-1"] == ("2025-06-10", "2026-06-10", 1, "seed", dt.datetime(2025, 6, 10, 8)) and got["seed-R2-2"][0] == "None" and got["seed-R2-2"][4] == dt.datetime(2026, 9, 28, 8)
+    text = h.withColumn("performedAt", F.col("performedAt").cast("string")).withColumn("nextDueAt", F.col("nextDueAt").cast("string"))
+    assert M.validate(text, "2026-10-03").where("not valid").count() == 0
+    ids = [r.id for r in M.create(h.drop("id", "version", "createdAt", "updatedAt"), spark.createDataFrame([(f"R{k}", 12) for k in range(1, 6)], "id string, maintenanceIntervalMonths int"), "2026-10-03 00:00:00").collect()]
+    assert len(set(ids)) == 7 and all(len(i) == 36 for i in ids)
 
 
 def test_seed_refresh(spark):
@@ -205,11 +240,90 @@ def test_suppression_and_leaders(spark):
 
 
 def test_constrained_clusters(spark):
-    f = "site long, id long, scan long, yaw double, pitch double, x double, y double, z double"
-    rows = [(0, 1, 1, 0.0, 0.0, 0.0, 0.0, 0.0), (0, 2, 1, 1.0, 0.0, 0.5, 0.0, 0.0), (0, 3, 1, 20.0, 0.0, 0.1, 0.0, 0.0), (0, 4, 2, 0.0, 0.0, 0.05, 0.0, 0.0)]
+    """Detections of one image further apart than the angle never meet; those of two images of a scan may."""
+    f = "site long, id long, scan long, image long, yaw double, pitch double, x double, y double, z double"
+    rows = [(0, 1, 1, 1, 0.0, 0.0, 0.0, 0.0, 0.0), (0, 2, 1, 1, 1.0, 0.0, 0.5, 0.0, 0.0), (0, 3, 1, 1, 20.0, 0.0, 0.1, 0.0, 0.0), (0, 4, 2, 2, 0.0, 0.0, 0.05, 0.0, 0.0)]
     got = {r.id: r for r in C.constrained(spark.createDataFrame(rows, f), "site").collect()}
-    assert got[1].cluster == got[2].cluster == got[4].cluster == 1 or got[3].cluster == got[4].cluster
-    assert got[1].cluster != got[3].cluster and got[1].refused >= 1
+    assert got[1].cluster == got[2].cluster == got[4].cluster == 1 != got[3].cluster and got[3].refused == 2
+    other = [(*r[:3], 9 if r[1] == 3 else r[3], *r[4:]) for r in rows]  # the same with detection 3 in another image of its scan
+    got = {r.id: r for r in C.constrained(spark.createDataFrame(other, f), "site").collect()}
+    assert len({r.cluster for r in got.values()}) == 1 and got[3].refused == 0
+
+
+def test_clusters_that_become_devices(spark):
+    m = spark.createDataFrame([(0, "a", 0.9, True, "t", True), (0, "a", 0.5, False, None, True), (0, "b", 0.8, True, "t", True), (0, "b", 0.9, True, "u", True), (0, "c", 0.7, False, "t", True), (0, "d", 0.99, True, None, False), (0, "d", 0.4, False, None, False)],
+                              "site long, cluster string, conf double, auto boolean, type string, placed boolean")
+    assert [(r.cluster, r.autos, r.n, r.place) for r in G.eligible(m, "site", "t").orderBy("place").collect()] == [("d", 1, 2, 1), ("a", 1, 2, 2)]
+    assert tuple(G.register_stats(m).first()) == (7, 4, 4, 3, 3, 1)
+
+
+def test_numbers_go_on_from_the_largest(spark):
+    old = spark.createDataFrame([("s", 3), ("s", 99)], "site string, number int")
+    new = spark.createDataFrame([("s", 1, None, 9.0), ("s", 2, 1.4, 5.0), ("s", 3, None, 1.0), ("s", 4, 0.6, 4.0), ("s", 5, -0.5, 7.0), ("s", 6, -3.0, 0.0)], "site string, place int, x double, y double")
+    got = {r.place: r.label for r in G.renumbered(new, old, 7, "site").collect()}
+    # -0.5 rounds up to 0; 0.6 and 1.4 to 1, where y decides; unplaced ones last, strongest first; the sixth finds no room
+    assert got == {5: "REL-100", 4: "REL-101", 2: "REL-102", 1: "REL-103", 3: "REL-104"}
+
+
+def plain_angle(a, b):
+    v = lambda y, p: np.array([np.sin(y) * np.cos(p), np.cos(y) * np.cos(p), np.sin(p)])
+    return float(np.degrees(np.arccos(np.clip(v(*np.radians(a)) @ v(*np.radians(b)), -1, 1))))
+
+
+def test_directions_meet_by_cells(spark):
+    """Against all pairs, at the wrap and at the poles too."""
+    rng = random.Random(5)
+    d = [(rng.randrange(2), k, rng.choice([rng.uniform(-180, 180), 179.9, -179.9, 0.0]), rng.choice([rng.uniform(-90, 90), 89.5, -90.0, 88.0])) for k in range(150)]
+    v = [(rng.randrange(2), k, rng.choice([0.0, 1.0, 3.0, 12.0]), rng.choice([rng.uniform(-180, 180), -180.0, 179.5]), rng.choice([rng.uniform(-90, 90), 90.0, 85.0, -88.5])) for k in range(120)]
+    got = L.within_tolerance(spark.createDataFrame(d, "scan long, id long, yaw double, pitch double"), spark.createDataFrame(v, "scan long, device long, tol double, vyaw double, vpitch double"))
+    want = {(i, j) for s, i, y, p in d for t, j, tol, vy, vp in v if s == t and plain_angle((y, p), (vy, vp)) <= tol}
+    rows = [(r.id, r.device) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 200
+
+
+def test_earlier_devices_by_place_else_by_anchor(spark):
+    """Both with a place: only the distance counts. Else any anchor; the first free cluster in order wins."""
+    anchors = "array<struct<scan:long,yaw:double,pitch:double>>"
+    old = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, [(1, 10.0, 0.0)], 3.0), (0, 2, None, None, None, [(1, 50.0, 0.0), (2, 0.0, 0.0)], 3.0), (0, 3, 5.0, 0.0, 0.0, [(1, 90.0, 0.0)], 3.0)], f"site long, a long, x double, y double, z double, anchors {anchors}, tol double")
+    new = spark.createDataFrame([(0, 1, 9.0, 0.0, 0.0, [(1, 10.0, 0.0)]), (0, 2, 0.2, 0.0, 0.2, [(1, 99.0, 0.0)]), (0, 3, 1.0, 1.0, 1.0, [(2, 2.0, 0.0)]), (0, 4, None, None, None, [(1, 91.0, 0.0), (1, 51.0, 0.0)])], f"site long, b long, x double, y double, z double, members {anchors}")
+    p = G.same_devices(old, new)
+    assert {(r.a, r.b) for r in p.collect()} == {(1, 2), (2, 3), (2, 4), (3, 4)}
+    assert {(r.a, r.b) for r in G.greedy_match(p, first_free=True).collect()} == {(1, 2), (2, 3), (3, 4)}
+
+
+def test_floor_devices_keep_ids_of_close_ones(spark):
+    old = spark.createDataFrame([("s", 4, 0.0, 0.0, 0.0), ("s", 7, 1.0, 0.0, 0.0)], "site string, a long, x double, y double, z double")
+    new = spark.createDataFrame([("s", 1, 0.15, 0.0, 0.0), ("s", 2, 0.05, 0.0, 0.0), ("s", 3, 1.0, 0.0, 0.21), ("s", 5, 3.0, 1.0, 0.0), ("s", 6, 3.0, 0.5, 0.0)], "site string, b long, x double, y double, z double")
+    pairs = G.close_pairs(old, new, "site")
+    m = G.greedy_match(pairs.select(F.lit(0).alias("site"), "a", "b", "dist"), first_free=False).select(F.lit("s").alias("site"), "a", "b")
+    got = G.stable_ids(new, m, old, order=(F.desc("x"), "y", "z"))
+    assert sorted((r.device, r.state) for r in got.collect()) == [(4, "seen"), (7, "missing"), (8, "seen"), (9, "seen"), (10, "seen"), (11, "seen")]
+    assert [(r.a, r.b) for r in m.collect()] == [(4, 2)]
+
+
+def test_ray_samples_against_a_loop(spark):
+    rng = random.Random(7)
+    rows = [(s, d, d % 3 == 0, o, s * 1000 + d * 10 + o, rng.randrange(12)) for s in range(3) for d in range(30) for o in range(rng.randrange(1, 5))]
+    want = set()
+    for s in range(3):
+        taken, out = set(), []
+        for d in sorted({r[1] for r in rows if r[0] == s}, key=lambda d: (d % 3 != 0, d)):
+            for r in sorted(r for r in rows if r[:2] == (s, d)):
+                if r[5] not in taken and len(out) < 8:
+                    taken.add(r[5])
+                    out.append((s, d, r[4], r[5], len(out) + 1))
+                    break
+        want |= set(out)
+    df = spark.createDataFrame(rows, "site long, device long, stacked boolean, ord long, id long, scan long")
+    assert {tuple(r) for r in C.sampled_stacks(df, "site").collect()} == want
+
+
+def test_headers_pair_with_points(spark):
+    h = spark.createDataFrame([("s", 1, 0.0, 0.0, 0.0), ("s", 2, 5.0, 0.0, 0.0), ("t", 3, 0.0, 0.0, 0.0), ("t", 4, 0.5, 0.0, 0.0)], "site string, header long, hx double, hy double, hz double")
+    p = spark.createDataFrame([("s", 1, 0.05, 0.0, 0.0), ("s", 2, 5.0, 0.01, 0.0), ("t", 3, 0.2, 0.0, 0.0)], "site string, point long, x double, y double, z double")
+    pairs = L.nearest_pairing(h, p)
+    assert {(r.header, r.point, r.unique, r.sure) for r in pairs.collect()} == {(1, 1, True, True), (2, 2, True, True), (3, 3, False, False), (4, 3, False, False)}
+    assert {(r.site, r.paired, r.headers, r.points, r.passed) for r in L.pairing_gate(pairs, h, p).collect()} == {("s", 2, 2, 2, True), ("t", 2, 2, 1, False)}
 
 
 def test_device_aggregate(spark):

@@ -1,5 +1,6 @@
 """Clouds, grids, layout, sources, sinks and streams."""
 
+import datetime
 import json
 import os
 import random
@@ -97,8 +98,140 @@ def test_rectangles_and_contours(grid):
 
 
 def test_known_rectangle(spark):
-    df = spark.createDataFrame([(1, [[0.0, 0.0], [2.0, 0.0], [2.0, 1.0], [0.0, 1.0]]), (2, [[0.0, 0.0], [2.0, 0.0], [2.0, 1.0], [0.5, 1.0]])], "id int, ring array<array<double>>")
-    assert [r[0] for r in df.select(Y.is_rectangle(F.col("ring"))).collect()] == [True, False]
+    rings = [[(0, 0), (2, 0), (2, 1), (0, 1)], [(0, 0), (2, 0.1), (2, 1), (0, 1)], [(0, 0), (2, 1), (2, 0), (0, 1)], [(0, 0), (2, 0), (2, 1), (1, 1), (1, 2), (0, 2)]]
+    df = spark.createDataFrame([(k, [[float(v) for v in p] for p in r]) for k, r in enumerate(rings)], "id int, ring array<array<double>>")
+    got = [r[0] for r in df.orderBy("id").select(Y.as_rectangle(F.col("ring"))).collect()]
+    assert tuple(got[0]) == (0.0, 0.0, 2.0, 1.0) and got[1:] == [None, None, None]  # a slanted side, a bow tie, six corners
+
+
+def test_a_cabinet_stands_in_its_footprint(spark):
+    ring = [[0.0, 0.0], [0.8, 0.0], [0.8, 1.0], [0.0, 1.0]]
+    df = spark.createDataFrame([(1, ring, 2.2, -1, 0), (2, ring, 2.2, None, None), (3, ring, 0.5, 1, 0), (4, ring[:3], 2.2, 1, 0), (5, ring, 1.0, 0, 1)], "panel int, ring array<array<double>>, height double, fx int, fy int")
+    parts = {}
+    for r in Y.cabinet_parts(df).collect():
+        parts.setdefault((r.panel, r.part), []).append(r)
+    body, doors = parts[1, "body"][0], parts[1, "door"]
+    assert (body.xa, body.xb, body.ya, body.yb, body.z0, body.z1) == (0.0, 0.8, 0.008, 0.992, 0.1, 2.2)
+    assert len(doors) == 2 and all(d.xb == 0 and d.xa == -0.012 and body.ya < d.ya < d.yb < body.yb for d in doors) and doors[0].z1 < doors[1].z0
+    assert all(h.xb == -0.012 and h.yb < 0.2 for h in parts[1, "handle"])  # at the right, seen from the aisle
+    assert parts[2, "door"][0].ya == -0.012 and parts[2, "handle"][0].xa > 0.6 and parts[5, "door"][0].yb == 1.012 and len(parts[5, "door"]) == 1
+    assert (3, "door") not in parts and parts[3, "plinth"][0].xb == pytest.approx(0.76) and not any(k[0] == 4 for k in parts)
+
+
+def test_first_hit_is_the_median_of_its_points(spark):
+    rng = random.Random(1)
+    rays = spark.createDataFrame([(1, 0.0, 0.0, 1.5, 0.0, 1.0, 0.0), (2, 0.0, 0.0, 1.5, 1.0, 0.0, 0.0)], "ray long, ox double, oy double, oz double, dx double, dy double, dz double")
+    near = [(2.0 + 0.01 * k, rng.uniform(-0.02, 0.02), 1.5 + rng.uniform(-0.02, 0.02)) for k in range(9)]
+    rows = [(1, t, x, t, z) for t, x, z in near] + [(1, 1.0, 0.0, 1.0, 1.5), (1, 5.0, 0.0, 5.0, 1.5)] + [(2, 9.0 + k / 1000, 9.0 + k / 1000, 0.0, 1.5) for k in range(20)]
+    got = P.first_hit(spark.createDataFrame(rows, "ray long, t double, x double, y double, z double"), rays).collect()
+    r = got[0]
+    mid = [float(np.median([p[k] for p in near if p[0] <= 2.09])) for k in (1, 0, 2)]
+    dense = [t for t, *_ in near if sum(abs(t - s) <= 0.05 + 1e-12 for s, *_ in near) >= 8]
+    want = [p for p in near if abs(p[0] - dense[0]) <= 0.05 + 1e-12]
+    mid = [float(np.median([p[k] for p in want])) for k in (1, 0, 2)]
+    assert len(got) == 1 and r.ray == 1 and np.allclose([r.x, r.y, r.z], mid) and r.t == pytest.approx(mid[1]) and r.support == len(want)
+    assert r.spread == pytest.approx(float(np.median([np.linalg.norm(np.array([x, t, z]) - mid) for t, x, z in want])))
+
+
+def plain_floor(z, cameras, width=0.01):
+    lo, hi = np.percentile(z, 0.1) - 2 * width, np.percentile(z, 99.9) + 2 * width
+    n = int(np.ceil((hi + 0 - lo) / width)) - 1
+    h = np.zeros(n, int)
+    for v in z:
+        k = int(np.floor((v - lo) / width))
+        if 0 <= k < n:
+            h[k] += 1
+    s = [sum(h[max(0, k - 1) : k + 2]) for k in range(n)]
+    high = [k for k in range(1, n - 1) if s[k] >= s[k - 1] and s[k] >= s[k + 1]]
+    mid = lambda k: lo + (k + 0.5) * width
+    under = [k for k in high if 0.8 <= np.median(cameras) - mid(k) <= 2.2]
+    pick = max(under, key=lambda k: s[k]) if under else min(k for k in high if s[k] >= 0.25 * max(s))
+    return float(np.median([v for v in z if abs(v - mid(pick)) <= 3 * width])), s
+
+
+def test_floor_under_the_cameras(spark):
+    """A weak floor below the cameras wins over a strong table or ceiling; without cameras the lowest strong level."""
+    rng = np.random.default_rng(5)
+    z = np.concatenate([rng.normal(0.0, 0.01, 300), rng.normal(0.75, 0.01, 2000), rng.normal(2.6, 0.01, 4000), rng.uniform(-0.5, 3, 500)])
+    points = spark.createDataFrame([("a", float(v)) for v in z] + [("b", float(v)) for v in z], "room string, z double")
+    cameras = spark.createDataFrame([("a", 1.5), ("a", 1.45), ("a", 9.0)], "room string, camera_z double")
+    got = {r.room: r.floor_z for r in P.floor_level(points, cameras, "room").collect()}
+    assert got["a"] == pytest.approx(plain_floor(z, [1.5, 1.45, 9.0])[0], abs=1e-9) and abs(got["a"]) < 0.01
+    assert got["b"] == pytest.approx(plain_floor(z, [99.0])[0], abs=1e-9) and abs(got["b"] - 0.75) < 0.01
+
+
+def test_percentiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    v = {"a": rng.normal(size=501).round(2), "b": np.array([3.0]), "c": np.array([1.0, 1.0, 1.0]), "d": np.r_[np.zeros(400), 1e9, rng.uniform(0, 1e-3, 50)]}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in v.items() for x in xs] + [("a", None)], "k string, v double")
+    at = (0.0, 0.001, 0.25, 0.5, 0.995, 1.0)
+    for r in P.percentiles(df, "k", "v", at).collect():
+        assert np.allclose(list(r)[1:], np.percentile(v[r.k], [100 * q for q in at]))
+
+
+def test_the_cylinder_has_an_open_edge(spark):
+    rays = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "ray long, site long, ox double, oy double, oz double, dx double, dy double, dz double")
+    points = spark.createDataFrame([(1, 0, 1.0, 0.03, 0.0), (2, 0, 1.0, 0.0299, 0.0), (3, 0, 0.4, 0.0, 0.0), (4, 0, 10.5, 0.0, 0.0)], "pid long, site long, x double, y double, z double")
+    assert {r.pid for r in P.cylinder_hits(rays, points).collect()} == {2, 3}
+
+
+def test_clouds_move_to_the_world(spark):
+    h = 0.5**0.5  # a quarter turn about z
+    poses = spark.createDataFrame([("s", h, 0.0, 0.0, h, 10.0, 0.0, 1.0)], "scan string, qw double, qx double, qy double, qz double, tx double, ty double, tz double")
+    rows = [("s", 1, 1.0, 0.0, 0.5, None, None, None, None), ("s", 2, None, None, None, 2.0, 0.0, float(np.pi / 6), 0), ("s", 3, 1.0, 0.0, 0.5, None, None, None, 1), ("t", 4, 1.0, 0.0, 0.5, None, None, None, 0)]
+    df = spark.createDataFrame(rows, "scan string, ord long, x double, y double, z double, range double, azimuth double, elevation double, invalid int")
+    got = {v.ord: v for v in P.cloud_to_world(df, poses).collect()}
+    r, polar = got[1], got[2]
+    assert set(got) == {1, 2} and np.allclose([polar.x, polar.y, polar.z], [10.0, 3**0.5, 2.0])
+    assert np.allclose([r.x, r.y, r.z], [10.0, 1.0, 1.5])
+
+
+def test_components_that_stand_on_something(spark, grid):
+    cells, df = grid
+    low = {c for c in cells if c[1] % 3 == 0}
+    got = {(r.ix, r.iy) for r in P.kept_components(df, "room", C.components, 2.0, 0.5, support=df.where("iy % 3 = 0"), least_support=4, least_share=0.3).collect()}
+    want = {c for comp in flood(cells, FOUR) if len(comp) * 0.25 >= 2.0 and len(low & set(comp)) >= max(4, 0.3 * len(comp)) for c in comp}
+    assert got == want and want
+
+
+def test_straightened_rings(spark):
+    ring = np.array([(0, 0), (10, 0), (10, 5), (9.8, 5), (9.8, 8), (0, 8)], float)
+    q = Y.straightened(ring, 0.5)
+    assert len(q) == 4 and abs(Y.area_of(q)) == pytest.approx(8 * (10 * 5 + 9.8 * 3) / 8)
+    assert (Y.straightened(ring, 0.1) == ring).all()
+    cells = spark.createDataFrame([(0, x, y) for x in range(20) for y in range(10) if (x, y) != (19, 9)] + [(0, 40, 40)], "room long, ix long, iy long")
+    got = Y.contours(cells, "room", size=0.1, least_edge=0.3, step=0.05, least_area=0.05).collect()
+    assert [(r.corners, round(r.area, 2)) for r in got] == [(4, 2.0)] or [(r.corners) for r in got] == [4]
+    assert len(Y.contours(cells, "room").collect()) == 2
+
+
+def test_walls_against_a_loop(grid):
+    cells, df = grid
+    want = set()
+    for axis, at in (("x", lambda line, v: (v, line)), ("y", lambda line, v: (line, v))):
+        for line in range(-1, 15):
+            v = 0
+            while v < 15:
+                end = v
+                while at(line, end) in cells:
+                    end += 1
+                if end - v >= 3:
+                    want.add((axis, line, v, end - 1))
+                v = end + 1
+    assert {(r.axis, r.line, r.start, r.end) for r in Y.walls(df, "room", 3).collect()} == want and want
+
+
+def test_a_partition_of_a_room(spark):
+    cells = [(0, x, y) for x in range(3, 23) for y in (10, 11)] + [(0, 40, y) for y in range(5, 9)] + [(0, x, y) for x in range(50, 62) for y in range(30, 42)]
+    got = Y.partitions(spark.createDataFrame(cells, "room long, ix long, iy long"), "room", 0.1).collect()
+    assert [(r.axis, *(round(r[c], 3) for c in ("x0", "x1", "y0", "y1"))) for r in got] == [("x", 0.3, 2.3, 1.025, 1.175)]  # a short line and a thick block are none
+
+
+def test_devices_face_the_floor(spark):
+    floor = [(0, x, y) for x in range(20, 40) for y in range(0, 20)]
+    d = spark.createDataFrame([(0, 1, 1.9, 1.0), (0, 2, 3.0, 2.1), (0, 3, 9.0, 9.0)], "site long, device long, x double, y double")
+    got = {r.device: (r.side, r.share) for r in P.facing(d, spark.createDataFrame(floor, "site long, ix long, iy long"), "site", 0.1).collect()}
+    assert got[1][0] == "+x" and got[2][0] == "-y" and got[3] == ("+x", 0.0)
 
 
 def test_shift_is_found(spark, sf):
@@ -114,11 +247,26 @@ def test_views_and_gaps(spark):
     assert [r.group for r in P.gap_groups(df, "k", "v", 0.5, "id").orderBy("v").collect()] == [0, 0, 1, 1, 2]
 
 
-def test_cabinet_rows(spark):
-    d = spark.createDataFrame([(0, 1, 1.0, 0.0), (0, 2, 1.1, 0.8), (0, 3, 1.05, 1.6), (0, 4, 3.0, 0.0)], "room long, id long, x double, y double")
-    o = spark.createDataFrame([(0, 10, k, 2.2) for k in range(-2, 19)], "room long, ix long, iy long, top double")
-    r = Y.cabinet_rows(d, o, "room").orderBy("row").collect()
-    assert [(v.devices, round(v.panel, 2)) for v in r] == [(3, 0.8), (1, 0.6)] and r[0].height == pytest.approx(2.2) and r[0].y0 == pytest.approx(-0.2) and r[0].y1 == pytest.approx(1.9)
+@pytest.mark.parametrize("side", ["+x", "-x", "+y", "-y"])
+def test_cabinet_rows(spark, side):
+    """A row 2.4 m long and 0.6 m deep before an aisle, the same in each direction."""
+    fx, fy = {s: (x, y) for s, x, y in P.SIDES}[side]
+    size = 0.1
+    turn = lambda u, s: (u * fx - s * fy, u * fy + s * fx)
+    cells = []
+    for i in range(-30, 40):  # along the side's axis: the row's body from -0.6 to 0, the aisle in front, floor behind
+        for k in range(-10, 50):
+            u, s = (i + 0.5) * size, (k + 0.5) * size
+            body = -0.6 < u < 0 and 0 < s < 2.4
+            x, y = turn(u, s)
+            cells.append((0, int(np.floor(x / size)), int(np.floor(y / size)), not body, body, True, 2.0 if body else None))
+    c = spark.createDataFrame(cells, "room long, ix long, iy long, floor boolean, solid boolean, inside boolean, top double")
+    at = [(1, 0.02, 0.4), (2, 0.0, 1.2), (3, 0.0, 1.22), (4, -0.01, 2.0)]
+    d = spark.createDataFrame([(0, i, *map(float, turn(u, s)), side) for i, u, s in at] + [(1, 9, 0.0, 0.0, side)], "room long, id long, x double, y double, side string")
+    got = Y.cabinet_rows(d, c, "room", size).orderBy("panel").collect()
+    assert {(r.room, r.side, r["row"], r.devices) for r in got} == {(0, side, 0, 4)}  # a room without cells has none
+    assert all(r.front == 0 and r.depth == pytest.approx(0.6) and r.height == pytest.approx(2.0) for r in got)
+    assert [(r.s0, r.s1) for r in got] == [(0.0, 0.8), (0.8, 1.6), (1.6, 2.4)]
 
 
 @pytest.fixture()
@@ -166,11 +314,15 @@ def test_sinks(spark, folder):
 
 
 def test_patch_stream_ends_where_the_batch_does(spark, folder):
-    base = spark.createDataFrame([(1, 7, "open", 1), (2, 7, "open", 1)], "id long, instanceId long, status string, version int")
+    at = datetime.datetime(2026, 1, 1)
+    day = datetime.date(2025, 12, 1)
+    base = spark.createDataFrame([(k, 7, "repair", "open", day, None, None, "field-app", 1, at, at) for k in (1, 2)],
+                                 "id long, instanceId long, kind string, status string, performedAt date, result string, nextDueAt date, source string, version int, createdAt timestamp, updatedAt timestamp")
     base.write.parquet(f"{folder}/base")
-    p = spark.createDataFrame([(1, "done", 1, "2026-01-01 00:00:00"), (1, "done", 1, "2026-01-01 00:00:00"), (2, "done", 5, "2026-01-01 01:00:00")], "id long, status string, base int, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    devices = spark.createDataFrame([(7, 12)], "id long, maintenanceIntervalMonths int")
+    p = spark.createDataFrame([(1, "done", "ok", 1, "2026-01-01 00:00:00"), (1, "done", "ok", 1, "2026-01-01 00:00:00"), (2, "done", "ok", 5, "2026-01-01 01:00:00")], "id long, status string, result string, base int, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
     p.write.parquet(f"{folder}/patches")
-    q = log.upsert_batches(log.read_stream(spark, f"{folder}/patches", p.schema), f"{folder}/base", f"{folder}/out", f"{folder}/check")
+    q = log.upsert_batches(log.read_stream(spark, f"{folder}/patches", p.schema), f"{folder}/base", devices, f"{folder}/out", f"{folder}/check", "2026-01-02 00:00:00", "2026-01-02")
     q.awaitTermination()
     last = max(int(n) for n in os.listdir(f"{folder}/out"))
     assert sorted((r.id, r.status, r.version) for r in spark.read.parquet(f"{folder}/out/{last}").collect()) == [(1, "done", 2), (2, "open", 1)]

@@ -1,10 +1,10 @@
-"""Loops that end early must say so or go on."""
+"""Loops that end early must say so or go on, and no plan may pair all rows with all."""
 
 import pytest
 
-from sightline.llm import simhash
 from sightline.operators import cluster as C
 from sightline.operators import layout as Y
+from sightline.plans import registry
 
 
 def test_rectangles_cover_a_mask_of_many_parts(spark):
@@ -13,8 +13,16 @@ def test_rectangles_cover_a_mask_of_many_parts(spark):
     assert len(got) == len(cells) > 1000 and {(r.ix0, r.iy0) for r in got} == {(x, y) for _, x, y in cells}
 
 
-@pytest.mark.parametrize("components", [C.components, simhash.components])
-def test_components_without_a_fixed_point_are_an_error(spark, components):
+def test_components_without_a_fixed_point_are_an_error(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
     with pytest.raises(RuntimeError, match="after 2 rounds"):
-        components(chain, rounds=2)
+        C.components(chain, rounds=2)
+
+
+def test_no_plan_has_a_nested_loop(spark, sf):
+    bad = {}
+    for name, f in registry.QUERIES.items():
+        plan = f(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        if "NestedLoop" in plan or "CartesianProduct" in plan:
+            bad[name] = plan
+    assert not bad, list(bad)
