@@ -2,27 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.sources.shared import shared_folder
-
-
-def _kept(df: DataFrame) -> tuple[DataFrame, str]:
-    """Cut the plan with files in the shared checkpoint folder of the session, so that a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+from sightline.sources.shared import forget, kept
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -32,15 +17,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     shorten by half and hubs stay single rows. Stops when nothing changes; an error if that isn't so after ``rounds``.
     """
     e = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    (e, path), before = _kept(e), None
+    (e, path), before = kept(e, "components"), None
     for _ in range(rounds):
         ends = e.unionByName(e.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = ends.groupBy("lo").agg(F.least(F.min("hi"), F.first("lo")).alias("m"))
         up = ends.join(least, "lo").where("hi > lo").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
         first = up.groupBy("hi").agg(F.min("lo").alias("m"))
         e = up.join(first, "hi").select("m", F.explode(F.array("lo", "hi")).alias("hi")).where("m <> hi").select(F.col("m").alias("lo"), "hi").distinct()
-        old, (e, path) = path, _kept(e)
-        _forget(e.sparkSession, old)
+        old, (e, path) = path, kept(e, "components")
+        forget(e.sparkSession, old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -293,18 +293,14 @@ def partitions(tall: DataFrame, room: str, size: float, least: float = 0.8, thic
     from sightline.operators.cluster import components
     from sightline.operators.spatial import grid_edges
 
-    out = None
-    for axis, line, along, low, high in (("x", "iy", "ix", "x", "y"), ("y", "ix", "iy", "y", "x")):
-        run = walls(tall, room, int(least / size)).where(F.col("axis") == axis)
-        lines = run.select(room, F.col("line").alias(line), F.explode(F.sequence("start", "end")).alias(along))
-        node = lines.withColumn("node", F.struct(room, "ix", "iy")).join(components(grid_edges(lines.select(room, "ix", "iy"), room, eight=False)), "node", "left")
-        one = node.groupBy(room, F.coalesce("root", "node").alias("root")).agg(F.min(along).alias("a"), F.max(along).alias("b"), F.min(line).alias("p"), F.max(line).alias("q"), F.percentile(line, 0.5).alias("mid"))
-        one = one.where((F.col("q") - F.col("p") + 1) * size <= thickest)
-        centre = (F.col("mid") + 0.5) * size
-        got = one.select(room, F.lit(axis).alias("axis"), (F.col("a") * size).alias(f"{low}0"), ((F.col("b") + 1) * size).alias(f"{low}1"),
-                         (centre - wall / 2).alias(f"{high}0"), (centre + wall / 2).alias(f"{high}1")).select(room, "axis", "x0", "x1", "y0", "y1")
-        out = got if out is None else out.unionByName(got)
-    return out
+    run = walls(tall, room, int(least / size)).select(room, "axis", "line", F.explode(F.sequence("start", "end")).alias("at"))
+    lines = run.select(F.struct(room, "axis").alias("key"), F.col("line").alias("ix"), F.col("at").alias("iy"))
+    node = lines.withColumn("node", F.struct("key", "ix", "iy")).join(components(grid_edges(lines, "key", eight=False)), "node", "left")
+    one = node.groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.min("iy").alias("a"), F.max("iy").alias("b"), F.min("ix").alias("p"), F.max("ix").alias("q"), F.percentile("ix", 0.5).alias("mid"))
+    one = one.where((F.col("q") - F.col("p") + 1) * size <= thickest).withColumn("centre", (F.col("mid") + 0.5) * size)
+    ends = {"0": (F.col("a") * size, F.col("centre") - wall / 2), "1": ((F.col("b") + 1) * size, F.col("centre") + wall / 2)}
+    flat = F.col("key.axis") == "x"
+    return one.select(f"key.{room}", "key.axis", *(F.when(flat, u if c == "x" else v).otherwise(v if c == "x" else u).alias(f"{c}{n}") for c in "xy" for n, (u, v) in ends.items()))
 
 
 def walls(cells: DataFrame, room: str, least: int) -> DataFrame:

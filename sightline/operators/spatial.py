@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import finite
+from sightline.sources.shared import kept
 
 
 def cell(x: Column | str, size: float) -> Column:
@@ -149,6 +150,7 @@ def histogram_peaks(df: DataFrame, value: str, width: float, by: str, share: flo
     """
     ends = percentiles(df, by, value, (0.001, 0.999)).toDF(by, "lo", "hi").withColumn("lo", F.col("lo") - margin * width)
     ends = ends.withColumn("bins", (F.ceil((F.col("hi") + margin * width - F.col("lo")) / width) - 1).cast("long"))
+    ends, _ = kept(ends, "ends")  # a row for each key
     all_ = ends.select(by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"), (F.col("lo") + (F.col("bin") + 0.5) * width).alias("mid"))
     at = F.floor((F.col(value) - F.col("lo")) / width).cast("long")
     n = df.select(by, value).join(ends, by).select(by, at.alias("bin")).groupBy(by, "bin").agg(F.count("*").alias("n"))
@@ -167,6 +169,7 @@ def floor_level(points: DataFrame, cameras: DataFrame, by: str, width: float = 0
     p = histogram_peaks(points, "z", width, by).where("high").join(top, by, "left").withColumn("below", F.col("camera_z") - F.col("mid"))
     seen = F.max_by("mid", F.when(F.col("below").between(low, high), F.struct("mean3", -F.col("bin"))))
     pick = p.groupBy(by).agg(F.coalesce(seen, F.min(F.when(F.col("peak"), F.col("mid")))).alias("z0"))
+    pick, _ = kept(pick, "levels")  # a row for each key
     near = points.join(pick, by).where(F.abs(F.col("z") - F.col("z0")) <= 3 * width)
     return percentiles(near, by, "z", (0.5,)).toDF(by, "floor_z")
 
