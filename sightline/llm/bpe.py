@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sightline.llm.common import as_batch, pieces, texts
+from sightline.llm.common import MEMORIES, as_batch, pieces, texts
 
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Beyond these scripts a chunk is looked at for characters that Unicode versions class differently.
@@ -92,14 +92,14 @@ class Vocabulary:
             self.merges.setdefault((left, right), rank)
             self.parts.setdefault(self.ids[a + b], (left, right, rank))
         self.symbols = byte_symbols()
-        #: Symbols of the longest token, and the longest by its last three symbols.
+        #: Symbols of the longest token, and by a token's last four symbols the lengths, longest first, that may end so.
         self.longest = max(map(len, self.ids))
-        self.reach: dict[str, int] = {}
+        lengths: dict[str, set[int]] = {}
         for s in self.ids:
             close = len(self.end) if self.end and s.endswith(self.end) else 0
-            if (n := len(s) - close) > 2:
-                tail = s[-3 - close :]
-                self.reach[tail] = max(n, self.reach.get(tail, 0))
+            if (n := len(s) - close) > 3:
+                lengths.setdefault(s[-4 - close :], {1, 2, 3}).add(n)
+        self.reach = {tail: tuple(sorted(n, reverse=True)) for tail, n in lengths.items()}
         self.fits: dict[tuple[int, int], bool] = {}
 
     def apart(self, a: int, b: int) -> bool:
@@ -188,8 +188,9 @@ class Trie:
             depth = len(work)  # symbols on the path, this one included
             leaf = isinstance(below, str)
             close = end if leaf else 0
-            most = reach.get(here[-3 - close:], 2)
-            for n in range(depth if depth < most else most, 0, -1):
+            for n in reach.get(here[-4 - close:], (3, 2, 1)):
+                if n > depth:
+                    continue
                 token = own.get(here[-n - close:])
                 if token is not None:
                     if n == depth:
@@ -206,7 +207,7 @@ class Trie:
             else:
                 last.append(token)
                 size.append(n)
-                work.append((here[-longest:], iter(below.items())))
+                work.append((here if depth < longest else here[-longest:], iter(below.items())))
 
 
 class Encoder:
@@ -318,7 +319,7 @@ class Encoder:
             new = every
         if new:
             self.learn(new)
-            self.forgets = any(len(c) > self.SHORT for c in new)
+            self.forgets = max(map(len, new)) > self.SHORT
         ids, text, special = self.seen.__getitem__, self.text.__getitem__, self.v.names
         for segs in cut:
             raw = b"".join([b"".join(map(ids, s)) if type(s) is list else int(s).to_bytes(4, "little") for s in segs])
@@ -353,6 +354,14 @@ def encoder(path: str, library: bool = False) -> Encoder:
     return LibraryEncoder(path, decode=False) if library else Encoder(path)
 
 
+def forget() -> None:
+    """Empty this worker's encoders."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+
+
+MEMORIES["bpe"] = forget
 OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
