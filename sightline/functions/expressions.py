@@ -125,6 +125,23 @@ def pinhole_direction(u: Column, v: Column, focal: Column, pixel: Column, cx: Co
     return x / n, y / n, z / n
 
 
+def pinhole_point(d: Vec, focal: Column, pixel: Column, cx: Column, cy: Column) -> tuple[Column, Column]:
+    """Image point of a camera-frame direction; null behind the camera."""
+    ahead = F.when(d[2] < 0, -d[2])
+    return cx + d[0] / ahead * focal / pixel, cy - d[1] / ahead * focal / pixel
+
+
+def turned_back(q: tuple[Column, Column, Column, Column], v: Vec) -> Vec:
+    """A vector turned by the inverse of a unit quaternion: from the world into the camera's frame."""
+    w, x, y, z = q
+    return rotate((w, -x, -y, -z), v)
+
+
+def equirect_direction(u: Column, v: Column, width: int, height: int) -> tuple[Column, Column]:
+    """(yaw, pitch) of a point of an equirectangular picture."""
+    return (u / width - 0.5) * 360, (0.5 - v / height) * 180
+
+
 def equirect_pixel(yaw: Column, pitch: Column, width: int, height: int) -> tuple[Column, Column]:
     return (yaw / 360 + 0.5) * width, (0.5 - pitch / 180) * height
 

@@ -158,6 +158,13 @@ def agreement(members: DataFrame) -> DataFrame:
     return per.withColumn("alone", F.count("*").over(Window.partitionBy("device")) == 1)
 
 
+def agreement_gate(per: DataFrame, clusters: DataFrame) -> DataFrame:
+    """One row: ``clusters`` in number, those with a device, distinct devices, and whether each cluster has its own."""
+    every = clusters.select("cluster", F.lit(None).cast(dict(per.dtypes)["device"]).alias("device")).unionByName(per.select("cluster", "device"))
+    one = every.agg(F.countDistinct("cluster").alias("clusters"), F.count("device").alias("mapped"), F.countDistinct("device").alias("devices"))
+    return one.withColumn("passed", (F.col("clusters") == F.col("mapped")) & (F.col("mapped") == F.col("devices")))
+
+
 def cross_check(hits: DataFrame, tri: DataFrame) -> DataFrame:
     """Ray hits against triangulated points (id, x, y, z): the hit where there is one, the other else, and their distance."""
     h, t = (d.select("id", *(F.col(c).alias(f"{n}{c}") for c in "xyz")) for n, d in (("h", hits), ("t", tri)))

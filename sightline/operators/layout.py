@@ -416,6 +416,48 @@ def cabinet_parts(panels: DataFrame) -> DataFrame:
     return p.select("panel", "part", tidy(F.least(*low)).alias("xa"), tidy(F.greatest(*low)).alias("xb"), tidy(F.least(*high)).alias("ya"), tidy(F.greatest(*high)).alias("yb"), "z0", "z1")
 
 
+def plan_bounds(points: DataFrame, by: str, width_px: int = 1000) -> DataFrame:
+    """Bounds of an approximate plan of each ``by``'s points (x, y), a metre around them on whole metres: (x0, x1, y0, y1),
+    metres in a pixel, and the picture's height. A group without places has no plan."""
+    ends = points.where("x is not null and y is not null").groupBy(by).agg(*(e for c in "xy" for e in ((F.floor(F.min(c)) - 1).alias(f"{c}0"), (F.ceil(F.max(c)) + 1).alias(f"{c}1"))))
+    mpp = (F.col("x1") - F.col("x0")) / width_px
+    return ends.withColumn("mpp", mpp).withColumn("height_px", half_up((F.col("y1") - F.col("y0")) / mpp).cast("long"))
+
+
+def grid_lines(bounds: DataFrame, by: str, step: int = 10) -> DataFrame:
+    """Lines every ``step`` metres across both axes of a plan: (by, axis, at, px), ``px`` the pixel where it lies."""
+    out = None
+    for axis in "xy":
+        lines = bounds.select(by, "x0", "y1", "mpp", F.lit(axis).alias("axis"), F.explode(F.sequence(F.ceil(F.col(f"{axis}0") / step) * step, F.floor(F.col(f"{axis}1") / step) * step, F.lit(step).cast("long"))).alias("at"))
+        px = (F.col("at") - F.col("x0")) / F.col("mpp") if axis == "x" else (F.col("y1") - F.col("at")) / F.col("mpp")
+        one = lines.select(by, "axis", "at", px.alias("px"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def reprojection(profiles: DataFrame, key: str) -> DataFrame:
+    """Whether a rendering lines up with its photograph: (key, yaw_shift, pitch_shift, ratio, mirrored, ok), in degrees.
+
+    ``profiles`` (key, render, photo, mirror: rings of edge strength by yaw; render_rows, photo_rows: by pitch, over 180
+    degrees). Neither shift may reach half a degree, the mirrored rendering may not fit more than a twentieth better, and
+    the peak must stand out by a tenth.
+    """
+    def one(r: tuple) -> tuple:
+        k, a, b, m, p, q = (np.array(x, float) if i else x for i, x in enumerate(r))
+        shift, peak, ratio = correlate(a, b)
+        pitch, _, _ = correlate(p, q)
+        signed = lambda s, n: (s - n if s > n / 2 else s)
+        yaw, rows = signed(shift, len(a)) * 360 / len(a), -signed(pitch, len(p)) * 180 / len(p)
+        mirrored = correlate(m, b)[1] > 1.05 * peak
+        return k, yaw, rows, ratio, mirrored, bool(abs(yaw) < 0.5 and abs(rows) < 0.5 and not mirrored and ratio > 1.1)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=[key, "yaw_shift", "pitch_shift", "ratio", "mirrored", "ok"])
+
+    chosen = profiles.select(key, "render", "photo", "mirror", "render_rows", "photo_rows")
+    return chosen.mapInPandas(lambda it: map(run, it), f"{key} long, yaw_shift double, pitch_shift double, ratio double, mirrored boolean, ok boolean")
+
+
 def badge_anchor(d: DataFrame, floor_z: float = 0.0, step: float = 0.34, out: float = 0.25, lift: float = 0.55) -> DataFrame:
     """Where a device's badge floats: in front of its cabinet, above it, stacked ones side by side.
 

@@ -59,12 +59,27 @@ def preferred_member(m: DataFrame, prefer: Column) -> DataFrame:
 
 
 def names(d: DataFrame) -> DataFrame:
-    """Display name and marker line of each device (device, location, variant, scans, confidence); without a location it
-    is unregistered."""
+    """Display name and lines of each device's marker (device, location, variant, scans, confidence, method, overdue,
+    openCount); without a location it is unregistered. Lines that don't apply are left out."""
     variant = F.when(F.col("variant") == "unknown", "615 series").otherwise(F.col("variant"))
     name = F.when(F.col("location").isNull(), "Unregistered relay · 615 series").otherwise(F.concat_ws(" · ", "location", variant))
-    seen = F.concat(F.lit("Seen from "), F.col("scans"), F.when(F.col("scans") == 1, " scan point").otherwise(" scan points"))
-    return d.select("device", name.alias("name"), F.concat(seen, F.lit(" · "), F.floor(F.col("confidence") * 100 + 0.5), F.lit("%")).alias("line"))
+    counted = lambda n, one: F.concat(n.cast("string"), F.lit(f" {one}"), F.when(n == 1, "").otherwise("s"))
+    seen = F.concat(F.lit("Seen from "), counted(F.col("scans"), "scan point"), F.lit(" · "), F.floor(F.col("confidence") * 100 + 0.5), F.lit("%"))
+    notices = F.when(F.col("openCount") > 0, counted(F.col("openCount"), "open notice"))
+    lines = F.array(name, seen, F.when(F.col("method") == "triangulation", "Position: triangulated"), F.when(F.col("overdue"), "Maintenance overdue"), notices)
+    return d.select("device", name.alias("name"), F.filter(lines, lambda x: x.isNotNull()).alias("lines"))
+
+
+def registered(instances: DataFrame, detections: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Devices of an approximate plan: each register entry with a position and a linked detection, with the entry's place.
+
+    ``instances`` (instance, type, x, y, z), ``detections`` (id, instance, scan, confidence, ord); of equal confidence the
+    earlier detection is the best.
+    """
+    m = detections.where("instance is not null").groupBy("instance").agg(
+        F.when(F.max("confidence") >= threshold, "auto").otherwise("review").alias("status"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda s: s["id"]).alias("ids"),
+        F.array_sort(F.collect_set("scan")).alias("scans"), F.max_by("id", F.struct("confidence", -F.col("ord"))).alias("best"), F.max("confidence").alias("conf_max"))
+    return instances.where("x is not null").join(m, "instance").withColumn("method", F.lit("triangulation")).withColumn("spread", F.lit(0.0))
 
 
 def unlocated(u: DataFrame, detections: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline import schema as S
 from sightline.functions.expressions import direction
 from sightline.operators import cluster as C
+from sightline.operators import gates
 from sightline.operators import link as L
 from sightline.operators import live as V
 from sightline.operators import maintenance as M
@@ -226,12 +227,28 @@ def preferred_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.preferred_member(members(spark, sf_dir), F.col("scan") == 3)
 
 
-@query(f"""WITH {MEM}, {LIVE} SELECT device, CASE WHEN device % 3 = 0 THEN 'Unregistered relay · 615 series' ELSE c_mktsegment || ' · ' || CASE WHEN device % 2 = 0 THEN '615 series' ELSE 'REF615' END END AS name,
- 'Seen from ' || members || CASE WHEN members = 1 THEN ' scan point' ELSE ' scan points' END || ' · ' || CAST(floor((device % 100) / 100.0 * 100 + 0.5) AS BIGINT) || '%' AS line FROM live JOIN customer ON c_custkey = device""")
+@query(f"""WITH {MEM}, {LIVE}, {A.DEV}, {A.ENT}, {A.STATUS} SELECT device, CASE WHEN device % 3 = 0 THEN 'Unregistered relay · 615 series' ELSE c_mktsegment || ' · ' || CASE WHEN device % 2 = 0 THEN '615 series' ELSE 'REF615' END END AS name,
+ concat_ws('|', CASE WHEN device % 3 = 0 THEN 'Unregistered relay · 615 series' ELSE c_mktsegment || ' · ' || CASE WHEN device % 2 = 0 THEN '615 series' ELSE 'REF615' END END,
+  'Seen from ' || members || CASE WHEN members = 1 THEN ' scan point' ELSE ' scan points' END || ' · ' || CAST(floor((device % 100) / 100.0 * 100 + 0.5) AS BIGINT) || '%', CASE WHEN device % 4 = 1 THEN 'Position: triangulated' END,
+  CASE WHEN overdue THEN 'Maintenance overdue' END, CASE WHEN openCount = 1 THEN '1 open notice' WHEN openCount > 1 THEN openCount || ' open notices' END) AS lines FROM live JOIN customer ON c_custkey = device JOIN status ON status.id = device""")
 def device_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and marker lines of the live devices."""
+    k = F.col("device")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("location"))
-    d = live_rows(spark, sf_dir).join(c, "device").withColumn("variant", F.when(F.col("device") % 2 == 0, "unknown").otherwise("REF615")).withColumn("confidence", (F.col("device") % 100) / 100)
-    return V.names(d.withColumnRenamed("members", "scans"))
+    s = status_rows(spark, sf_dir).select(F.col("id").alias("device"), "overdue", "openCount")
+    d = live_rows(spark, sf_dir).join(c, "device").join(s, "device").withColumn("variant", F.when(k % 2 == 0, "unknown").otherwise("REF615")).withColumn("confidence", (k % 100) / 100)
+    out = V.names(d.withColumnRenamed("members", "scans").withColumn("method", F.when(k % 4 == 1, "triangulation").otherwise("raycast")))
+    return out.withColumn("lines", F.array_join("lines", "|"))
+
+
+@query(f"""WITH {A.DET}, m AS (SELECT device, CASE WHEN max(confidence) >= 0.75 THEN 'auto' ELSE 'review' END AS status, count(*) AS n, arg_max(id, (confidence, -ord)) AS best FROM det GROUP BY device)
+SELECT s_suppkey AS instance, status, n, best, s_acctbal / 1000 AS x FROM supplier JOIN m ON device = s_suppkey WHERE s_suppkey % 4 <> 0""")
+def registered_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as register entries, three quarters with a place, with the detections linked to them."""
+    k = F.col("s_suppkey")
+    i = table(spark, sf_dir, "supplier").select(k.alias("instance"), F.lit("t").alias("type"), F.when(k % 4 != 0, F.col("s_acctbal") / 1000).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    d = A.detections(spark, sf_dir).select("id", F.col("device").alias("instance"), "scan", "confidence", "ord")
+    return V.registered(i, d).select("instance", "status", F.size("ids").cast("long").alias("n"), "best", "x")
 
 
 @query(f"""WITH {MEM}, {LIVE} SELECT device, status, members, coalesce(status = 'review', false) AS matches FROM live""")
@@ -296,15 +313,31 @@ def link_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("outcome", F.when(F.col("dist").isNull(), "none").when(F.col("device").isNull(), "ambiguous").otherwise("linked")).withColumn("dist", F.round("dist", 5))
 
 
-@query("""WITH h AS (SELECT s_suppkey AS header, s_suppkey // 8 AS site, CAST(s_suppkey % 7 AS DOUBLE) AS hx, abs(s_acctbal) / 1000 AS hy FROM supplier),
+PAIRING = """h AS (SELECT s_suppkey AS header, s_suppkey // 8 AS site, CAST(s_suppkey % 7 AS DOUBLE) AS hx, abs(s_acctbal) / 1000 AS hy FROM supplier),
 c AS (SELECT c_custkey AS point, c_custkey // 120 AS site, CAST(c_custkey % 7 AS DOUBLE) AS x, abs(c_acctbal) / 1000 AS y FROM customer),
 p AS (SELECT header, h.site, point, sqrt((hx - x) ** 2 + (hy - y) ** 2) AS dist FROM h JOIN c ON h.site = c.site),
-r AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS second FROM p WINDOW w AS (PARTITION BY header ORDER BY dist, point)), f AS (SELECT *, count(*) OVER (PARTITION BY site, point) AS used FROM r WHERE rn = 1)
-SELECT header, point, round(dist, 6) AS dist, round(second, 6) AS second, used = 1 AND dist < 0.1 AS sure FROM f""")
+r AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS second FROM p WINDOW w AS (PARTITION BY header ORDER BY dist, point)), f AS (SELECT *, count(*) OVER (PARTITION BY site, point) AS used FROM r WHERE rn = 1)"""
+
+
+def pairing_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    h = table(spark, sf_dir, "supplier").select(s.alias("header"), F.floor(s / 8).alias("site"), (s % 7).cast("double").alias("hx"), (F.abs("s_acctbal") / 1000).alias("hy"), F.lit(0.0).alias("hz"))
+    return h, table(spark, sf_dir, "customer").select(c.alias("point"), F.floor(c / 120).alias("site"), (c % 7).cast("double").alias("x"), (F.abs("c_acctbal") / 1000).alias("y"), F.lit(0.0).alias("z"))
+
+
+@query(f"WITH {PAIRING} SELECT header, point, round(dist, 6) AS dist, round(second, 6) AS second, used = 1 AND dist < 0.1 AS sure FROM f")
 def header_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("header"), F.floor(F.col("s_suppkey") / 8).alias("site"), (F.col("s_suppkey") % 7).cast("double").alias("hx"), (F.abs("s_acctbal") / 1000).alias("hy"), F.lit(0.0).alias("hz"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point"), F.floor(F.col("c_custkey") / 120).alias("site"), (F.col("c_custkey") % 7).cast("double").alias("x"), (F.abs("c_acctbal") / 1000).alias("y"), F.lit(0.0).alias("z"))
-    return L.nearest_pairing(h, c).select("header", "point", F.round("dist", 6).alias("dist"), F.round("second", 6).alias("second"), "sure")
+    p = L.nearest_pairing(*pairing_sides(spark, sf_dir))
+    return p.select("header", "point", F.round("dist", 6).alias("dist"), F.round("second", 6).alias("second"), "sure")
+
+
+@query(f"""WITH {PAIRING}, a AS (SELECT site, count(*) AS headers FROM h GROUP BY site), b AS (SELECT site, count(*) AS points FROM c GROUP BY site), g AS (SELECT site, count(*) AS paired, max(dist) AS worst, bool_and(used = 1 AND dist < 0.1) AS s FROM f GROUP BY site)
+SELECT site, coalesce(paired, 0) AS paired, coalesce(headers, 0) AS headers, coalesce(points, 0) AS points, round(worst, 6) AS worst, coalesce(headers, 0) = coalesce(points, 0) AND coalesce(paired, 0) = coalesce(headers, 0) AND coalesce(s, false) AS passed
+FROM a FULL JOIN b USING (site) LEFT JOIN g USING (site)""")
+def pairing_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate of each site: as many headers as points, and every pairing sure."""
+    h, c = pairing_sides(spark, sf_dir)
+    return L.pairing_gate(L.nearest_pairing(h, c), h, c).withColumn("worst", F.round("worst", 6))
 
 
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -490,12 +523,19 @@ def cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross(spark, sf_dir).select("id", F.round("dist", 5).alias("dist"), "method")
 
 
-@query(f"""WITH {CROSS} SELECT round(avg(CASE method WHEN 'ray' THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(quantile_cont(dist, 0.5), 5) AS median_dist, round(quantile_cont(dist, 0.5), 5) < 0.1 AS gate_distance,
- avg(CASE method WHEN 'ray' THEN 1.0 ELSE 0.0 END) >= 0.9 AS gate_hits, round(quantile_cont(dist, 0.5), 5) < 0.1 AND avg(CASE method WHEN 'ray' THEN 1.0 ELSE 0.0 END) >= 0.9 AS publish FROM x""")
+@query(f"""WITH {CROSS}, h AS (SELECT 'A5' AS gate, avg(CASE method WHEN 'ray' THEN 1.0 ELSE 0.0 END) FILTER (id % 2 = 0) >= 0.8 AND quantile_cont(dist, 0.5) < 0.1 AS passed, round(quantile_cont(dist, 0.5), 5) AS value FROM x),
+n AS (SELECT user_id AS cluster, event_id % 97 AS device, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT cluster, arg_max(device, (n, -device)) AS device FROM n GROUP BY cluster),
+a AS (SELECT 'A6' AS gate, (SELECT count(DISTINCT user_id) FROM events) = count(*) AND count(*) = count(DISTINCT device) AS passed, CAST(count(DISTINCT device) AS DOUBLE) AS value FROM p),
+w AS (SELECT 'walkway' AS gate, avg((s_suppkey % 25 = 0)::INT) < 0.05 AS passed, round(avg((s_suppkey % 25 = 0)::INT), 5) AS value FROM supplier),
+z AS (SELECT 'sizes' AS gate, sum(strlen(c_name)) < 100000 AS passed, CAST(sum(strlen(c_name)) AS DOUBLE) AS value FROM customer)
+SELECT * FROM h UNION ALL SELECT * FROM a UNION ALL SELECT * FROM w UNION ALL SELECT * FROM z""".replace("h AS (SELECT 'A5'", "h5 AS (SELECT 'A5'").replace("SELECT * FROM h UNION", "SELECT * FROM h5 UNION"))
 def publication_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = cross(spark, sf_dir).agg(F.avg((F.col("method") == "ray").cast("double")).alias("h"), F.percentile("dist", 0.5).alias("d"))
-    near, hits = F.round("d", 5) < 0.1, F.col("h") >= 0.9
-    return g.select(F.round("h", 6).alias("hit_rate"), F.round("d", 5).alias("median_dist"), near.alias("gate_distance"), hits.alias("gate_hits"), (near & hits).alias("publish"))
+    """Gates of distances, clusters, walkway and sizes (A0 and A3 are in tests)."""
+    m = table(spark, sf_dir, "events").select(F.col("user_id").alias("cluster"), (F.col("event_id") % 97).alias("device"))
+    discs = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 25 == 0).alias("blocked"))
+    size = table(spark, sf_dir, "customer").agg(F.sum(F.octet_length("c_name")).alias("text_bytes"), F.lit(0).alias("picture_bytes"))
+    g = gates.together(gates.located(cross(spark, sf_dir).withColumn("auto", F.col("id") % 2 == 0)), gates.one_to_one(C.agreement_gate(C.agreement(m), m)), gates.walkway(discs), gates.sizes(size))
+    return g.withColumn("value", F.round("value", 5))
 
 
 @query(f"""WITH {A.DET}, o AS (SELECT *, row_number() OVER (PARTITION BY device, scan ORDER BY confidence DESC, id) AS r FROM det WHERE scan IS NOT NULL),

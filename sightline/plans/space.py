@@ -249,13 +249,37 @@ def plan_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.round(px, 4).alias("px"), F.round(py, 4).alias("py"))
 
 
-@query("""WITH b AS (SELECT n_nationkey AS site, CAST(floor(min(c_acctbal) / 100) - 1 AS BIGINT) AS x0, CAST(ceil(max(c_acctbal) / 100) + 1 AS BIGINT) AS x1 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
-SELECT site, x0, x1, unnest(generate_series(x0, x1, 10)) AS line, round((x1 - x0) / 1600, 8) AS mpp FROM b""")
+BOUNDS = """b AS (SELECT c_custkey // 120 AS site, CAST(floor(min(c_acctbal) / 100) - 1 AS BIGINT) AS x0, CAST(ceil(max(c_acctbal) / 100) + 1 AS BIGINT) AS x1, min(c_custkey % 97) - 1 AS y0, max(c_custkey % 97) + 1 AS y1 FROM customer GROUP BY 1)"""
+
+
+def plan_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return Y.plan_bounds(table(spark, sf_dir, "customer").select(F.floor(k / 120).alias("site"), (F.col("c_acctbal") / 100).alias("x"), (k % 97).alias("y")), "site")
+
+
+@query(f"WITH {BOUNDS} SELECT site, x0, x1, y0, y1, round((x1 - x0) / 1000, 8) AS mpp, CAST(floor((y1 - y0) / ((x1 - x0) / 1000) + 0.5) AS BIGINT) AS height_px FROM b")
+def layout_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of an approximate plan for each site, and its scale."""
+    return plan_of(spark, sf_dir).withColumn("mpp", F.round("mpp", 8))
+
+
+@query(f"""WITH {BOUNDS}, l AS (SELECT *, 'x' AS axis, unnest(generate_series(CAST(ceil(x0 / 10) * 10 AS BIGINT), CAST(floor(x1 / 10) * 10 AS BIGINT), 10)) AS at_ FROM b UNION ALL SELECT *, 'y', unnest(generate_series(CAST(ceil(y0 / 10) * 10 AS BIGINT), CAST(floor(y1 / 10) * 10 AS BIGINT), 10)) FROM b)
+SELECT site, axis, at_ AS "at", round(CASE axis WHEN 'x' THEN at_ - x0 ELSE y1 - at_ END / ((x1 - x0) / 1000), 5) AS px FROM l""")
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounds of an approximate plan for each site, its scale, and grid lines every ten metres."""
-    c = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "site")
-    b = c.groupBy("site").agg((F.floor(F.min("c_acctbal") / 100) - 1).alias("x0"), (F.ceil(F.max("c_acctbal") / 100) + 1).alias("x1"))
-    return b.select("site", "x0", "x1", F.explode(F.sequence("x0", "x1", F.lit(10).cast("long"))).alias("line"), F.round((F.col("x1") - F.col("x0")) / 1600, 8).alias("mpp"))
+    """Grid lines every ten metres across both axes of each plan."""
+    return Y.grid_lines(plan_of(spark, sf_dir), "site").withColumn("px", F.round("px", 5))
+
+
+@query("""WITH e AS (SELECT event_id AS id, CAST(event_id * 53 % 2000 AS DOUBLE) AS u, CAST(event_id * 31 % 1000 AS DOUBLE) AS v FROM events) SELECT id, round(u, 4) AS u, round(v, 4) AS v, round((u / 2000 - 0.5) * 360, 6) AS yaw, round((0.5 - v / 1000) * 180, 6) AS pitch FROM e""")
+def world_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image points to world directions and back by the camera's quaternion, and the directions of an equirectangular picture."""
+    i = F.col("event_id")
+    u, v, h = (i * 53 % 2000).cast("double"), (i * 31 % 1000).cast("double"), F.radians((i % 360).cast("double")) / 2
+    camera = F.lit(1.2), F.lit(0.001), F.lit(1000.0), F.lit(500.0)
+    q = F.cos(h), F.lit(0.0), F.sin(h), F.lit(0.0)
+    pu, pv = E.pinhole_point(E.turned_back(q, E.rotate(q, E.pinhole_direction(u, v, *camera))), *camera)
+    yaw, pitch = E.equirect_direction(u, v, 2000, 1000)
+    return table(spark, sf_dir, "events").select(i.alias("id"), F.round(pu, 4).alias("u"), F.round(pv, 4).alias("v"), F.round(yaw, 6).alias("yaw"), F.round(pitch, 6).alias("pitch"))
 
 
 @query("""WITH e AS (SELECT event_id AS id, CAST(event_id * 53 % 2000 AS DOUBLE) AS u, CAST(event_id * 31 % 1000 AS DOUBLE) AS v, radians(CAST(event_id % 360 AS DOUBLE)) / 2 AS h FROM events),

@@ -340,3 +340,41 @@ def test_triage_edges(spark):
     got = [(r.verdict, r.confidence) for r in T.verdict(v).collect()]
     assert [g[0] for g in got] == ["accept", "reject", "accept", "review"]
     assert got[0][1] == pytest.approx(0.9 * (0.6 + 0.4 * (0.04 / 0.12)), abs=5e-4) and got[1][1] is None
+
+
+def test_marker_lines(spark):
+    f = "device long, location string, variant string, scans long, confidence double, method string, overdue boolean, openCount long"
+    d = spark.createDataFrame([(1, "A / Panel 1", "unknown", 1, 0.985, "triangulation", True, 1), (2, None, None, 3, 0.5, "raycast", False, 0), (3, "B", "REF615", 2, 0.744, "raycast", None, 2)], f)
+    got = {r.device: r.lines for r in V.names(d).collect()}
+    assert got[1] == ["A / Panel 1 · 615 series", "Seen from 1 scan point · 99%", "Position: triangulated", "Maintenance overdue", "1 open notice"]
+    assert got[2] == ["Unregistered relay · 615 series", "Seen from 3 scan points · 50%"] and got[3] == ["B · REF615", "Seen from 2 scan points · 74%", "2 open notices"]
+
+
+def test_devices_of_an_approximate_plan(spark):
+    i = spark.createDataFrame([("A", "t", 1.0, 2.0, 3.0), ("B", "t", None, None, None), ("C", "t", 0.0, 0.0, 0.0)], "instance string, type string, x double, y double, z double")
+    d = spark.createDataFrame([(1, "A", "s2", 0.5, 1), (2, "A", "s1", 0.9, 2), (3, "A", None, 0.9, 3), (4, "B", "s1", 0.9, 4), (5, None, "s1", 0.9, 5)], "id long, instance string, scan string, confidence double, ord long")
+    r = V.registered(i, d).collect()
+    assert [(x.instance, x.status, x.ids, x.scans, x.best, x.x, x.method) for x in r] == [("A", "auto", [1, 2, 3], ["s1", "s2"], 2, 1.0, "triangulation")]
+
+
+def test_gates(spark):
+    from sightline.operators import gates as K
+
+    tri = spark.createDataFrame([(True, "ray", 0.05), (True, "ray", 0.07), (True, "ray", None), (True, "ray", 0.01), (True, "triangulation", None), (False, "triangulation", None)], "auto boolean, method string, dist double")
+    ok = spark.createDataFrame([(True, 0.02)], "passed boolean, worst double")
+    discs = spark.createDataFrame([(k == 0,) for k in range(20)], "blocked boolean")
+    m = spark.createDataFrame([(1, 7), (1, 7), (2, 8), (3, 8)], "cluster long, device long")
+    a6 = C.agreement_gate(C.agreement(m), m)
+    assert tuple(a6.first()) == (3, 3, 2, False)
+    assert tuple(C.agreement_gate(C.agreement(m.where("cluster < 3")), m.where("cluster < 3")).first()) == (2, 2, 2, True)
+    size = spark.createDataFrame([(999_999, 5)], "picture_bytes long, text_bytes long")
+    g = K.together(K.paired(ok), K.reprojected(ok.select(F.col("passed").alias("ok"))), K.located(tri), K.one_to_one(a6), K.walkway(discs), K.sizes(size))
+    assert {r.gate: r.passed for r in g.collect()} == {"A0": True, "A3": True, "A5": True, "A6": False, "walkway": False, "sizes": True}
+    assert not K.located(tri.withColumn("dist", F.lit(0.1))).first().passed and not K.located(tri.where("false")).first().passed
+    assert K.in_one_row(g).first().asDict() == {"A0": True, "A3": True, "A5": True, "A6": False, "sizes": True, "walkway": False}
+
+
+def test_links_are_joined_back(spark):
+    d = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    links = spark.createDataFrame([(1, "A", "linked"), (2, None, "ambiguous")], "id long, device string, outcome string")
+    assert {r.id: r.instance for r in L.with_links(d, links).collect()} == {1: "A", 2: None, 3: None}

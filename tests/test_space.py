@@ -301,7 +301,9 @@ def test_sinks(spark, folder):
     assert sinks.publish(df, gates, f"{folder}/pub") == (True, f"{folder}/pub")
     assert sinks.publish(df.limit(1), gates.withColumn("b", F.lit(False)), f"{folder}/pub") == (False, f"{folder}/pub-rejected")
     assert spark.read.parquet(f"{folder}/pub").count() == 2
-    sinks.report(gates, f"{folder}/report", run=1)
+    assert sinks.report(gates, f"{folder}/report", run=1) == 0
+    failed = gates.withColumn("b", F.lit(False))
+    assert sinks.report(failed, f"{folder}/other", {"b": 3}) == 3 and sinks.report(failed, f"{folder}/other") == 1
     assert spark.read.json(f"{folder}/report").count() == 1
     assert sinks.cached(df, f"{folder}/cache", size=1).count() == 2
     assert sinks.cached(df.limit(0), f"{folder}/cache", size=1).count() == 2
@@ -311,6 +313,48 @@ def test_sinks(spark, folder):
     assert sinks.best_effort(df, f"{folder}/ok") and readers.cloud(spark, f"{folder}/cloud", "s1").count() == 2
     sinks.layout_json(df, f"{folder}/layout")
     assert spark.read.text(f"{folder}/layout").count() == 2
+    sinks.layout_json(df.select("id", F.lit(None).cast("int").alias("top")), f"{folder}/nulls")
+    assert json.loads(spark.read.text(f"{folder}/nulls").orderBy("value").first().value) == {"id": "a", "top": None}
+    told = []
+    sinks.stored_or_error(df, f"{folder}/kv", told.append)
+    assert told == [f"{folder}/kv"] and spark.read.parquet(f"{folder}/kv").count() == 2
+    with pytest.raises(sinks.StoreError):
+        sinks.stored_or_error(df, "nowhere://x/y", told.append)
+    assert len(told) == 1 and spark.read.parquet(f"{folder}/kv").count() == 2
+
+
+def test_readers_of_files_and_scans(spark, folder):
+    for n in ("b.jpg", "a.png", "c.txt"):
+        with open(f"{folder}/{n}", "wb") as f:
+            f.write(n.encode())
+    got = readers.images(spark, folder).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in got] == ["a.png", "b.jpg"] and bytes(got[1].content) == b"b.jpg"
+    with open(f"{folder}/m.json", "w") as f:
+        f.write('{"index": 0, "translation": [1.0, 2.0, 3.0]}\n{"index": 1, "translation": [0.0, 0.0, 0.0]}\n')
+    assert {r["index"] for r in readers.headers(spark, f"{folder}/m.json").collect()} == {0, 1}
+    spark.createDataFrame([(0, 1, 2, 3, 4, "more")], "room long, ix long, iy long, iz long, n long, note string").write.parquet(f"{folder}/grid")
+    assert [tuple(r) for r in readers.grid(spark, f"{folder}/grid").collect()] == [(0, 1, 2, 3, 4)]
+    images = spark.createDataFrame([("s", 2, "y"), ("s", 1, "x"), ("t", 3, "z")], "scanPointId string, ord long, image string")
+    assert {r.scanPointId: r.images for r in readers.scan_images(images).collect()} == {"s": ["x", "y"], "t": ["z"]}
+
+
+def test_plan_bounds_and_lines(spark):
+    p = spark.createDataFrame([(0, 0.5, -3.2), (0, 21.0, 4.0), (1, None, 1.0)], "site long, x double, y double")
+    b = Y.plan_bounds(p, "site").collect()
+    assert [(r.x0, r.x1, r.y0, r.y1, round(r.mpp, 6), r.height_px) for r in b] == [(-1, 22, -5, 5, 0.023, 435)]
+    lines = {(r.axis, r["at"]): round(r.px, 3) for r in Y.grid_lines(Y.plan_bounds(p, "site"), "site").collect()}
+    assert lines == {("x", 0): round(1 / 0.023, 3), ("x", 10): round(11 / 0.023, 3), ("x", 20): round(21 / 0.023, 3), ("y", 0): round(5 / 0.023, 3)}
+
+
+def test_renderings_that_line_up(spark):
+    rng = np.random.default_rng(3)
+    a, rows = rng.random(720), rng.random(360)
+    turned = lambda v, k: np.roll(v, k).tolist()
+    cases = [(1, a.tolist(), turned(a, 0), a[::-1].tolist(), rows.tolist(), turned(rows, 0)), (2, a.tolist(), turned(a, 5), a[::-1].tolist(), rows.tolist(), turned(rows, 0)),
+             (3, a[::-1].tolist(), turned(a, 0), a.tolist(), rows.tolist(), turned(rows, 0)), (4, a.tolist(), turned(a, 0), a[::-1].tolist(), rows.tolist(), turned(rows, -4))]
+    df = spark.createDataFrame(cases, "scan long, render array<double>, photo array<double>, mirror array<double>, render_rows array<double>, photo_rows array<double>")
+    got = {r.scan: r for r in Y.reprojection(df, "scan").collect()}
+    assert got[1].ok and not got[2].ok and abs(got[2].yaw_shift - 2.5) < 0.3 and got[3].mirrored and not got[3].ok and abs(got[4].pitch_shift - 2.0) < 0.3 and not got[4].ok
 
 
 def test_patch_stream_ends_where_the_batch_does(spark, folder):
