@@ -26,7 +26,8 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DET = """det AS (SELECT event_id AS id, event_id AS ord, CASE WHEN user_id % 10 <> 0 THEN user_id - user_id % 3 END AS scan, value / (value + 10) AS confidence,
  CAST((event_id * 37) % 3600 AS DOUBLE) / 10 - 180 AS yaw, CAST(event_id % 60 - 30 AS DOUBLE) AS pitch, event_type AS type, user_id AS device, value,
- CASE WHEN event_id % 11 = 0 THEN 'rejected' WHEN event_id % 13 = 0 THEN 'confirmed' WHEN value / (value + 10) >= 0.75 THEN 'auto' ELSE 'review' END AS status FROM events)"""
+ CASE WHEN event_id % 11 = 0 THEN 'rejected' WHEN event_id % 13 = 0 THEN 'confirmed' WHEN value / (value + 10) >= 0.75 THEN 'auto'
+ ELSE 'review' END AS status FROM events)"""
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +36,8 @@ def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("scan"), F.floor(k / 24).alias("site"), (k % 5).cast("double").alias("sx"), (k % 7).cast("double").alias("sy"), F.lit(1.5).alias("sz"))
 
 
-SCANS = """scans AS (SELECT CAST(s_suppkey AS BIGINT) AS scan, CAST(s_suppkey // 24 AS BIGINT) AS site, CAST(s_suppkey % 5 AS DOUBLE) AS sx, CAST(s_suppkey % 7 AS DOUBLE) AS sy, CAST(1.5 AS DOUBLE) AS sz FROM supplier)"""
+SCANS = """scans AS (SELECT CAST(s_suppkey AS BIGINT) AS scan, CAST(s_suppkey // 24 AS BIGINT) AS site, CAST(s_suppkey % 5 AS DOUBLE) AS sx,
+ CAST(s_suppkey % 7 AS DOUBLE) AS sy, CAST(1.5 AS DOUBLE) AS sz FROM supplier)"""
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,8 @@ def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DEV = """dev AS (SELECT c_custkey AS id, CAST(DATE '1996-01-31' + CAST(c_custkey % 900 AS INTEGER) AS DATE) AS commissionedAt,
- CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 4 * 6 AS INTEGER) END AS maintenanceIntervalMonths, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS location FROM customer)"""
+ CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 4 * 6 AS INTEGER) END AS maintenanceIntervalMonths, CASE
+ WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS location FROM customer)"""
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENT = """ent AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status,
  CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS performedAt, CAST(o_orderdate AS DATE) AS createdAt,
- CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 12 MONTH AS DATE) END AS nextDueAt, o_orderkey AS ord FROM orders)"""
+ CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 12 MONTH AS DATE) END AS nextDueAt,
+ o_orderkey AS ord FROM orders)"""
 
 #: Status of each device by SQL; needs DEV and ENT before it.
 STATUS = f"""per AS (SELECT instanceId, arg_max(nextDueAt, (coalesce(performedAt, createdAt), createdAt, -ord)) FILTER (status = 'done' AND nextDueAt IS NOT NULL) AS logged,
@@ -95,5 +99,6 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BOX = """box AS (SELECT event_id AS ord, event_id // 40 AS view, event_id // 400 AS scan, CAST(event_id * 53 % 600 AS DOUBLE) AS x1, CAST(event_id * 31 % 580 AS DOUBLE) AS y1,
  CAST(event_id * 53 % 600 AS DOUBLE) + CAST(20 + event_id * 7 % 90 AS DOUBLE) AS x2, CAST(event_id * 31 % 580 AS DOUBLE) + CAST(20 + event_id * 11 % 60 AS DOUBLE) AS y2,
- value / (value + 10) AS conf, CAST(event_id * 37 % 3600 AS DOUBLE) / 10 - 180 AS yaw, CAST(event_id * 7 % 120 - 60 AS DOUBLE) AS pitch, CAST(2.0 AS DOUBLE) + event_id % 9 AS size,
+ value / (value + 10) AS conf, CAST(event_id * 37 % 3600 AS DOUBLE) / 10 - 180 AS yaw, CAST(event_id * 7 % 120 - 60 AS DOUBLE) AS pitch,
+ CAST(2.0 AS DOUBLE) + event_id % 9 AS size,
  CAST(0.7 AS DOUBLE) + CAST(event_id % 31 AS DOUBLE) / 100 AS similarity, CAST(event_id * 17 % 101 AS DOUBLE) AS ocr FROM events)"""

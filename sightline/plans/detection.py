@@ -22,7 +22,8 @@ def triage_by_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {A.DET} SELECT id, CASE WHEN id % 7 = 0 THEN 'relay-615' ELSE type END AS "assetTypeId", type AS label, round(confidence, 6) AS confidence,
- CASE WHEN confidence >= 0.75 THEN 'auto' ELSE 'review' END AS status, CASE WHEN scan IS NULL THEN '' ELSE 'Scan point ' || lpad(CAST(scan AS VARCHAR), CAST(greatest(2, length(CAST(scan AS VARCHAR))) AS INTEGER), '0') END AS position FROM det""")
+ CASE WHEN confidence >= 0.75 THEN 'auto' ELSE 'review' END AS status, CASE WHEN scan IS NULL THEN ''
+ ELSE 'Scan point ' || lpad(CAST(scan AS VARCHAR), CAST(greatest(2, length(CAST(scan AS VARCHAR))) AS INTEGER), '0') END AS position FROM det""")
 def detection_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.detections(spark, sf_dir)
     raw = d.select("id", F.when(F.col("id") % 7 != 0, F.col("type")).alias("assetTypeId"), F.col("type").alias("ocrText"), F.round("confidence", 6).alias("r"), "confidence",
@@ -45,20 +46,23 @@ def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {A.BOX}, v AS (SELECT ord, conf, ocr, similarity + 0.2 * conf AS score, least(greatest((similarity - 0.76) / 0.12, 0), 1) AS visual FROM box),
-w AS (SELECT *, CASE WHEN score < 0.95 THEN 'reject' WHEN score >= 0.98 OR ocr >= 65 THEN 'accept' ELSE 'review' END AS verdict, conf * (0.6 + 0.4 * greatest(ocr / 100, visual)) AS final FROM v)
+w AS (SELECT *, CASE WHEN score < 0.95 THEN 'reject' WHEN score >= 0.98 OR ocr >= 65 THEN 'accept' ELSE 'review' END AS verdict,
+ conf * (0.6 + 0.4 * greatest(ocr / 100, visual)) AS final FROM v)
 SELECT ord, verdict, CASE verdict WHEN 'reject' THEN NULL WHEN 'review' THEN round_even(final * 0.5, 3) ELSE round_even(final, 3) END AS confidence FROM w""")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.verdict(A.boxes(spark, sf_dir)).select("ord", "verdict", "confidence")
 
 
-@query(f"""WITH {A.BOX}, u AS (SELECT view, count(*) AS n, max(greatest(round(conf, 3), conf * (0.6 + 0.4 * ocr / 100))) AS best FROM box GROUP BY view) SELECT view, n, round(best, 6) AS best FROM u""")
+@query(f"""WITH {A.BOX}, u AS (SELECT view, count(*) AS n, max(greatest(round(conf, 3), conf * (0.6 + 0.4 * ocr / 100))) AS best FROM box GROUP BY view)
+ SELECT view, n, round(best, 6) AS best FROM u""")
 def confidence_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = A.boxes(spark, sf_dir)
     up = T.upgraded(F.round("conf", 3), F.col("conf"), F.col("ocr"))
     return b.groupBy("view").agg(F.count("*").alias("n"), F.round(F.max(up), 6).alias("best"))
 
 
-@query(f"""WITH {A.BOX} SELECT b.ord AS box_id, CAST(count(l.ord) AS BIGINT) AS n, CAST(min(l.ord) AS BIGINT) AS first FROM box b LEFT JOIN box l ON l.view = b.view AND l.ord % 3 = 0
+@query(f"""WITH {A.BOX} SELECT b.ord AS box_id, CAST(count(l.ord) AS BIGINT) AS n, CAST(min(l.ord) AS BIGINT) AS first FROM box b LEFT
+ JOIN box l ON l.view = b.view AND l.ord % 3 = 0
  AND (l.x1 + l.x2) / 2 BETWEEN b.x1 AND b.x2 AND (l.y1 + l.y2) / 2 BETWEEN b.y1 AND b.y2 GROUP BY b.ord""")
 def label_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = A.boxes(spark, sf_dir)
@@ -105,7 +109,8 @@ def review_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"""WITH {A.DET} SELECT id, 'd' || row_number() OVER (PARTITION BY scan ORDER BY ord) AS new_id, CAST((row_number() OVER (PARTITION BY scan ORDER BY ord) - 1) // 96 AS BIGINT) AS sheet FROM det""")
+@query(f"""WITH {A.DET} SELECT id, 'd' || row_number() OVER (PARTITION BY scan ORDER BY ord) AS new_id,
+ CAST((row_number() OVER (PARTITION BY scan ORDER BY ord) - 1) // 96 AS BIGINT) AS sheet FROM det""")
 def sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.numbered(A.detections(spark, sf_dir), ["ord"], ["scan"]).select("id", "new_id", "sheet")
 
@@ -117,8 +122,10 @@ def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {A.DET}, {A.SCANS}, b AS (SELECT scan, count(*) AS n, count(*) FILTER (confidence >= 0.75) AS a FROM det WHERE id % 2 = 0 GROUP BY scan),
 c AS (SELECT scan, count(*) AS n, count(*) FILTER (confidence >= 0.75) AS a FROM det WHERE id % 2 = 1 GROUP BY scan),
-j AS (SELECT s.scan, coalesce(b.n, 0) AS before, coalesce(b.a, 0) AS before_auto, coalesce(c.n, 0) AS after, coalesce(c.a, 0) AS after_auto FROM scans s LEFT JOIN b USING (scan) LEFT JOIN c USING (scan))
-SELECT scan, CAST(sum(before) AS BIGINT) AS before, CAST(sum(before_auto) AS BIGINT) AS before_auto, CAST(sum(after) AS BIGINT) AS after, CAST(sum(after_auto) AS BIGINT) AS after_auto FROM j GROUP BY ROLLUP (scan)""")
+j AS (SELECT s.scan, coalesce(b.n, 0) AS before, coalesce(b.a, 0) AS before_auto, coalesce(c.n, 0) AS after, coalesce(c.a, 0) AS after_auto
+ FROM scans s LEFT JOIN b USING (scan) LEFT JOIN c USING (scan))
+SELECT scan, CAST(sum(before) AS BIGINT) AS before, CAST(sum(before_auto) AS BIGINT) AS before_auto, CAST(sum(after) AS BIGINT) AS after,
+ CAST(sum(after_auto) AS BIGINT) AS after_auto FROM j GROUP BY ROLLUP (scan)""")
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.detections(spark, sf_dir)
     return T.run_totals(d.where("id % 2 = 0"), d.where("id % 2 = 1"), A.scans(spark, sf_dir))
@@ -136,9 +143,12 @@ def search_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.search_joined(c, "Building", ["c_name", "c_mktsegment"]).select(F.col("c_custkey").alias("id"))
 
 
-@query("""WITH t AS (SELECT p_partkey // 20 AS type, CASE p_partkey % 5 WHEN 0 THEN 'REF615 Product guide ' || p_partkey WHEN 1 THEN 'REM615 Manual ' || p_partkey WHEN 2 THEN 'RET615 Manual ' || p_partkey ELSE 'Installation ' || p_partkey END AS title FROM part WHERE p_partkey // 20 % 4 <> 1 OR p_partkey % 5 > 2),
+@query("""WITH t AS (SELECT p_partkey // 20 AS type, CASE p_partkey % 5 WHEN 0 THEN 'REF615 Product guide ' || p_partkey
+ WHEN 1 THEN 'REM615 Manual ' || p_partkey WHEN 2 THEN 'RET615 Manual ' || p_partkey ELSE 'Installation ' || p_partkey END AS title FROM part
+ WHERE p_partkey // 20 % 4 <> 1 OR p_partkey % 5 > 2),
 d AS (SELECT s_suppkey AS device, s_suppkey AS type, CASE s_suppkey % 3 WHEN 0 THEN 'REM615' WHEN 1 THEN 'unknown' ELSE 'REX615' END AS variant FROM supplier),
-j AS (SELECT device, title, regexp_matches(title, '^RE[A-Z]615') AS s, variant <> 'unknown' AND starts_with(title, variant || ' ') AS o, NOT regexp_matches(title, '^RE[A-Z]615') OR starts_with(title, 'REF615 Product guide') AS f FROM d JOIN t USING (type)),
+j AS (SELECT device, title, regexp_matches(title, '^RE[A-Z]615') AS s, variant <> 'unknown' AND starts_with(title, variant || ' ') AS o,
+ NOT regexp_matches(title, '^RE[A-Z]615') OR starts_with(title, 'REF615 Product guide') AS f FROM d JOIN t USING (type)),
 n AS (SELECT *, count(*) FILTER (s) OVER w AS ns, count(*) FILTER (o) OVER w AS no, count(*) FILTER (f) OVER w AS nf FROM j WINDOW w AS (PARTITION BY device))
 SELECT device, title, ns > 0 AND no = 0 AS warning FROM n WHERE CASE WHEN ns = 0 THEN true WHEN no > 0 THEN o OR NOT s WHEN nf > 0 THEN f ELSE true END""")
 def docs_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +167,8 @@ def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.fuzzy_match(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), names).withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT p_partkey AS id, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS norm, nullif(trim(p_brand), '') AS brand, regexp_extract(p_brand, '(\\d+)$', 1) AS digits FROM part""")
+@query("""SELECT p_partkey AS id, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS norm, nullif(trim(p_brand), '') AS brand, regexp_extract(p_brand,
+ '(\\d+)$', 1) AS digits FROM part""")
 def normalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sightline.functions.expressions import blank_to_null
 
@@ -169,7 +180,8 @@ def rounding_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), half_up(F.col("p_retailprice") / 10).alias("js"), half_even(F.col("p_retailprice") / 10, 1).alias("py"), snap("p_retailprice", 25.0).alias("snapped"))
 
 
-@query(f"""WITH {A.BOX}, p AS (SELECT a.ord AS a, b.ord AS b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS both_,
+@query(f"""WITH {A.BOX}, p AS (SELECT a.ord AS a, b.ord AS b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2,
+ b.y2) - greatest(a.y1, b.y1), 0) AS both_,
  (a.x2 - a.x1) * (a.y2 - a.y1) AS aa, (b.x2 - b.x1) * (b.y2 - b.y1) AS ba FROM box a JOIN box b ON a.view = b.view AND a.ord < b.ord)
 SELECT a, b, round(both_ / (aa + ba - both_), 6) AS iou, round(both_ / aa, 6) AS covered FROM p WHERE both_ / (aa + ba - both_) > 0.1""")
 def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +214,8 @@ def distinct_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOST_REFERENCES = 100
 
 
-@query("""WITH r AS (SELECT vec_id AS ref, embedding AS e FROM embeddings WHERE vec_id < 5) SELECT v.vec_id, round(max(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(r.e AS DOUBLE[]))), 5) AS best
+@query("""WITH r AS (SELECT vec_id AS ref, embedding AS e FROM embeddings WHERE vec_id < 5)
+ SELECT v.vec_id, round(max(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(r.e AS DOUBLE[]))), 5) AS best
  FROM embeddings v LEFT JOIN r ON true GROUP BY v.vec_id""")
 def cosine_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best similarity to a few reference vectors, whose number is checked before they go to every task; null vectors have none."""
@@ -219,14 +232,17 @@ def cosine_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(F.greatest(*sims), 5).alias("best"))
 
 
-@query(f"""WITH {A.BOX}, o AS (SELECT ord, scan, view, conf, row_number() OVER (PARTITION BY view ORDER BY conf DESC, ord) AS rn FROM box) SELECT view, ord, CAST(rn AS INTEGER) AS place FROM o WHERE rn <= 3""")
+@query(f"""WITH {A.BOX}, o AS (SELECT ord, scan, view, conf, row_number() OVER (PARTITION BY view ORDER BY conf DESC, ord) AS rn FROM box)
+ SELECT view, ord, CAST(rn AS INTEGER) AS place FROM o WHERE rn <= 3""")
 def strongest_per_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("view").orderBy(F.desc("conf"), "ord")
     return A.boxes(spark, sf_dir).withColumn("place", F.row_number().over(w)).where("place <= 3").select("view", "ord", "place")
 
 
-@query("""WITH r AS (SELECT event_id AS box_id, CASE WHEN event_id % 6 = 0 THEN '' ELSE 'L' || event_id % 10 END AS label, CAST(event_id * 17 % 101 AS DOUBLE) AS ls, 'F' || event_id % 10 AS front, CAST(event_id * 29 % 101 AS DOUBLE) AS fs FROM events),
-u AS (SELECT *, ls < 65 AND (fs >= 65 OR label = '') AS f FROM r) SELECT box_id, CASE WHEN f THEN front ELSE label END AS text, CASE WHEN (CASE WHEN f THEN fs ELSE ls END) >= 65 THEN (CASE WHEN f THEN fs ELSE ls END) ELSE 0.0 END AS score FROM u""")
+@query("""WITH r AS (SELECT event_id AS box_id, CASE WHEN event_id % 6 = 0 THEN '' ELSE 'L' || event_id % 10 END AS label,
+ CAST(event_id * 17 % 101 AS DOUBLE) AS ls, 'F' || event_id % 10 AS front, CAST(event_id * 29 % 101 AS DOUBLE) AS fs FROM events),
+u AS (SELECT *, ls < 65 AND (fs >= 65 OR label = '') AS f FROM r) SELECT box_id, CASE WHEN f THEN front ELSE label END AS text, CASE WHEN (CASE
+ WHEN f THEN fs ELSE ls END) >= 65 THEN (CASE WHEN f THEN fs ELSE ls END) ELSE 0.0 END AS score FROM u""")
 def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     r = table(spark, sf_dir, "events").select(i.alias("box_id"), F.when(i % 6 == 0, "").otherwise(F.concat(F.lit("L"), i % 10)).alias("label"), (i * 17 % 101).cast("double").alias("label_score"),
@@ -234,7 +250,9 @@ def label_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.label_text(r)
 
 
-@query("""WITH p AS (SELECT event_id % 700 AS box_id, 'T' || event_id % 37 AS text, CAST(event_id * 17 % 11 AS DOUBLE) AS score FROM events) SELECT box_id, max(text) AS text, score FROM p JOIN (SELECT box_id, max(score) AS score FROM p GROUP BY 1) USING (box_id, score) GROUP BY box_id, score""")
+@query("""WITH p AS (SELECT event_id % 700 AS box_id, 'T' || event_id % 37 AS text, CAST(event_id * 17 % 11 AS DOUBLE) AS score FROM events)
+ SELECT box_id, max(text) AS text, score FROM p JOIN (SELECT box_id, max(score) AS score FROM p GROUP BY 1) USING (box_id, score)
+ GROUP BY box_id, score""")
 def best_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     return T.best_text(table(spark, sf_dir, "events").select((i % 700).alias("box_id"), F.concat(F.lit("T"), i % 37).alias("text"), (i * 17 % 11).cast("double").alias("score")))

@@ -23,7 +23,8 @@ def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.device_status(A.devices(spark, sf_dir), A.entries(spark, sf_dir), T0)
 
 
-@query(f"""WITH {A.DEV}, {A.ENT}, {A.STATUS} SELECT id, CAST(nextDueAt AS VARCHAR) AS "nextDueAt", overdue, openCount AS "openCount", CAST(lastDoneAt AS VARCHAR) AS "lastDoneAt" FROM status""")
+@query(f"""WITH {A.DEV}, {A.ENT}, {A.STATUS} SELECT id, CAST(nextDueAt AS VARCHAR) AS "nextDueAt", overdue, openCount AS "openCount",
+ CAST(lastDoneAt AS VARCHAR) AS "lastDoneAt" FROM status""")
 def device_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = status_rows(spark, sf_dir)
     return s.select("id", F.col("nextDueAt").cast("string").alias("nextDueAt"), "overdue", "openCount", F.col("lastDoneAt").cast("string").alias("lastDoneAt"))
@@ -39,7 +40,8 @@ def maintenance_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.totals(status_rows(spark, sf_dir))
 
 
-@query(f"""WITH {A.ENT} SELECT id, CAST(row_number() OVER (PARTITION BY instanceId ORDER BY coalesce(performedAt, createdAt) DESC, createdAt DESC, ord) AS INTEGER) AS place FROM ent""")
+@query(f"""WITH {A.ENT} SELECT id, CAST(row_number() OVER (PARTITION BY instanceId ORDER BY coalesce(performedAt, createdAt) DESC, createdAt DESC,
+ ord) AS INTEGER) AS place FROM ent""")
 def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.newest_first(A.entries(spark, sf_dir)).select("id", "place")
 
@@ -59,29 +61,36 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DRAFT = """dr AS (SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 8 THEN 'party' ELSE 'ok' END AS kind, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status,
- CASE WHEN o_orderkey % 17 <> 0 THEN o_orderpriority END AS title, CASE WHEN o_orderkey % 13 = 0 THEN '2026-13-40' WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS performedAt,
+ CASE WHEN o_orderkey % 17 <> 0 THEN o_orderpriority END AS title, CASE WHEN o_orderkey % 13 = 0 THEN '2026-13-40'
+ WHEN o_orderkey % 7 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS performedAt,
  CASE WHEN o_orderkey % 5 <> 0 THEN CASE o_orderkey % 4 WHEN 3 THEN 'meh' ELSE 'ok' END END AS result,
  CASE WHEN o_orderkey % 3 = 0 THEN strftime(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 41 - 20 AS INTEGER), '%Y-%m-%d') END AS nextDueAt,
  CASE WHEN o_orderkey % 19 = 0 THEN 200 ELSE 3 END AS by_len, CASE WHEN o_orderkey % 23 = 0 THEN 'email' ELSE 'field-app' END AS source FROM orders)"""
 
 
 @query(f"""WITH {DRAFT}, n AS (SELECT id, (kind = 'party')::INT + (source = 'email')::INT + coalesce(result = 'meh', false)::INT + (title IS NULL)::INT + (by_len > 120)::INT
- + coalesce(performedAt = '2026-13-40', false)::INT + (status = 'done' AND performedAt IS NULL)::INT + (status = 'done' AND result IS NULL)::INT + coalesce(performedAt > '1998-01-01', false)::INT
+ + coalesce(performedAt = '2026-13-40', false)::INT + (status = 'done' AND performedAt IS NULL)::INT + (status = 'done'
+ AND result IS NULL)::INT + coalesce(performedAt > '1998-01-01', false)::INT
  + coalesce(nextDueAt <= performedAt, false)::INT AS issues FROM dr) SELECT id, CAST(issues AS INTEGER) AS issues, issues = 0 AS valid FROM n""")
 def validate_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.validate(drafts(spark, sf_dir), T0).select("id", F.size("issues").alias("issues"), "valid")
 
 
-@query(f"""WITH {DRAFT}, n AS (SELECT dr.*, CASE WHEN kind = 'party' THEN 'kind' WHEN source = 'email' THEN 'source' WHEN coalesce(result = 'meh', false) THEN 'result' WHEN title IS NULL THEN 'title'
- WHEN by_len > 120 THEN 'performedBy' WHEN performedAt = '2026-13-40' THEN 'performedAt' WHEN status = 'done' AND performedAt IS NULL THEN 'performedAt' WHEN status = 'done' AND result IS NULL THEN 'result'
- WHEN performedAt > '1998-01-01' THEN 'performedAt' WHEN nextDueAt <= performedAt THEN 'nextDueAt' END AS field FROM dr) SELECT field, count(*) AS n FROM n GROUP BY field""")
+@query(f"""WITH {DRAFT}, n AS (SELECT dr.*, CASE WHEN kind = 'party' THEN 'kind' WHEN source = 'email' THEN 'source' WHEN coalesce(result = 'meh',
+ false) THEN 'result' WHEN title IS NULL THEN 'title'
+ WHEN by_len > 120 THEN 'performedBy' WHEN performedAt = '2026-13-40' THEN 'performedAt' WHEN status = 'done'
+ AND performedAt IS NULL THEN 'performedAt' WHEN status = 'done' AND result IS NULL THEN 'result'
+ WHEN performedAt > '1998-01-01' THEN 'performedAt' WHEN nextDueAt <= performedAt THEN 'nextDueAt' END AS field FROM dr) SELECT field, count(*) AS n
+ FROM n GROUP BY field""")
 def first_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = M.validate(drafts(spark, sf_dir), T0)
     return v.groupBy(F.get("issues", F.lit(0)).getField("field").alias("field")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {A.DEV}, e AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CAST(o_orderdate AS DATE) AS d, o_orderkey % 3 = 0 AS periodic, o_orderstatus = 'F' AS done FROM orders)
-SELECT e.id, CASE WHEN periodic AND done THEN CAST(CAST(d + to_months(maintenanceIntervalMonths) AS DATE) AS VARCHAR) END AS "nextDueAt", 1 AS version FROM e JOIN dev ON dev.id = e.instanceId""")
+@query(f"""WITH {A.DEV}, e AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CAST(o_orderdate AS DATE) AS d, o_orderkey % 3 = 0 AS periodic,
+ o_orderstatus = 'F' AS done FROM orders)
+SELECT e.id, CASE WHEN periodic AND done THEN CAST(CAST(d + to_months(maintenanceIntervalMonths) AS DATE) AS VARCHAR) END AS "nextDueAt", 1 AS version
+ FROM e JOIN dev ON dev.id = e.instanceId""")
 def create_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     e = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("instanceId"), F.to_date("o_orderdate").alias("performedAt"), F.lit(None).cast("date").alias("nextDueAt"),
@@ -90,18 +99,24 @@ def create_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Stored entries, and patches that set a status, a result, a date, or clear the due date; with the interval of the device.
-STORE = """s AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CASE WHEN o_orderkey % 3 = 0 THEN 'inspection' ELSE 'repair' END AS kind, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status,
- CAST(o_orderdate AS DATE) AS performedAt, CASE WHEN o_orderstatus = 'F' THEN 'ok' END AS result, CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 400 DAY AS DATE) END AS nextDueAt,
+STORE = """s AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CASE WHEN o_orderkey % 3 = 0 THEN 'inspection' ELSE 'repair' END AS kind, CASE
+ WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status,
+ CAST(o_orderdate AS DATE) AS performedAt, CASE WHEN o_orderstatus = 'F' THEN 'ok' END AS result, CASE
+ WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 400 DAY AS DATE) END AS nextDueAt,
  CAST(1 + o_orderkey % 3 AS INTEGER) AS version FROM orders),
-p AS (SELECT o_orderkey + CASE WHEN o_orderkey % 40 = 0 THEN 100000000 ELSE 0 END AS id, CAST(1 + o_orderkey % 2 AS INTEGER) AS base, 'done' AS status, CASE WHEN o_orderkey % 16 <> 0 THEN 'remarks' END AS result,
+p AS (SELECT o_orderkey + CASE WHEN o_orderkey % 40 = 0 THEN 100000000 ELSE 0 END AS id, CAST(1 + o_orderkey % 2 AS INTEGER) AS base,
+ 'done' AS status, CASE WHEN o_orderkey % 16 <> 0 THEN 'remarks' END AS result,
  CASE WHEN o_orderkey % 24 = 0 THEN DATE '2030-01-01' END AS performedAt, o_orderkey % 8 = 0 AS clears FROM orders WHERE o_orderkey % 4 = 0),
 d AS (SELECT c_custkey AS instanceId, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 4 * 6 AS INTEGER) END AS months FROM customer),
-n AS (SELECT id, s.instanceId, s.version, p.base, d.instanceId IS NOT NULL AS known, s.kind, s.status AS old_status, s.result AS old_result, s.performedAt AS old_performed, s.nextDueAt AS old_due,
- coalesce(p.status, s.status) AS status, coalesce(p.result, s.result) AS result, coalesce(p.performedAt, s.performedAt) AS performedAt, CASE WHEN p.clears THEN NULL ELSE s.nextDueAt END AS due, months
+n AS (SELECT id, s.instanceId, s.version, p.base, d.instanceId IS NOT NULL AS known, s.kind, s.status AS old_status, s.result AS old_result,
+ s.performedAt AS old_performed, s.nextDueAt AS old_due,
+ coalesce(p.status, s.status) AS status, coalesce(p.result, s.result) AS result, coalesce(p.performedAt, s.performedAt) AS performedAt, CASE
+ WHEN p.clears THEN NULL ELSE s.nextDueAt END AS due, months
  FROM s FULL JOIN p USING (id) LEFT JOIN d USING (instanceId)),
 q AS (SELECT *, coalesce(due, CASE WHEN kind = 'inspection' AND status = 'done' THEN CAST(performedAt + to_months(months) AS DATE) END) AS new_due FROM n),
 w AS (SELECT *, CASE WHEN version IS NULL THEN 'not_found' WHEN base IS NULL THEN 'kept' WHEN base <> version THEN 'conflict' WHEN NOT known THEN 'unknown_device'
- WHEN (status = 'done' AND (result IS NULL OR performedAt IS NULL)) OR performedAt > DATE '2026-10-03' OR new_due <= performedAt THEN 'invalid' ELSE 'applied' END AS outcome FROM q)"""
+ WHEN (status = 'done' AND (result IS NULL OR performedAt IS NULL)) OR performedAt > DATE '2026-10-03' OR new_due <= performedAt THEN 'invalid'
+ ELSE 'applied' END AS outcome FROM q)"""
 
 
 def store_and_patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -121,8 +136,10 @@ def updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return M.versioned_update(s, p, A.devices(spark, sf_dir), "2026-10-03 10:00:00", "2026-10-03"), p
 
 
-@query(f"""WITH {STORE}, a AS (SELECT *, outcome = 'applied' AS hit FROM w) SELECT id, "instanceId", CASE WHEN hit THEN status ELSE old_status END AS status, CASE WHEN hit THEN result ELSE old_result END AS result,
- CAST(CASE WHEN hit THEN performedAt ELSE old_performed END AS VARCHAR) AS "performedAt", CAST(CASE WHEN hit THEN new_due ELSE old_due END AS VARCHAR) AS "nextDueAt", CAST(version + hit::INT AS INTEGER) AS version,
+@query(f"""WITH {STORE}, a AS (SELECT *, outcome = 'applied' AS hit FROM w) SELECT id, "instanceId", CASE WHEN hit THEN status ELSE old_status END AS status,
+ CASE WHEN hit THEN result ELSE old_result END AS result,
+ CAST(CASE WHEN hit THEN performedAt ELSE old_performed END AS VARCHAR) AS "performedAt", CAST(CASE WHEN hit THEN new_due
+ ELSE old_due END AS VARCHAR) AS "nextDueAt", CAST(version + hit::INT AS INTEGER) AS version,
  CASE WHEN hit THEN true WHEN version IS NULL THEN NULL ELSE false END AS touched, outcome FROM a""")
 def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = updated(spark, sf_dir)
@@ -130,7 +147,8 @@ def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("updatedAt") > F.col("createdAt")).alias("touched"), "outcome")
 
 
-@query(f"""WITH {STORE}, x AS (SELECT w.id, old_status, w.version, p.status AS mine FROM w JOIN p USING (id) WHERE outcome = 'conflict') SELECT id, 'stored' AS keep, old_status AS status, version AS base FROM x UNION ALL SELECT id, 'mine', mine, version FROM x""")
+@query(f"""WITH {STORE}, x AS (SELECT w.id, old_status, w.version, p.status AS mine FROM w JOIN p USING (id) WHERE outcome = 'conflict')
+ SELECT id, 'stored' AS keep, old_status AS status, version AS base FROM x UNION ALL SELECT id, 'mine', mine, version FROM x""")
 def version_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draft of each conflict under both policies."""
     out, p = updated(spark, sf_dir)
@@ -139,8 +157,10 @@ def version_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.resolved(c, "stored").select("id", F.lit("stored").alias("keep"), "status", F.col("version").alias("base")).unionByName(mine)
 
 
-@query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CASE WHEN o_orderkey % 3 = 0 THEN 'seed' ELSE 'field-app' END AS source, CAST(1 + o_orderkey % 2 AS INTEGER) AS version FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0),
-d AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 10 <> 0), k AS (SELECT * FROM o WHERE (source <> 'seed' OR version > 1) AND instanceId IN (SELECT id FROM d)),
+@query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CASE WHEN o_orderkey % 3 = 0 THEN 'seed' ELSE 'field-app' END AS source,
+ CAST(1 + o_orderkey % 2 AS INTEGER) AS version FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0),
+d AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 10 <> 0), k AS (SELECT * FROM o
+ WHERE (source <> 'seed' OR version > 1) AND instanceId IN (SELECT id FROM d)),
 n AS (SELECT o_orderkey AS id, o_custkey AS instanceId, 'seed' AS source, CAST(1 AS INTEGER) AS version FROM orders WHERE o_orderkey % 3 = 0)
 SELECT * FROM k UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM k)""")
 def seed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,11 +177,16 @@ def unknown_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.unknown_devices(e, A.devices(spark, sf_dir).where("id % 3 = 0"))
 
 
-@query("""WITH t AS (SELECT * FROM (VALUES ('overdue', 1, 'inspection', 'done', 'ok', '2025-06-10', '2025-06-10', '2026-06-10'), ('overdue', 2, 'secondary_injection_test', 'done', 'ok', '2024-05-22', '2024-05-22', NULL),
- ('open-fault', 1, 'inspection', 'done', 'ok', '2026-03-02', '2026-03-02', '2027-03-02'), ('open-fault', 2, 'fault', 'open', NULL, NULL, '2026-09-28', NULL), ('ok', 1, 'inspection', 'done', 'ok', '2026-06-12', '2026-06-12', '2027-06-12'),
- ('ok', 2, 'trip_test', 'done', 'ok', '2025-11-03', '2025-11-03', NULL), ('ok-firmware', 1, 'firmware_update', 'done', 'ok', '2026-04-09', '2026-04-09', '2027-04-09')) v(profile, no, kind, status, result, performedAt, created, nextDueAt)),
-d AS (SELECT c_custkey AS dev, CASE c_custkey % 5 WHEN 0 THEN 'overdue' WHEN 1 THEN 'open-fault' WHEN 2 THEN 'ok' WHEN 3 THEN 'ok-firmware' ELSE 'empty' END AS profile FROM customer)
-SELECT 'seed-' || dev || '-' || no AS id, dev AS "instanceId", kind, status, result, performedAt AS "performedAt", nextDueAt AS "nextDueAt", created || ' 08:00:00' AS "createdAt" FROM d JOIN t USING (profile)""")
+@query("""WITH t AS (SELECT * FROM (VALUES ('overdue', 1, 'inspection', 'done', 'ok', '2025-06-10', '2025-06-10', '2026-06-10'), ('overdue', 2,
+ 'secondary_injection_test', 'done', 'ok', '2024-05-22', '2024-05-22', NULL),
+ ('open-fault', 1, 'inspection', 'done', 'ok', '2026-03-02', '2026-03-02', '2027-03-02'), ('open-fault', 2, 'fault', 'open', NULL, NULL, '2026-09-28',
+ NULL), ('ok', 1, 'inspection', 'done', 'ok', '2026-06-12', '2026-06-12', '2027-06-12'),
+ ('ok', 2, 'trip_test', 'done', 'ok', '2025-11-03', '2025-11-03', NULL), ('ok-firmware', 1, 'firmware_update', 'done', 'ok', '2026-04-09',
+ '2026-04-09', '2027-04-09')) v(profile, no, kind, status, result, performedAt, created, nextDueAt)),
+d AS (SELECT c_custkey AS dev, CASE c_custkey % 5 WHEN 0 THEN 'overdue' WHEN 1 THEN 'open-fault' WHEN 2 THEN 'ok' WHEN 3 THEN 'ok-firmware'
+ ELSE 'empty' END AS profile FROM customer)
+SELECT 'seed-' || dev || '-' || no AS id, dev AS "instanceId", kind, status, result, performedAt AS "performedAt", nextDueAt AS "nextDueAt",
+ created || ' 08:00:00' AS "createdAt" FROM d JOIN t USING (profile)""")
 def seed_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 5
     prof = F.when(k == 0, "overdue").when(k == 1, "open-fault").when(k == 2, "ok").when(k == 3, "ok-firmware").otherwise("empty")
@@ -176,10 +201,13 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_custkey").alias("device"), k.alias("member"), k.alias("ord"), state.alias("status"), (F.col("o_totalprice") / 1e6).alias("confidence"), (k % 18).alias("scan"))
 
 
-MEM = """mem AS (SELECT o_custkey AS device, o_orderkey AS member, o_orderkey AS ord, CASE WHEN o_orderstatus = 'P' THEN 'confirmed' WHEN o_orderkey % 4 = 0 THEN 'auto' WHEN o_orderkey % 4 = 1 THEN 'review' ELSE 'rejected' END AS status,
+MEM = """mem AS (SELECT o_custkey AS device, o_orderkey AS member, o_orderkey AS ord, CASE WHEN o_orderstatus = 'P' THEN 'confirmed'
+ WHEN o_orderkey % 4 = 0 THEN 'auto' WHEN o_orderkey % 4 = 1 THEN 'review' ELSE 'rejected' END AS status,
  o_totalprice / 1e6 AS confidence, o_orderkey % 18 AS scan FROM orders)"""
-LIVE = """m AS (SELECT device, count(*) AS n, count(*) FILTER (status <> 'rejected') AS active, bool_or(status = 'confirmed') AS c, bool_or(status = 'auto') AS a FROM mem GROUP BY device),
-live AS (SELECT c_custkey AS device, CASE WHEN n IS NULL THEN 'auto' WHEN c THEN 'confirmed' WHEN a THEN 'auto' ELSE 'review' END AS status, coalesce(active, 0) AS members
+LIVE = """m AS (SELECT device, count(*) AS n, count(*) FILTER (status <> 'rejected') AS active, bool_or(status = 'confirmed') AS c,
+ bool_or(status = 'auto') AS a FROM mem GROUP BY device),
+live AS (SELECT c_custkey AS device, CASE WHEN n IS NULL THEN 'auto' WHEN c THEN 'confirmed' WHEN a THEN 'auto' ELSE 'review' END AS status,
+ coalesce(active, 0) AS members
  FROM customer LEFT JOIN m ON c_custkey = device WHERE n IS NULL OR active > 0)"""
 
 
@@ -193,44 +221,55 @@ def live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live_rows(spark, sf_dir)
 
 
-@query(f"""WITH {MEM}, {LIVE}, {A.DEV}, {A.ENT}, {A.STATUS} SELECT count(*) AS relays, count(*) FILTER (l.status = 'auto') AS auto, count(*) FILTER (l.status = 'review') AS review, count(*) FILTER (l.status = 'confirmed') AS confirmed,
+@query(f"""WITH {MEM}, {LIVE}, {A.DEV}, {A.ENT}, {A.STATUS} SELECT count(*) AS relays, count(*) FILTER (l.status = 'auto') AS auto,
+ count(*) FILTER (l.status = 'review') AS review, count(*) FILTER (l.status = 'confirmed') AS confirmed,
  count(*) FILTER (overdue) AS overdue, CAST(sum(members) AS BIGINT) AS members FROM live l JOIN status s ON l.device = s.id""")
 def floor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = status_rows(spark, sf_dir).select(F.col("id").alias("device"), "overdue")
     return V.summary(live_rows(spark, sf_dir).join(s, "device"))
 
 
-@query("""WITH c AS (SELECT user_id AS device, event_type AS type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2) SELECT device, arg_max(type, (n, -f)) AS type, max(n) AS votes FROM c GROUP BY device""")
+@query("""WITH c AS (SELECT user_id AS device, event_type AS type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2)
+ SELECT device, arg_max(type, (n, -f)) AS type, max(n) AS votes FROM c GROUP BY device""")
 def majority_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("device"), F.col("event_type").alias("type"), "event_id")
     return V.majority(e, "device", "type", "event_id")
 
 
-@query("""WITH c AS (SELECT c_custkey AS device, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS instance, CASE WHEN c_custkey % 2 = 0 THEN abs(c_acctbal) END AS dist, c_custkey % 7 AS members FROM customer),
-r AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY dist ASC NULLS LAST, members DESC, device) AS rn FROM c) SELECT device, CASE WHEN rn = 1 AND instance IS NOT NULL THEN instance END AS instance FROM r""")
+@query("""WITH c AS (SELECT c_custkey AS device, CASE WHEN c_custkey % 5 <> 0 THEN c_nationkey END AS instance, CASE
+ WHEN c_custkey % 2 = 0 THEN abs(c_acctbal) END AS dist, c_custkey % 7 AS members FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY dist ASC NULLS LAST, members DESC, device) AS rn FROM c)
+ SELECT device, CASE WHEN rn = 1 AND instance IS NOT NULL THEN instance END AS instance FROM r""")
 def exclusive_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select(k.alias("device"), F.when(k % 5 != 0, F.col("c_nationkey")).alias("instance"), F.when(k % 2 == 0, F.abs("c_acctbal")).alias("dist"), (k % 7).alias("members"), k.alias("ord"))
     return V.exclusive(c)
 
 
-@query(f"""WITH {MEM}, {LIVE} SELECT l.device, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_custkey % 3 <> 0 THEN 0 WHEN l.status <> 'review' THEN 1 ELSE 2 END,
+@query(f"""WITH {MEM}, {LIVE} SELECT l.device, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_custkey % 3 <> 0 THEN 0
+ WHEN l.status <> 'review' THEN 1 ELSE 2 END,
  CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END NULLS LAST, l.device) AS INTEGER) AS number FROM live l JOIN customer ON c_custkey = device""")
 def floor_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device"), "c_nationkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("location"))
     return V.numbering(live_rows(spark, sf_dir).join(c, "device"), "c_nationkey").select("device", "number")
 
 
-@query(f"""WITH {MEM}, r AS (SELECT device, member, row_number() OVER (PARTITION BY device ORDER BY CASE WHEN scan = 3 THEN 0 ELSE 1 END, confidence DESC, ord) AS rn FROM mem WHERE status <> 'rejected') SELECT device, member FROM r WHERE rn = 1""")
+@query(f"""WITH {MEM}, r AS (SELECT device, member, row_number() OVER (PARTITION BY device ORDER BY CASE WHEN scan = 3 THEN 0 ELSE 1 END, confidence DESC,
+ ord) AS rn FROM mem WHERE status <> 'rejected') SELECT device, member FROM r WHERE rn = 1""")
 def preferred_member(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The member to open for each device: one in the preferred scan, else the strongest."""
     return V.preferred_member(members(spark, sf_dir), F.col("scan") == 3)
 
 
-@query(f"""WITH {MEM}, {LIVE}, {A.DEV}, {A.ENT}, {A.STATUS} SELECT device, CASE WHEN device % 3 = 0 THEN 'Unregistered relay · 615 series' ELSE c_mktsegment || ' · ' || CASE WHEN device % 2 = 0 THEN '615 series' ELSE 'REF615' END END AS name,
- concat_ws('|', CASE WHEN device % 3 = 0 THEN 'Unregistered relay · 615 series' ELSE c_mktsegment || ' · ' || CASE WHEN device % 2 = 0 THEN '615 series' ELSE 'REF615' END END,
-  'Seen from ' || members || CASE WHEN members = 1 THEN ' scan point' ELSE ' scan points' END || ' · ' || CAST(floor((device % 100) / 100.0 * 100 + 0.5) AS BIGINT) || '%', CASE WHEN device % 4 = 1 THEN 'Position: triangulated' END,
-  CASE WHEN overdue THEN 'Maintenance overdue' END, CASE WHEN openCount = 1 THEN '1 open notice' WHEN openCount > 1 THEN openCount || ' open notices' END) AS lines FROM live JOIN customer ON c_custkey = device JOIN status ON status.id = device""")
+@query(f"""WITH {MEM}, {LIVE}, {A.DEV}, {A.ENT}, {A.STATUS} SELECT device, CASE WHEN device % 3 = 0 THEN 'Unregistered relay · 615 series'
+ ELSE c_mktsegment || ' · ' || CASE WHEN device % 2 = 0 THEN '615 series' ELSE 'REF615' END END AS name,
+ concat_ws('|', CASE WHEN device % 3 = 0 THEN 'Unregistered relay · 615 series' ELSE c_mktsegment || ' · ' || CASE
+ WHEN device % 2 = 0 THEN '615 series' ELSE 'REF615' END END,
+  'Seen from ' || members || CASE WHEN members = 1 THEN ' scan point'
+ ELSE ' scan points' END || ' · ' || CAST(floor((device % 100) / 100.0 * 100 + 0.5) AS BIGINT) || '%', CASE
+ WHEN device % 4 = 1 THEN 'Position: triangulated' END,
+  CASE WHEN overdue THEN 'Maintenance overdue' END, CASE WHEN openCount = 1 THEN '1 open notice'
+ WHEN openCount > 1 THEN openCount || ' open notices' END) AS lines FROM live JOIN customer ON c_custkey = device JOIN status ON status.id = device""")
 def device_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and marker lines of the live devices."""
     k = F.col("device")
@@ -241,7 +280,8 @@ def device_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("lines", F.array_join("lines", "|"))
 
 
-@query(f"""WITH {A.DET}, m AS (SELECT device, CASE WHEN max(confidence) >= 0.75 THEN 'auto' ELSE 'review' END AS status, count(*) AS n, arg_max(id, (confidence, -ord)) AS best FROM det GROUP BY device)
+@query(f"""WITH {A.DET}, m AS (SELECT device, CASE WHEN max(confidence) >= 0.75 THEN 'auto' ELSE 'review' END AS status, count(*) AS n, arg_max(id,
+ (confidence, -ord)) AS best FROM det GROUP BY device)
 SELECT s_suppkey AS instance, status, n, best, s_acctbal / 1000 AS x FROM supplier JOIN m ON device = s_suppkey WHERE s_suppkey % 4 <> 0""")
 def registered_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as register entries, three quarters with a place, with the detections linked to them."""
@@ -256,7 +296,8 @@ def floor_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.matches(F.col("status") == "review", live_rows(spark, sf_dir))
 
 
-@query(f"""WITH {A.DET} SELECT e.event_id AS id FROM events e LEFT JOIN (SELECT * FROM det WHERE id % 3 <> 0) d ON e.event_id = d.id WHERE e.event_id % 2 = 0 AND coalesce(d.status, '') <> 'rejected'""")
+@query(f"""WITH {A.DET} SELECT e.event_id AS id FROM events e LEFT JOIN (SELECT * FROM det WHERE id % 3 <> 0) d ON e.event_id = d.id
+ WHERE e.event_id % 2 = 0 AND coalesce(d.status, '') <> 'rejected'""")
 def unlocated_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = table(spark, sf_dir, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("id"))
     return V.unlocated(u, A.detections(spark, sf_dir).where("id % 3 <> 0"))
@@ -280,7 +321,8 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.same_ids(a, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")).where("id % 5 <> 0").distinct())
 
 
-@query("""SELECT m.device, d.event_id AS id, CAST(m.i AS INTEGER) AS ord FROM (SELECT c_custkey AS device, unnest([c_custkey, c_custkey * 7, c_custkey * 1000003]) AS id, unnest([0, 1, 2]) AS i FROM customer) m JOIN events d ON d.event_id = m.id""")
+@query("""SELECT m.device, d.event_id AS id, CAST(m.i AS INTEGER) AS ord FROM (SELECT c_custkey AS device, unnest([c_custkey, c_custkey * 7,
+ c_custkey * 1000003]) AS id, unnest([0, 1, 2]) AS i FROM customer) m JOIN events d ON d.event_id = m.id""")
 def member_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     d = table(spark, sf_dir, "customer").select(k.alias("device"), F.array(k, k * 7, k * 1000003).alias("ids"))
@@ -299,14 +341,20 @@ def _ang(y1: str, p1: str, y2: str, p2: str) -> str:
     return (f"degrees(acos(least(greatest(sin(radians({p1})) * sin(radians({p2})) + cos(radians({p1})) * cos(radians({p2})) * cos(radians({y1} - {y2})), -1), 1)))")
 
 
-@query(f"""WITH {A.DET}, {A.SCANS}, s AS (SELECT s_suppkey AS device, s_suppkey // 24 AS site, s_suppkey - s_suppkey % 3 AS ascan, CAST(s_suppkey * 61 % 3600 AS DOUBLE) / 10 - 180 AS ayaw, CAST(s_suppkey * 13 % 60 - 30 AS DOUBLE) AS apitch,
- CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 11 AS DOUBLE) / 2 END AS x, CAST(s_suppkey % 13 AS DOUBLE) AS y, CAST(2.0 AS DOUBLE) AS z, CAST(2.0 AS DOUBLE) + s_suppkey % 3 AS tol FROM supplier),
-p AS (SELECT device, tol, scan, x - sx AS dx, y - sy AS dy, z - sz AS dz, sqrt((x - sx) ** 2 + (y - sy) ** 2 + (z - sz) ** 2) AS r FROM s JOIN scans ON s.site = scans.site WHERE x IS NOT NULL),
-v AS (SELECT device, tol, ascan AS scan, ayaw AS vyaw, apitch AS vpitch FROM s UNION ALL SELECT device, tol, scan, degrees(atan2(dx, dy)), degrees(asin(least(greatest(dz / r, -1), 1))) FROM p WHERE r <= 8),
-q AS (SELECT d.id, v.device, {_ang('yaw', 'pitch', 'vyaw', 'vpitch')} AS dist, tol FROM det d JOIN v ON d.scan = v.scan), m AS (SELECT id, device, min(dist) AS dist FROM q WHERE dist <= tol GROUP BY 1, 2),
+@query(f"""WITH {A.DET}, {A.SCANS}, s AS (SELECT s_suppkey AS device, s_suppkey // 24 AS site, s_suppkey - s_suppkey % 3 AS ascan,
+ CAST(s_suppkey * 61 % 3600 AS DOUBLE) / 10 - 180 AS ayaw, CAST(s_suppkey * 13 % 60 - 30 AS DOUBLE) AS apitch,
+ CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 11 AS DOUBLE) / 2 END AS x, CAST(s_suppkey % 13 AS DOUBLE) AS y, CAST(2.0 AS DOUBLE) AS z,
+ CAST(2.0 AS DOUBLE) + s_suppkey % 3 AS tol FROM supplier),
+p AS (SELECT device, tol, scan, x - sx AS dx, y - sy AS dy, z - sz AS dz, sqrt((x - sx) ** 2 + (y - sy) ** 2 + (z - sz) ** 2) AS r FROM s
+ JOIN scans ON s.site = scans.site WHERE x IS NOT NULL),
+v AS (SELECT device, tol, ascan AS scan, ayaw AS vyaw, apitch AS vpitch FROM s UNION ALL
+ SELECT device, tol, scan, degrees(atan2(dx, dy)), degrees(asin(least(greatest(dz / r, -1), 1))) FROM p WHERE r <= 8),
+q AS (SELECT d.id, v.device, {_ang('yaw', 'pitch', 'vyaw', 'vpitch')} AS dist, tol FROM det d JOIN v ON d.scan = v.scan),
+ m AS (SELECT id, device, min(dist) AS dist FROM q WHERE dist <= tol GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS second FROM m WINDOW w AS (PARTITION BY id ORDER BY dist, device))
 SELECT det.id, CASE WHEN coalesce(second - dist < 1, false) THEN NULL ELSE b.device END AS device, round(dist, 5) AS dist,
- CASE WHEN b.device IS NULL THEN 'none' WHEN coalesce(second - dist < 1, false) THEN 'ambiguous' ELSE 'linked' END AS outcome FROM det LEFT JOIN b ON det.id = b.id AND rn = 1""")
+ CASE WHEN b.device IS NULL THEN 'none' WHEN coalesce(second - dist < 1, false) THEN 'ambiguous' ELSE 'linked' END AS outcome FROM det LEFT
+ JOIN b ON det.id = b.id AND rn = 1""")
 def link_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = L.link(A.detections(spark, sf_dir), L.views_of(linkable(spark, sf_dir), A.scans(spark, sf_dir)))
     # of an ambiguous detection the device is null; `none` has no device in either form
@@ -316,7 +364,8 @@ def link_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRING = """h AS (SELECT s_suppkey AS header, s_suppkey // 8 AS site, CAST(s_suppkey % 7 AS DOUBLE) AS hx, abs(s_acctbal) / 1000 AS hy FROM supplier),
 c AS (SELECT c_custkey AS point, c_custkey // 120 AS site, CAST(c_custkey % 7 AS DOUBLE) AS x, abs(c_acctbal) / 1000 AS y FROM customer),
 p AS (SELECT header, h.site, point, sqrt((hx - x) ** 2 + (hy - y) ** 2) AS dist FROM h JOIN c ON h.site = c.site),
-r AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS second FROM p WINDOW w AS (PARTITION BY header ORDER BY dist, point)), f AS (SELECT *, count(*) OVER (PARTITION BY site, point) AS used FROM r WHERE rn = 1)"""
+r AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS second FROM p WINDOW w AS (PARTITION BY header ORDER BY dist, point)),
+ f AS (SELECT *, count(*) OVER (PARTITION BY site, point) AS used FROM r WHERE rn = 1)"""
 
 
 def pairing_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -331,8 +380,10 @@ def header_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("header", "point", F.round("dist", 6).alias("dist"), F.round("second", 6).alias("second"), "sure")
 
 
-@query(f"""WITH {PAIRING}, a AS (SELECT site, count(*) AS headers FROM h GROUP BY site), b AS (SELECT site, count(*) AS points FROM c GROUP BY site), g AS (SELECT site, count(*) AS paired, max(dist) AS worst, bool_and(used = 1 AND dist < 0.1) AS s FROM f GROUP BY site)
-SELECT site, coalesce(paired, 0) AS paired, coalesce(headers, 0) AS headers, coalesce(points, 0) AS points, round(worst, 6) AS worst, coalesce(headers, 0) = coalesce(points, 0) AND coalesce(paired, 0) = coalesce(headers, 0) AND coalesce(s, false) AS passed
+@query(f"""WITH {PAIRING}, a AS (SELECT site, count(*) AS headers FROM h GROUP BY site), b AS (SELECT site, count(*) AS points FROM c GROUP BY site),
+ g AS (SELECT site, count(*) AS paired, max(dist) AS worst, bool_and(used = 1 AND dist < 0.1) AS s FROM f GROUP BY site)
+SELECT site, coalesce(paired, 0) AS paired, coalesce(headers, 0) AS headers, coalesce(points, 0) AS points, round(worst, 6) AS worst,
+ coalesce(headers, 0) = coalesce(points, 0) AND coalesce(paired, 0) = coalesce(headers, 0) AND coalesce(s, false) AS passed
 FROM a FULL JOIN b USING (site) LEFT JOIN g USING (site)""")
 def pairing_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate of each site: as many headers as points, and every pairing sure."""
@@ -349,14 +400,17 @@ def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("*", *(c.alias(n) for n, c in zip(("dx", "dy", "dz"), direction("yaw", "pitch"), strict=True)))
 
 
-RAY = """ray AS (SELECT event_id // 40 AS site, event_id AS ord, event_id % 6 AS scan, event_id % 6 * CAST(0.8 AS DOUBLE) AS ox, event_id % 5 * CAST(0.5 AS DOUBLE) AS oy, CAST(1.5 AS DOUBLE) AS oz,
+RAY = """ray AS (SELECT event_id // 40 AS site, event_id AS ord, event_id % 6 AS scan, event_id % 6 * CAST(0.8 AS DOUBLE) AS ox,
+ event_id % 5 * CAST(0.5 AS DOUBLE) AS oy, CAST(1.5 AS DOUBLE) AS oz,
  CAST(event_id * 37 % 60 - 30 AS DOUBLE) AS yaw, CAST(event_id * 11 % 20 - 10 AS DOUBLE) AS pitch, value / (value + 10) AS conf FROM events),
 dir AS (SELECT *, sin(radians(yaw)) * cos(radians(pitch)) AS dx, cos(radians(yaw)) * cos(radians(pitch)) AS dy, sin(radians(pitch)) AS dz FROM ray),
 pr AS (SELECT a.site, a.ord AS i, b.ord AS j, a.dx * b.dx + a.dy * b.dy + a.dz * b.dz AS c, a.dx * (a.ox - b.ox) + a.dy * (a.oy - b.oy) + a.dz * (a.oz - b.oz) AS d,
- b.dx * (a.ox - b.ox) + b.dy * (a.oy - b.oy) + b.dz * (a.oz - b.oz) AS e, a.ox, a.oy, a.oz, a.dx, a.dy, a.dz, b.ox AS px, b.oy AS py, b.oz AS pz, b.dx AS qx, b.dy AS qy, b.dz AS qz
+ b.dx * (a.ox - b.ox) + b.dy * (a.oy - b.oy) + b.dz * (a.oz - b.oz) AS e, a.ox, a.oy, a.oz, a.dx, a.dy, a.dz, b.ox AS px, b.oy AS py, b.oz AS pz,
+ b.dx AS qx, b.dy AS qy, b.dz AS qz
  FROM dir a JOIN dir b ON a.site = b.site AND a.ord < b.ord AND a.scan <> b.scan),
 ts AS (SELECT *, (c * e - d) / (1 - c * c) AS t, (e - c * d) / (1 - c * c) AS s FROM pr WHERE 1 - c * c >= 1e-9),
-cand AS (SELECT site, i, j, t, s, sqrt((ox + t * dx - px - s * qx) ** 2 + (oy + t * dy - py - s * qy) ** 2 + (oz + t * dz - pz - s * qz) ** 2) AS gap, degrees(acos(least(abs(c), 1))) AS angle,
+cand AS (SELECT site, i, j, t, s, sqrt((ox + t * dx - px - s * qx) ** 2 + (oy + t * dy - py - s * qy) ** 2 + (oz + t * dz - pz - s * qz) ** 2) AS gap,
+ degrees(acos(least(abs(c), 1))) AS angle,
  (ox + t * dx + px + s * qx) / 2 AS mx, (oy + t * dy + py + s * qy) / 2 AS my, (oz + t * dz + pz + s * qz) / 2 AS mz FROM ts),
 pc AS (SELECT * FROM cand WHERE gap <= 0.3 AND t BETWEEN 0.3 AND 8 AND s BETWEEN 0.3 AND 8 AND angle >= 5)"""
 
@@ -366,17 +420,22 @@ def pair_closest_approach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pair_candidates(pooled(spark, sf_dir), gap=0.3, angle=5.0).select("site", "i", "j", *(F.round(c, 5).alias(c) for c in ("t", "s", "gap", "mx", "my")))
 
 
-@query(f"""WITH {RAY}, w AS (SELECT pc.site, pc.i, pc.j, r.scan, r.conf, r.yaw, r.pitch, mx - r.ox AS vx, my - r.oy AS vy, mz - r.oz AS vz, sqrt((mx - r.ox) ** 2 + (my - r.oy) ** 2 + (mz - r.oz) ** 2) AS rng FROM pc JOIN dir r ON pc.site = r.site),
+@query(f"""WITH {RAY}, w AS (SELECT pc.site, pc.i, pc.j, r.scan, r.conf, r.yaw, r.pitch, mx - r.ox AS vx, my - r.oy AS vy, mz - r.oz AS vz,
+ sqrt((mx - r.ox) ** 2 + (my - r.oy) ** 2 + (mz - r.oz) ** 2) AS rng FROM pc JOIN dir r ON pc.site = r.site),
 a AS (SELECT *, {_ang('yaw', 'pitch', 'degrees(atan2(vx, vy))', 'degrees(asin(least(greatest(vz / rng, -1), 1)))')} AS off FROM w)
-SELECT i, j, count(*) AS n, count(DISTINCT scan) AS scans, round(10 * count(*) + sum(conf), 4) AS score FROM a WHERE rng BETWEEN 0.3 AND 8 AND off <= 2 GROUP BY i, j HAVING count(DISTINCT scan) >= 2""")
+SELECT i, j, count(*) AS n, count(DISTINCT scan) AS scans, round(10 * count(*) + sum(conf), 4) AS score FROM a
+ WHERE rng BETWEEN 0.3 AND 8 AND off <= 2 GROUP BY i, j HAVING count(DISTINCT scan) >= 2""")
 def ray_supporters(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = pooled(spark, sf_dir)
     p = G.pair_candidates(r, gap=0.3, angle=5.0).select("site", F.struct("i", "j").alias("key"), F.col("mx").alias("x"), F.col("my").alias("y"), F.col("mz").alias("z"))
     return G.scored(G.supporters(p, r)).select("key.i", "key.j", "n", "scans", F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH {RAY}, u AS (SELECT *, dx * ox + dy * oy + dz * oz AS al FROM dir), n AS (SELECT site, count(*) AS n, sum(1 - dx * dx) AS a, sum(-dx * dy) AS b, sum(-dx * dz) AS c, sum(1 - dy * dy) AS e, sum(-dy * dz) AS f, sum(1 - dz * dz) AS i,
- sum(ox - al * dx) AS p, sum(oy - al * dy) AS q, sum(oz - al * dz) AS r FROM u GROUP BY site), d AS (SELECT *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) AS det FROM n)
+@query(f"""WITH {RAY}, u AS (SELECT *, dx * ox + dy * oy + dz * oz AS al FROM dir),
+ n AS (SELECT site, count(*) AS n, sum(1 - dx * dx) AS a, sum(-dx * dy) AS b, sum(-dx * dz) AS c, sum(1 - dy * dy) AS e, sum(-dy * dz) AS f,
+ sum(1 - dz * dz) AS i,
+ sum(ox - al * dx) AS p, sum(oy - al * dy) AS q, sum(oz - al * dz) AS r FROM u GROUP BY site),
+ d AS (SELECT *, a * (e * i - f * f) - b * (b * i - f * c) + c * (b * f - e * c) AS det FROM n)
 SELECT site, n, CASE WHEN abs(det) >= 1e-12 THEN round((p * (e * i - f * f) - b * (q * i - f * r) + c * (q * f - e * r)) / det, 4) END AS x,
  CASE WHEN abs(det) >= 1e-12 THEN round((a * (q * i - f * r) - p * (b * i - f * c) + c * (b * r - q * c)) / det, 4) END AS y FROM d""")
 def lsq_point(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,14 +461,17 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(k % 5 == 0, F.col("type")).when(k % 5 > 2, F.lit(KIND)).alias("type"))
 
 
-@query(f"""WITH {CLUSTERED}, c AS (SELECT scan, cluster, count(*) FILTER (auto) AS autos, count(*) AS n, max(conf) AS top, count(*) FILTER (type <> '{KIND}') AS others FROM mem GROUP BY 1, 2)
-SELECT scan, cluster, autos, n, CAST(row_number() OVER (PARTITION BY scan ORDER BY autos DESC, n DESC, top DESC, cluster) AS INTEGER) AS place FROM c WHERE autos >= 1 AND others = 0""")
+@query(f"""WITH {CLUSTERED}, c AS (SELECT scan, cluster, count(*) FILTER (auto) AS autos, count(*) AS n, max(conf) AS top,
+ count(*) FILTER (type <> '{KIND}') AS others FROM mem GROUP BY 1, 2)
+SELECT scan, cluster, autos, n, CAST(row_number() OVER (PARTITION BY scan ORDER BY autos DESC, n DESC, top DESC, cluster) AS INTEGER) AS place FROM c
+ WHERE autos >= 1 AND others = 0""")
 def eligible_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.eligible(clustered(spark, sf_dir), "scan", KIND).select("scan", "cluster", "autos", "n", "place")
 
 
 @query(f"""WITH {CLUSTERED}, t AS (SELECT DISTINCT cluster, placed FROM mem), a AS (SELECT DISTINCT cluster FROM mem WHERE auto)
-SELECT (SELECT count(*) FROM mem) AS detections, (SELECT count(*) FROM mem WHERE auto) AS auto, (SELECT count(*) FROM t) AS devices, (SELECT count(*) FROM a) AS "devicesWithAuto",
+SELECT (SELECT count(*) FROM mem) AS detections, (SELECT count(*) FROM mem WHERE auto) AS auto, (SELECT count(*) FROM t) AS devices, (SELECT count(*)
+ FROM a) AS "devicesWithAuto",
  (SELECT count(*) FROM t WHERE placed) AS "multiView", (SELECT count(*) FROM mem WHERE NOT auto AND placed AND cluster IN (SELECT cluster FROM a)) AS "reviewOnAuto" """)
 def register_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.register_stats(clustered(spark, sf_dir))
@@ -451,9 +513,12 @@ def match_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.stable_ids(new, m, old, order=(F.col("x").desc_nulls_last(), "y", "z"))
 
 
-@query("""WITH e AS (SELECT s_suppkey // 8 AS site, count(*) AS n, max(s_suppkey % 150) AS top FROM supplier GROUP BY 1), d AS (SELECT c_custkey // 120 AS site, c_custkey AS place, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal / 100 END AS x, CAST(c_custkey % 17 AS DOUBLE) AS y FROM customer),
+@query("""WITH e AS (SELECT s_suppkey // 8 AS site, count(*) AS n, max(s_suppkey % 150) AS top FROM supplier GROUP BY 1),
+ d AS (SELECT c_custkey // 120 AS site, c_custkey AS place, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal / 100 END AS x,
+ CAST(c_custkey % 17 AS DOUBLE) AS y FROM customer),
 k AS (SELECT d.*, row_number() OVER (PARTITION BY d.site ORDER BY place) AS rn, coalesce(n, 0) AS n, coalesce(top, 0) AS top FROM d LEFT JOIN e ON d.site = e.site),
-r AS (SELECT site, place, CAST(top + row_number() OVER (PARTITION BY site ORDER BY CASE WHEN x IS NULL THEN 1 ELSE 0 END, floor(x + 0.5), CASE WHEN x IS NULL THEN 0 ELSE y END, place) AS VARCHAR) AS no FROM k WHERE rn <= greatest(0, 20 - n))
+r AS (SELECT site, place, CAST(top + row_number() OVER (PARTITION BY site ORDER BY CASE WHEN x IS NULL THEN 1 ELSE 0 END, floor(x + 0.5), CASE
+ WHEN x IS NULL THEN 0 ELSE y END, place) AS VARCHAR) AS no FROM k WHERE rn <= greatest(0, 20 - n))
 SELECT site, place, 'REL-' || CASE WHEN length(no) < 2 THEN '0' ELSE '' END || no AS label FROM r""")
 def renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, s = F.col("c_custkey"), F.col("s_suppkey")
@@ -467,7 +532,8 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("site"), k.alias("id"), (F.col("s_acctbal") / 1000).alias("x"), (k % 5 * 0.2).cast("double").alias("y"), (k % 9).cast("double").alias("z"))
 
 
-@query("""WITH RECURSIVE d AS (SELECT s_nationkey AS site, s_suppkey AS id, s_acctbal / 1000 AS x, s_suppkey % 5 * CAST(0.2 AS DOUBLE) AS y, CAST(s_suppkey % 9 AS DOUBLE) AS z FROM supplier),
+@query("""WITH RECURSIVE d AS (SELECT s_nationkey AS site, s_suppkey AS id, s_acctbal / 1000 AS x, s_suppkey % 5 * CAST(0.2 AS DOUBLE) AS y,
+ CAST(s_suppkey % 9 AS DOUBLE) AS z FROM supplier),
 e AS (SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON a.site = b.site AND a.id <> b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 0.6),
 r(id, root) AS (SELECT id, id FROM d UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id WHERE r.root < e.b), c AS (SELECT id, min(root) AS stack FROM r GROUP BY id),
 s AS (SELECT c.id, stack, row_number() OVER (PARTITION BY stack ORDER BY z DESC, c.id) - 1 AS place, count(*) OVER (PARTITION BY stack) AS size FROM c JOIN d USING (id))
@@ -489,26 +555,35 @@ def agg_members(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (k % 7).cast("double").alias("z"), (k % 3 == 0).alias("hit"), (k % 4 == 0).alias("auto"), (F.col("o_totalprice") / 1e6).alias("conf"), (k % 13).cast("double").alias("cam"))
 
 
-@query("""WITH m AS (SELECT o_custkey AS device, 'd' || o_orderkey AS id, o_orderkey % 18 AS scan, o_orderpriority AS type, CAST(o_orderkey % 97 AS DOUBLE) AS x, CAST(o_orderkey % 89 AS DOUBLE) AS y, CAST(o_orderkey % 7 AS DOUBLE) AS z,
- o_orderkey % 3 = 0 AS hit, o_orderkey % 4 = 0 AS auto, o_totalprice / 1e6 AS conf, CAST(o_orderkey % 13 AS DOUBLE) AS cam, bool_or(o_orderkey % 3 = 0) OVER (PARTITION BY o_custkey) AS ah FROM orders),
+@query("""WITH m AS (SELECT o_custkey AS device, 'd' || o_orderkey AS id, o_orderkey % 18 AS scan, o_orderpriority AS type,
+ CAST(o_orderkey % 97 AS DOUBLE) AS x, CAST(o_orderkey % 89 AS DOUBLE) AS y, CAST(o_orderkey % 7 AS DOUBLE) AS z,
+ o_orderkey % 3 = 0 AS hit, o_orderkey % 4 = 0 AS auto, o_totalprice / 1e6 AS conf, CAST(o_orderkey % 13 AS DOUBLE) AS cam,
+ bool_or(o_orderkey % 3 = 0) OVER (PARTITION BY o_custkey) AS ah FROM orders),
 c AS (SELECT device, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my, quantile_cont(z, 0.5) AS mz FROM m WHERE hit OR NOT ah GROUP BY device),
-g AS (SELECT m.device, round(quantile_cont(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2), 0.5) FILTER (hit OR NOT ah), 5) AS spread, CASE WHEN bool_or(auto) THEN 'auto' ELSE 'review' END AS status,
- string_agg(id, ',' ORDER BY length(id), id) AS ids, arg_max(id, (conf, -cam, id)) AS best, any_value(mx) AS x, any_value(my) AS y FROM m JOIN c USING (device) GROUP BY m.device),
-t AS (SELECT device, type, count(*) AS n FROM m GROUP BY 1, 2), v AS (SELECT device, arg_min(type, (-n, type)) AS type FROM t GROUP BY device) SELECT g.*, type FROM g JOIN v USING (device)""")
+g AS (SELECT m.device, round(quantile_cont(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2), 0.5) FILTER (hit OR NOT ah), 5) AS spread, CASE
+ WHEN bool_or(auto) THEN 'auto' ELSE 'review' END AS status,
+ string_agg(id, ',' ORDER BY length(id), id) AS ids, arg_max(id, (conf, -cam, id)) AS best, any_value(mx) AS x, any_value(my) AS y FROM m
+ JOIN c USING (device) GROUP BY m.device),
+t AS (SELECT device, type, count(*) AS n FROM m GROUP BY 1, 2), v AS (SELECT device, arg_min(type, (-n, type)) AS type FROM t GROUP BY device)
+ SELECT g.*, type FROM g JOIN v USING (device)""")
 def device_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = C.device_aggregate(agg_members(spark, sf_dir), "device")
     return a.select("device", F.round("spread", 5).alias("spread"), "status", F.concat_ws(",", "ids").alias("ids"), "best", "x", "y", "type")
 
 
-@query("""WITH n AS (SELECT user_id AS cluster, event_id % 97 AS device, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT cluster, arg_max(device, (n, -device)) AS device, round(max(n) / sum(n), 6) AS agreement FROM n GROUP BY cluster)
+@query("""WITH n AS (SELECT user_id AS cluster, event_id % 97 AS device, count(*) AS n FROM events GROUP BY 1, 2),
+ p AS (SELECT cluster, arg_max(device, (n, -device)) AS device, round(max(n) / sum(n), 6) AS agreement FROM n GROUP BY cluster)
 SELECT *, count(*) OVER (PARTITION BY device) = 1 AS alone FROM p""")
 def cluster_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "events").select(F.col("user_id").alias("cluster"), (F.col("event_id") % 97).alias("device"))
     return C.agreement(m).withColumn("agreement", F.round("agreement", 6))
 
 
-CROSS = """h AS (SELECT event_id AS id, value AS x, value / 2 AS y, CAST(1.0 AS DOUBLE) AS z FROM events WHERE event_id % 3 <> 0), t AS (SELECT event_id AS id, value + CAST(0.02 AS DOUBLE) * (event_id % 5) AS x, value / 2 AS y, CAST(1.0 AS DOUBLE) AS z FROM events WHERE event_id % 4 <> 0),
-x AS (SELECT id, sqrt((h.x - t.x) ** 2 + (h.y - t.y) ** 2 + (h.z - t.z) ** 2) AS dist, CASE WHEN h.x IS NULL THEN 'triangulation' ELSE 'ray' END AS method FROM h FULL JOIN t USING (id))"""
+CROSS = """h AS (SELECT event_id AS id, value AS x, value / 2 AS y, CAST(1.0 AS DOUBLE) AS z FROM events WHERE event_id % 3 <> 0),
+ t AS (SELECT event_id AS id, value + CAST(0.02 AS DOUBLE) * (event_id % 5) AS x, value / 2 AS y, CAST(1.0 AS DOUBLE) AS z FROM events
+ WHERE event_id % 4 <> 0),
+x AS (SELECT id, sqrt((h.x - t.x) ** 2 + (h.y - t.y) ** 2 + (h.z - t.z) ** 2) AS dist, CASE WHEN h.x IS NULL THEN 'triangulation'
+ ELSE 'ray' END AS method FROM h FULL JOIN t USING (id))"""
 
 
 def cross(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -523,9 +598,12 @@ def cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross(spark, sf_dir).select("id", F.round("dist", 5).alias("dist"), "method")
 
 
-@query(f"""WITH {CROSS}, h AS (SELECT 'A5' AS gate, avg(CASE method WHEN 'ray' THEN 1.0 ELSE 0.0 END) FILTER (id % 2 = 0) >= 0.8 AND quantile_cont(dist, 0.5) < 0.1 AS passed, round(quantile_cont(dist, 0.5), 5) AS value FROM x),
-n AS (SELECT user_id AS cluster, event_id % 97 AS device, count(*) AS n FROM events GROUP BY 1, 2), p AS (SELECT cluster, arg_max(device, (n, -device)) AS device FROM n GROUP BY cluster),
-a AS (SELECT 'A6' AS gate, (SELECT count(DISTINCT user_id) FROM events) = count(*) AND count(*) = count(DISTINCT device) AS passed, CAST(count(DISTINCT device) AS DOUBLE) AS value FROM p),
+@query(f"""WITH {CROSS}, h AS (SELECT 'A5' AS gate, avg(CASE method WHEN 'ray' THEN 1.0 ELSE 0.0 END) FILTER (id % 2 = 0) >= 0.8 AND quantile_cont(dist,
+ 0.5) < 0.1 AS passed, round(quantile_cont(dist, 0.5), 5) AS value FROM x),
+n AS (SELECT user_id AS cluster, event_id % 97 AS device, count(*) AS n FROM events GROUP BY 1, 2),
+ p AS (SELECT cluster, arg_max(device, (n, -device)) AS device FROM n GROUP BY cluster),
+a AS (SELECT 'A6' AS gate, (SELECT count(DISTINCT user_id) FROM events) = count(*) AND count(*) = count(DISTINCT device) AS passed,
+ CAST(count(DISTINCT device) AS DOUBLE) AS value FROM p),
 w AS (SELECT 'walkway' AS gate, avg((s_suppkey % 25 = 0)::INT) < 0.05 AS passed, round(avg((s_suppkey % 25 = 0)::INT), 5) AS value FROM supplier),
 z AS (SELECT 'sizes' AS gate, sum(strlen(c_name)) < 100000 AS passed, CAST(sum(strlen(c_name)) AS DOUBLE) AS value FROM customer)
 SELECT * FROM h UNION ALL SELECT * FROM a UNION ALL SELECT * FROM w UNION ALL SELECT * FROM z""".replace("h AS (SELECT 'A5'", "h5 AS (SELECT 'A5'").replace("SELECT * FROM h UNION", "SELECT * FROM h5 UNION"))
@@ -539,7 +617,8 @@ def publication_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {A.DET}, o AS (SELECT *, row_number() OVER (PARTITION BY device, scan ORDER BY confidence DESC, id) AS r FROM det WHERE scan IS NOT NULL),
-p AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY CASE WHEN scan IN (2, 5) THEN 0 ELSE 1 END, confidence DESC, id) AS q FROM o WHERE r = 1) SELECT device, id, scan FROM p WHERE q <= 5""")
+p AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY CASE WHEN scan IN (2, 5) THEN 0 ELSE 1 END, confidence DESC, id) AS q FROM o
+ WHERE r = 1) SELECT device, id, scan FROM p WHERE q <= 5""")
 def tag_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = A.detections(spark, sf_dir).where("scan is not null").withColumn("conf", F.col("confidence"))
     return C.sampled(d, "device", F.col("scan").isin(2, 5), 5).select("device", "id", "scan")

@@ -17,12 +17,14 @@ from sightline.sources.shared import shared_folder
 
 
 @query(f"""WITH {A.PTS}, c AS (SELECT *, floor(x / 0.5) AS ix, floor(y / 0.5) AS iy, floor(z / 0.5) AS iz FROM pts)
-SELECT CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, CAST(iz AS BIGINT) AS iz, arg_min(pid, (l_orderkey, l_linenumber, pid, l_suppkey, l_extendedprice)) AS pid, count(*) AS n FROM c GROUP BY 1, 2, 3""")
+SELECT CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, CAST(iz AS BIGINT) AS iz, arg_min(pid, (l_orderkey, l_linenumber, pid, l_suppkey,
+ l_extendedprice)) AS pid, count(*) AS n FROM c GROUP BY 1, 2, 3""")
 def voxel_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.voxel_first(P.clean(A.points(spark, sf_dir)), 0.5, ["pid"]).select("ix", "iy", "iz", "pid", "n")
 
 
-@query("""SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.001), 2) AS lo, round(quantile_cont(l_extendedprice, 0.5), 2) AS mid, round(quantile_cont(l_extendedprice, 0.995), 2) AS hi, round(quantile_cont(l_extendedprice, 0.999), 2) AS top FROM lineitem GROUP BY 1""")
+@query("""SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.001), 2) AS lo, round(quantile_cont(l_extendedprice, 0.5), 2) AS mid,
+ round(quantile_cont(l_extendedprice, 0.995), 2) AS hi, round(quantile_cont(l_extendedprice, 0.999), 2) AS top FROM lineitem GROUP BY 1""")
 def percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = P.percentiles(table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag"), "flag", "l_extendedprice", (0.001, 0.5, 0.995, 0.999))
     return p.toDF("flag", "lo", "mid", "hi", "top").select("flag", *(F.round(c, 2).alias(c) for c in ("lo", "mid", "hi", "top")))
@@ -42,9 +44,11 @@ def hist_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.histogram_peaks(li, "l_extendedprice", 2000.0, "flag").withColumn("mean3", F.round("mean3", 6)).drop("mid")
 
 
-@query(f"""WITH {HIST}, k AS (SELECT *, 100000 - mid BETWEEN 20000 AND 90000 AS below, row_number() OVER (PARTITION BY flag, 100000 - mid BETWEEN 20000 AND 90000 ORDER BY s3 DESC, bin) AS strongest FROM w WHERE high),
+@query(f"""WITH {HIST}, k AS (SELECT *, 100000 - mid BETWEEN 20000 AND 90000 AS below, row_number() OVER (PARTITION BY flag, 100000 - mid BETWEEN 20000
+ AND 90000 ORDER BY s3 DESC, bin) AS strongest FROM w WHERE high),
 v AS (SELECT flag, coalesce(min(mid) FILTER (below AND strongest = 1), min(mid) FILTER (s3 >= 0.25 * t)) AS z0 FROM k GROUP BY flag)
-SELECT v.flag, CAST(quantile_cont(l_extendedprice, 0.5) AS DOUBLE) AS floor_z FROM v JOIN lineitem ON l_returnflag = v.flag AND abs(l_extendedprice - z0) <= 6000 GROUP BY v.flag""")
+SELECT v.flag, CAST(quantile_cont(l_extendedprice, 0.5) AS DOUBLE) AS floor_z FROM v
+ JOIN lineitem ON l_returnflag = v.flag AND abs(l_extendedprice - z0) <= 6000 GROUP BY v.flag""")
 def floor_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("z"))
     cam = li.select("flag").distinct().withColumn("camera_z", F.explode(F.array(F.lit(90000.0), F.lit(100000.0), F.lit(130000.0))))
@@ -56,7 +60,8 @@ def grid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.grid_counts(A.points(spark, sf_dir), 0.5, "room", 5)
 
 
-OCC = f"""{A.PTS}, occ AS (SELECT room, CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor(y / 0.5) AS BIGINT) AS iy, CAST(floor(z / 0.5) AS BIGINT) AS iz, CAST(least(count(*), 255) AS BIGINT) AS n,
+OCC = f"""{A.PTS}, occ AS (SELECT room, CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor(y / 0.5) AS BIGINT) AS iy, CAST(floor(z / 0.5) AS BIGINT) AS iz,
+ CAST(least(count(*), 255) AS BIGINT) AS n,
  avg(r) FILTER (z <= 1) AS floor_r, avg(r) FILTER (z > 1) AS mid_r FROM pts GROUP BY 1, 2, 3, 4)"""
 
 
@@ -66,19 +71,22 @@ def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.withColumn("floor_r", F.round("floor_r", 5)).withColumn("mid_r", F.round("mid_r", 5)).withColumn("n", F.col("n").cast("long"))
 
 
-@query(f"""WITH {OCC} SELECT room, ix, iy, max(iz) FILTER (n >= 1 AND iz < 9) AS top, bool_or(n >= 1) AS "any", bool_or(n >= 1 AND iz < 3) AS low FROM occ GROUP BY room, ix, iy""")
+@query(f"""WITH {OCC} SELECT room, ix, iy, max(iz) FILTER (n >= 1 AND iz < 9) AS top, bool_or(n >= 1) AS "any", bool_or(n >= 1 AND iz < 3) AS low FROM occ
+ GROUP BY room, ix, iy""")
 def column_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.column_top(P.occupancy(A.points(spark, sf_dir), 0.5, "room", F.col("z") <= 1, F.col("z") > 1), "room", 9, 1)
 
 
-@query(f"""WITH {A.PTS}, g AS (SELECT room, CAST(floor(x) AS BIGINT) AS px, CAST(floor(y) AS BIGINT) AS py, z, pid FROM pts), m AS (SELECT room, px, py, min(z) AS d FROM g GROUP BY 1, 2, 3)
+@query(f"""WITH {A.PTS}, g AS (SELECT room, CAST(floor(x) AS BIGINT) AS px, CAST(floor(y) AS BIGINT) AS py, z, pid FROM pts),
+ m AS (SELECT room, px, py, min(z) AS d FROM g GROUP BY 1, 2, 3)
 SELECT room, px, py, count(*) AS winners, min(pid) AS pid FROM g JOIN m USING (room, px, py) WHERE z <= d + 1e-9 GROUP BY 1, 2, 3""")
 def z_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.points(spark, sf_dir).withColumn("px", F.floor("x")).withColumn("py", F.floor("y"))
     return P.z_buffer(p, ["room", "px", "py"], "z").groupBy("room", "px", "py").agg(F.count("*").alias("winners"), F.min("pid").alias("pid"))
 
 
-@query("""WITH l AS (SELECT c_custkey AS id, c_nationkey AS site, c_acctbal / 100 AS x, CAST(c_custkey % 50 AS DOUBLE) AS y FROM customer), r AS (SELECT s_nationkey AS site, s_acctbal / 100 AS rx, CAST(s_suppkey % 50 AS DOUBLE) AS ry FROM supplier)
+@query("""WITH l AS (SELECT c_custkey AS id, c_nationkey AS site, c_acctbal / 100 AS x, CAST(c_custkey % 50 AS DOUBLE) AS y FROM customer),
+ r AS (SELECT s_nationkey AS site, s_acctbal / 100 AS rx, CAST(s_suppkey % 50 AS DOUBLE) AS ry FROM supplier)
 SELECT id FROM l WHERE EXISTS (SELECT 1 FROM r WHERE r.site = l.site AND (x - rx) ** 2 + (y - ry) ** 2 <= 100)""")
 def near_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("site"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") % 50).cast("double").alias("y"))
@@ -98,21 +106,31 @@ def ray_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return r, p
 
 
-@query("""WITH r AS (SELECT s_suppkey AS ray, s_suppkey % 3 AS site, radians(CAST(s_suppkey * 37 % 360 AS DOUBLE)) AS y, radians(CAST(s_suppkey * 11 % 20 - 10 AS DOUBLE)) AS p FROM supplier),
-d AS (SELECT ray, site, sin(y) * cos(p) AS dx, cos(y) * cos(p) AS dy, sin(p) AS dz FROM r), q AS (SELECT p_partkey AS pid, p_partkey % 3 AS site, 0.5 + CAST(p_partkey % 90 AS DOUBLE) / 10 AS f, radians(CAST(p_partkey * 7 % 360 AS DOUBLE)) AS y, radians(CAST(p_partkey * 3 % 20 - 10 AS DOUBLE)) AS p FROM part),
-c AS (SELECT pid, site, f * sin(y) * cos(p) AS x, f * cos(y) * cos(p) AS y, f * sin(p) AS z FROM q), t AS (SELECT ray, pid, x * dx + y * dy + z * dz AS t, x, y, z, dx, dy, dz FROM d JOIN c ON d.site = c.site)
-SELECT ray, pid, round(t, 5) AS t FROM t WHERE t BETWEEN 0.4 AND 10 AND (x - t * dx) ** 2 + (y - t * dy) ** 2 + (z - t * dz) ** 2 < greatest(0.03, t * tan(radians(0.6))) ** 2""")
+@query("""WITH r AS (SELECT s_suppkey AS ray, s_suppkey % 3 AS site, radians(CAST(s_suppkey * 37 % 360 AS DOUBLE)) AS y,
+ radians(CAST(s_suppkey * 11 % 20 - 10 AS DOUBLE)) AS p FROM supplier),
+d AS (SELECT ray, site, sin(y) * cos(p) AS dx, cos(y) * cos(p) AS dy, sin(p) AS dz FROM r),
+ q AS (SELECT p_partkey AS pid, p_partkey % 3 AS site, 0.5 + CAST(p_partkey % 90 AS DOUBLE) / 10 AS f,
+ radians(CAST(p_partkey * 7 % 360 AS DOUBLE)) AS y, radians(CAST(p_partkey * 3 % 20 - 10 AS DOUBLE)) AS p FROM part),
+c AS (SELECT pid, site, f * sin(y) * cos(p) AS x, f * cos(y) * cos(p) AS y, f * sin(p) AS z FROM q),
+ t AS (SELECT ray, pid, x * dx + y * dy + z * dz AS t, x, y, z, dx, dy, dz FROM d JOIN c ON d.site = c.site)
+SELECT ray, pid, round(t, 5) AS t FROM t WHERE t BETWEEN 0.4 AND 10 AND (x - t * dx) ** 2 + (y - t * dy) ** 2 + (z - t * dz) ** 2 < greatest(0.03,
+ t * tan(radians(0.6))) ** 2""")
 def cylinder_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cylinder_hits(*ray_points(spark, sf_dir)).select("ray", "pid", F.round("t", 5).alias("t"))
 
 
-@query("""WITH r AS (SELECT DISTINCT user_id AS ray, radians(CAST(user_id * 37 % 360 AS DOUBLE)) AS a, radians(CAST(user_id % 20 - 10 AS DOUBLE)) AS p FROM events), d AS (SELECT ray, sin(a) * cos(p) AS dx, cos(a) * cos(p) AS dy, sin(p) AS dz FROM r),
-h AS (SELECT user_id AS ray, value AS t, value * dx + event_id % 7 * 0.001 AS x, value * dy + event_id % 5 * 0.002 AS y, 1.5 + value * dz + event_id % 3 * 0.003 AS z, dx, dy, dz FROM events JOIN d ON ray = user_id),
-w AS (SELECT *, count(*) OVER (PARTITION BY ray ORDER BY t RANGE BETWEEN CAST(0.7531 AS DOUBLE) PRECEDING AND CAST(0.7531 AS DOUBLE) FOLLOWING) AS n FROM h), f AS (SELECT ray, min(t) AS t0 FROM w WHERE n >= 5 GROUP BY ray),
+@query("""WITH r AS (SELECT DISTINCT user_id AS ray, radians(CAST(user_id * 37 % 360 AS DOUBLE)) AS a, radians(CAST(user_id % 20 - 10 AS DOUBLE)) AS p
+ FROM events), d AS (SELECT ray, sin(a) * cos(p) AS dx, cos(a) * cos(p) AS dy, sin(p) AS dz FROM r),
+h AS (SELECT user_id AS ray, value AS t, value * dx + event_id % 7 * 0.001 AS x, value * dy + event_id % 5 * 0.002 AS y,
+ 1.5 + value * dz + event_id % 3 * 0.003 AS z, dx, dy, dz FROM events JOIN d ON ray = user_id),
+w AS (SELECT *, count(*) OVER (PARTITION BY ray ORDER BY t RANGE BETWEEN CAST(0.7531 AS DOUBLE) PRECEDING AND CAST(0.7531 AS DOUBLE) FOLLOWING) AS n
+ FROM h), f AS (SELECT ray, min(t) AS t0 FROM w WHERE n >= 5 GROUP BY ray),
 k AS (SELECT w.* FROM w JOIN f ON w.ray = f.ray WHERE t BETWEEN t0 - 0.7531 AND t0 + 0.7531),
-c AS (SELECT ray, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my, quantile_cont(z, 0.5) AS mz, count(*) AS support, any_value(dx) AS dx, any_value(dy) AS dy, any_value(dz) AS dz FROM k GROUP BY ray),
+c AS (SELECT ray, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my, quantile_cont(z, 0.5) AS mz, count(*) AS support, any_value(dx) AS dx,
+ any_value(dy) AS dy, any_value(dz) AS dz FROM k GROUP BY ray),
 s AS (SELECT c.ray, quantile_cont(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2), 0.5) AS spread FROM k JOIN c ON k.ray = c.ray GROUP BY c.ray)
-SELECT c.ray, round(mx, 6) AS x, round(my, 6) AS y, round(mz, 6) AS z, round(mx * dx + my * dy + (mz - 1.5) * dz, 6) AS t, support, round(spread, 6) AS spread FROM c JOIN s ON c.ray = s.ray WHERE mx * dx + my * dy + (mz - 1.5) * dz BETWEEN 0.4 AND 8""")
+SELECT c.ray, round(mx, 6) AS x, round(my, 6) AS y, round(mz, 6) AS z, round(mx * dx + my * dy + (mz - 1.5) * dz, 6) AS t, support, round(spread,
+ 6) AS spread FROM c JOIN s ON c.ray = s.ray WHERE mx * dx + my * dy + (mz - 1.5) * dz BETWEEN 0.4 AND 8""")
 def ray_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, u, i = table(spark, sf_dir, "events"), F.col("ray"), F.col("event_id")
     d = E.direction((u * 37 % 360).cast("double"), (u % 20 - 10).cast("double"))
@@ -122,7 +140,8 @@ def ray_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.first_hit(h, r, 0.7531, 5).select("ray", *(F.round(c, 6).alias(c) for c in ("x", "y", "z", "t")), "support", F.round("spread", 6).alias("spread"))
 
 
-@query(f"""WITH {A.PTS}, h AS (SELECT room, y - 1 AS h FROM pts WHERE x BETWEEN 1 AND 11 AND y BETWEEN 0 AND 15) SELECT room, count(*) FILTER (abs(h) <= 0.05) AS floor, count(*) FILTER (h BETWEEN 0.3 AND 2.0) AS obstacle, count(*) AS n FROM h GROUP BY room""")
+@query(f"""WITH {A.PTS}, h AS (SELECT room, y - 1 AS h FROM pts WHERE x BETWEEN 1 AND 11 AND y BETWEEN 0 AND 15)
+ SELECT room, count(*) FILTER (abs(h) <= 0.05) AS floor, count(*) FILTER (h BETWEEN 0.3 AND 2.0) AS obstacle, count(*) AS n FROM h GROUP BY room""")
 def band_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = P.clip_box(A.points(spark, sf_dir), x=(1.0, 11.0), y=(0.0, 15.0)).withColumn("h", F.col("y") - 1)
     return P.bands(p).groupBy("room").agg(F.count_if("is_floor").alias("floor"), F.count_if("is_obstacle").alias("obstacle"), F.count("*").alias("n"))
@@ -145,15 +164,19 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.floor(F.col("l_suppkey") / 10).alias("room"), P.cell(F.col("l_quantity") / 4, 0.25).alias("ix"), P.cell(F.col("l_extendedprice") / 5000, 0.25).alias("iy")).distinct()
 
 
-MASK = """c AS (SELECT DISTINCT CAST(l_suppkey // 10 AS BIGINT) AS room, CAST(floor(l_quantity / 4 / 0.25) AS BIGINT) AS ix, CAST(floor(l_extendedprice / 5000 / 0.25) AS BIGINT) AS iy FROM lineitem)"""
+MASK = """c AS (SELECT DISTINCT CAST(l_suppkey // 10 AS BIGINT) AS room, CAST(floor(l_quantity / 4 / 0.25) AS BIGINT) AS ix,
+ CAST(floor(l_extendedprice / 5000 / 0.25) AS BIGINT) AS iy FROM lineitem)"""
 #: Components of four neighbours of the cells ``n`` (room, ix, iy): the smallest cell, as one number, that each reaches.
 JOINED = """e AS (SELECT a.room, a.ix, a.iy, b.ix AS jx, b.iy AS jy FROM n a JOIN n b ON a.room = b.room AND abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1),
 k(room, ix, iy, root) USING KEY (room, ix, iy) AS (SELECT room, ix, iy, ix * 1000000 + iy FROM n UNION
- (SELECT u.room, u.ix, u.iy, min(v.root) FROM recurring.k u JOIN e ON u.room = e.room AND u.ix = e.ix AND u.iy = e.iy JOIN k v ON v.room = e.room AND v.ix = e.jx AND v.iy = e.jy WHERE v.root < u.root GROUP BY u.room, u.ix, u.iy))"""
+ (SELECT u.room, u.ix, u.iy, min(v.root) FROM recurring.k u JOIN e ON u.room = e.room AND u.ix = e.ix AND u.iy = e.iy
+ JOIN k v ON v.room = e.room AND v.ix = e.jx AND v.iy = e.jy WHERE v.root < u.root GROUP BY u.room, u.ix, u.iy))"""
 #: Cells of the box around each room's mask that aren't in it, and those of them that the box's edge doesn't reach.
 EMPTY = f"""{MASK}, x AS (SELECT room, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM c GROUP BY room),
-n AS (SELECT room, ix, iy FROM (SELECT room, ix, y0, y1, unnest(range(y0, y1 + 1)) AS iy FROM (SELECT *, unnest(range(x0, x1 + 1)) AS ix FROM x)) EXCEPT SELECT room, ix, iy FROM c), {JOINED},
-o AS (SELECT DISTINCT k.room, root FROM k JOIN x ON k.room = x.room WHERE ix IN (x0, x1) OR iy IN (y0, y1)), h AS (SELECT k.room, k.ix, k.iy, k.root FROM k LEFT JOIN o ON k.room = o.room AND k.root = o.root WHERE o.root IS NULL)"""
+n AS (SELECT room, ix, iy FROM (SELECT room, ix, y0, y1, unnest(range(y0, y1 + 1)) AS iy FROM (SELECT *, unnest(range(x0, x1 + 1)) AS ix
+ FROM x)) EXCEPT SELECT room, ix, iy FROM c), {JOINED},
+o AS (SELECT DISTINCT k.room, root FROM k JOIN x ON k.room = x.room WHERE ix IN (x0, x1) OR iy IN (y0, y1)), h AS (SELECT k.room, k.ix, k.iy, k.root
+ FROM k LEFT JOIN o ON k.room = o.room AND k.root = o.root WHERE o.root IS NULL)"""
 _sq = "(SELECT unnest([-1, 0, 1]) AS i)"
 
 
@@ -163,7 +186,8 @@ def morphology_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.closed(mask(spark, sf_dir), "room")
 
 
-@query(f"""WITH {MASK}, o AS (SELECT unnest([0, 1, -1, 0, 0]) AS i, unnest([0, 0, 0, 1, -1]) AS j), e AS (SELECT room, ix - i AS ix, iy - j AS iy FROM c, o GROUP BY 1, 2, 3 HAVING count(*) = 5) SELECT DISTINCT room, ix + i AS ix, iy + j AS iy FROM e, o""")
+@query(f"""WITH {MASK}, o AS (SELECT unnest([0, 1, -1, 0, 0]) AS i, unnest([0, 0, 0, 1, -1]) AS j), e AS (SELECT room, ix - i AS ix, iy - j AS iy FROM c, o
+ GROUP BY 1, 2, 3 HAVING count(*) = 5) SELECT DISTINCT room, ix + i AS ix, iy + j AS iy FROM e, o""")
 def morphology_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.opened(mask(spark, sf_dir), "room", P.CROSS)
 
@@ -183,19 +207,26 @@ def filled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.filled(mask(spark, sf_dir), "room", C.components)
 
 
-@query(f"""WITH {MASK}, f AS (SELECT s_suppkey // 10 AS room, s_suppkey AS point, CAST(floor((s_suppkey % 12) / 0.25) AS BIGINT) AS cx, CAST(floor((s_suppkey % 19) / 0.25) AS BIGINT) AS cy FROM supplier),
-o AS (SELECT a.i, b.j FROM (SELECT unnest(range(-4, 5)) AS i) a, (SELECT unnest(range(-4, 5)) AS j) b WHERE (i * 0.25) ** 2 + (j * 0.25) ** 2 <= 1), k AS (SELECT room, point, cx + i AS ix, cy + j AS iy FROM f, o)
-SELECT point, round(avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share, avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END) > 0.5 AS blocked FROM k LEFT JOIN c ON k.room = c.room AND k.ix = c.ix AND k.iy = c.iy GROUP BY point""")
+@query(f"""WITH {MASK}, f AS (SELECT s_suppkey // 10 AS room, s_suppkey AS point, CAST(floor((s_suppkey % 12) / 0.25) AS BIGINT) AS cx,
+ CAST(floor((s_suppkey % 19) / 0.25) AS BIGINT) AS cy FROM supplier),
+o AS (SELECT a.i, b.j FROM (SELECT unnest(range(-4, 5)) AS i) a, (SELECT unnest(range(-4, 5)) AS j) b WHERE (i * 0.25) ** 2 + (j * 0.25) ** 2 <= 1),
+ k AS (SELECT room, point, cx + i AS ix, cy + j AS iy FROM f, o)
+SELECT point, round(avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share, avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END) > 0.5 AS blocked
+ FROM k LEFT JOIN c ON k.room = c.room AND k.ix = c.ix AND k.iy = c.iy GROUP BY point""")
 def disc_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     c = table(spark, sf_dir, "supplier").select(F.floor(k / 10).alias("room"), k.alias("point"), (k % 12).cast("double").alias("x"), (k % 19).cast("double").alias("y"))
     return P.disc_share(c, mask(spark, sf_dir), 1.0, 0.25, "room").select("point", F.round("share", 6).alias("share"), "blocked")
 
 
-@query(f"""WITH {MASK}, d AS (SELECT s_suppkey AS device, s_suppkey // 10 AS room, CAST(s_suppkey % 11 AS DOUBLE) + 0.4 AS x, CAST(s_suppkey % 17 AS DOUBLE) + 0.3 AS y FROM supplier),
-s AS (SELECT *, unnest(['+x', '-x', '+y', '-y']) AS side, unnest([0, 1, 2, 3]) AS k, unnest([0.15, -1.0, -0.3, -0.3]) AS a, unnest([1.0, -0.15, 0.3, 0.3]) AS b, unnest([-0.3, -0.3, 0.15, -1.0]) AS p, unnest([0.3, 0.3, 1.0, -0.15]) AS q FROM d),
-g AS (SELECT *, unnest(range(CAST(floor((x + a) / 0.25 + 1e-6) AS BIGINT), CAST(ceil((x + b) / 0.25 - 1e-6) AS BIGINT))) AS ix FROM s), w AS (SELECT *, unnest(range(CAST(floor((y + p) / 0.25 + 1e-6) AS BIGINT), CAST(ceil((y + q) / 0.25 - 1e-6) AS BIGINT))) AS iy FROM g),
-h AS (SELECT device, side, k, avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM w LEFT JOIN c ON c.room = w.room AND c.ix = w.ix AND c.iy = w.iy GROUP BY 1, 2, 3)
+@query(f"""WITH {MASK}, d AS (SELECT s_suppkey AS device, s_suppkey // 10 AS room, CAST(s_suppkey % 11 AS DOUBLE) + 0.4 AS x,
+ CAST(s_suppkey % 17 AS DOUBLE) + 0.3 AS y FROM supplier),
+s AS (SELECT *, unnest(['+x', '-x', '+y', '-y']) AS side, unnest([0, 1, 2, 3]) AS k, unnest([0.15, -1.0, -0.3, -0.3]) AS a, unnest([1.0, -0.15, 0.3,
+ 0.3]) AS b, unnest([-0.3, -0.3, 0.15, -1.0]) AS p, unnest([0.3, 0.3, 1.0, -0.15]) AS q FROM d),
+g AS (SELECT *, unnest(range(CAST(floor((x + a) / 0.25 + 1e-6) AS BIGINT), CAST(ceil((x + b) / 0.25 - 1e-6) AS BIGINT))) AS ix FROM s),
+ w AS (SELECT *, unnest(range(CAST(floor((y + p) / 0.25 + 1e-6) AS BIGINT), CAST(ceil((y + q) / 0.25 - 1e-6) AS BIGINT))) AS iy FROM g),
+h AS (SELECT device, side, k, avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM w LEFT
+ JOIN c ON c.room = w.room AND c.ix = w.ix AND c.iy = w.iy GROUP BY 1, 2, 3)
 SELECT device, arg_max(side, (share, -k)) AS side, round(max(share), 6) AS share FROM h GROUP BY device""")
 def facing_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
@@ -203,7 +234,8 @@ def facing_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.facing(d, mask(spark, sf_dir), "room", 0.25).select("device", "side", F.round("share", 6).alias("share"))
 
 
-@query(f"""WITH {MASK}, d AS (SELECT * FROM c WHERE ix % 2 = 0), e AS (SELECT * FROM c WHERE iy % 2 = 0) SELECT 'and' AS op, count(*) AS n FROM (SELECT * FROM d INTERSECT SELECT * FROM e)
+@query(f"""WITH {MASK}, d AS (SELECT * FROM c WHERE ix % 2 = 0), e AS (SELECT * FROM c WHERE iy % 2 = 0) SELECT 'and' AS op, count(*) AS n FROM (SELECT *
+ FROM d INTERSECT SELECT * FROM e)
 UNION ALL SELECT 'or', count(*) FROM (SELECT * FROM d UNION SELECT * FROM e) UNION ALL SELECT 'minus', count(*) FROM (SELECT * FROM d EXCEPT SELECT * FROM e)""")
 def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """And, or and minus of two masks, the cells of even columns and of even rows."""
@@ -214,33 +246,39 @@ def mask_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n(a.join(b, keys, "left_semi"), "and").unionByName(n(a.unionByName(b).distinct(), "or")).unionByName(n(a.join(b, keys, "left_anti"), "minus"))
 
 
-@query("""WITH o AS (SELECT user_id, event_id, value, CASE WHEN value - lag(value) OVER w > 2.0 THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id)),
-g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY value, event_id) AS grp FROM o) SELECT user_id, CAST(grp AS BIGINT) AS grp, count(*) AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM g GROUP BY 1, 2""")
+@query("""WITH o AS (SELECT user_id, event_id, value, CASE WHEN value - lag(value) OVER w > 2.0 THEN 1 ELSE 0 END AS n
+ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id)),
+g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY value, event_id) AS grp FROM o)
+ SELECT user_id, CAST(grp AS BIGINT) AS grp, count(*) AS n, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM g GROUP BY 1, 2""")
 def gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = P.gap_groups(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "value", 2.0, "event_id")
     return g.groupBy("user_id", F.col("group").cast("long").alias("grp")).agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("lo"), F.round(F.max("value"), 6).alias("hi"))
 
 
-@query("""WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value > 5 AS f FROM events), k AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM n WHERE f)
+@query("""WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, value > 5 AS f FROM events),
+ k AS (SELECT user_id, i, i - row_number() OVER (PARTITION BY user_id ORDER BY i) AS g FROM n WHERE f)
 SELECT user_id, CAST(min(i) AS INTEGER) AS first, CAST(max(i) + 1 AS INTEGER) AS "end" FROM k GROUP BY user_id, g""")
 def true_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.runs(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("value") > 5)
 
 
-@query("""SELECT s_nationkey AS site, s_suppkey AS a, lead(s_suppkey) OVER w AS b, round(abs(lead(s_acctbal) OVER w - s_acctbal), 4) AS step FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey) QUALIFY b IS NOT NULL""")
+@query("""SELECT s_nationkey AS site, s_suppkey AS a, lead(s_suppkey) OVER w AS b, round(abs(lead(s_acctbal) OVER w - s_acctbal), 4) AS step
+ FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey) QUALIFY b IS NOT NULL""")
 def route_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
     s = table(spark, sf_dir, "supplier").withColumn("b", F.lead("s_suppkey").over(w)).withColumn("nb", F.lead("s_acctbal").over(w)).where("b is not null")
     return s.select(F.col("s_nationkey").alias("site"), F.col("s_suppkey").alias("a"), "b", F.round(F.abs(F.col("nb") - F.col("s_acctbal")), 4).alias("step"))
 
 
-@query("""SELECT s_suppkey AS id, CASE WHEN s_acctbal / 5000 NOT BETWEEN 1.0 AND 1.8 THEN true ELSE false END AS camera_outlier, CASE WHEN s_acctbal / 5000 NOT BETWEEN 1.2 AND 2.0 THEN 'height' END AS flag FROM supplier""")
+@query("""SELECT s_suppkey AS id, CASE WHEN s_acctbal / 5000 NOT BETWEEN 1.0 AND 1.8 THEN true ELSE false END AS camera_outlier, CASE
+ WHEN s_acctbal / 5000 NOT BETWEEN 1.2 AND 2.0 THEN 'height' END AS flag FROM supplier""")
 def height_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("s_acctbal") / 5000
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (~h.between(1.0, 1.8)).alias("camera_outlier"), F.when(~h.between(1.2, 2.0), "height").alias("flag"))
 
 
-@query("""WITH p AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, CAST(c_custkey % 97 AS DOUBLE) AS y FROM customer), b AS (SELECT floor(min(x)) - 1 AS x0, ceil(max(y)) + 1 AS y1 FROM p)
+@query("""WITH p AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, CAST(c_custkey % 97 AS DOUBLE) AS y FROM customer),
+ b AS (SELECT floor(min(x)) - 1 AS x0, ceil(max(y)) + 1 AS y1 FROM p)
 SELECT id, round((x - x0) / 0.05, 4) AS px, round((y1 - y) / 0.05, 4) AS py FROM p, b""")
 def plan_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") % 97).cast("double").alias("y"))
@@ -249,7 +287,8 @@ def plan_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.round(px, 4).alias("px"), F.round(py, 4).alias("py"))
 
 
-BOUNDS = """b AS (SELECT c_custkey // 120 AS site, CAST(floor(min(c_acctbal) / 100) - 1 AS BIGINT) AS x0, CAST(ceil(max(c_acctbal) / 100) + 1 AS BIGINT) AS x1, min(c_custkey % 97) - 1 AS y0, max(c_custkey % 97) + 1 AS y1 FROM customer GROUP BY 1)"""
+BOUNDS = """b AS (SELECT c_custkey // 120 AS site, CAST(floor(min(c_acctbal) / 100) - 1 AS BIGINT) AS x0, CAST(ceil(max(c_acctbal) / 100) + 1 AS BIGINT) AS x1,
+ min(c_custkey % 97) - 1 AS y0, max(c_custkey % 97) + 1 AS y1 FROM customer GROUP BY 1)"""
 
 
 def plan_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,14 +302,17 @@ def layout_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_of(spark, sf_dir).withColumn("mpp", F.round("mpp", 8))
 
 
-@query(f"""WITH {BOUNDS}, l AS (SELECT *, 'x' AS axis, unnest(generate_series(CAST(ceil(x0 / 10) * 10 AS BIGINT), CAST(floor(x1 / 10) * 10 AS BIGINT), 10)) AS at_ FROM b UNION ALL SELECT *, 'y', unnest(generate_series(CAST(ceil(y0 / 10) * 10 AS BIGINT), CAST(floor(y1 / 10) * 10 AS BIGINT), 10)) FROM b)
+@query(f"""WITH {BOUNDS}, l AS (SELECT *, 'x' AS axis, unnest(generate_series(CAST(ceil(x0 / 10) * 10 AS BIGINT), CAST(floor(x1 / 10) * 10 AS BIGINT),
+ 10)) AS at_ FROM b UNION ALL SELECT *, 'y', unnest(generate_series(CAST(ceil(y0 / 10) * 10 AS BIGINT), CAST(floor(y1 / 10) * 10 AS BIGINT), 10))
+ FROM b)
 SELECT site, axis, at_ AS "at", round(CASE axis WHEN 'x' THEN at_ - x0 ELSE y1 - at_ END / ((x1 - x0) / 1000), 5) AS px FROM l""")
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grid lines every ten metres across both axes of each plan."""
     return Y.grid_lines(plan_of(spark, sf_dir), "site").withColumn("px", F.round("px", 5))
 
 
-@query("""WITH e AS (SELECT event_id AS id, CAST(event_id * 53 % 2000 AS DOUBLE) AS u, CAST(event_id * 31 % 1000 AS DOUBLE) AS v FROM events) SELECT id, round(u, 4) AS u, round(v, 4) AS v, round((u / 2000 - 0.5) * 360, 6) AS yaw, round((0.5 - v / 1000) * 180, 6) AS pitch FROM e""")
+@query("""WITH e AS (SELECT event_id AS id, CAST(event_id * 53 % 2000 AS DOUBLE) AS u, CAST(event_id * 31 % 1000 AS DOUBLE) AS v FROM events)
+ SELECT id, round(u, 4) AS u, round(v, 4) AS v, round((u / 2000 - 0.5) * 360, 6) AS yaw, round((0.5 - v / 1000) * 180, 6) AS pitch FROM e""")
 def world_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image points to world directions and back by the camera's quaternion, and the directions of an equirectangular picture."""
     i = F.col("event_id")
@@ -282,8 +324,10 @@ def world_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(i.alias("id"), F.round(pu, 4).alias("u"), F.round(pv, 4).alias("v"), F.round(yaw, 6).alias("yaw"), F.round(pitch, 6).alias("pitch"))
 
 
-@query("""WITH e AS (SELECT event_id AS id, CAST(event_id * 53 % 2000 AS DOUBLE) AS u, CAST(event_id * 31 % 1000 AS DOUBLE) AS v, radians(CAST(event_id % 360 AS DOUBLE)) / 2 AS h FROM events),
-c AS (SELECT id, h, (u - 1000) * 0.001 / 1.2 AS x, -(v - 500) * 0.001 / 1.2 AS y FROM e), n AS (SELECT id, h, x / sqrt(x * x + y * y + 1) AS x, y / sqrt(x * x + y * y + 1) AS y, -1 / sqrt(x * x + y * y + 1) AS z FROM c),
+@query("""WITH e AS (SELECT event_id AS id, CAST(event_id * 53 % 2000 AS DOUBLE) AS u, CAST(event_id * 31 % 1000 AS DOUBLE) AS v,
+ radians(CAST(event_id % 360 AS DOUBLE)) / 2 AS h FROM events),
+c AS (SELECT id, h, (u - 1000) * 0.001 / 1.2 AS x, -(v - 500) * 0.001 / 1.2 AS y FROM e),
+ n AS (SELECT id, h, x / sqrt(x * x + y * y + 1) AS x, y / sqrt(x * x + y * y + 1) AS y, -1 / sqrt(x * x + y * y + 1) AS z FROM c),
 r AS (SELECT id, (1 - 2 * sin(h) * sin(h)) * x - 2 * cos(h) * sin(h) * y AS wx, 2 * cos(h) * sin(h) * x + (1 - 2 * sin(h) * sin(h)) * y AS wy, z AS wz FROM n)
 SELECT id, round(degrees(atan2(wx, wy)), 5) AS yaw, round(degrees(asin(greatest(least(wz / sqrt(wx * wx + wy * wy + wz * wz), 1), -1))), 5) AS pitch FROM r""")
 def pixel_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,16 +339,20 @@ def pixel_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(i.alias("id"), F.round(yaw, 5).alias("yaw"), F.round(pitch, 5).alias("pitch"))
 
 
-@query("""WITH s AS (SELECT s_suppkey AS scan FROM supplier), v AS (SELECT 0 AS k, 90 AS fov, 1.0 AS st, unnest(range(0, 360, 45)) AS yaw, [0] AS ps UNION ALL SELECT 1, 45, 1.0, unnest(range(0, 360, 30)), [0, 20]
+@query("""WITH s AS (SELECT s_suppkey AS scan FROM supplier), v AS (SELECT 0 AS k, 90 AS fov, 1.0 AS st, unnest(range(0, 360, 45)) AS yaw, [0] AS ps
+ UNION ALL SELECT 1, 45, 1.0, unnest(range(0, 360, 30)), [0, 20]
  UNION ALL SELECT 2, 45, 2.0, unnest(range(0, 360, 14)), [0, 20] UNION ALL SELECT 3, 45, 3.5, unnest(range(0, 360, 8)), [0, 20])
-SELECT scan, CAST(k AS INTEGER) AS "set", CAST(fov AS INTEGER) AS fov, CAST(st AS DOUBLE) AS stretch, CAST(yaw AS INTEGER) AS yaw, CAST(unnest(ps) AS INTEGER) AS pitch FROM s, v""")
+SELECT scan, CAST(k AS INTEGER) AS "set", CAST(fov AS INTEGER) AS fov, CAST(st AS DOUBLE) AS stretch, CAST(yaw AS INTEGER) AS yaw,
+ CAST(unnest(ps) AS INTEGER) AS pitch FROM s, v""")
 def view_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """174 virtual views of each scan, in four sets (8, 24, 52 and 90)."""
     return Y.view_grid(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("scan")))
 
 
-@query("""WITH d AS (SELECT c_custkey AS dir, c_custkey // 120 AS site, radians(CAST(c_custkey * 7 % 360 AS DOUBLE)) AS y FROM customer), c AS (SELECT s_suppkey AS camera, s_suppkey // 8 AS site, radians(CAST(s_suppkey * 60 % 360 AS DOUBLE)) AS y FROM supplier),
-p AS (SELECT d.site, dir, camera, round(sin(d.y) * sin(c.y) + cos(d.y) * cos(c.y), 12) + 0.0 AS cs FROM d JOIN c ON d.site = c.site) SELECT site, dir, arg_max(camera, (cs, -camera)) AS camera, round(max(cs), 6) AS cos FROM p GROUP BY 1, 2""")
+@query("""WITH d AS (SELECT c_custkey AS dir, c_custkey // 120 AS site, radians(CAST(c_custkey * 7 % 360 AS DOUBLE)) AS y FROM customer),
+ c AS (SELECT s_suppkey AS camera, s_suppkey // 8 AS site, radians(CAST(s_suppkey * 60 % 360 AS DOUBLE)) AS y FROM supplier),
+p AS (SELECT d.site, dir, camera, round(sin(d.y) * sin(c.y) + cos(d.y) * cos(c.y), 12) + 0.0 AS cs FROM d JOIN c ON d.site = c.site)
+ SELECT site, dir, arg_max(camera, (cs, -camera)) AS camera, round(max(cs), 6) AS cos FROM p GROUP BY 1, 2""")
 def best_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.radians((F.col("c_custkey") * 7 % 360).cast("double")), F.radians((F.col("s_suppkey") * 60 % 360).cast("double"))
     d = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("dir"), F.floor(F.col("c_custkey") / 120).alias("site"), F.sin(a).alias("dx"), F.cos(a).alias("dy"), F.lit(0.0).alias("dz"))
@@ -324,13 +372,15 @@ def contour_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.contours(P.opened(mask(spark, sf_dir), "room", P.CROSS), "room").select("room", "ring", "corners", "area")
 
 
-@query(f"""WITH {MASK}, a AS (SELECT room, 'x' AS axis, iy AS line, ix AS v FROM c UNION ALL SELECT room, 'y', ix, iy FROM c), g AS (SELECT *, v - row_number() OVER (PARTITION BY room, axis, line ORDER BY v) AS k FROM a)
+@query(f"""WITH {MASK}, a AS (SELECT room, 'x' AS axis, iy AS line, ix AS v FROM c UNION ALL SELECT room, 'y', ix, iy FROM c),
+ g AS (SELECT *, v - row_number() OVER (PARTITION BY room, axis, line ORDER BY v) AS k FROM a)
 SELECT room, axis, line, min(v) AS start, max(v) AS "end" FROM g GROUP BY room, axis, line, k HAVING count(*) >= 6""")
 def wall_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.walls(mask(spark, sf_dir), "room", 6)
 
 
-@query("""WITH r AS (SELECT c_custkey AS id, CAST(c_custkey % 10 AS DOUBLE) AS a, CAST(c_custkey % 7 AS DOUBLE) AS b, c_custkey % 5 AS odd FROM customer) SELECT id, odd > 1 AND b <> 0 AS rect, CASE WHEN odd > 1 AND b <> 0 THEN a + 1 END AS xb FROM r""")
+@query("""WITH r AS (SELECT c_custkey AS id, CAST(c_custkey % 10 AS DOUBLE) AS a, CAST(c_custkey % 7 AS DOUBLE) AS b, c_custkey % 5 AS odd FROM customer)
+ SELECT id, odd > 1 AND b <> 0 AS rect, CASE WHEN odd > 1 AND b <> 0 THEN a + 1 END AS xb FROM r""")
 def rectangle_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings of four corners; of each five one has a corner moved and one is a bow tie, and some have no height."""
     k = F.col("c_custkey")
@@ -356,7 +406,8 @@ def partition_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.partitions(P.opened(mask(spark, sf_dir), "room", P.CROSS), "room", 0.25, thickest=1.0)
 
 
-@query(f"""WITH RECURSIVE {MASK}, n AS (SELECT * FROM c WHERE (ix + iy) % 3 > 0), {JOINED}, z AS (SELECT room, root, count(*) AS m, count(*) FILTER (iy % 4 = 0) AS low FROM k GROUP BY room, root)
+@query(f"""WITH RECURSIVE {MASK}, n AS (SELECT * FROM c WHERE (ix + iy) % 3 > 0), {JOINED},
+ z AS (SELECT room, root, count(*) AS m, count(*) FILTER (iy % 4 = 0) AS low FROM k GROUP BY room, root)
 SELECT k.room, k.ix, k.iy FROM k JOIN z ON k.room = z.room AND k.root = z.root WHERE m * 0.0625 >= 0.5 AND low >= 2 AND low >= 0.2 * m""")
 def supported_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of a thinned mask that are large enough and stand on enough cells."""
@@ -393,7 +444,8 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "v.n", F.round("v.total", 4).alias("total"))
 
 
-@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f
+ FROM events), s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: sessions of each user with a gap of six hours, by the stream's own operator over the whole table."""
@@ -402,13 +454,19 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.event_sessions(table(spark, sf_dir, "events"), "6 hours", "1 day")
 
 
-@query("""WITH p AS (SELECT c_custkey AS panel, CAST(c_custkey % 50 AS DOUBLE) AS x, CAST(c_custkey % 30 AS DOUBLE) AS y, CAST(0.6 + c_custkey % 7 * 0.1 AS DOUBLE) AS w, CAST(0.8 + c_custkey % 3 * 0.2 AS DOUBLE) AS d, CAST(0.3 + c_custkey % 23 * 0.1 AS DOUBLE) AS h, c_custkey % 4 AS f FROM customer),
+@query("""WITH p AS (SELECT c_custkey AS panel, CAST(c_custkey % 50 AS DOUBLE) AS x, CAST(c_custkey % 30 AS DOUBLE) AS y,
+ CAST(0.6 + c_custkey % 7 * 0.1 AS DOUBLE) AS w, CAST(0.8 + c_custkey % 3 * 0.2 AS DOUBLE) AS d, CAST(0.3 + c_custkey % 23 * 0.1 AS DOUBLE) AS h,
+ c_custkey % 4 AS f FROM customer),
 q AS (SELECT *, least(0.05, (w - 0.016) / 6) AS i, CASE WHEN h >= 1.9 THEN least(1.55, h - 0.6) END AS m, h - 0.08 AS top FROM p),
-l AS (SELECT *, unnest(CASE WHEN top - 0.2 < 0.3 THEN [] WHEN m IS NULL THEN [0.18] ELSE [0.18, m + 0.03] END) AS lo, unnest(CASE WHEN top - 0.2 < 0.3 THEN [] WHEN m IS NULL THEN [top] ELSE [m - 0.03, top] END) AS hi FROM q),
-b AS (SELECT panel, 'plinth' AS part, x, y, w, d, f, 0.008 AS s0, w - 0.008 AS s1, 0.04 AS n0, d AS n1, 0.0 AS z0, 0.1 AS z1 FROM q UNION ALL SELECT panel, 'body', x, y, w, d, f, 0.008, w - 0.008, 0, d, 0.1, h FROM q
+l AS (SELECT *, unnest(CASE WHEN top - 0.2 < 0.3 THEN [] WHEN m IS NULL THEN [0.18] ELSE [0.18, m + 0.03] END) AS lo, unnest(CASE
+ WHEN top - 0.2 < 0.3 THEN [] WHEN m IS NULL THEN [top] ELSE [m - 0.03, top] END) AS hi FROM q),
+b AS (SELECT panel, 'plinth' AS part, x, y, w, d, f, 0.008 AS s0, w - 0.008 AS s1, 0.04 AS n0, d AS n1, 0.0 AS z0, 0.1 AS z1 FROM q UNION ALL
+ SELECT panel, 'body', x, y, w, d, f, 0.008, w - 0.008, 0, d, 0.1, h FROM q
  UNION ALL SELECT panel, 'door', x, y, w, d, f, 0.008 + i, w - 0.008 - i, -0.012, 0, lo, hi FROM l
- UNION ALL SELECT panel, 'handle', x, y, w, d, f, w - 0.078 - i, w - 0.048 - i, -0.037, -0.012, least(greatest((lo + hi) / 2, lo + 0.1), hi - 0.1) - 0.09, least(greatest((lo + hi) / 2, lo + 0.1), hi - 0.1) + 0.09 FROM l),
-c AS (SELECT panel, part, z0, z1, CASE f WHEN 0 THEN [x + s0, x + s1, y + n0, y + n1] WHEN 1 THEN [x + d - n1, x + d - n0, y + s0, y + s1] WHEN 2 THEN [x + w - s1, x + w - s0, y + d - n1, y + d - n0] ELSE [x + n0, x + n1, y + w - s1, y + w - s0] END AS v FROM b)
+ UNION ALL SELECT panel, 'handle', x, y, w, d, f, w - 0.078 - i, w - 0.048 - i, -0.037, -0.012, least(greatest((lo + hi) / 2, lo + 0.1),
+ hi - 0.1) - 0.09, least(greatest((lo + hi) / 2, lo + 0.1), hi - 0.1) + 0.09 FROM l),
+c AS (SELECT panel, part, z0, z1, CASE f WHEN 0 THEN [x + s0, x + s1, y + n0, y + n1] WHEN 1 THEN [x + d - n1, x + d - n0, y + s0, y + s1]
+ WHEN 2 THEN [x + w - s1, x + w - s0, y + d - n1, y + d - n0] ELSE [x + n0, x + n1, y + w - s1, y + w - s0] END AS v FROM b)
 SELECT panel, part, round(v[1], 3) AS xa, round(v[2], 3) AS xb, round(v[3], 3) AS ya, round(v[4], 3) AS yb, round(z0, 6) AS z0, round(z1, 6) AS z1 FROM c""")
 def cabinet_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panels that look to each of the four sides, the first by default."""
@@ -423,7 +481,8 @@ def cabinet_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT s_suppkey AS device, s_acctbal / 1000 AS x, CAST(s_suppkey % 9 AS DOUBLE) AS y, 1.5 AS z, s_suppkey % 3 AS place, 3 AS size FROM supplier)
-SELECT device, round(x - 0.25, 6) AS bx, round(y - (place - 1) * 0.34, 6) AS by_, round(CAST(CASE WHEN device % 2 = 0 THEN 2.2 ELSE 1.5 END + 0.55 AS DOUBLE), 6) AS bz FROM d""")
+SELECT device, round(x - 0.25, 6) AS bx, round(y - (place - 1) * 0.34, 6) AS by_, round(CAST(CASE WHEN device % 2 = 0 THEN 2.2
+ ELSE 1.5 END + 0.55 AS DOUBLE), 6) AS bz FROM d""")
 def badge_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     d = table(spark, sf_dir, "supplier").select(k.alias("device"), (F.col("s_acctbal") / 1000).alias("x"), (k % 9).cast("double").alias("y"), F.lit(1.5).alias("z"), F.lit(-1.0).alias("fx"), F.lit(0.0).alias("fy"),
@@ -431,8 +490,10 @@ def badge_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.badge_anchor(d).select("device", F.round("bx", 6).alias("bx"), F.round("by", 6).alias("by_"), F.round("bz", 6).alias("bz"))
 
 
-@query("""WITH b AS (SELECT event_id AS id, value AS xa, value + 1.3 AS xb, value / 2 AS ya, value / 2 + 0.7 AS yb FROM events), w AS (SELECT id, greatest(CAST(floor((xa + 1) / 0.5 + 1e-6) AS BIGINT), 0) AS c0, least(CAST(ceil((xb + 1) / 0.5 - 1e-6) AS BIGINT), 40) AS c1,
- greatest(CAST(floor((10 - yb) / 0.5 + 1e-6) AS BIGINT), 0) AS r0, least(CAST(ceil((10 - ya) / 0.5 - 1e-6) AS BIGINT), 20) AS r1 FROM b) SELECT id, c0, greatest(c0, c1) AS c1, r0, greatest(r0, r1) AS r1 FROM w""")
+@query("""WITH b AS (SELECT event_id AS id, value AS xa, value + 1.3 AS xb, value / 2 AS ya, value / 2 + 0.7 AS yb FROM events),
+ w AS (SELECT id, greatest(CAST(floor((xa + 1) / 0.5 + 1e-6) AS BIGINT), 0) AS c0, least(CAST(ceil((xb + 1) / 0.5 - 1e-6) AS BIGINT), 40) AS c1,
+ greatest(CAST(floor((10 - yb) / 0.5 + 1e-6) AS BIGINT), 0) AS r0, least(CAST(ceil((10 - ya) / 0.5 - 1e-6) AS BIGINT), 20) AS r1 FROM b)
+ SELECT id, c0, greatest(c0, c1) AS c1, r0, greatest(r0, r1) AS r1 FROM w""")
 def cell_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     b = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), v.alias("xa"), (v + 1.3).alias("xb"), (v / 2).alias("ya"), (v / 2 + 0.7).alias("yb"))
