@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import as_batch
+from sightline.llm.common import as_batch, bounded_batches
 
 
 @dataclass(frozen=True)
@@ -94,6 +94,7 @@ SEGMENTS = "conv_id long, turn_no long, segment int, text string, loss boolean,
 
 def ordered(turns: DataFrame) -> DataFrame:
     """A conversation's turns together and in order within a partition."""
+    bounded_batches(turns.sparkSession)
     return (turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                          F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
             .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"))

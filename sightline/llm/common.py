@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -52,8 +52,32 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: What empties the memory that an operator keeps in a worker from one task to the next, by operator.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def drop_memories() -> None:
+    """At the start of a task that needs no such memory: Spark reuses workers, and what an earlier stage's tasks keep would
+    add to what this one's need."""
+    for empty in MEMORIES.values():
+        empty()
+
+
+#: Bytes of an Arrow batch, about, so that rows with long texts don't fill a worker's memory.
+BATCH = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sees to it that Arrow batches of this session hold at most BATCH bytes, or less where the session says so."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is not None and not 0 < int(now.rstrip("b")) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` alone, null text read as empty, so that further columns can't clash."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
@@ -63,9 +87,9 @@ def held_out(mod: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, mod: int, rest: int, per_class: int) -> DataFrame:
+def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, mod: int, rest: int, per_class: int) -> tuple[DataFrame, str]:
     """``doc_id, y, h, text`` of at most ``per_class`` training rows of each label, chosen by a hash ``h`` of the id over
-    all labelled ids that have a document; stored.
+    all labelled ids that have a document; stored, and the path to forget it by.
 
     Held-out documents and null labels never enter. Of repeated ids one label (the larger) and one text (the smallest)
     stay, so there is one row for each id. Ids are picked before any text is touched; at most ``2 * per_class`` of them
@@ -80,7 +104,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, mod: int, r
         part = y.where(F.col("y") == v).select("doc_id", "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     rows = texts(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "h").agg(F.min("text").alias("text"))
-    return stored(rows, "sample")
+    return stored_at(rows, "sample")
 
 
 def frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pd.DataFrame]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import as_batch, pieces, sample_labelled, texts
+from sightline.llm.common import as_batch, drop_memories, forget, pieces, sample_labelled, texts
 
 THRESHOLD = 0.7
 PER_CLASS = 1_500
@@ -193,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("bag", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memories()
         for b in batches:
             for p in pieces(b):
                 raws = [t.encode() for t in p.column("text").to_pylist()]
@@ -204,13 +205,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int
                         found[d] = mine.tobytes()
                 yield as_batch({"doc_id": p.column("doc_id"), "y": p.column("y"), "bag": [found[i] for i in range(len(raws))]}, schema)
 
-    sample = sample_labelled(docs, labels, "quality", mod, rest, per_class)
+    sample, path = sample_labelled(docs, labels, "quality", mod, rest, per_class)
     size = F.octet_length("text")
     upto = Window.partitionBy("y").orderBy("h", "doc_id")  # over ids and sizes of the sample alone
     fits = (sample.select("doc_id", "y", "h", size.alias("size")).where(size <= most_bytes)
             .withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= most_bytes).select("doc_id"))
     rows = sample.join(F.broadcast(fits), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y long, bag binary")
     got = sorted((r["doc_id"], r["bag"], r["y"]) for r in rows.collect())
+    forget(docs.sparkSession, path)
     return train([(np.frombuffer(b, np.float16).reshape(-1, SIZE).astype(np.float32), int(y)) for _, b, y in got])
 
 
@@ -219,6 +221,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memories()
         for b in batches:
             for p in pieces(b):
                 yield as_batch({"doc_id": p.column("doc_id"), "score": model.score([t.encode() for t in p.column("text").to_pylist()])}, schema)
@@ -232,6 +235,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     @F.pandas_udf("double")
     def quality(t: pd.Series) -> pd.Series:
+        drop_memories()
         return pd.Series(model.score([x.encode() for x in t]))
 
     return docs.where(quality(F.coalesce(F.col("text"), F.lit(""))) >= threshold)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import as_batch, forget, pieces, shared_dir, stored, stored_at, texts
+from sightline.llm.common import as_batch, drop_memories, forget, pieces, shared_dir, stored, stored_at, texts
 
 RADIUS, WORDS, SEED = 3, 3, 42
 #: Fingerprints that meet in one variant before the group is split by further variants.
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, *more: str) -> DataFrame:
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *more)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memories()
         for b in batches:
             for p in pieces(b):
                 fp = np.array([fingerprint(t, words) for t in p.column("text").to_pylist()], dtype=np.uint64).view(np.int64)

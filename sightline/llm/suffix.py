@@ -44,6 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.llm.common import bounded_batches, drop_memories
+
 LENGTH, KMER = 50, 24
 #: Bytes of text in a group, anchors in a bucket, bytes of text in a bucket: about.
 GROUP, ANCHORS, BUCKET = 2 << 20, 1 << 20, 4 << 20
@@ -318,6 +320,7 @@ def rows(schema: pa.Schema, values: list[tuple]) -> pa.Table:
 
 def windows_of(t: pa.Table) -> Windows:
     """Of a group's table; its rows in the order of id, then text, so that each step numbers them alike."""
+    drop_memories()
     raws = [(x or "").encode() for x in t.column("_text").to_pylist()]
     docs = np.array([LAST if d is None else d for d in t.column("_doc").to_pylist()], dtype=np.int64)
     order = sorted(range(len(raws)), key=lambda i: (docs[i], raws[i]))
@@ -362,6 +365,7 @@ def covered(w: Windows, first: dict[int, bytes], second: dict[int, bytes], bucke
 def messages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[int, int]]:
     """The first step and half of the second: the dealt texts, the answers about anchors, the texts sent to buckets, and
     the numbers of buckets of both steps."""
+    bounded_batches(docs.sparkSession)
     other = [c for c in docs.columns if c not in ("doc_id", "text")]
     each = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"),
                        (F.struct(*other) if other else F.lit(None).cast("string")).alias("_rest"))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import as_batch, pieces, sample_labelled, stored, texts
+from sightline.llm.common import as_batch, drop_memories, forget, pieces, sample_labelled, stored_at, texts
 
 THRESHOLD = 0.7
 #: Labelled rows of each kind that the lexicon is learned from, at most.
@@ -188,6 +188,7 @@ FEATURES = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("folded", pa.s
 
 def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Folded texts with their entries and marks."""
+    drop_memories()
     for b in batches:
         for p in pieces(b, 1 << 20):
             folded = [fold(t) for t in p.column("text").to_pylist()]
@@ -207,10 +208,21 @@ def fresh(rows: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int = 3, rest: int = 1, least: int = 5, ratio: float = 2.5) -> Lexicon:
     """Learn from at most ``per_class`` rows of each label outside the held-out fold. Entries must be in ``least`` toxic
     texts (fewer where few texts are given) and have log odds over ``ratio``."""
-    sample = sample_labelled(docs, labels, "toxic", mod, rest, per_class)
+    sample, *paths = sample_labelled(docs, labels, "toxic", mod, rest, per_class)
     rows = sample.select("doc_id", F.col("y").cast("long").alias("y"), "text").mapInArrow(
         featured, "doc_id long, y long, folded string, entries array<string>, marks array<long>")
-    rows = stored(fresh(stored(rows, "features")).drop("marks"), "fresh")
+    rows, path = stored_at(rows, "features")
+    paths.append(path)
+    rows, path = stored_at(fresh(rows).drop("marks"), "fresh")
+    try:
+        return learned(rows, least, ratio)
+    finally:
+        for p in (*paths, path):
+            forget(docs.sparkSession, p)
+
+
+def learned(rows: DataFrame, least: int, ratio: float) -> Lexicon:
+    """Lexicon from featured rows (doc_id, y, folded, entries)."""
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     n0 = n - n1
     if not n0 or not n1:
@@ -263,6 +275,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("matched", pa.float64()), ("n_words", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memories()
         auto = lexicon.automaton()
         for b in batches:
             for p in pieces(b):
@@ -286,6 +299,7 @@ def flagger(lexicon: Lexicon):
     @F.pandas_udf("double")
     def toxicity(t: pd.Series) -> pd.Series:
         if not auto:
+            drop_memories()
             auto.append(lexicon.automaton())
         return pd.Series([lexicon.score(*lexicon.matched(auto[0], fold(x))) for x in t])
 

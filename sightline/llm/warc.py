@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import as_batch, pieces, stored
+from sightline.llm.common import as_batch, bounded_batches, pieces, stored
 
 #: Bytes of records in an archive, about; records and bytes the dictionary is built from, and its size.
 ROLL, SAMPLES, SAMPLE_BYTES, DICTIONARY = 8 << 20, 128, 4096, 16 << 10
@@ -119,6 +119,7 @@ def planned(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, roll: int = ROLL) -> DataFrame:
     """``archive`` (name) and ``content`` (a complete file) rows that hold a record for each page."""
+    bounded_batches(pages.sparkSession)
     schema = pa.schema([("archive", pa.string()), ("content", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,11 +141,11 @@ def test_a_label_of_long_texts_alone_is_learned(spark):
 def test_one_sampled_row_for_each_id(spark):
     docs = spark.createDataFrame([(1, f"copy {i}") for i in range(500)] + [(2, None), (3, "x"), (None, "y")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (4, 1), (5, 0), (None, 1)], "doc_id long, quality int")
-    got = sorted((r.doc_id, r.y, r.text) for r in sample_labelled(docs, labels, "quality", 7, 99, 10).collect())
+    got = sorted((r.doc_id, r.y, r.text) for r in sample_labelled(docs, labels, "quality", 7, 99, 10)[0].collect())
     assert got == [(1, 1, "copy 0"), (2, 0, "")]
     many = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
     docs = spark.createDataFrame([(i, "word " * (i % 9)) for i in range(200, 400)], "doc_id long, text string")
-    assert sample_labelled(docs, many, "quality", 7, 99, 30).groupBy("y").count().where("count = 30").count() == 2
+    assert sample_labelled(docs, many, "quality", 7, 99, 30)[0].groupBy("y").count().where("count = 30").count() == 2
 
 
 def test_a_bound_in_bytes(spark):

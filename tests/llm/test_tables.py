@@ -38,6 +38,13 @@ def test_nearest_with_ties_and_unusable_vectors(spark):
     assert ann.nearest(df, F.col("vec_id") == 8).count() == 0
 
 
+def test_an_id_with_two_vectors_is_one_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (3, [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, round(r.score, 4)) for r in ann.nearest(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    assert got == [(1, 1, 0.995), (2, 2, 0.995), (3, 1, 0.0995)]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     q, c = rng.normal(size=(40, 24)) * 10.0 ** rng.integers(-3, 3, (40, 1)), rng.normal(size=(300, 24))
