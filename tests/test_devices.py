@@ -342,6 +342,13 @@ def test_triage_edges(spark):
     assert got[0][1] == pytest.approx(0.9 * (0.6 + 0.4 * (0.04 / 0.12)), abs=5e-4) and got[1][1] is None
 
 
+def test_reset_leaves_the_seed(spark, tmp_path):
+    seed = spark.createDataFrame([("s1", 1)], "id string, version int")
+    spark.createDataFrame([("s1", 3), ("u1", 1)], seed.schema).write.parquet(f"{tmp_path}/log")
+    M.reset(seed, f"{tmp_path}/log")
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/log").collect()] == [("s1", 1)]
+
+
 def test_marker_lines(spark):
     f = "device long, location string, variant string, scans long, confidence double, method string, overdue boolean, openCount long"
     d = spark.createDataFrame([(1, "A / Panel 1", "unknown", 1, 0.985, "triangulation", True, 1), (2, None, None, 3, 0.5, "raycast", False, 0), (3, "B", "REF615", 2, 0.744, "raycast", None, 2)], f)
