@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -67,12 +68,16 @@ def drop_memories() -> None:
 BATCH = 8 << 20
 
 
+def batch_bytes(spark: SparkSession) -> int:
+    """Bytes of an Arrow batch in this session, set or by default."""
+    return spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Sees to it that Arrow batches of this session hold at most BATCH bytes, or less where the session says so."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, None)
-    if now is not None and not 0 < int(now.rstrip("b")) <= BATCH:
-        spark.conf.set(key, str(BATCH))
+    """Lowers the session's limit of an Arrow batch to BATCH bytes, unless it is lower already. It stays so, as plans read
+    it when they run: a setting of the session, which every operator here needs."""
+    if not 0 < batch_bytes(spark) <= BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -126,3 +131,31 @@ def pieces(batch: pa.RecordBatch, limit: int = 8 << 20, column: str = "text") ->
     step = max(1, int(n * limit / max(sizes, 1)))
     for i in range(0, n, step):
         yield batch.slice(i, min(step, n - i))
+
+
+#: Bytes that separate words: space and 0x09 to 0x0D.
+GAP = np.zeros(256, dtype=bool)
+GAP[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_counts(column: pa.Array, block: int = 4 << 20) -> np.ndarray:
+    """Words, maximal runs of bytes other than GAP, of each value of a binary column without nulls; ``block`` bytes at once."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, edges, data = column.buffers()
+    n = len(column)
+    out = np.zeros(n, dtype=np.int64)
+    if not n or data is None:
+        return out
+    edges = np.frombuffer(edges, wide)[column.offset : column.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)
+    for at in range(int(edges[0]), int(edges[-1]), block):
+        end = min(at + block, int(edges[-1]))
+        gap = GAP[data[at:end]]
+        before = np.empty_like(gap)
+        before[1:] = gap[:-1]
+        before[0] = at == edges[0] or GAP[data[at - 1]]
+        starts = edges[np.searchsorted(edges, at) : np.searchsorted(edges, end)] - at  # where a value begins, a word may
+        before[starts] = True
+        place = np.flatnonzero(before & ~gap) + at
+        out += np.bincount(np.searchsorted(edges, place, side="right") - 1, minlength=n)
+    return out
