@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline import schema as S
@@ -99,24 +99,36 @@ def create_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Stored entries, and patches that set a status, a result, a date, or clear the due date; with the interval of the device.
-STORE = """s AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CASE WHEN o_orderkey % 3 = 0 THEN 'inspection' ELSE 'repair' END AS kind, CASE
+#: A fourth of the entries have a patch (some of an id that doesn't exist), an eighth a second one on the version that
+#: the first makes, a twelfth a third one on the base of the first, which stands only if that one failed.
+STORE = """e0 AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CASE WHEN o_orderkey % 3 = 0 THEN 'inspection' ELSE 'repair' END AS kind, CASE
  WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS status,
  CAST(o_orderdate AS DATE) AS performedAt, CASE WHEN o_orderstatus = 'F' THEN 'ok' END AS result, CASE
  WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) + INTERVAL 400 DAY AS DATE) END AS nextDueAt,
- CAST(1 + o_orderkey % 3 AS INTEGER) AS version FROM orders),
-p AS (SELECT o_orderkey + CASE WHEN o_orderkey % 40 = 0 THEN 100000000 ELSE 0 END AS id, CAST(1 + o_orderkey % 2 AS INTEGER) AS base,
- 'done' AS status, CASE WHEN o_orderkey % 16 <> 0 THEN 'remarks' END AS result,
- CASE WHEN o_orderkey % 24 = 0 THEN DATE '2030-01-01' END AS performedAt, o_orderkey % 8 = 0 AS clears FROM orders WHERE o_orderkey % 4 = 0),
+ CAST(1 + o_orderkey % 3 AS INTEGER) AS version, false AS touched FROM orders),
 d AS (SELECT c_custkey AS instanceId, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 4 * 6 AS INTEGER) END AS months FROM customer),
-n AS (SELECT id, s.instanceId, s.version, p.base, d.instanceId IS NOT NULL AS known, s.kind, s.status AS old_status, s.result AS old_result,
- s.performedAt AS old_performed, s.nextDueAt AS old_due,
- coalesce(p.status, s.status) AS status, coalesce(p.result, s.result) AS result, coalesce(p.performedAt, s.performedAt) AS performedAt, CASE
- WHEN p.clears THEN NULL ELSE s.nextDueAt END AS due, months
- FROM s FULL JOIN p USING (id) LEFT JOIN d USING (instanceId)),
-q AS (SELECT *, coalesce(due, CASE WHEN kind = 'inspection' AND status = 'done' THEN CAST(performedAt + to_months(months) AS DATE) END) AS new_due FROM n),
-w AS (SELECT *, CASE WHEN version IS NULL THEN 'not_found' WHEN base IS NULL THEN 'kept' WHEN base <> version THEN 'conflict' WHEN NOT known THEN 'unknown_device'
- WHEN (status = 'done' AND (result IS NULL OR performedAt IS NULL)) OR performedAt > DATE '2026-10-03' OR new_due <= performedAt THEN 'invalid'
- ELSE 'applied' END AS outcome FROM q)"""
+p AS (SELECT o_orderkey + CASE WHEN o_orderkey % 40 = 0 THEN 100000000 ELSE 0 END AS id, 1 AS ord, CAST(1 + o_orderkey % 2 AS INTEGER) AS base,
+ 'done' AS status, CASE WHEN o_orderkey % 16 <> 0 THEN 'remarks' END AS result,
+ CASE WHEN o_orderkey % 24 = 0 THEN DATE '2030-01-01' END AS performedAt, o_orderkey % 8 = 0 AS clears FROM orders WHERE o_orderkey % 4 = 0
+ UNION ALL SELECT o_orderkey, 2, CAST(2 + o_orderkey % 2 AS INTEGER), NULL, 'fault', DATE '1999-05-05', false FROM orders WHERE o_orderkey % 8 = 0
+ UNION ALL SELECT o_orderkey, 3, CAST(1 + o_orderkey % 2 AS INTEGER), 'open', NULL, NULL, true FROM orders WHERE o_orderkey % 12 = 0)"""
+for _n in (1, 2, 3):
+    STORE += f""",
+n{_n} AS (SELECT e.*, p.base, p.id IS NOT NULL AS asked, d.instanceId IS NOT NULL AS known, coalesce(p.status, e.status) AS new_status, coalesce(p.result, e.result) AS new_result,
+ coalesce(p.performedAt, e.performedAt) AS new_performed, CASE WHEN p.clears THEN NULL ELSE e.nextDueAt END AS due, months
+ FROM e{_n - 1} e LEFT JOIN (SELECT * FROM p WHERE ord = {_n}) p ON p.id = e.id LEFT JOIN d ON d.instanceId = e.instanceId),
+q{_n} AS (SELECT *, coalesce(due, CASE WHEN kind = 'inspection' AND new_status = 'done' THEN CAST(new_performed + to_months(months) AS DATE) END) AS new_due FROM n{_n}),
+w{_n} AS (SELECT *, CASE WHEN NOT asked THEN 'kept' WHEN base <> version THEN 'conflict' WHEN NOT known THEN 'unknown_device'
+ WHEN (new_status = 'done' AND (new_result IS NULL OR new_performed IS NULL)) OR new_performed > DATE '2026-10-03' OR new_due <= new_performed THEN 'invalid'
+ ELSE 'applied' END AS outcome FROM q{_n}),
+e{_n} AS (SELECT id, instanceId, kind, CASE WHEN outcome = 'applied' THEN new_status ELSE status END AS status, CASE WHEN outcome = 'applied' THEN new_performed ELSE performedAt END AS performedAt,
+ CASE WHEN outcome = 'applied' THEN new_result ELSE result END AS result, CASE WHEN outcome = 'applied' THEN new_due ELSE nextDueAt END AS nextDueAt,
+ CAST(version + (outcome = 'applied')::INT AS INTEGER) AS version, touched OR outcome = 'applied' AS touched FROM w{_n})"""
+STORE += """,
+answers AS (SELECT id, 1 AS ord, base, outcome, CASE WHEN outcome = 'applied' THEN version + 1 END AS version FROM w1 WHERE asked
+ UNION ALL SELECT id, 2, base, outcome, CASE WHEN outcome = 'applied' THEN version + 1 END FROM w2 WHERE asked
+ UNION ALL SELECT id, 3, base, outcome, CASE WHEN outcome = 'applied' THEN version + 1 END FROM w3 WHERE asked
+ UNION ALL SELECT id, ord, base, 'not_found', NULL FROM p WHERE id NOT IN (SELECT id FROM e0))"""
 
 
 def store_and_patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -126,35 +138,42 @@ def store_and_patches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     s = o.select(k.alias("id"), F.col("o_custkey").alias("instanceId"), F.when(k % 3 == 0, "inspection").otherwise("repair").alias("kind"), F.when(f, "done").otherwise("open").alias("status"), F.lit("Work").alias("title"),
                  at.alias("performedAt"), F.lit("Ann").alias("performedBy"), text.alias("findings"), F.when(f, "ok").alias("result"), F.when(k % 2 == 0, F.date_add(at, 400)).alias("nextDueAt"), F.lit("field-app").alias("source"),
                  (1 + k % 3).cast("int").alias("version"), at.cast("timestamp").alias("createdAt"), at.cast("timestamp").alias("updatedAt"))
-    p = o.where(k % 4 == 0).select((k + F.when(k % 40 == 0, 100000000).otherwise(0)).alias("id"), (1 + k % 2).cast("int").alias("base"), F.lit("done").alias("status"), F.when(k % 16 != 0, "remarks").alias("result"),
-                                   F.when(k % 24 == 0, F.lit("2030-01-01")).cast("date").alias("performedAt"), F.when(k % 8 == 0, F.array(F.lit("nextDueAt"))).alias("clear"))
-    return s, p
 
+    def patch(every: int, shift: Column, number: int, base: Column, status: Column, result: Column, day: Column, clears: Column) -> DataFrame:
+        return o.where(k % every == 0).select((k + shift).alias("id"), F.lit(number).alias("ord"), base.cast("int").alias("base"), status.cast("string").alias("status"), result.cast("string").alias("result"),
+                                              day.cast("date").alias("performedAt"), F.when(clears, F.array(F.lit("nextDueAt"))).alias("clear"))
+
+    none = F.lit(None)
+    p = patch(4, F.when(k % 40 == 0, 100000000).otherwise(0), 1, 1 + k % 2, F.lit("done"), F.when(k % 16 != 0, "remarks"), F.when(k % 24 == 0, F.lit("2030-01-01")), k % 8 == 0)
+    p = p.unionByName(patch(8, F.lit(0), 2, 2 + k % 2, none, F.lit("fault"), F.lit("1999-05-05"), F.lit(False)))
+    return s, p.unionByName(patch(12, F.lit(0), 3, 1 + k % 2, F.lit("open"), none, none, F.lit(True)))
 
-def updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+
+def updated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s, p = store_and_patches(spark, sf_dir)
-    return M.versioned_update(s, p, A.devices(spark, sf_dir), "2026-10-03 10:00:00", "2026-10-03"), p
+    return *M.apply_patches(s, p, A.devices(spark, sf_dir), "2026-10-03 10:00:00", "2026-10-03"), p
 
 
-@query(f"""WITH {STORE}, a AS (SELECT *, outcome = 'applied' AS hit FROM w) SELECT id, "instanceId", CASE WHEN hit THEN status ELSE old_status END AS status,
- CASE WHEN hit THEN result ELSE old_result END AS result,
- CAST(CASE WHEN hit THEN performedAt ELSE old_performed END AS VARCHAR) AS "performedAt", CAST(CASE WHEN hit THEN new_due
- ELSE old_due END AS VARCHAR) AS "nextDueAt", CAST(version + hit::INT AS INTEGER) AS version,
- CASE WHEN hit THEN true WHEN version IS NULL THEN NULL ELSE false END AS touched, outcome FROM a""")
+@query(f"""WITH {STORE} SELECT id, instanceId AS "instanceId", status, result, CAST(performedAt AS VARCHAR) AS "performedAt", CAST(nextDueAt AS VARCHAR) AS "nextDueAt", version, touched FROM e3""")
 def versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = updated(spark, sf_dir)
-    return out.select("id", "instanceId", "status", "result", F.col("performedAt").cast("string").alias("performedAt"), F.col("nextDueAt").cast("string").alias("nextDueAt"), "version",
-                      (F.col("updatedAt") > F.col("createdAt")).alias("touched"), "outcome")
+    log, _, _ = updated(spark, sf_dir)
+    return log.select("id", "instanceId", "status", "result", F.col("performedAt").cast("string").alias("performedAt"), F.col("nextDueAt").cast("string").alias("nextDueAt"), "version",
+                      (F.col("updatedAt") > F.col("createdAt")).alias("touched"))
+
+
+@query(f"""WITH {STORE} SELECT id, CAST(ord AS BIGINT) AS ord, base, outcome, CAST(version AS INTEGER) AS version FROM answers""")
+def patch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each patch, in the order of an entry's patches."""
+    return updated(spark, sf_dir)[1]
 
 
-@query(f"""WITH {STORE}, x AS (SELECT w.id, old_status, w.version, p.status AS mine FROM w JOIN p USING (id) WHERE outcome = 'conflict')
- SELECT id, 'stored' AS keep, old_status AS status, version AS base FROM x UNION ALL SELECT id, 'mine', mine, version FROM x""")
+@query(f"""WITH {STORE}, x AS (SELECT a.id, a.ord, e3.status AS old, e3.version, p.status AS mine FROM answers a JOIN e3 USING (id) JOIN p ON p.id = a.id AND p.ord = a.ord WHERE outcome = 'conflict')
+ SELECT id, CAST(ord AS BIGINT) AS ord, 'stored' AS keep, old AS status, version AS base FROM x UNION ALL SELECT id, ord, 'mine', mine, version FROM x""")
 def version_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draft of each conflict under both policies."""
-    out, p = updated(spark, sf_dir)
-    c = M.conflicts(out, p)
-    mine = M.resolved(c, "mine").select("id", F.lit("mine").alias("keep"), "status", "base")
-    return M.resolved(c, "stored").select("id", F.lit("stored").alias("keep"), "status", F.col("version").alias("base")).unionByName(mine)
+    c = M.conflicts(*updated(spark, sf_dir))
+    mine = M.resolved(c, "mine").select("id", F.col("ord").cast("long").alias("ord"), F.lit("mine").alias("keep"), "status", "base")
+    return M.resolved(c, "stored").select("id", F.col("ord").cast("long").alias("ord"), F.lit("stored").alias("keep"), "status", F.col("version").alias("base")).unionByName(mine)
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, o_custkey AS instanceId, CASE WHEN o_orderkey % 3 = 0 THEN 'seed' ELSE 'field-app' END AS source,

@@ -87,25 +87,62 @@ def test_full_updates(spark):
          ("e", 1, None, "2026-09-20", None, None, None, ["nextDueAt"], None), ("f", 1, None, None, None, "x", None, None, None), ("g", 1, None, None, None, None, None, ["result"], None),
          ("h", 1, None, None, None, None, None, None, "2026-08-01"), ("z", 1, "done", None, None, None, None, None, None)]
     patches = spark.createDataFrame([(*r[:3], r[3] and D(r[3]), *r[4:8], r[8] and D(r[8])) for r in p],
-                                    "id string, base int, status string, performedAt date, result string, findings string, instanceId string, clear array<string>, nextDueAt date")
+                                    "id string, base int, status string, performedAt date, result string, findings string, instanceId string, clear array<string>, nextDueAt date").withColumn("ord", F.lit(1))
     devices = spark.createDataFrame([("DEV-1", 12), ("DEV-2", 6)], "id string, maintenanceIntervalMonths int")
-    out = M.versioned_update(s, patches, devices, "2026-10-03 12:00:00", "2026-10-03")
-    got = {r.id: r for r in out.collect()}
-    assert {i: r.outcome for i, r in got.items()} == {"a": "applied", "b": "conflict", "c": "kept", "d": "invalid", "e": "applied", "f": "unknown_device", "g": "invalid", "h": "invalid", "z": "not_found"}
+    log, answers = M.apply_patches(s, patches, devices, "2026-10-03 12:00:00", "2026-10-03")
+    assert log.columns == s.columns and log.dtypes == s.dtypes
+    got = {r.id: r for r in log.collect()}
+    said = {r.id: (r.outcome, r.version) for r in answers.collect()}
+    assert said == {"a": ("applied", 2), "b": ("conflict", None), "d": ("invalid", None), "e": ("applied", 2), "f": ("unknown_device", None), "g": ("invalid", None), "h": ("invalid", None), "z": ("not_found", None)}
+    assert sorted(got) == list("abcdefgh")
     a, e = got["a"], got["e"]
     assert (a.version, a.status, a.findings, a.instanceId, a.createdAt, a.updatedAt) == (2, "done", "HMI replaced", "DEV-1", MADE, dt.datetime(2026, 10, 3, 12)) and a.nextDueAt is None
     assert e.nextDueAt == D("2027-09-20") and e.performedAt == D("2026-09-20")  # due anew, one interval after the new date
     assert all(got[i].version == v and got[i].updatedAt == MADE and got[i].findings == "" for i, v in (("b", 3), ("c", 1), ("d", 1), ("f", 1)))
-    c = M.conflicts(out, patches)
+    c = M.conflicts(log, answers, patches)
     assert [(r.id, r.version, r.findings) for r in M.resolved(c, "stored").collect()] == [("b", 3, "")]
     again = M.resolved(c, "mine")
     assert [(r.id, r.base, r.findings) for r in again.collect()] == [("b", 3, "stale")]
-    after = M.versioned_update(out.where("outcome <> 'not_found'").drop("outcome"), again, devices, "2026-10-03 13:00:00", "2026-10-03")
-    assert [(r.version, r.findings, r.outcome) for r in after.where("id = 'b'").collect()] == [(4, "stale", "applied")]
+    after, then = M.apply_patches(log, again, devices, "2026-10-03 13:00:00", "2026-10-03")
+    assert [(r.version, r.findings) for r in after.where("id = 'b'").collect()] == [(4, "stale")] and [tuple(r) for r in then.collect()] == [("b", 1, 3, "applied", 4)]
     with pytest.raises(ValueError):
         M.resolved(c, "both")
 
 
+def plain_fold(version, patches):
+    """Answers to the patches (ord, base, fails) of one entry."""
+    said = []
+    for _, base, fails in sorted(patches, key=lambda x: x[0]):
+        outcome = "conflict" if base != version else "invalid" if fails else "applied"
+        version += outcome == "applied"
+        said.append((outcome, version if outcome == "applied" else None))
+    return said
+
+
+@pytest.mark.parametrize("most", [1000, 3, 1])
+def test_each_patch_has_an_answer(spark, most):
+    """Chains, repeats, stale and faulty patches of several entries, whatever the number that a pass takes."""
+    rng = random.Random(11)
+    todo = {i: [(k, rng.randrange(1, 7), rng.random() < 0.3) for k in range(14)] for i in "abc"} | {"d": [(0, 1, False), (1, 2, False), (2, 3, False)], "e": []}
+    s = spark.createDataFrame([stored_entry(i, version=1 + (i == "b")) for i in todo], ENTRY)
+    patches = spark.createDataFrame([(i, k, base, f"{i}{k}", D("2999-01-01") if fails else None) for i, ps in todo.items() for k, base, fails in ps], "id string, ord long, base int, findings string, performedAt date").repartition(5)
+    devices = spark.createDataFrame([("DEV-1", 12)], "id string, maintenanceIntervalMonths int")
+    log, answers = M.apply_patches(s, patches, devices, "2026-10-03 12:00:00", "2026-10-03", most=most)
+    got = {(r.id, r.ord): (r.outcome, r.version) for r in answers.collect()}
+    want = {(i, p[0]): a for i, ps in todo.items() for p, a in zip(ps, plain_fold(1 + (i == "b"), ps), strict=True)}
+    assert got == want and answers.count() == len(want)
+    for r in log.collect():
+        mine = [(k, v) for (i, k), (o, v) in want.items() if i == r.id and o == "applied"]
+        assert (r.version, r.findings) == ((max(v for _, v in mine), f"{r.id}{max(mine)[0]}") if mine else (1 + (r.id == "b"), ""))
+
+
+def test_equal_new_entries_have_ids_of_their_own(spark):
+    e = spark.createDataFrame([("DEV-1", "inspection", "done", D("2026-09-01"), None)] * 3, "instanceId string, kind string, status string, performedAt date, nextDueAt date")
+    devices = spark.createDataFrame([("DEV-1", 12)], "id string, maintenanceIntervalMonths int")
+    made = [M.create(e.repartition(n), devices, "2026-10-03 10:00:00").select("id").collect() for n in (1, 3)]
+    assert len({r.id for r in made[0]}) == 3 and sorted(made[0]) == sorted(made[1])
+
+
 def test_seed_history_is_valid_and_fixed(spark):
     d = spark.createDataFrame([("R1", "overdue"), ("R2", "open-fault"), ("R3", "empty"), ("R4", "ok"), ("R5", "ok-firmware")], "id string, profile string")
     h = M.seed_history(d)

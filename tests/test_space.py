@@ -1,6 +1,7 @@
 """Clouds, grids, layout, sources, sinks and streams."""
 
 import datetime
+import itertools
 import json
 import os
 import random
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from sightline.operators import cluster as C
 from sightline.operators import layout as Y
+from sightline.operators import maintenance as M
 from sightline.operators import spatial as P
 from sightline.plans import space
 from sightline.sources import readers, sinks
-from sightline.streaming import log
+from sightline.streaming import log as streamed
 
 
 def test_voxels_keep_the_first_point(spark):
@@ -357,19 +359,51 @@ def test_renderings_that_line_up(spark):
     assert got[1].ok and not got[2].ok and abs(got[2].yaw_shift - 2.5) < 0.3 and got[3].mirrored and not got[3].ok and abs(got[4].pitch_shift - 2.0) < 0.3 and not got[4].ok
 
 
-def test_patch_stream_ends_where_the_batch_does(spark, folder):
+def test_any_split_of_patches_gives_the_batch_result(spark, folder):
     at = datetime.datetime(2026, 1, 1)
     day = datetime.date(2025, 12, 1)
-    base = spark.createDataFrame([(k, 7, "repair", "open", day, None, None, "field-app", 1, at, at) for k in (1, 2)],
-                                 "id long, instanceId long, kind string, status string, performedAt date, result string, nextDueAt date, source string, version int, createdAt timestamp, updatedAt timestamp")
+    base = spark.createDataFrame([(k, 7, "repair", "open", "Work", day, "Ann", None, None, "field-app", 1, at, at) for k in (1, 2, 3)],
+                                 "id long, instanceId long, kind string, status string, title string, performedAt date, performedBy string, result string, nextDueAt date, source string, version int, createdAt timestamp, updatedAt timestamp")
     base.write.parquet(f"{folder}/base")
     devices = spark.createDataFrame([(7, 12)], "id long, maintenanceIntervalMonths int")
-    p = spark.createDataFrame([(1, "done", "ok", 1, "2026-01-01 00:00:00"), (1, "done", "ok", 1, "2026-01-01 00:00:00"), (2, "done", "ok", 5, "2026-01-01 01:00:00")], "id long, status string, result string, base int, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
-    p.write.parquet(f"{folder}/patches")
-    q = log.upsert_batches(log.read_stream(spark, f"{folder}/patches", p.schema), f"{folder}/base", devices, f"{folder}/out", f"{folder}/check", "2026-01-02 00:00:00", "2026-01-02")
-    q.awaitTermination()
-    last = max(int(n) for n in os.listdir(f"{folder}/out"))
-    assert sorted((r.id, r.status, r.version) for r in spark.read.parquet(f"{folder}/out/{last}").collect()) == [(1, "done", 2), (2, "open", 1)]
+    # a chain of three versions of entry 1, a stale one, a repeat; a faulty one of entry 2, then one that stands; one of no entry
+    rows = [(1, "done", "ok", 1), (1, None, "remarks", 2), (2, "done", None, 1), (1, None, "fault", 2), (1, None, "fault", 3), (2, "done", "ok", 1), (9, "done", "ok", 1), (1, None, "fault", 3)]
+    kind = "ord long, id long, status string, result string, base int"
+    patches = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], kind)
+    order = ["id", "ord", "outcome", "version"]
+    log, answers = log_and_answers = M.apply_patches(base, patches, devices, "2026-01-02 00:00:00", "2026-01-02")
+    want = [sorted(map(tuple, x.select(*c).collect())) for x, c in zip(log_and_answers, (["id", "status", "result", "version"], order), strict=True)]
+    assert want[0] == [(1, "done", "fault", 4), (2, "done", "ok", 2), (3, "open", None, 1)]
+    assert [o for _, _, o, _ in sorted(want[1], key=lambda x: x[1])] == ["applied", "applied", "invalid", "conflict", "applied", "applied", "not_found", "conflict"]
+    for n, cuts in enumerate(([], [4], [1, 2, 3, 4, 5, 6, 7], [2, 5])):
+        here = f"{folder}/split{n}"
+        for k, (a, z) in enumerate(itertools.pairwise([0, *cuts, len(rows)])):
+            patches.where(F.col("ord").between(a, z - 1)).coalesce(1).write.parquet(f"{here}/in/part={k}")
+            stream = spark.readStream.schema(patches.schema).parquet(f"{here}/in/*")
+            streamed.upsert_batches(stream, f"{folder}/base", devices, f"{here}/out", f"{here}/check", "2026-01-02 00:00:00", "2026-01-02").awaitTermination()
+        assert len(os.listdir(f"{here}/out/changes")) >= len(cuts) + 1
+        now = streamed.current(spark, f"{folder}/base", f"{here}/out")
+        assert now.columns == base.columns and sorted(map(tuple, now.select("id", "status", "result", "version").collect())) == want[0]
+        assert sorted(map(tuple, spark.read.parquet(f"{here}/out/answers").select(*order).collect())) == want[1]
+
+
+def test_alert_when_a_due_date_passes(spark, folder):
+    """Device 1's date passes; device 2's is replaced by a later one in time; device 3's is taken away."""
+    T = lambda text: datetime.datetime.fromisoformat(text)
+    parts = [[(1, T("2026-01-01"), T("2026-03-01")), (2, T("2026-01-01"), T("2026-03-01")), (3, T("2026-01-01"), T("2026-03-01"))],
+             [(2, T("2026-02-01"), T("2027-02-01")), (3, T("2026-02-01"), None)], [(4, T("2026-06-01"), None)], [(4, T("2026-06-02"), None)]]
+    schema = "instanceId long, ts timestamp, nextDueAt timestamp"
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for k, rows in enumerate(parts):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/part={k}")
+            alerts = streamed.overdue_alerts(spark.readStream.schema(schema).parquet(f"{folder}/in/*"), "1 day")
+            alerts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    assert [tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()] == [(1, T("2026-03-01"))]
 
 
 def test_every_query_gives_rows(spark):
