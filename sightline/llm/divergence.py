@@ -9,7 +9,7 @@ there and those in each source follow.
 
 Smoothed shares are whole numbers, p = 1 + floor(10^9 (count + 5) / (N + 5 V)), worked out in decimals of 38 digits.
 Distances of sources are sums over all kept terms of |p - q|. Terms are dealt into blocks, so that terms times sources of
-a block stay under ``CELLS``; a block's table of shares gives partial sums for all its sources, and these are added up.
+a block stay bounded; a block's table of shares gives partial sums for all its sources, and these are added up.
 Beyond ``TILE`` sources of a language a block goes to several tasks, each with its share of the sources on the left.
 
 Defined cases: null text, lang and source count as ''; each row is a document, repeated rows and null ids too; a group
@@ -32,8 +32,9 @@ from sightline.llm.common import as_batch, bounded_batches, drop_memories, piece
 
 #: Documents of a language that a kept term occurs in, at least; what is added to each count; terms listed of a group.
 LEAST, PRIOR, TOP = 30, 5, 50
-#: Entries of a task's sums; cells of a block's table; sources on a table's left; bytes split at once.
-HELD, CELLS, TILE, PIECE = 300_000, 2_000_000, 256, 1 << 20
+#: Entries of a task's sums; cells of a block's table, at least and at most (between them eight for each pair of sources,
+#: so that sums of blocks are fewer than what they sum); sources on a table's left; bytes split at once.
+HELD, CELLS, MOST_CELLS, TILE, PIECE = 300_000, 1 << 16, 1 << 22, 256, 1 << 20
 SCALE = 1_000_000_000
 
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -156,7 +157,8 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TOP, cells: int =
     more = known.select("lang", "source", F.col("term").alias("item"), (F.col("p") - q).alias("value")).where("value > 0")
     more = more.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
 
-    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("terms") * F.col("sources") / cells))
+    table = F.least(F.greatest(F.lit(cells), 8 * F.col("sources") * F.col("sources")), F.lit(MOST_CELLS))
+    blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("terms") * F.col("sources") / table))
     tiles = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("sources") - 1) / TILE))).alias("tile")
     entries = known.select("lang", F.pmod(F.xxhash64("term"), blocks).alias("block"), tiles, "k", "term", "p")
     frame = (groups.groupBy("lang").agg(F.max("terms").alias("terms"), F.max("sources").alias("sources"), F.array_sort(F.collect_list(F.struct("k", "source", "none"))).alias("all"))
