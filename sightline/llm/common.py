@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -43,12 +45,25 @@ def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As ``stored``, and the path, for callers that can tell when nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    STORED[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Stored tables that results may still be read from. They go when the driver's program ends.
+STORED: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def forget_all() -> None:
+    for path, spark in list(STORED.items()):
+        with contextlib.suppress(Exception):  # the JVM may have gone before
+            forget(spark, path)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a stored table that nothing reads any more."""
+    STORED.pop(path, None)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -7,10 +7,10 @@ sum of the representations. Only document labels train it; the weights of passag
 
 Training rows are a bounded, documented sample: ``per_class`` of each label, and ``most_bytes`` of their texts together.
 Encoding runs in Spark's tasks; the driver gets the encoded passages of the sample, about as many bytes as its texts.
-Every passage of a sampled text trains, and every passage of every text is scored, a few thousand at a time.
+Every passage of a sampled text trains, and every passage of every text is scored, ``BLOCK`` bytes at a time.
 
-Defined cases: null and empty texts are one empty passage and get its score; very long texts have many passages and
-bounded memory (the softmax is accumulated); repeated rows are scored each; null labels and labels without a document
+Defined cases: null and empty texts are one empty passage and get its score; very long texts have many passages, of
+which a block is in memory (the softmax is accumulated; of earlier blocks the hashes of their words are kept); repeated rows are scored each; null labels and labels without a document
 teach nothing; without labels of both kinds all scores are the share of good labels (1 without any); further columns
 are ignored.
 """
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import as_batch, drop_memories, forget, pieces, sample_labelled, texts
@@ -32,6 +32,8 @@ THRESHOLD = 0.7
 PER_CLASS = 1_500
 #: Bytes of a passage; a text's last passage may be shorter.
 PASSAGE = 512
+#: Bytes of text that are encoded at once.
+BLOCK = 1 << 20
 #: Bytes of text of all training rows of a label together, at most.
 MOST_BYTES = 64 << 20
 #: Byte classes: control, space, line end, digit, lower, upper, sentence end, comma, quotes, brackets, dash,
@@ -51,9 +53,11 @@ KIND = kinds()
 SIZE = KINDS + KINDS * KINDS + 4
 
 
-def encode(raw: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Numbers for each passage. ``starts``: where each begins in ``raw``, ascending from 0; owner: its document."""
+def encode(raw: np.ndarray, starts: np.ndarray, owner: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers for each passage. ``starts``: where each begins in ``raw``, ascending from 0; owner: its document.
+    ``seen``: hashes of words that the first document has in earlier blocks. Also given: those of the last document."""
     n = len(starts)
+    words_of_last = seen if len(owner) and owner[0] == owner[-1] else seen[:0]
     stops = np.append(starts[1:], len(raw))
     lengths = stops - starts
     out = np.zeros((n, SIZE), dtype=np.float32)
@@ -81,35 +85,48 @@ def encode(raw: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray
             order = np.lexsort((np.arange(len(h)), h, owner[p]))
             again = np.zeros(len(h), dtype=bool)
             again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (owner[p[order[1:]]] == owner[p[order[:-1]]])
+            if len(seen):
+                again[owner[p] == owner[0]] |= np.isin(h[owner[p] == owner[0]], seen)
+            words_of_last = np.union1d(words_of_last, h[owner[p] == owner[-1]])
             words = np.bincount(p, minlength=n)
             base = KINDS + KINDS * KINDS
             out[:, base] = np.bincount(p, weights=again, minlength=n) / np.maximum(words, 1)
             out[:, base + 1] = np.log1p(words) / 5
             out[:, base + 2] = lengths / np.maximum(words, 1) / 20
     out[:, -1] = np.log1p(lengths) / 7
-    return out
-
-
-def bags(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Encoded passages with the document of each, some thousand passages at a time; documents stay whole."""
-    group: list[bytes] = []
-    size, first = 0, 0
-    for i, r in enumerate([*raws, None]):
-        if r is None or size > 1 << 20:
-            if group:
-                starts, owner, base = [], [], 0
-                for d, g in enumerate(group):
-                    s = range(base, base + max(len(g), 1), PASSAGE) if g else [base]
-                    starts += s
-                    owner += [d] * len(s)
-                    base += len(g)
-                raw = np.frombuffer(b"".join(group), np.uint8)
-                owner = np.array(owner)
-                yield encode(raw, np.array(starts), owner), owner + first
-            first, group, size = i, [], 0
-        if r is not None:
-            group.append(r)
-            size += len(r)
+    return out, words_of_last
+
+
+def bags(raws: list[bytes], block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Encoded passages with the document of each, ``block`` bytes at a time; a longer document goes on in the next
+    block, and takes the hashes of its words along."""
+    parts: list[bytes] = []
+    starts: list[int] = []
+    owner: list[int] = []
+    size, seen, before = 0, np.zeros(0, np.uint64), -1
+
+    def encoded() -> tuple[np.ndarray, np.ndarray]:
+        nonlocal seen, before
+        own = np.array(owner)
+        x, seen = encode(np.frombuffer(b"".join(parts), np.uint8), np.array(starts), own, seen if own[0] == before else seen[:0])
+        before = own[-1]
+        return x, own
+
+    for i, r in enumerate(raws):
+        at = 0
+        while at < len(r) or not at:
+            end = min(len(r), at + (block - size) // PASSAGE * PASSAGE)
+            number = max(1, -(-(end - at) // PASSAGE))
+            starts += range(size, size + number * PASSAGE, PASSAGE)
+            owner += [i] * number
+            parts.append(r[at:end])
+            size += end - at
+            at = max(end, 1)
+            if block - size < PASSAGE:
+                yield encoded()
+                parts, starts, owner, size = [], [], [], 0
+    if owner:
+        yield encoded()
 
 
 @dataclass
@@ -127,15 +144,17 @@ class Model:
     def score(self, raws: list[bytes]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(raws), self.constant)
-        out = np.zeros(len(raws))
+        # softmax over a document's passages, whichever blocks they are in: sums of e and of e h
+        above, below = np.zeros((len(raws), self.w["E"].shape[1])), np.zeros(len(raws))
         for x, owner in bags(raws):
             h = self.represent(x)
             a = (np.tanh(h @ self.w["V"]) * (0.5 + 0.5 * np.tanh(0.5 * (h @ self.w["U"])))) @ self.w["w"]
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             e = np.exp(np.clip(a, -30, 30))
-            z = np.add.reduceat(e[:, None] * h, first) / np.add.reduceat(e, first)[:, None]
-            out[owner[first]] = 1 / (1 + np.exp(-np.clip(z @ self.w["c"] + self.w["b"], -40, 40)))
-        return out
+            above[owner[first]] += np.add.reduceat(e[:, None] * h, first)
+            below[owner[first]] += np.add.reduceat(e, first)
+        z = above / np.maximum(below, 1e-300)[:, None]
+        return 1 / (1 + np.exp(-np.clip(z @ self.w["c"] + self.w["b"], -40, 40)))
 
 
 def train(rows: list[tuple[np.ndarray, int]], width: int = 24, gate: int = 12, epochs: int = 60, seed: int = 7) -> Model:
@@ -188,8 +207,8 @@ def train(rows: list[tuple[np.ndarray, int]], width: int = 24, gate: int = 12, e
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int = 4, rest: int = 2, most_bytes: int = MOST_BYTES) -> Model:
-    """Train on at most ``per_class`` rows of each label outside the held-out fold, in the order of a hash of their ids as
-    long as their texts are no more than ``most_bytes``; a text that alone is longer isn't among them."""
+    """Train on at most ``per_class`` rows of each label outside the held-out fold, in the order of a hash of their ids,
+    whose texts together have no more than ``most_bytes``; one that would be too much is passed over."""
     schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int64()), ("bag", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,22 +216,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, mod: int
         for b in batches:
             for p in pieces(b):
                 raws = [t.encode() for t in p.column("text").to_pylist()]
-                found: dict[int, bytes] = {}
+                found: list[list[bytes]] = [[] for _ in raws]
                 for x, owner in bags(raws):
                     x = x.astype(np.float16)
                     edges = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
                     for d, mine in zip(owner[edges].tolist(), np.split(x, edges[1:]), strict=True):
-                        found[d] = mine.tobytes()
-                yield as_batch({"doc_id": p.column("doc_id"), "y": p.column("y"), "bag": [found[i] for i in range(len(raws))]}, schema)
+                        found[d].append(mine.tobytes())
+                yield as_batch({"doc_id": p.column("doc_id"), "y": p.column("y"), "bag": [b"".join(f) for f in found]}, schema)
 
     sample, path = sample_labelled(docs, labels, "quality", mod, rest, per_class)
-    size = F.octet_length("text")
-    upto = Window.partitionBy("y").orderBy("h", "doc_id")  # over ids and sizes of the sample alone
-    fits = (sample.select("doc_id", "y", "h", size.alias("size")).where(size <= most_bytes)
-            .withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= most_bytes).select("doc_id"))
-    rows = sample.join(F.broadcast(fits), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y long, bag binary")
-    got = sorted((r["doc_id"], r["bag"], r["y"]) for r in rows.collect())
-    forget(docs.sparkSession, path)
+    try:
+        # sizes of at most 2 * per_class rows; a text that doesn't fit any more is passed over
+        chosen, left = [], {}
+        for r in sorted(sample.select("y", "h", "doc_id", F.octet_length("text").alias("size")).collect()):
+            if r["size"] <= left.setdefault(r["y"], most_bytes):
+                left[r["y"]] -= r["size"]
+                chosen.append((r["doc_id"],))
+        fits = docs.sparkSession.createDataFrame(chosen, "doc_id long")
+        rows = sample.join(F.broadcast(fits), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y long, bag binary")
+        got = sorted((r["doc_id"], r["bag"], r["y"]) for r in rows.collect())
+    finally:
+        forget(docs.sparkSession, path)
     return train([(np.frombuffer(b, np.float16).reshape(-1, SIZE).astype(np.float32), int(y)) for _, b, y in got])
 
 

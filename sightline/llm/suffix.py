@@ -20,8 +20,8 @@ their k-mers (their anchor), so the work splits exactly by anchors:
 3. The group removes what the windows with a long enough LPF cover.
 
 Hot anchors: around a phrase that many documents share, the texts differ at their edges, so all would go to one bucket.
-A group that has more than one text under an anchor says how many bytes they are, and where these add up to more than
-``HOT`` the bucket answers that the anchor is hot. Its windows then go singly, each distinct one once from a group, with
+A group that has more than LONGEST_RUN bytes of texts under an anchor says how many; any other counts as LONGEST_RUN. Where
+these add up to more than ``HOT`` the bucket answers that the anchor is hot. Its windows then go singly, each distinct one once from a group, with
 a hash of all their bytes as anchor: equal windows still meet, and no others need to.
 
 Hot passages are aggregated before each shuffle: a group of documents sends a string once however many of them hold
@@ -49,8 +49,8 @@ from sightline.llm.common import bounded_batches, drop_memories
 LENGTH, KMER = 50, 24
 #: Bytes of text in a group, anchors in a bucket, bytes of text in a bucket: about.
 GROUP, ANCHORS, BUCKET = 2 << 20, 1 << 20, 4 << 20
-#: Bytes of text under one anchor before its windows are dealt singly. Groups with one text under it don't count; they
-#: send at most LONGEST_RUN bytes each, but for periodic texts.
+#: Bytes of text under one anchor, of all groups, before its windows are dealt singly. A text under it has at most
+#: LONGEST_RUN bytes, but for periodic texts.
 HOT, LONGEST_RUN = 1 << 19, 2 * LENGTH - KMER
 LAST = (1 << 63) - 1
 #: Anchors for each byte of text, about: two for each window of k-mers.
@@ -398,7 +398,8 @@ def messages(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[in
         ends = np.cumsum([len(c) for c in cut])
         large = np.concatenate([np.frombuffer(p, "<u4") + e - len(c) for p, e, c in zip(t.column("places").to_pylist(), ends, cut, strict=True)]).astype(np.int64)
         size = np.concatenate([np.frombuffer(x, "<i8") for x in t.column("bytes").to_pylist()])
-        hot = yes & (np.bincount(which[large], weights=size, minlength=len(n)) > most)
+        under = LONGEST_RUN * n + np.bincount(which[large], weights=size - LONGEST_RUN, minlength=len(n))
+        hot = yes & (under > most)
         return rows(BITS, [(g, b, np.packbits(y).tobytes() + np.flatnonzero(h).astype("<u4").tobytes())
                            for g, y, h in zip(t.column("g").to_pylist(), np.split(yes[which], ends[:-1]), np.split(hot[which], ends[:-1]), strict=True)])
 

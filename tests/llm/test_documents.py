@@ -521,3 +521,19 @@ def test_training_learns_attention():
         z = (e[:, None] * h).sum(0) / e.sum()
         right += ((z @ m.w["c"] + m.w["b"])[0] > 0) == (y == 1)
     assert right > 290
+
+
+def test_a_text_of_twenty_million_ids_is_packed_in_proportion():
+    import time
+
+    packer = packing.Packer(4096, 16, 0)
+    ids = np.arange(20_000_000, dtype="<u4").tobytes()
+    began = time.process_time()
+    packer.put(1, 0, ids, 20_000_000)
+    packer.finish()
+    assert time.process_time() - began < 10
+    assert sum(r[2] for r in packer.rows) == 20_000_000
+    at = 0
+    for doc, start, n, crc, total, *_ in packer.rows:
+        assert (doc, start, total) == (1, at, 20_000_000) and crc == zlib.crc32(ids[4 * at : 4 * (at + n)])
+        at += n

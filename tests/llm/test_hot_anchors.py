@@ -60,3 +60,20 @@ def test_one_sentence_in_thousands_of_contexts(spark, monkeypatch):
     assert groups[-1] < 3 * groups[len(groups) // 2]
     got = suffix.removed_digests(docs).selectExpr("count_if(n_removed >= 75) n", "min(if(n_removed > 0, doc_id, null)) first").first()
     assert got.n == 3999 and got["first"] == 2  # all but that of document 1
+
+
+def test_one_text_an_anchor_in_every_group(spark, monkeypatch):
+    """Each group has a single short text under the anchor; together they are too many for one bucket."""
+    for name, value in (("GROUP", 400), ("ANCHORS", 60_000), ("BUCKET", 100_000), ("HOT", 2_000)):
+        monkeypatch.setattr(suffix, name, value)
+    rng = random.Random(9)
+    own = lambda n: "".join(hashlib.md5(rng.randbytes(8)).hexdigest() for _ in range(n))
+    texts = [own(3) + PHRASE + own(3) for _ in range(150)]
+    texts += [t[40:] for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert docs.selectExpr("sum(octet_length(text)) s").first().s // 400 > 60
+    assert heaviest(docs) <= 2_000
+    want = plain_repeats([(i, t.encode()) for i, t in enumerate(texts)])
+    assert sorted(tuple(x[c] for c in COLUMNS) for x in suffix.removed_digests(docs).collect()) == want and sum(w[2] for w in want) > 1000
+    monkeypatch.setattr(suffix, "HOT", 1 << 40)
+    assert heaviest(docs) > 5_000

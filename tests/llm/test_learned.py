@@ -244,3 +244,66 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_blocks_of_a_long_text_change_nothing():
+    """A text that goes over many blocks is encoded, and scored, as in one."""
+    import random
+
+    rng = random.Random(8)
+    texts = [b"", b"x", " ".join(rng.choice(("alpha", "beta", "ünï", f"w{rng.randrange(900)}", "N°1,")) for _ in range(4000)).encode(), b"tail " * 300, b"", b"end"]
+    for block in (512, 600, 2048, 1 << 20):
+        whole = np.concatenate([x for x, _ in quality.bags(texts, 1 << 30)])
+        own = np.concatenate([o for _, o in quality.bags(texts, 1 << 30)])
+        assert np.array_equal(np.concatenate([o for _, o in quality.bags(texts, block)]), own)
+        assert np.allclose(np.concatenate([x for x, _ in quality.bags(texts, block)]), whole, atol=1e-6)
+        assert [int((own == i).sum()) for i in range(len(texts))] == [max(1, -(-len(t) // quality.PASSAGE)) for t in texts]
+
+
+def test_a_very_long_text_is_scored_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(8)
+    model = quality.train([(np.concatenate([x for x, _ in quality.bags([t])]), k % 2) for k, t in enumerate([b"Good words stand here. " * 60, b"!!! $$$ CLICK " * 50] * 4)], epochs=3)
+    text = " ".join(rng.choice(("alpha", "beta", f"w{rng.randrange(90000)}")) for _ in range(10_000)).encode() * 800
+    assert len(text) > 40 << 20
+    tracemalloc.start()
+    score = model.score([text])
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert 0 <= score[0] <= 1 and peak < 250 << 20
+
+
+def test_a_large_text_does_not_end_the_sample(spark):
+    docs = spark.createDataFrame([(k, "good words here " * (3000 if k % 10 == 0 else 3)) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    sizes = []
+    keep = quality.train
+    try:
+        quality.train = lambda rows: sizes.append(len(rows)) or keep(rows, epochs=1)
+        quality.fit(docs, labels, most_bytes=100_000)
+    finally:
+        quality.train = keep
+    assert sizes[0] > 100  # all short ones, and those of the long that fit
+
+
+def test_batches_are_bounded(spark):
+    """The effective size of a batch, whether the session says nothing, more or less."""
+    from sightline.llm import common
+
+    def measured(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.column("text").nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(64).selectExpr("id doc_id", "repeat('x', 1 << 20) text").coalesce(1)
+    for said, want in ((None, common.BATCH), ("64MB", common.BATCH), ("1MB", 1 << 20)):
+        spark.conf.unset(key) if said is None else spark.conf.set(key, said)
+        read = common.texts(docs)
+        assert common.batch_bytes(spark) == want
+        sizes = read.mapInArrow(measured, "n long").collect()
+        assert max(r.n for r in sizes) <= want + (2 << 20)
+    spark.conf.unset(key)
