@@ -136,17 +136,19 @@ def constrained(points: DataFrame, site: str, same_deg: float = 3.0, reach: floa
 
 
 def device_aggregate(m: DataFrame, key: str) -> DataFrame:
-    """Members (key, id, scan, type, x, y, z, hit, auto, conf, cam) to devices: the median of ray hits (of all members
-    where none hit), the median distance to it, any automatic, ids by length then text, scans, best member, top confidence.
+    """Members (key, ord, id, scan, type, x, y, z, hit, auto, conf, and the scan's place sx, sy, sz) to devices: the median of
+    ray hits (of all members where none hit), the median distance to it, any automatic, ids by length then text, scans, best
+    member (most confidence, then nearest scan, then first), top confidence. A scan without a place is the farthest.
     """
     m = m.withColumn("any_hit", F.bool_or("hit").over(Window.partitionBy(key))).withColumn("use", F.col("hit") | ~F.col("any_hit"))
     mid = m.where("use").groupBy(key).agg(*(F.percentile(c, 0.5).alias(f"m{c}") for c in "xyz"))
     j = m.join(mid, key)
     dist = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    seen = F.coalesce(F.sqrt(sum(((F.col(f"s{c}") - F.col(f"m{c}")) ** 2 for c in "xyz"), F.lit(0.0))), F.lit(1e9))
     ids = F.array_sort(F.collect_list(F.struct(F.length("id").alias("n"), F.col("id"))))
     out = j.groupBy(key).agg(F.first("mx").alias("x"), F.first("my").alias("y"), F.first("mz").alias("z"), F.percentile(F.when(F.col("use"), dist), 0.5).alias("spread"),
                              F.when(F.bool_or("auto"), "auto").otherwise("review").alias("status"), F.transform(ids, lambda s: s["id"]).alias("ids"),
-                             F.array_sort(F.collect_set("scan")).alias("scans"), F.max_by("id", F.struct("conf", -F.col("cam"), "id")).alias("best"), F.max("conf").alias("conf_max"))
+                             F.array_sort(F.collect_set("scan")).alias("scans"), F.max_by("id", F.struct("conf", -seen, -F.col("ord"))).alias("best"), F.max("conf").alias("conf_max"))
     votes = m.groupBy(key, "type").agg(F.count("*").alias("n")).groupBy(key).agg(F.min_by("type", F.struct(-F.col("n"), F.col("type"))).alias("type"))
     return out.join(votes, key)
 
@@ -174,6 +176,14 @@ def cross_check(hits: DataFrame, tri: DataFrame) -> DataFrame:
                     F.when(F.col("hx").isNotNull(), "ray").otherwise("triangulation").alias("method"))
 
 
+def cross_report(cross: DataFrame) -> DataFrame:
+    """One row of a cross-check (``auto``, ``method``, ``dist``): detections, ray hits, the share of automatic ones that hit,
+    those placed by triangulation alone, and the median and largest distance (null where none has both)."""
+    ray = F.col("method") == "ray"
+    return cross.agg(F.count("*").alias("detections"), F.count_if(ray).alias("hits"), F.coalesce(F.avg(F.when(F.col("auto"), ray.cast("double"))), F.lit(0.0)).alias("auto_rate"),
+                     F.count_if(F.col("method") == "triangulation").alias("fallback"), F.percentile("dist", 0.5).alias("median_dist"), F.max("dist").alias("max_dist"))
+
+
 def sampled(d: DataFrame, site: str, prefer: Column, n: int) -> DataFrame:
     """A check sample: one of each scan, preferred scans first, then confidence."""
     one = d.withColumn("_r", F.row_number().over(Window.partitionBy(site, "scan").orderBy(F.desc("conf"), "id"))).where("_r = 1")

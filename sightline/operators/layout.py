@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import half_up
@@ -135,6 +135,52 @@ def area_of(ring: np.ndarray) -> float:
     return float((ring[:, 0] * np.roll(ring[:, 1], -1) - np.roll(ring[:, 0], -1) * ring[:, 1]).sum() / 2)
 
 
+def inset(ring: list[tuple[int, int]], by: float) -> np.ndarray:
+    """A traced ring with each side moved towards the cells, which lie to its left."""
+    p = np.array(ring, float)
+    step = np.sign(np.roll(p, -1, 0) - p)  # of the side that begins at each corner
+    moved = p + by * np.stack([-step[:, 1], step[:, 0]], 1)
+    flat = step[:, 0] != 0  # this side gives y, and the one before it x
+    before = np.roll(moved, 1, 0)
+    return np.stack([np.where(flat, before[:, 0], moved[:, 0]), np.where(flat, moved[:, 1], before[:, 1])], 1)
+
+
+def holds(ring: np.ndarray, x: float, y: float) -> bool:
+    """Whether a ring goes round a point that isn't on it."""
+    p, q = ring, np.roll(ring, -1, 0)
+    across = (p[:, 1] > y) != (q[:, 1] > y)
+    at = p[:, 0] + (y - p[:, 1]) / np.where(across, q[:, 1] - p[:, 1], 1) * (q[:, 0] - p[:, 0])
+    return bool((across & (at > x)).sum() % 2)
+
+
+def outlined(mask: np.ndarray, place, least_edge: float, step: float | None, least_area: float, up: float | None) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Polygons of a mask, each with its holes. ``place`` turns corners of cells to metres; ``up``: sides lie in the middle
+    of cells divided so often, not on their edges. Rings of less than ``least_area`` are left out, those outside with
+    their holes."""
+    def tidy(ring: list[tuple[int, int]]) -> np.ndarray:
+        q = straightened(place(inset(ring, 0.5 / up) if up else np.array(ring, float)), least_edge)
+        return straightened(np.round(q / step) * step, 1e-6) if step else q
+
+    outer, inner = [], []
+    for ring in trace(mask):
+        q = tidy(ring)
+        a = area_of(np.array(ring, float))
+        if abs(area_of(q)) > 0 and abs(area_of(q)) >= least_area:
+            (outer if a > 0 else inner).append((abs(a), ring, q))
+        elif a > 0:
+            outer.append((a, ring, None))
+    outer.sort(key=lambda o: o[0])
+    holes: list[list[np.ndarray]] = [[] for _ in outer]
+    for _, ring, q in inner:
+        (x, y), (u, v) = ring[0], ring[1]
+        x, y = (x + u) / 2 - np.sign(v - y) / 2, (y + v) / 2 + np.sign(u - x) / 2  # in a cell beside its first side
+        for k, (_, r, _) in enumerate(outer):
+            if holds(np.array(r, float), x + 1e-3, y + 1e-3):
+                holes[k].append(q)
+                break
+    return [(q, holes[k]) for k, (_, _, q) in enumerate(outer) if q is not None]
+
+
 def contours(cells: DataFrame, room: str, size: float = 1.0, least_edge: float = 0.0, step: float | None = None, least_area: float = 0.0) -> DataFrame:
     """Rings of each room's mask in metres, for cells of ``size``: (room, ring, corners, area, points); the area of a hole
     is negative. Sides under ``least_edge`` are straightened, corners snapped to multiples of ``step``, and rings of less
@@ -154,6 +200,207 @@ def contours(cells: DataFrame, room: str, size: float = 1.0, least_edge: float =
     return cells.select(room, "ix", "iy").groupBy(room).applyInPandas(run, f"{room} long, ring long, corners long, area double, points array<array<double>>")
 
 
+POLYGON = "polygon long, area double, points array<array<double>>, holes array<array<array<double>>>"
+
+
+def polygon_rows(found: list[tuple[np.ndarray, list[np.ndarray]]]) -> list[tuple]:
+    """(number, area without holes, ring, rings of holes), largest first."""
+    rows = [(abs(area_of(q)) - sum(abs(area_of(h)) for h in hs), np.round(q, 3).tolist(), [np.round(h, 3).tolist() for h in hs]) for q, hs in found]
+    rows.sort(key=lambda r: (-r[0], r[1]))
+    return [(k, *r) for k, r in enumerate(rows, 1)]
+
+
+def polygons(cells: DataFrame, room: str, size: float = 1.0, least_edge: float = 0.0, step: float | None = None, least_area: float = 0.0, up: int = 2) -> DataFrame:
+    """Polygons of each room's mask in metres, each with the holes in it: (room, polygon, area, points, holes). Sides go
+    through the middle of the outermost cells' halves (``up`` parts of a cell). Straightening, snapping and least areas as
+    in ``contours``; a room is one group."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, x0, y0 = _mask(pdf)
+        found = outlined(m, lambda q: (q + (x0, y0)) * size, least_edge, step, least_area, up)
+        return pd.DataFrame([(pdf[room].iloc[0], *r) for r in polygon_rows(found)], columns=[room, "polygon", "area", "points", "holes"])
+
+    return cells.select(room, "ix", "iy").groupBy(room).applyInPandas(run, f"{room} long, {POLYGON}")
+
+
+#: Fixed values of walls, in metres: thickness, how far evidence may lie outside and inside of a room's side, gap in it that
+#: is still wall, shortest wall, distance at which a side lies on the bounds, what is cut beyond the thickness, least areas
+#: of a piece of the ring and of a polygon, and grid.
+WALL, OUTSIDE, INSIDE, BRIDGED, SHORTEST, AT_BOUNDS, BEYOND, PIECE_AREA, POLYGON_AREA, GRID = 0.15, 0.15, 0.4, 1.0, 0.5, 0.15, 0.02, 0.06, 0.03, 0.05
+
+
+def sides_of(rings: DataFrame, room: str) -> DataFrame:
+    """The sides of rooms' rings (room, ring, points): (room, ring, side, flat, at, lo, hi, inward). A ``flat`` side lies
+    at y = ``at`` from x = ``lo`` to ``hi``, others at x; ``inward`` is the sign of the direction into the room."""
+    after = F.concat(F.slice("points", F.lit(2), F.size("points") - 1), F.slice("points", 1, 1))
+    twice = F.aggregate(F.zip_with("points", after, lambda p, q: p[0] * q[1] - q[0] * p[1]), F.lit(0.0), lambda a, x: a + x)
+    s = rings.select(room, "ring", F.signum(twice).alias("turn"), F.posexplode(F.arrays_zip(F.col("points").alias("p"), after.alias("q"))).alias("side", "s"))
+    x0, y0, x1, y1 = (F.col("s")[e][i] for e in "pq" for i in (0, 1))
+    flat = F.abs(y0 - y1) < 1e-6
+    # along +x a ring that turns left has the room above it, along +y to its left
+    inward = F.col("turn") * F.when(flat, F.signum(x1 - x0)).otherwise(-F.signum(y1 - y0))
+    return s.select(room, "ring", "side", flat.alias("flat"), F.when(flat, y0).otherwise(x0).alias("at"), F.when(flat, F.least(x0, x1)).otherwise(F.least(y0, y1)).alias("lo"),
+                    F.when(flat, F.greatest(x0, x1)).otherwise(F.greatest(y0, y1)).alias("hi"), inward.cast("int").alias("inward"))
+
+
+def wall_intervals(sides: DataFrame, tall: DataFrame, bounds: DataFrame, room: str, size: float) -> DataFrame:
+    """Where the sides of rooms have walls, and where they are open: (room, ring, side, wall, s0, s1), metres along a side.
+
+    A side is gone through in steps of ``size``. A step has evidence if a cell of ``tall`` (room, ix, iy: columns of the
+    height of a wall) lies between OUTSIDE and INSIDE of it. Gaps of less than BRIDGED are closed, those at the ends
+    too, and then walls shorter than SHORTEST dropped. A side on the room's ``bounds`` (room, x0, x1, y0, y1) is where the
+    scan ends: open, a thickness beyond its ends too. Cells meet steps by equality, a few for each step.
+    """
+    gap, least, whole = int(BRIDGED / size + 1e-9), int(SHORTEST / size + 1e-9), F.col("at")
+    near = lambda a, b: F.least(F.abs(whole - F.col(a)), F.abs(whole - F.col(b))) < AT_BOUNDS
+    s = sides.join(bounds, room, "left").withColumn("cut", F.coalesce(F.when(F.col("flat"), near("y0", "y1")).otherwise(near("x0", "x1")), F.lit(False)))
+    s = s.select(room, "ring", "side", "flat", "at", "lo", "hi", "inward", "cut", F.ceil((F.col("hi") - F.col("lo")) / size - 1e-9).alias("n"))
+    first = lambda v: F.floor(v / size + 1e-6).cast("long")
+    last = lambda v: (F.ceil(v / size - 1e-6) - 1).cast("long")
+    k = s.where("not cut").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).withColumn("from", F.col("lo") + F.col("k") * size)
+    out, into = F.col("at") - F.col("inward") * OUTSIDE, F.col("at") + F.col("inward") * INSIDE
+    k = k.withColumn("a", F.explode(F.sequence(first(F.col("from")), last(F.col("from") + size)))).withColumn("b", F.explode(F.sequence(first(F.least(out, into)), last(F.greatest(out, into)))))
+    k = k.withColumn("ix", F.when(F.col("flat"), F.col("a")).otherwise(F.col("b"))).withColumn("iy", F.when(F.col("flat"), F.col("b")).otherwise(F.col("a")))
+    key = [room, "ring", "side"]
+    hit = k.join(tall.select(room, "ix", "iy"), [room, "ix", "iy"], "left_semi").select(*key, "k").distinct()
+    ends = s.where("not cut").select(*key, F.explode(F.array(F.lit(-1).cast("long"), F.col("n"))).alias("k"))
+    # a run goes on over gaps of fewer than ``gap`` steps; beyond both ends there is wall
+    w = Window.partitionBy(*key).orderBy("k")
+    runs = hit.unionByName(ends).withColumn("new", F.when(F.col("k") - F.lag("k").over(w) > gap, 1).otherwise(0)).withColumn("run", F.sum("new").over(w))
+    runs = runs.groupBy(*key, "run").agg(F.min("k").alias("a"), F.max("k").alias("b")).join(s.select(*key, "n"), key)
+    runs = runs.select(*key, F.greatest("a", F.lit(0)).alias("a"), (F.least(F.col("b"), F.col("n") - 1) + 1).alias("b")).where(F.col("b") - F.col("a") >= F.greatest(F.lit(least), F.lit(1)))
+    each = runs.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("walls"))
+    s = s.join(each, key, "left").withColumn("walls", F.coalesce("walls", F.array().cast("array<struct<a:bigint,b:bigint>>")))
+    zero = F.lit(0).cast("long")
+    starts, stops = F.concat(F.array(zero), F.transform("walls", lambda x: x["b"])), F.concat(F.transform("walls", lambda x: x["a"]), F.array(F.col("n")))
+    opened = F.filter(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] < x["b"])
+    flagged = lambda xs, is_wall: F.transform(xs, lambda x: F.struct(F.lit(is_wall).alias("wall"), x["a"].alias("a"), x["b"].alias("b")))
+    s = s.select(*key, "lo", "hi", "n", "cut", F.explode(F.concat(flagged(F.col("walls"), True), flagged(opened, False))).alias("x"))
+    more = F.when(F.col("cut"), WALL + BEYOND).otherwise(0.0)
+    place = lambda c, end, edge, sign: F.when(F.col(f"x.{c}") == end, F.col(edge) + sign * more).otherwise(F.col("lo") + F.col(f"x.{c}") * size)
+    return s.select(*key, "x.wall", place("a", zero, "lo", -1).alias("s0"), place("b", F.col("n"), "hi", 1).alias("s1"))
+
+
+def wall_polygons(sides: DataFrame, intervals: DataFrame, room: str, partitions: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """Walls of rooms as polygons: (room, polygon, area, points, holes). A wall of fixed thickness goes round each room
+    outside; what is open is cut out of it, small pieces go, ``partitions`` are put in, and where ``rows`` of cabinets stand
+    there is no wall (both room, x0, x1, y0, y1).
+
+    Pieces are composed on the lines that their own sides make, so joints and corners are exact; a room is one group of as
+    many rows as its outline has sides and openings.
+    """
+    flat = F.col("flat")
+    key = [room, "ring", "side"]
+    shape = lambda df, kind: df.select(room, F.lit(kind).alias("kind"), F.lit(0).alias("ring"), F.lit(True).alias("flat"), *(F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")))
+
+    def boxed(df: DataFrame, kind: str, s0: Column, s1: Column, n0: Column, n1: Column) -> DataFrame:
+        xs, ys = (F.when(flat, s0).otherwise(n0), F.when(flat, s1).otherwise(n1)), (F.when(flat, n0).otherwise(s0), F.when(flat, n1).otherwise(s1))
+        return df.select(room, F.lit(kind).alias("kind"), "ring", "flat", F.least(*xs).alias("x0"), F.greatest(*xs).alias("x1"), F.least(*ys).alias("y0"), F.greatest(*ys).alias("y1"))
+
+    at, out = F.col("at"), lambda far: F.col("at") - F.col("inward") * far
+    every = boxed(sides, "side", F.col("lo"), F.col("hi"), at, at).unionByName(boxed(sides, "band", F.col("lo") - WALL, F.col("hi") + WALL, at, out(WALL)))
+    openings = intervals.where("not wall").join(sides, key)
+    every = every.unionByName(boxed(openings, "open", F.col("s0"), F.col("s1"), at, out(WALL + BEYOND)))
+    for df, kind in ((partitions, "partition"), (rows, "row")):
+        if df is not None:
+            every = every.unionByName(shape(df.join(sides.select(room).distinct(), room, "left_semi"), kind))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        xs, ys = (np.unique(np.round(pdf[[f"{c}0", f"{c}1"]].to_numpy(), 6)) for c in "xy")
+        box = {k: [(slice(*np.searchsorted(ys, np.round([r.y0, r.y1], 6))), slice(*np.searchsorted(xs, np.round([r.x0, r.x1], 6)))) for r in g.itertuples()] for k, g in pdf.groupby("kind")}
+        shape = (max(len(ys) - 1, 1), max(len(xs) - 1, 1))
+        room_, wall = np.zeros(shape, bool), np.zeros(shape, bool)
+        for r in pdf[(pdf["kind"] == "side") & ~pdf["flat"]].itertuples():  # cells right of an odd number of sides are in
+            a, b = np.searchsorted(ys, np.round([r.y0, r.y1], 6))
+            room_[a:b, np.searchsorted(xs, round(r.x0, 6)):] ^= True
+        for b in box.get("band", []):
+            wall[b] = True
+        wall &= ~room_
+        for b in box.get("open", []):
+            wall[b] = False
+        area = np.outer(np.diff(ys), np.diff(xs))
+        wall = grouped_mask(wall, area, PIECE_AREA)
+        for b in box.get("partition", []):
+            wall[b] = True
+        for b in box.get("row", []):
+            wall[b] = False
+        found = outlined(wall, lambda q: np.stack([xs[q[:, 0].astype(int)], ys[q[:, 1].astype(int)]], 1), GRID, GRID, POLYGON_AREA, None)
+        return pd.DataFrame([(pdf[room].iloc[0], *r) for r in polygon_rows(found)], columns=[room, "polygon", "area", "points", "holes"])
+
+    return every.groupBy(room).applyInPandas(run, f"{room} long, {POLYGON}")
+
+
+def grouped_mask(mask: np.ndarray, area: np.ndarray, least: float) -> np.ndarray:
+    """The mask without groups of neighbouring cells (four sides) that cover less than ``least``."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    while True:
+        p = np.pad(label, 1)
+        most = np.where(mask, np.maximum.reduce([label, p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]]), 0)
+        if (most == label).all():
+            break
+        label = most
+    covered = np.bincount(label.ravel(), weights=np.where(mask, area, 0).ravel(), minlength=mask.size + 1)
+    return mask & (covered[label] >= least - 1e-9)
+
+
+#: Fixed values of boxes: least side and area, boxes of a component at most, quantile of the heights, least height, height
+#: below which one is low, distance from a wall at which it stands against it.
+BOX_SIDE, BOX_AREA, BOXES, BOX_QUANTILE, BOX_LEAST, BOX_LOW, AGAINST = 0.3, 0.12, 10, 75, 0.2, 0.6, 0.15
+
+
+def boxes(cells: DataFrame, room: str, size: float, components, sides: DataFrame | None = None) -> DataFrame:
+    """What stands in rooms as boxes along the axes: (room, component, n, kind, height, xa, xb, ya, yb).
+
+    ``cells`` (room, ix, iy, height; null where no solid was measured) are joined to components (four neighbours), each of
+    which is taken apart into its largest rectangles, ten at most, as long as they have the least area and sides; a box is
+    as high as three quarters of its cells reach. One that stands just off a side of its room stands against it. A
+    component, not a room, is one group.
+    """
+    from sightline.operators.spatial import grid_edges
+
+    one = cells.groupBy(room, "ix", "iy").agg(F.max("height").alias("height"))
+    node = one.withColumn("node", F.struct(room, "ix", "iy")).join(components(grid_edges(one, room, eight=False)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = int(np.ceil(BOX_SIDE / size - 1e-9))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, x0, y0 = _mask(pdf)
+        high = np.full(m.shape, np.nan)
+        high[pdf["iy"] - y0, pdf["ix"] - x0] = pdf["height"]
+        rows, left = [], Rectangles(m, least)
+        for n in range(1, BOXES + 1):
+            b = left.take()
+            if b is None or (b[1] - b[0]) * (b[3] - b[2]) * size * size < BOX_AREA - 1e-9:
+                break
+            r0, r1, c0, c1 = b
+            h = high[r0:r1, c0:c1]
+            h = h[np.isfinite(h)]
+            if h.size < 4:
+                continue
+            top = max(on_grid(float(np.percentile(h, BOX_QUANTILE))), BOX_LEAST)
+            rows.append((pdf[room].iloc[0], pdf["cx"].iloc[0], pdf["cy"].iloc[0], n, "low" if top < BOX_LOW else "equipment", top,
+                         *(on_grid(v * size) for v in (x0 + c0, x0 + c1, y0 + r0, y0 + r1))))
+        return pd.DataFrame(rows, columns=[room, "cx", "cy", "n", "kind", "height", "xa", "xb", "ya", "yb"])
+
+    cut = node.select(room, F.col("root.ix").alias("cx"), F.col("root.iy").alias("cy"), "ix", "iy", "height").groupBy(room, "cx", "cy").applyInPandas(
+        run, f"{room} long, cx long, cy long, n long, kind string, height double, xa double, xb double, ya double, yb double")
+    if sides is None:
+        return cut
+    line = sides.groupBy(room).agg(F.array_sort(F.collect_list(F.struct("ring", "side", "flat", "at", "lo", "hi"))).alias("sides"))
+    b = cut.join(line, room, "left")
+    moved = lambda edge, at, sign: (sign * (at - edge) > 0) & (sign * (at - edge) <= AGAINST + 1e-9)
+
+    def stood(s: Column, x: Column) -> Column:
+        beside = F.when(x["flat"], (x["lo"] <= s["xb"]) & (x["hi"] >= s["xa"])).otherwise((x["lo"] <= s["yb"]) & (x["hi"] >= s["ya"]))
+        new = {}
+        for low, high, axis in (("xa", "xb", ~x["flat"]), ("ya", "yb", x["flat"])):
+            to_high = beside & axis & moved(s[high], x["at"], 1)
+            new[high] = F.when(to_high, x["at"]).otherwise(s[high])
+            new[low] = F.when(beside & axis & ~to_high & moved(s[low], x["at"], -1), x["at"]).otherwise(s[low])
+        return F.struct(*(new[c].alias(c) for c in ("xa", "xb", "ya", "yb")))
+
+    s = F.aggregate(F.coalesce("sides", F.array().cast(dict(line.dtypes)["sides"])), F.struct("xa", "xb", "ya", "yb"), stood)
+    return b.withColumn("s", s).select(room, "cx", "cy", "n", "kind", "height", *(F.round(f"s.{c}", 3).alias(c) for c in ("xa", "xb", "ya", "yb")))
+
+
 #: Fixed values of cabinet rows, in metres: gap between rows, room left beside the outer devices, longest walk, gap a walk
 #: may cross, depth where none is measured and largest depth, least height and cut, range of panel widths and width
 #: without neighbours, grid of all results.
@@ -351,23 +598,49 @@ def best_source(directions: DataFrame, cameras: DataFrame, site: str) -> DataFra
     return directions.join(cameras, site).groupBy(site, "dir").agg(F.max_by("camera", F.struct(cos, -F.col("camera"))).alias("camera"), F.max(cos).alias("cos"))
 
 
+#: Degrees on either side of a peak that belong to it; degrees a picture may be shifted upwards or downwards.
+PEAK, TILT = 4.0, 7.03125
+
+
+def vertex(before: float, at: float, after: float) -> float:
+    """Part of a bin between a peak's bin and the top of the parabola through it and its neighbours."""
+    bend = before - 2 * at + after
+    return 0.5 * (before - after) / bend if abs(bend) > 1e-12 else 0.0
+
+
 def correlate(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """(shift, peak, ratio) of two rings of numbers, NaN where unknown: normalised correlation over all circular shifts
-    by FFT, a parabola for the part of a bin, the peak against the best elsewhere."""
-    n = len(a)
+    """(shift, peak, ratio) of two rings of numbers, or of pictures whose rows are such rings, NaN where unknown: normalised
+    correlation over all circular shifts by FFT, rows summed, a parabola for the part of a bin, and the peak against
+    the best of all more than PEAK degrees away."""
+    a, b = np.atleast_2d(a), np.atleast_2d(b)
+    n = a.shape[1]
     ma, mb = np.isfinite(a).astype(float), np.isfinite(b).astype(float)
     a0, b0 = np.where(ma > 0, a, 0.0), np.where(mb > 0, b, 0.0)
-    f = np.fft.rfft
-    cc = lambda p, q: np.fft.irfft(np.conj(f(p)) * f(q), n)
+    f = lambda x: np.fft.rfft(x, axis=1)
+    cc = lambda p, q: np.fft.irfft((np.conj(f(p)) * f(q)).sum(axis=0), n)
     k = np.maximum(cc(ma, mb), 1e-9)
     sa, sb, saa, sbb, sab = cc(a0, mb), cc(ma, b0), cc(a0 * a0, mb), cc(ma, b0 * b0), cc(a0, b0)
     den = np.sqrt(np.maximum(saa - sa * sa / k, 0) * np.maximum(sbb - sb * sb / k, 0))
     r = np.where((den > 1e-9) & (k > 2.5), (sab - sa * sb / k) / np.maximum(den, 1e-9), -1.0)
     t = int(np.argmax(r))
-    l, m, h = r[t - 1], r[t], r[(t + 1) % n]
-    part = 0.5 * (l - h) / (l - 2 * m + h) if abs(l - 2 * m + h) > 1e-12 else 0.0
-    far = [r[q] for q in range(n) if min((q - t) % n, (t - q) % n) > 1]
-    return (t + part) % n, float(m), float(m / max(far)) if far and max(far) > 0 else float("inf")
+    off = np.abs((np.arange(n) - t + n // 2) % n - n // 2)
+    far = r[off > PEAK * n / 360]
+    return (t + vertex(r[t - 1], r[t], r[(t + 1) % n])) % n, float(r[t]), float(r[t] / far.max()) if len(far) and far.max() > 0 else float("inf")
+
+
+def tilted(a: np.ndarray, b: np.ndarray, turn: int, most: int) -> float:
+    """Rows by which picture ``a``, turned by ``turn`` bins, must go down to fit ``b`` best, ``most`` at most either way; rows
+    that leave the picture don't come in again on the other side."""
+    a = np.roll(a, turn, axis=1)
+    fit = []
+    for d in range(-most, most + 1):
+        x, y = (a[: len(a) - d], b[d:]) if d >= 0 else (a[-d:], b[:d])
+        both = np.isfinite(x) & np.isfinite(y)
+        x, y = x[both], y[both]
+        x, y = (x - x.mean(), y - y.mean()) if len(x) else (x, y)
+        fit.append(float((x * y).sum() / (np.sqrt((x * x).sum() * (y * y).sum()) + 1e-12)))
+    j = int(np.argmax(fit))
+    return j - most + (vertex(*fit[j - 1 : j + 2]) if 0 < j < 2 * most else 0.0)
 
 
 def ring_shift(profiles: DataFrame, key: str) -> DataFrame:
@@ -435,27 +708,32 @@ def grid_lines(bounds: DataFrame, by: str, step: int = 10) -> DataFrame:
     return out
 
 
-def reprojection(profiles: DataFrame, key: str) -> DataFrame:
-    """Whether a rendering lines up with its photograph: (key, yaw_shift, pitch_shift, ratio, mirrored, ok), in degrees.
+def reprojection(pictures: DataFrame, key: str) -> DataFrame:
+    """Whether a rendering lines up with its photograph: (key, yaw_shift, pitch_shift, peak, ratio, mirrored, ok), in degrees.
 
-    ``profiles`` (key, render, photo, mirror: rings of edge strength by yaw; render_rows, photo_rows: by pitch, over 180
-    degrees). Neither shift may reach half a degree, the mirrored rendering may not fit more than a twentieth better, and
-    the peak must stand out by a tenth.
+    ``pictures`` (key, render, photo, mirror: strength of edges as rows from the top over 180 degrees, each a ring over 360
+    degrees; null where nothing is rendered; ``mirror`` is the rendering turned the wrong way round). Neither shift may
+    reach half a degree, the mirrored rendering may not fit more than a twentieth better, and the peak must stand out by a
+    tenth. Shifts in pitch are tried to TILT degrees, rounded to rows.
     """
-    def one(r: tuple) -> tuple:
-        k, a, b, m, p, q = (np.array(x, float) if i else x for i, x in enumerate(r))
+    def picture(x) -> np.ndarray:
+        return np.array([np.asarray(row, dtype=float) for row in x])
+
+    def one(k, render, photo, mirror) -> tuple:
+        a, b, m = picture(render), picture(photo), picture(mirror)
+        high, wide = b.shape
         shift, peak, ratio = correlate(a, b)
-        pitch, _, _ = correlate(p, q)
-        signed = lambda s, n: (s - n if s > n / 2 else s)
-        yaw, rows = signed(shift, len(a)) * 360 / len(a), -signed(pitch, len(p)) * 180 / len(p)
+        turn = int(np.floor(shift + 0.5)) % wide
+        rows = tilted(a, b, turn, max(1, min(round(TILT * high / 180), high - 1)) if high > 1 else 0)
+        yaw, pitch = (shift - wide if shift > wide / 2 else shift) * 360 / wide, -rows * 180 / high + 0.0
         mirrored = correlate(m, b)[1] > 1.05 * peak
-        return k, yaw, rows, ratio, mirrored, bool(abs(yaw) < 0.5 and abs(rows) < 0.5 and not mirrored and ratio > 1.1)
+        return k, yaw, pitch, peak, ratio, mirrored, bool(abs(yaw) < 0.5 and abs(pitch) < 0.5 and not mirrored and ratio > 1.1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=[key, "yaw_shift", "pitch_shift", "ratio", "mirrored", "ok"])
+        return pd.DataFrame([one(*r) for r in pdf.itertuples(index=False)], columns=[key, "yaw_shift", "pitch_shift", "peak", "ratio", "mirrored", "ok"])
 
-    chosen = profiles.select(key, "render", "photo", "mirror", "render_rows", "photo_rows")
-    return chosen.mapInPandas(lambda it: map(run, it), f"{key} long, yaw_shift double, pitch_shift double, ratio double, mirrored boolean, ok boolean")
+    chosen = pictures.select(key, "render", "photo", "mirror")
+    return chosen.mapInPandas(lambda it: map(run, it), f"{key} long, yaw_shift double, pitch_shift double, peak double, ratio double, mirrored boolean, ok boolean")
 
 
 def badge_anchor(d: DataFrame, floor_z: float = 0.0, step: float = 0.34, out: float = 0.25, lift: float = 0.55) -> DataFrame:

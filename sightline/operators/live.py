@@ -47,9 +47,11 @@ def matches(test: Column, d: DataFrame) -> DataFrame:
 
 
 def numbering(d: DataFrame, within: str) -> DataFrame:
-    """1-based numbers: registered by location, then unregistered ones that need no review, then the rest, by id."""
+    """1-based numbers: registered by location, then unregistered ones that need no review, then the rest, by id. Texts are
+    in the order of the locale's root: accents and case matter less than letters."""
+    local = lambda c: F.collate(c, "UNICODE") if dict(d.dtypes)[c] == "string" else F.col(c)
     rank = F.when(F.col("location").isNotNull(), 0).when(F.col("status") != "review", 1).otherwise(2)
-    return d.withColumn("number", F.row_number().over(Window.partitionBy(within).orderBy(rank, F.col("location").asc_nulls_last(), "device")))
+    return d.withColumn("number", F.row_number().over(Window.partitionBy(within).orderBy(rank, local("location").asc_nulls_last(), local("device"))))
 
 
 def preferred_member(m: DataFrame, prefer: Column) -> DataFrame:

@@ -179,17 +179,39 @@ def grid_counts(points: DataFrame, size: float, by: str, least: int) -> DataFram
             .agg(F.count("*").alias("n")).withColumn("mask", F.col("n") >= least))
 
 
-def occupancy(points: DataFrame, size: float, by: str, floor: Column, mid: Column) -> DataFrame:
-    """Saturating counts of 3D cells and mean colour of two height bands."""
-    keys = [by, "ix", "iy", "iz"]
-    return (points.select("*", *(cell(c, size).cast("long").alias(f"i{c}") for c in "xyz")).groupBy(*keys)
-            .agg(F.least(F.count("*"), F.lit(255)).alias("n"), F.avg(F.when(floor, F.col("r"))).alias("floor_r"), F.avg(F.when(mid, F.col("r"))).alias("mid_r")))
+def occupancy(points: DataFrame, size: float, by: str, dz: float, z0: float = 0.0) -> DataFrame:
+    """Counts of 3D cells, at 255 at most: columns of ``size``, bins of ``dz`` from ``z0`` upwards."""
+    iz = F.floor((F.col("z") - z0) / dz).cast("long")
+    return (points.where(F.col("z") >= z0).select(by, *(cell(c, size).cast("long").alias(f"i{c}") for c in "xy"), iz.alias("iz")).groupBy(by, "ix", "iy", "iz")
+            .agg(F.least(F.count("*"), F.lit(255)).alias("n")))
 
 
-def column_top(occ: DataFrame, by: str, cap: int, least: int) -> DataFrame:
-    """Top occupied bin of each column under a cap, and whether anything or anything low is occupied."""
-    hit = F.col("n") >= least
-    return occ.groupBy(by, "ix", "iy").agg(F.max(F.when(hit & (F.col("iz") < cap), F.col("iz"))).alias("top"), F.bool_or(hit).alias("any"), F.bool_or(hit & (F.col("iz") < cap / 3)).alias("low"))
+#: Fixed values, in metres above the floor: half the band of the floor's colour, the band of what stands on it; half the
+#: band in which points count as floor; where solids begin, where low ones end, and the cut under the ceiling.
+FLOOR_COLOUR, STANDING, FLOOR_BAND, SOLID, LOW_SOLID, CEILING = 0.04, (0.3, 2.0), 0.05, 0.12, 1.0, 2.6
+
+
+def column_colours(points: DataFrame, size: float, by: str, floor_z: float = 0.0) -> DataFrame:
+    """Mean colour (whole numbers, 0 where there is none) and number of points (65535 at most) of each column, on the floor
+    and in the band of what stands on it: ``floor_r, floor_g, floor_b, floor_n`` and the same of ``mid``."""
+    h = F.col("z") - floor_z
+    bands = {"floor": F.abs(h) <= FLOOR_COLOUR, "mid": h.between(*STANDING)}
+    mean = lambda c, band: F.coalesce(F.floor(F.avg(F.when(band, F.col(c)))), F.lit(0)).cast("long")
+    return (points.select("*", *(cell(c, size).cast("long").alias(f"i{c}") for c in "xy")).groupBy(by, "ix", "iy")
+            .agg(*(e for k, band in bands.items() for e in (*(mean(c, band).alias(f"{k}_{c}") for c in "rgb"), F.least(F.count_if(band), F.lit(65535)).alias(f"{k}_n")))))
+
+
+def column_top(occ: DataFrame, by: str, dz: float, z0: float, least: int = 2, solid: float = SOLID, low: float = LOW_SOLID, cap: float = CEILING) -> DataFrame:
+    """What each column holds: ``top``, the upper edge of its highest occupied bin between ``solid`` and ``cap`` (0 if there
+    is none), ``any`` and ``low`` (one of these bins, one up to ``low``), and ``floor`` (enough points about height 0).
+
+    ``occ`` (by, ix, iy, iz, n) has bins of ``dz`` from ``z0``, heights above the floor; a bin lies where its middle does
+    and is occupied by ``least`` points."""
+    mid = z0 + (F.col("iz") + 0.5) * dz
+    band = (F.col("n") >= least) & (mid >= solid) & (mid <= cap)
+    return occ.groupBy(by, "ix", "iy").agg(
+        F.coalesce(F.max(F.when(band, mid + dz / 2)), F.lit(0.0)).alias("top"), F.bool_or(band).alias("any"), F.bool_or(band & (mid <= low)).alias("low"),
+        (F.coalesce(F.sum(F.when(F.abs(mid) <= FLOOR_BAND, F.col("n"))), F.lit(0)) >= least).alias("floor"))
 
 
 def z_buffer(points: DataFrame, keys: list[str], dist: str) -> DataFrame:
@@ -245,14 +267,23 @@ def filled(cells: DataFrame, by: str, components) -> DataFrame:
     return cells.select(by, "ix", "iy").unionByName(node.join(outer, "root", "left_anti").select(by, "ix", "iy"))
 
 
-def disc_share(centres: DataFrame, cells: DataFrame, radius: float, size: float, site: str) -> DataFrame:
-    """For each centre (point, x, y) the share of the disc's cells that are set."""
-    k = math.ceil(radius / size)
-    off = [(i, j) for i in range(-k, k + 1) for j in range(-k, k + 1) if (i * size) ** 2 + (j * size) ** 2 <= radius * radius]
+def disc_share(centres: DataFrame, cells: DataFrame, grid: DataFrame, radius: float, size: float, site: str) -> DataFrame:
+    """For each centre (point, x, y) the share of the disc's cells that are set, and whether most are. Where the disc's
+    square leaves the site's ``grid`` (site, ix0, ix1, iy0, iy1, cells it has), the cell of the centre counts alone, or
+    the nearest of the grid."""
+    k = max(1, round(radius / size))
+    off = [(i, j) for i in range(-k, k + 1) for j in range(-k, k + 1) if i * i + j * j <= k * k]
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in off))
-    c = centres.select(site, "point", F.explode(steps).alias("s"), (cell("x", size) + F.col("s.i")).cast("long").alias("ix"), (cell("y", size) + F.col("s.j")).cast("long").alias("iy"))
+    c = centres.select(site, "point", cell("x", size).cast("long").alias("cx"), cell("y", size).cast("long").alias("cy")).join(grid, site)
+    whole = F.lit(True)
+    for ax in "xy":
+        whole = whole & (F.col(f"c{ax}") - k >= F.col(f"i{ax}0")) & (F.col(f"c{ax}") + k <= F.col(f"i{ax}1"))
+        c = c.withColumn(f"n{ax}", F.least(F.greatest(f"c{ax}", f"i{ax}0"), f"i{ax}1"))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    c = c.select(site, "point", "nx", "ny", F.explode(F.when(whole, steps).otherwise(alone)).alias("s"))
+    c = c.select(site, "point", (F.col("nx") + F.col("s.i")).alias("ix"), (F.col("ny") + F.col("s.j")).alias("iy"))
     j = c.join(cells.select(site, "ix", "iy", F.lit(1).alias("set")), [site, "ix", "iy"], "left")
-    return j.groupBy(site, "point").agg((F.sum(F.coalesce("set", F.lit(0))) / len(off)).alias("share")).withColumn("blocked", F.col("share") > 0.5)
+    return j.groupBy(site, "point").agg(F.avg(F.coalesce("set", F.lit(0))).alias("share")).withColumn("blocked", F.col("share") > 0.5)
 
 
 #: The sides in order, and the window in front of a device: metres from it, to it, and to both sides.
@@ -260,10 +291,12 @@ SIDES = (("+x", 1, 0), ("-x", -1, 0), ("+y", 0, 1), ("-y", 0, -1))
 WINDOW = (0.15, 1.0, 0.3)
 
 
-def facing(devices: DataFrame, floor: DataFrame, site: str, size: float) -> DataFrame:
-    """Side (+x, -x, +y, -y) of each device (device, x, y) whose window, in metres, holds most floor; the first on ties.
+def facing(devices: DataFrame, floor: DataFrame, grid: DataFrame, site: str, size: float) -> DataFrame:
+    """Side (+x, -x, +y, -y) of each device (device, x, y) whose window, in metres, holds the largest share of floor; the
+    first on ties.
 
-    Windows are spread over the cells of ``size`` that they touch and meet the floor's cells (site, ix, iy) there.
+    Windows are spread over the cells of ``size`` that they touch, as far as the site's ``grid`` (site, ix0, ix1, iy0,
+    iy1) has them, and meet the floor's cells (site, ix, iy) there; one that has no cell holds none.
     """
     near, far, half = WINDOW
 
@@ -275,8 +308,11 @@ def facing(devices: DataFrame, floor: DataFrame, site: str, size: float) -> Data
     for k, (name, fx, fy) in enumerate(SIDES):
         (a, b), (c, d) = ends("x", fx), ends("y", fy)
         win.append(F.struct(F.lit(name).alias("side"), F.lit(k).alias("k"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")))
-    w = devices.select(site, "device", F.explode(F.array(*win)).alias("w")).select(site, "device", "w.*")
-    w = w.withColumn("ix", F.explode(F.sequence("a", "b"))).withColumn("iy", F.explode(F.sequence("c", "d")))
+    w = devices.join(grid, site, "left").select(site, "device", "ix0", "ix1", "iy0", "iy1", F.explode(F.array(*win)).alias("w")).select("*", "w.*")
+    clamped = {"a": F.greatest("a", "ix0"), "b": F.least("b", "ix1"), "c": F.greatest("c", "iy0"), "d": F.least("d", "iy1")}
+    w = w.select(site, "device", "side", "k", *(v.alias(n) for n, v in clamped.items()))
+    for name, first, last in (("ix", "a", "b"), ("iy", "c", "d")):
+        w = w.withColumn(name, F.explode_outer(F.when(F.col(first) <= F.col(last), F.sequence(first, last))))
     j = w.join(floor.select(site, "ix", "iy", F.lit(1).alias("f")), [site, "ix", "iy"], "left")
     share = j.groupBy(site, "device", "side", "k").agg(F.avg(F.coalesce("f", F.lit(0))).alias("share"))
     return share.groupBy(site, "device").agg(F.max_by("side", F.struct("share", -F.col("k"))).alias("side"), F.max("share").alias("share"))
@@ -327,6 +363,40 @@ def cell_window(boxes: DataFrame, size: float, x0: float, y1: float, columns: in
     return b.withColumn("c1", F.greatest(c("c0"), c("c1"))).withColumn("r1", F.greatest(c("r0"), c("r1")))
 
 
-def pockets(cells: DataFrame, by: str, components) -> DataFrame:
-    """Cells that the mask encloses without holding them: places no scan has seen."""
-    return filled(cells, by, components).join(cells.select(by, "ix", "iy"), [by, "ix", "iy"], "left_anti")
+def lines(cells: DataFrame, by: str, along: str) -> DataFrame:
+    """Runs of neighbouring cells along an axis ("ix" or "iy"): (by, line, start, end), ends included."""
+    line = "iy" if along == "ix" else "ix"
+    place = F.row_number().over(Window.partitionBy(by, line).orderBy(along))
+    return cells.select(by, F.col(line).alias("line"), (F.col(along) - place).alias("run"), F.col(along).alias("at")).groupBy(by, "line", "run").agg(F.min("at").alias("start"), F.max("at").alias("end")).drop("run")
+
+
+def stretched(cells: DataFrame, by: str, along: str, by_cells: int) -> DataFrame:
+    """Cells with each run along an axis made longer at both ends, or shorter where ``by_cells`` is negative."""
+    line = "iy" if along == "ix" else "ix"
+    r = lines(cells, by, along).select(by, "line", (F.col("start") - by_cells).alias("start"), (F.col("end") + by_cells).alias("end")).where("start <= end")
+    out = r.select(by, F.col("line").alias(line), F.explode(F.sequence("start", "end")).alias(along)).select(by, "ix", "iy")
+    return out.distinct() if by_cells > 0 else out
+
+
+def square(cells: DataFrame, by: str, side: int, opening: bool) -> DataFrame:
+    """Opening or closing by a square of ``side`` cells (made odd), one axis after the other, run by run: a wide square
+    costs no more than a narrow one. ``cells`` are distinct; cells beyond them count as empty."""
+    half = (max(side, 1) | 1) // 2
+    if not half:
+        return cells.select(by, "ix", "iy")
+    for step in (-half, half) if opening else (half, -half):
+        for along in ("ix", "iy"):
+            cells = stretched(cells, by, along, step)
+    return cells
+
+
+def unscanned(room: DataFrame, floor: DataFrame, covered: DataFrame, by: str, components, size: float, side: float = 0.2, least_area: float = 0.4) -> DataFrame:
+    """Cells of a room's floor that no scan has seen: those of ``room`` farther than two cells from measured ``floor`` and
+    not ``covered`` by solids, rows, boxes or walls; opened and closed by a square of ``side`` metres; only places of
+    ``least_area`` square metres and more (four neighbours). All are (by, ix, iy), distinct."""
+    seen = dilate(dilate(floor, by, CROSS), by, CROSS)
+    left = room.select(by, "ix", "iy").join(seen.unionByName(covered.select(by, "ix", "iy")).distinct(), [by, "ix", "iy"], "left_anti")
+    whole = int(side / size + 1e-9)
+    left = square(square(left, by, whole, True), by, whole, False).join(room.select(by, "ix", "iy"), [by, "ix", "iy"], "left_semi")
+    left, _ = kept(left, "unscanned")  # labelled and then joined
+    return kept_components(left, by, components, least_area, size)

@@ -79,11 +79,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_returnflag").alias("room"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("ord"),
                      (F.col("l_quantity") / 4).alias("x"), (F.col("l_extendedprice") / 5000).alias("y"), (F.col("l_discount") / 0.02).alias("z"),
-                     F.col("l_partkey").alias("pid"), (F.col("l_suppkey") % 256).alias("r"))
+                     F.col("l_partkey").alias("pid"), (F.col("l_suppkey") % 256).alias("r"),
+                     (F.col("l_partkey") % 256).alias("g"), (F.col("l_linenumber") * 40 % 256).alias("b"))
 
 
 PTS = """pts AS (SELECT l_returnflag AS room, l_orderkey, l_linenumber, l_partkey AS pid, l_suppkey, l_extendedprice, l_quantity / 4 AS x, l_extendedprice / 5000 AS y,
- l_discount / 0.02 AS z, l_suppkey % 256 AS r FROM lineitem)"""
+ l_discount / 0.02 AS z, l_suppkey % 256 AS r, l_partkey % 256 AS g, l_linenumber * 40 % 256 AS b FROM lineitem)"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -571,23 +571,26 @@ def constrained_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     return o.select(F.col("o_custkey").alias("device"), F.concat(F.lit("d"), k).alias("id"), (k % 18).alias("scan"), F.col("o_orderpriority").alias("type"), (k % 97).cast("double").alias("x"), (k % 89).cast("double").alias("y"),
-                    (k % 7).cast("double").alias("z"), (k % 3 == 0).alias("hit"), (k % 4 == 0).alias("auto"), (F.col("o_totalprice") / 1e6).alias("conf"), (k % 13).cast("double").alias("cam"))
+                    (k % 7).cast("double").alias("z"), (k % 3 == 0).alias("hit"), (k % 4 == 0).alias("auto"), F.round(F.col("o_totalprice") / 1e6, 1).alias("conf"), k.alias("ord"),
+                    *(F.when(k % 18 != 7, (k % 18 * n % 13).cast("double")).alias(f"s{c}") for c, n in (("x", 5), ("y", 7), ("z", 1))))
 
 
 @query("""WITH m AS (SELECT o_custkey AS device, 'd' || o_orderkey AS id, o_orderkey % 18 AS scan, o_orderpriority AS type,
  CAST(o_orderkey % 97 AS DOUBLE) AS x, CAST(o_orderkey % 89 AS DOUBLE) AS y, CAST(o_orderkey % 7 AS DOUBLE) AS z,
- o_orderkey % 3 = 0 AS hit, o_orderkey % 4 = 0 AS auto, o_totalprice / 1e6 AS conf, CAST(o_orderkey % 13 AS DOUBLE) AS cam,
+ o_orderkey % 3 = 0 AS hit, o_orderkey % 4 = 0 AS auto, round(o_totalprice / 1e6, 1) AS conf, o_orderkey AS ord,
+ CASE WHEN o_orderkey % 18 <> 7 THEN CAST(o_orderkey % 18 * 5 % 13 AS DOUBLE) END AS sx, CASE WHEN o_orderkey % 18 <> 7 THEN CAST(o_orderkey % 18 * 7 % 13 AS DOUBLE) END AS sy,
+ CASE WHEN o_orderkey % 18 <> 7 THEN CAST(o_orderkey % 18 % 13 AS DOUBLE) END AS sz,
  bool_or(o_orderkey % 3 = 0) OVER (PARTITION BY o_custkey) AS ah FROM orders),
 c AS (SELECT device, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my, quantile_cont(z, 0.5) AS mz FROM m WHERE hit OR NOT ah GROUP BY device),
 g AS (SELECT m.device, round(quantile_cont(sqrt((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2), 0.5) FILTER (hit OR NOT ah), 5) AS spread, CASE
  WHEN bool_or(auto) THEN 'auto' ELSE 'review' END AS status,
- string_agg(id, ',' ORDER BY length(id), id) AS ids, arg_max(id, (conf, -cam, id)) AS best, any_value(mx) AS x, any_value(my) AS y FROM m
+ string_agg(id, ',' ORDER BY length(id), id) AS ids, arg_max(id, (conf, -coalesce(sqrt((sx - mx) ** 2 + (sy - my) ** 2 + (sz - mz) ** 2), 1e9), -ord)) AS best, array_to_string(list_sort(list(DISTINCT scan)), ',') AS scans, any_value(mx) AS x, any_value(my) AS y FROM m
  JOIN c USING (device) GROUP BY m.device),
 t AS (SELECT device, type, count(*) AS n FROM m GROUP BY 1, 2), v AS (SELECT device, arg_min(type, (-n, type)) AS type FROM t GROUP BY device)
  SELECT g.*, type FROM g JOIN v USING (device)""")
 def device_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = C.device_aggregate(agg_members(spark, sf_dir), "device")
-    return a.select("device", F.round("spread", 5).alias("spread"), "status", F.concat_ws(",", "ids").alias("ids"), "best", "x", "y", "type")
+    return a.select("device", F.round("spread", 5).alias("spread"), "status", F.concat_ws(",", "ids").alias("ids"), "best", F.concat_ws(",", F.transform("scans", lambda x: x.cast("string"))).alias("scans"), "x", "y", "type")
 
 
 @query("""WITH n AS (SELECT user_id AS cluster, event_id % 97 AS device, count(*) AS n FROM events GROUP BY 1, 2),
@@ -617,6 +620,13 @@ def cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross(spark, sf_dir).select("id", F.round("dist", 5).alias("dist"), "method")
 
 
+@query(f"""WITH {CROSS} SELECT count(*) AS detections, count(*) FILTER (method = 'ray') AS hits, round(avg(CASE method WHEN 'ray' THEN 1.0 ELSE 0.0 END) FILTER (id % 2 = 0), 6) AS auto_rate,
+ count(*) FILTER (method = 'triangulation') AS fallback, round(quantile_cont(dist, 0.5), 5) AS median_dist, round(max(dist), 5) AS max_dist FROM x""")
+def cross_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = C.cross_report(cross(spark, sf_dir).withColumn("auto", F.col("id") % 2 == 0))
+    return r.withColumns({"auto_rate": F.round("auto_rate", 6)} | {c: F.round(c, 5) for c in ("median_dist", "max_dist")})
+
+
 @query(f"""WITH {CROSS}, h AS (SELECT 'A5' AS gate, avg(CASE method WHEN 'ray' THEN 1.0 ELSE 0.0 END) FILTER (id % 2 = 0) >= 0.8 AND quantile_cont(dist,
  0.5) < 0.1 AS passed, round(quantile_cont(dist, 0.5), 5) AS value FROM x),
 n AS (SELECT user_id AS cluster, event_id % 97 AS device, count(*) AS n FROM events GROUP BY 1, 2),

@@ -60,21 +60,30 @@ def grid_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.grid_counts(A.points(spark, sf_dir), 0.5, "room", 5)
 
 
-OCC = f"""{A.PTS}, occ AS (SELECT room, CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor(y / 0.5) AS BIGINT) AS iy, CAST(floor(z / 0.5) AS BIGINT) AS iz,
- CAST(least(count(*), 255) AS BIGINT) AS n,
- avg(r) FILTER (z <= 1) AS floor_r, avg(r) FILTER (z > 1) AS mid_r FROM pts GROUP BY 1, 2, 3, 4)"""
+OCC = f"""{A.PTS}, occ AS (SELECT room, CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor(y / 0.5) AS BIGINT) AS iy, CAST(floor((z + 0.1) / 0.25) AS BIGINT) AS iz,
+ CAST(least(count(*), 255) AS BIGINT) AS n FROM pts GROUP BY 1, 2, 3, 4)"""
 
 
-@query(f"WITH {OCC} SELECT room, ix, iy, iz, n, round(floor_r, 5) AS floor_r, round(mid_r, 5) AS mid_r FROM occ")
+@query(f"WITH {OCC} SELECT * FROM occ")
 def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = P.occupancy(A.points(spark, sf_dir), 0.5, "room", F.col("z") <= 1, F.col("z") > 1)
-    return o.withColumn("floor_r", F.round("floor_r", 5)).withColumn("mid_r", F.round("mid_r", 5)).withColumn("n", F.col("n").cast("long"))
+    return P.occupancy(A.points(spark, sf_dir), 0.5, "room", 0.25, -0.1).withColumn("n", F.col("n").cast("long"))
 
 
-@query(f"""WITH {OCC} SELECT room, ix, iy, max(iz) FILTER (n >= 1 AND iz < 9) AS top, bool_or(n >= 1) AS "any", bool_or(n >= 1 AND iz < 3) AS low FROM occ
- GROUP BY room, ix, iy""")
+_colour = ", ".join(f"CAST(coalesce(floor(avg({c}) FILTER ({test})), 0) AS BIGINT) AS {k}_{c}" for k, test in (("floor", "abs(z) <= 0.04"), ("mid", "z BETWEEN 0.3 AND 2.0")) for c in "rgb")
+
+
+@query(f"""WITH {A.PTS} SELECT room, CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor(y / 0.5) AS BIGINT) AS iy, {_colour},
+ least(count(*) FILTER (abs(z) <= 0.04), 65535) AS floor_n, least(count(*) FILTER (z BETWEEN 0.3 AND 2.0), 65535) AS mid_n FROM pts GROUP BY 1, 2, 3""")
+def column_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = P.column_colours(A.points(spark, sf_dir), 0.5, "room")
+    return c.withColumns({n: F.col(n).cast("long") for n in ("floor_n", "mid_n")})
+
+
+@query(f"""WITH {OCC}, z AS (SELECT *, -0.1 + (iz + 0.5) * 0.25 AS mid FROM occ), b AS (SELECT *, n >= 2 AND mid >= 0.12 AND mid <= 2.6 AS band FROM z)
+SELECT room, ix, iy, CAST(round(coalesce(max(mid + 0.125) FILTER (band), 0), 6) AS DOUBLE) AS top, bool_or(band) AS "any", bool_or(band AND mid <= 1.0) AS low,
+ coalesce(sum(n) FILTER (abs(mid) <= 0.05), 0) >= 2 AS floor FROM b GROUP BY room, ix, iy""")
 def column_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.column_top(P.occupancy(A.points(spark, sf_dir), 0.5, "room", F.col("z") <= 1, F.col("z") > 1), "room", 9, 1)
+    return P.column_top(P.occupancy(A.points(spark, sf_dir), 0.5, "room", 0.25, -0.1), "room", 0.25, -0.1).withColumn("top", F.round("top", 6))
 
 
 @query(f"""WITH {A.PTS}, g AS (SELECT room, CAST(floor(x) AS BIGINT) AS px, CAST(floor(y) AS BIGINT) AS py, z, pid FROM pts),
@@ -164,6 +173,14 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.floor(F.col("l_suppkey") / 10).alias("room"), P.cell(F.col("l_quantity") / 4, 0.25).alias("ix"), P.cell(F.col("l_extendedprice") / 5000, 0.25).alias("iy")).distinct()
 
 
+GRID = "gr AS (SELECT room, min(ix) AS ix0, max(ix) AS ix1, min(iy) AS iy0, max(iy) AS iy1 FROM c GROUP BY room)"
+
+
+def grid(mask: DataFrame) -> DataFrame:
+    """The cells that a room's grid has: those between its outermost."""
+    return mask.groupBy("room").agg(F.min("ix").alias("ix0"), F.max("ix").alias("ix1"), F.min("iy").alias("iy0"), F.max("iy").alias("iy1"))
+
+
 MASK = """c AS (SELECT DISTINCT CAST(l_suppkey // 10 AS BIGINT) AS room, CAST(floor(l_quantity / 4 / 0.25) AS BIGINT) AS ix,
  CAST(floor(l_extendedprice / 5000 / 0.25) AS BIGINT) AS iy FROM lineitem)"""
 #: Components of four neighbours of the cells ``n`` (room, ix, iy): the smallest cell, as one number, that each reaches.
@@ -207,31 +224,34 @@ def filled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.filled(mask(spark, sf_dir), "room", C.components)
 
 
-@query(f"""WITH {MASK}, f AS (SELECT s_suppkey // 10 AS room, s_suppkey AS point, CAST(floor((s_suppkey % 12) / 0.25) AS BIGINT) AS cx,
+@query(f"""WITH {MASK}, {GRID}, f AS (SELECT s_suppkey // 10 AS room, s_suppkey AS point, CAST(floor((s_suppkey % 12) / 0.25) AS BIGINT) AS cx,
  CAST(floor((s_suppkey % 19) / 0.25) AS BIGINT) AS cy FROM supplier),
-o AS (SELECT a.i, b.j FROM (SELECT unnest(range(-4, 5)) AS i) a, (SELECT unnest(range(-4, 5)) AS j) b WHERE (i * 0.25) ** 2 + (j * 0.25) ** 2 <= 1),
- k AS (SELECT room, point, cx + i AS ix, cy + j AS iy FROM f, o)
+o AS (SELECT a.i, b.j FROM (SELECT unnest(range(-4, 5)) AS i) a, (SELECT unnest(range(-4, 5)) AS j) b WHERE i * i + j * j <= 16),
+w AS (SELECT f.room, point, least(greatest(cx, ix0), ix1) AS nx, least(greatest(cy, iy0), iy1) AS ny, cx - 4 >= ix0 AND cx + 4 <= ix1 AND cy - 4 >= iy0 AND cy + 4 <= iy1 AS whole
+ FROM f JOIN gr ON gr.room = f.room),
+ k AS (SELECT room, point, nx + i AS ix, ny + j AS iy FROM w, o WHERE whole UNION ALL SELECT room, point, nx, ny FROM w WHERE NOT whole)
 SELECT point, round(avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share, avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END) > 0.5 AS blocked
  FROM k LEFT JOIN c ON k.room = c.room AND k.ix = c.ix AND k.iy = c.iy GROUP BY point""")
 def disc_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     c = table(spark, sf_dir, "supplier").select(F.floor(k / 10).alias("room"), k.alias("point"), (k % 12).cast("double").alias("x"), (k % 19).cast("double").alias("y"))
-    return P.disc_share(c, mask(spark, sf_dir), 1.0, 0.25, "room").select("point", F.round("share", 6).alias("share"), "blocked")
+    return P.disc_share(c, mask(spark, sf_dir), grid(mask(spark, sf_dir)), 1.0, 0.25, "room").select("point", F.round("share", 6).alias("share"), "blocked")
 
 
-@query(f"""WITH {MASK}, d AS (SELECT s_suppkey AS device, s_suppkey // 10 AS room, CAST(s_suppkey % 11 AS DOUBLE) + 0.4 AS x,
+@query(f"""WITH {MASK}, {GRID}, d AS (SELECT s_suppkey AS device, s_suppkey // 10 AS room, CAST(s_suppkey % 11 AS DOUBLE) + 0.4 AS x,
  CAST(s_suppkey % 17 AS DOUBLE) + 0.3 AS y FROM supplier),
 s AS (SELECT *, unnest(['+x', '-x', '+y', '-y']) AS side, unnest([0, 1, 2, 3]) AS k, unnest([0.15, -1.0, -0.3, -0.3]) AS a, unnest([1.0, -0.15, 0.3,
  0.3]) AS b, unnest([-0.3, -0.3, 0.15, -1.0]) AS p, unnest([0.3, 0.3, 1.0, -0.15]) AS q FROM d),
-g AS (SELECT *, unnest(range(CAST(floor((x + a) / 0.25 + 1e-6) AS BIGINT), CAST(ceil((x + b) / 0.25 - 1e-6) AS BIGINT))) AS ix FROM s),
- w AS (SELECT *, unnest(range(CAST(floor((y + p) / 0.25 + 1e-6) AS BIGINT), CAST(ceil((y + q) / 0.25 - 1e-6) AS BIGINT))) AS iy FROM g),
+g AS (SELECT s.*, iy0, iy1, unnest(range(greatest(ix0, CAST(floor((x + a) / 0.25 + 1e-6) AS BIGINT)), least(ix1 + 1, CAST(ceil((x + b) / 0.25 - 1e-6) AS BIGINT)))) AS ix FROM s JOIN gr USING (room)),
+ w0 AS (SELECT *, unnest(range(greatest(iy0, CAST(floor((y + p) / 0.25 + 1e-6) AS BIGINT)), least(iy1 + 1, CAST(ceil((y + q) / 0.25 - 1e-6) AS BIGINT)))) AS iy FROM g),
+ w AS (SELECT s.room, s.device, s.side, s.k, w0.ix, w0.iy FROM s LEFT JOIN w0 ON w0.device = s.device AND w0.side = s.side),
 h AS (SELECT device, side, k, avg(CASE WHEN c.ix IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM w LEFT
  JOIN c ON c.room = w.room AND c.ix = w.ix AND c.iy = w.iy GROUP BY 1, 2, 3)
 SELECT device, arg_max(side, (share, -k)) AS side, round(max(share), 6) AS share FROM h GROUP BY device""")
 def facing_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     d = table(spark, sf_dir, "supplier").select(k.alias("device"), F.floor(k / 10).alias("room"), ((k % 11).cast("double") + 0.4).alias("x"), ((k % 17).cast("double") + 0.3).alias("y"))
-    return P.facing(d, mask(spark, sf_dir), "room", 0.25).select("device", "side", F.round("share", 6).alias("share"))
+    return P.facing(d, mask(spark, sf_dir), grid(mask(spark, sf_dir)), "room", 0.25).select("device", "side", F.round("share", 6).alias("share"))
 
 
 @query(f"""WITH {MASK}, d AS (SELECT * FROM c WHERE ix % 2 = 0), e AS (SELECT * FROM c WHERE iy % 2 = 0) SELECT 'and' AS op, count(*) AS n FROM (SELECT *
@@ -379,6 +399,63 @@ def wall_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.walls(mask(spark, sf_dir), "room", 6)
 
 
+def outlines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sides of the rooms, the boxes around their cells; columns as high as walls; bounds, of every third room at its top."""
+    m = mask(spark, sf_dir)
+    e = grid(m).select("room", *((F.col(f"i{c}{n}") * 0.25 + (0.25 if n else 0.0)).alias(f"{c}{n}") for c in "xy" for n in (0, 1)))
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    rings = e.select("room", F.lit(0).alias("ring"), F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("points"))
+    b = e.select("room", (F.col("x0") - 1).alias("x0"), (F.col("x1") + 1).alias("x1"), (F.col("y0") - 1).alias("y0"), (F.col("y1") + F.when(F.col("room") % 3 == 0, 0.05).otherwise(1.0)).alias("y1"))
+    return Y.sides_of(rings, "room"), m.where("ix % 13 > 5 and iy % 17 > 8 or (ix + iy) % 23 = 0"), b
+
+
+SIDES = f"""{MASK}, {GRID}, gx AS (SELECT room, ix0 * 0.25 AS x0, ix1 * 0.25 + 0.25 AS x1, iy0 * 0.25 AS y0, iy1 * 0.25 + 0.25 AS y1 FROM gr),
+sd AS (SELECT room, 0 AS side, true AS flat, y0 AS pos, x0 AS lo, x1 AS hi, 1 AS inward, false AS cut FROM gx UNION ALL SELECT room, 1, false, x1, y0, y1, -1, false FROM gx
+ UNION ALL SELECT room, 2, true, y1, x0, x1, -1, room % 3 = 0 FROM gx UNION ALL SELECT room, 3, false, x0, y0, y1, 1, false FROM gx),
+sn AS (SELECT *, CAST(ceil((hi - lo) / 0.25 - 1e-9) AS BIGINT) AS n, least(pos - inward * 0.15, pos + inward * 0.4) AS n0, greatest(pos - inward * 0.15, pos + inward * 0.4) AS n1 FROM sd),
+tall AS (SELECT * FROM c WHERE ix % 13 > 5 AND iy % 17 > 8 OR (ix + iy) % 23 = 0),
+hit AS (SELECT DISTINCT s.room, side, n, CAST((CASE WHEN flat THEN t.ix ELSE t.iy END) - round(lo / 0.25) AS BIGINT) AS k FROM sn s JOIN tall t ON t.room = s.room AND NOT cut
+ AND CASE WHEN flat THEN t.iy ELSE t.ix END BETWEEN floor(n0 / 0.25 + 1e-6) AND ceil(n1 / 0.25 - 1e-6) - 1 WHERE CASE WHEN flat THEN t.ix ELSE t.iy END BETWEEN round(lo / 0.25) AND round(hi / 0.25) - 1),
+al AS (SELECT * FROM hit UNION ALL SELECT room, side, n, -1 FROM sn WHERE NOT cut UNION ALL SELECT room, side, n, n FROM sn WHERE NOT cut),
+nw AS (SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY room, side ORDER BY k) > 4 THEN 1 ELSE 0 END AS fresh FROM al),
+rn AS (SELECT *, sum(fresh) OVER (PARTITION BY room, side ORDER BY k) AS run FROM nw),
+wl AS (SELECT room, side, greatest(min(k), 0) AS a, least(max(k), any_value(n) - 1) + 1 AS b FROM rn GROUP BY room, side, run HAVING least(max(k), any_value(n) - 1) + 1 - greatest(min(k), 0) >= 2),
+op AS (SELECT room, side, coalesce(lag(b) OVER v, 0) AS a, a AS b FROM wl WINDOW v AS (PARTITION BY room, side ORDER BY a)
+ UNION ALL SELECT s.room, s.side, coalesce(max(w.b), 0), s.n FROM sn s LEFT JOIN wl w ON w.room = s.room AND w.side = s.side GROUP BY s.room, s.side, s.n),
+iv AS (SELECT room, side, true AS wall, a, b FROM wl UNION ALL SELECT room, side, false, a, b FROM op WHERE a < b)"""
+
+
+@query(f"""WITH {SIDES} SELECT iv.room, CAST(iv.side AS INTEGER) AS side, wall, CAST(round(CASE WHEN a = 0 THEN lo - CASE WHEN cut THEN 0.17 ELSE 0 END ELSE lo + a * 0.25 END, 6) AS DOUBLE) AS s0,
+ CAST(round(CASE WHEN b = n THEN hi + CASE WHEN cut THEN 0.17 ELSE 0 END ELSE lo + b * 0.25 END, 6) AS DOUBLE) AS s1 FROM iv JOIN sn ON sn.room = iv.room AND sn.side = iv.side""")
+def wall_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the sides of the rooms' boxes have walls, and their openings."""
+    i = Y.wall_intervals(*outlines(spark, sf_dir), "room", 0.25)
+    return i.select("room", "side", "wall", F.round("s0", 6).alias("s0"), F.round("s1", 6).alias("s1"))
+
+
+@query()
+def wall_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walls of the rooms' boxes, without their openings, as polygons; tests have known rooms."""
+    sides, tall, bounds = outlines(spark, sf_dir)
+    p = Y.wall_polygons(sides, Y.wall_intervals(sides, tall, bounds, "room", 0.25), "room")
+    return p.select("room", "polygon", F.size("points").alias("corners"), F.size("holes").alias("holes"), F.round("area", 6).alias("area"))
+
+
+@query()
+def room_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of the opened mask with their holes."""
+    p = Y.polygons(P.opened(mask(spark, sf_dir), "room", P.CROSS), "room", 0.25, least_edge=0.3, step=0.05, least_area=0.02)
+    return p.select("room", "polygon", F.size("points").alias("corners"), F.size("holes").alias("holes"), F.round("area", 4).alias("area"))
+
+
+@query()
+def equipment_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the opened mask's components, with heights by the columns' tops, against the sides of the rooms' boxes."""
+    sides, _, _ = outlines(spark, sf_dir)
+    cells = P.opened(mask(spark, sf_dir), "room", P.CROSS).withColumn("height", F.when((F.col("ix") + F.col("iy")) % 5 != 0, F.lit(0.3) + F.col("iy") % 7 * 0.3))
+    return Y.boxes(cells, "room", 0.25, C.components, sides)
+
+
 @query("""WITH r AS (SELECT c_custkey AS id, CAST(c_custkey % 10 AS DOUBLE) AS a, CAST(c_custkey % 7 AS DOUBLE) AS b, c_custkey % 5 AS odd FROM customer)
  SELECT id, odd > 1 AND b <> 0 AS rect, CASE WHEN odd > 1 AND b <> 0 THEN a + 1 END AS xb FROM r""")
 def rectangle_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,12 +483,12 @@ def partition_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.partitions(P.opened(mask(spark, sf_dir), "room", P.CROSS), "room", 0.25, thickest=1.0)
 
 
-@query(f"""WITH RECURSIVE {MASK}, n AS (SELECT * FROM c WHERE (ix + iy) % 3 > 0), {JOINED},
+@query(f"""WITH RECURSIVE {MASK}, n AS (SELECT * FROM c), {JOINED},
  z AS (SELECT room, root, count(*) AS m, count(*) FILTER (iy % 4 = 0) AS low FROM k GROUP BY room, root)
 SELECT k.room, k.ix, k.iy FROM k JOIN z ON k.room = z.room AND k.root = z.root WHERE m * 0.0625 >= 0.5 AND low >= 2 AND low >= 0.2 * m""")
 def supported_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of a thinned mask that are large enough and stand on enough cells."""
-    m = mask(spark, sf_dir).where("(ix + iy) % 3 > 0")
+    """Components of the mask that are large enough and stand on enough cells."""
+    m = mask(spark, sf_dir)
     return P.kept_components(m, "room", C.components, 0.5, 0.25, support=m.where("iy % 4 = 0"), least_support=2, least_share=0.2)
 
 
@@ -500,7 +577,20 @@ def cell_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cell_window(b, 0.5, -1.0, 10.0, 40, 20).select("id", "c0", "c1", "r0", "r1")
 
 
-@query(f"""WITH RECURSIVE {EMPTY} SELECT room, ix, iy FROM h""")
+#: Nine cells of a square, and a square's opening and closing of cells ``z``.
+_nine = f"nine AS (SELECT a.i AS i, b.i AS j FROM {_sq} a, {_sq} b)"
+_opened = """e1 AS (SELECT room, ix - i AS ix, iy - j AS iy FROM z, nine GROUP BY 1, 2, 3 HAVING count(*) = 9), d1 AS (SELECT DISTINCT room, ix + i AS ix, iy + j AS iy FROM e1, nine),
+ d2 AS (SELECT DISTINCT room, ix + i AS ix, iy + j AS iy FROM d1, nine), e2 AS (SELECT room, ix - i AS ix, iy - j AS iy FROM d2, nine GROUP BY 1, 2, 3 HAVING count(*) = 9)"""
+
+
+@query(f"""WITH RECURSIVE {MASK}, {GRID}, {_nine}, box AS (SELECT room, ix, unnest(range(iy0, iy1 + 1)) AS iy FROM (SELECT *, unnest(range(ix0, ix1 + 1)) AS ix FROM gr)),
+f AS (SELECT * FROM c WHERE ix % 16 < 5 AND iy % 20 < 7), cr AS (SELECT unnest([0, 1, -1, 0, 0]) AS i, unnest([0, 0, 0, 1, -1]) AS j),
+s1 AS (SELECT DISTINCT room, ix + i AS ix, iy + j AS iy FROM f, cr), s2 AS (SELECT DISTINCT room, ix + i AS ix, iy + j AS iy FROM s1, cr),
+z AS (SELECT * FROM box EXCEPT SELECT * FROM s2 EXCEPT SELECT * FROM c WHERE ix % 16 IN (9, 10) OR iy % 20 = 12), {_opened}, n AS (SELECT * FROM e2 INTERSECT SELECT * FROM box), {JOINED},
+y AS (SELECT room, root FROM k GROUP BY room, root HAVING count(*) * 0.0625 >= 1.5) SELECT k.room, ix, iy FROM k JOIN y ON k.room = y.room AND k.root = y.root""")
 def unseen_pockets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enclosed cells that the mask lacks; the holes of the flood-fill test."""
-    return P.pockets(mask(spark, sf_dir), "room", C.components)
+    """Floor that no scan has seen: the rooms' grids without what lies by some of the mask's cells (measured floor) and
+    without others (solids), as squares of three cells fit, in places of one and a half square metres."""
+    m = mask(spark, sf_dir)
+    box = grid(m).select("room", F.explode(F.sequence("ix0", "ix1")).alias("ix"), "iy0", "iy1").select("room", "ix", F.explode(F.sequence("iy0", "iy1")).alias("iy"))
+    return P.unscanned(box, m.where("ix % 16 < 5 and iy % 20 < 7"), m.where("ix % 16 in (9, 10) or iy % 20 = 12"), "room", C.components, 0.25, side=0.75, least_area=1.5)

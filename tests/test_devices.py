@@ -364,10 +364,24 @@ def test_headers_pair_with_points(spark):
 
 
 def test_device_aggregate(spark):
-    f = "device long, id string, scan long, type string, x double, y double, z double, hit boolean, auto boolean, conf double, cam double"
-    rows = [(1, "d10", 2, "t", 0.0, 0.0, 0.0, True, False, 0.5, 3.0), (1, "d9", 1, "u", 2.0, 0.0, 0.0, True, True, 0.9, 2.0), (1, "d2", 1, "u", 99.0, 0.0, 0.0, False, False, 0.9, 1.0)]
+    f = "device long, ord long, id string, scan long, type string, x double, y double, z double, hit boolean, auto boolean, conf double, sx double, sy double, sz double"
+    rows = [(1, 0, "d10", 2, "t", 0.0, 0.0, 0.0, True, False, 0.5, 1.0, 0.0, 0.0), (1, 1, "d9", 1, "u", 2.0, 0.0, 0.0, True, True, 0.9, 4.0, 0.0, 0.0), (1, 2, "d2", 1, "u", 99.0, 0.0, 0.0, False, False, 0.9, 3.0, 0.0, 0.0)]
     r = C.device_aggregate(spark.createDataFrame(rows, f), "device").first()
     assert (r.x, r.spread, r.status, r.ids, r.scans, r.best, r.type) == (1.0, 1.0, "auto", ["d2", "d9", "d10"], [1, 2], "d2", "u")
+    # all alike: the first stands; a scan without a place is the farthest
+    same = [(2, k, i, 1, "t", 0.0, 0.0, 0.0, True, True, 0.9, 1.0, 0.0, 0.0) for k, i in enumerate(("d5", "d7", "d6"))] + [(3, 0, "a", 1, "t", 0.0, 0.0, 0.0, True, True, 0.9, None, None, None), (3, 1, "b", 1, "t", 0.0, 0.0, 0.0, True, True, 0.9, 50.0, 0.0, 0.0)]
+    assert {r.device: r.best for r in C.device_aggregate(spark.createDataFrame(same, f), "device").collect()} == {2: "d5", 3: "b"}
+
+
+def test_numbers_follow_the_order_of_letters(spark):
+    d = spark.createDataFrame([("d1", "Zulu", "auto"), ("d2", "alpha", "auto"), ("d3", "Ärla", "auto"), ("d4", "Beta", "auto"), ("d5", None, "review"), ("D6", None, "auto"), ("d7", None, "auto"), ("c9", None, "auto")], "device string, location string, status string").withColumn("floor", F.lit(1))
+    assert [r.device for r in V.numbering(d, "floor").orderBy("number").collect()] == ["d2", "d3", "d4", "d1", "c9", "D6", "d7", "d5"]
+
+
+def test_cross_report(spark):
+    rows = [(1, True, "ray", 0.1), (2, True, "triangulation", None), (3, False, "ray", 0.5), (4, True, "ray", None)]
+    r = C.cross_report(spark.createDataFrame(rows, "id long, auto boolean, method string, dist double")).first()
+    assert (r.detections, r.hits, round(r.auto_rate, 4), r.fallback, r.median_dist, r.max_dist) == (4, 3, 0.6667, 1, 0.3, 0.5)
 
 
 def test_triage_edges(spark):

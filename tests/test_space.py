@@ -72,7 +72,6 @@ def test_components_and_holes_of_a_grid(grid):
     empty = {(x, y) for x in range(-1, 15) for y in range(-1, 12)} - cells
     holes = {c for comp in flood(empty, FOUR) if (-1, -1) not in comp for c in comp}
     assert {(v.ix, v.iy) for v in P.filled(df, "room", C.components).collect()} == cells | holes
-    assert {(v.ix, v.iy) for v in P.pockets(df, "room", C.components).collect()} == holes
 
 
 def test_morphology(grid):
@@ -231,9 +230,139 @@ def test_a_partition_of_a_room(spark):
 
 def test_devices_face_the_floor(spark):
     floor = [(0, x, y) for x in range(20, 40) for y in range(0, 20)]
-    d = spark.createDataFrame([(0, 1, 1.9, 1.0), (0, 2, 3.0, 2.1), (0, 3, 9.0, 9.0)], "site long, device long, x double, y double")
-    got = {r.device: (r.side, r.share) for r in P.facing(d, spark.createDataFrame(floor, "site long, ix long, iy long"), "site", 0.1).collect()}
-    assert got[1][0] == "+x" and got[2][0] == "-y" and got[3] == ("+x", 0.0)
+    d = spark.createDataFrame([(0, 1, 1.9, 1.0), (0, 2, 3.0, 2.1), (0, 3, 9.0, 9.0), (1, 4, 0.0, 0.0)], "site long, device long, x double, y double")
+    grid = spark.createDataFrame([(0, 0, 99, 0, 99)], "site long, ix0 long, ix1 long, iy0 long, iy1 long")
+    got = {r.device: (r.side, r.share) for r in P.facing(d, spark.createDataFrame(floor, "site long, ix long, iy long"), grid, "site", 0.1).collect()}
+    assert got[1][0] == "+x" and got[2][0] == "-y" and got[3] == ("+x", 0.0) and got[4] == ("+x", 0.0)  # the last site has no grid
+
+
+def test_windows_end_at_the_grid(spark):
+    """A window that the grid cuts to a strip of floor is all floor; beyond the grid there is nothing to count."""
+    floor = spark.createDataFrame([(0, x, 0) for x in range(10)] + [(0, 0, y) for y in range(6)], "site long, ix long, iy long")
+    grid = spark.createDataFrame([(0, 0, 9, 0, 9)], "site long, ix0 long, ix1 long, iy0 long, iy1 long")
+    d = spark.createDataFrame([(0, 1, 0.5, 0.24)], "site long, device long, x double, y double")
+    r = P.facing(d, floor, grid, "site", 0.1).first()
+    assert (r.side, r.share) == ("-y", 1.0)
+    c = spark.createDataFrame([(0, 1, 0.55, 0.02), (0, 2, 0.55, 0.55), (0, 3, 4.0, -3.0)], "site long, point long, x double, y double")
+    got = {r.point: (r.share, r.blocked) for r in P.disc_share(c, floor, grid, 0.2, 0.1, "site").collect()}
+    assert got == {1: (1.0, True), 2: (0.0, False), 3: (1.0, True)}  # the disc leaves the grid: its centre alone, or the nearest cell
+
+
+def test_columns_as_they_stand(spark):
+    """Bins of 5 cm from 10 cm below the floor: the floor's own bins are no solid, what hangs above the cut neither."""
+    occ = [(0, 0, 0, 1, 9), (0, 0, 0, 2, 9),  # floor alone: middles at -0.025 and 0.025
+           (0, 1, 0, 4, 9),  # 0.125: a solid's lowest bin
+           (0, 2, 0, 22, 9), (0, 2, 0, 21, 1),  # 1.025: not low; one point is too few
+           (0, 3, 0, 54, 9), (0, 3, 0, 53, 2),  # 2.625 lies above the cut, 2.575 does not
+           (0, 4, 0, 3, 9)]  # 0.075: neither floor nor solid
+    df = spark.createDataFrame(occ, "room long, ix long, iy long, iz long, n long")
+    got = {r.ix: (round(r.top, 6), r["any"], r.low, r.floor) for r in P.column_top(df, "room", 0.05, -0.1).collect()}
+    assert got == {0: (0.0, False, False, True), 1: (0.15, True, True, False), 2: (1.05, True, False, False), 3: (2.6, True, False, False), 4: (0.0, False, False, False)}
+
+
+def test_colours_are_of_columns(spark):
+    rows = [(0, 0.1, 0.1, 0.0, 10, 20, 30), (0, 0.2, 0.2, 0.04, 11, 21, 33), (0, 0.2, 0.2, 0.05, 99, 99, 99), (0, 0.1, 0.1, 1.0, 200, 100, 0), (0, 0.1, 0.1, 1.9, 0, 0, 0), (0, 0.1, 0.1, 2.1, 9, 9, 9), (0, 3.0, 0.0, 5.0, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "room long, x double, y double, z double, r int, g int, b int")
+    got = {r.ix: r for r in P.column_colours(df, 1.0, "room").collect()}
+    names = [f"{k}_{c}" for k in ("floor", "mid") for c in "rgbn"]
+    assert [got[0][c] for c in names] == [10, 20, 31, 2, 100, 50, 0, 2] and [got[3][c] for c in names] == [0] * 8
+
+
+def test_unscanned_floor_against_a_loop(spark):
+    rng = random.Random(5)
+    room = {(x, y) for x in range(30) for y in range(24)} - {(x, y) for x in range(25, 30) for y in range(18, 24)}
+    floor = {(x, y) for x, y in room if x < 12 and rng.random() < 0.5}
+    covered = {(x, y) for x, y in room if y in (10, 11) and x > 14 or (x, y) == (22, 4)}
+
+    def grown(cells, steps, offsets):
+        for _ in range(steps):
+            cells = {(x + i, y + j) for x, y in cells for i, j in offsets}
+        return cells
+
+    cross, box = [(0, 0), *FOUR], [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    eroded = lambda cells: {(x, y) for x, y in cells if all((x + i, y + j) in cells for i, j in box)}
+    left = room - grown(floor, 2, cross) - covered
+    left = grown(eroded(left), 1, box)
+    wide = grown(left, 1, box)
+    left = {(x, y) for x, y in wide if all((x + i, y + j) in wide for i, j in box)} & room
+    want = {c for comp in flood(left, FOUR) if len(comp) * 0.01 >= 0.4 for c in comp}
+    df = lambda cells: spark.createDataFrame([(0, *c) for c in cells], "room long, ix long, iy long")
+    got = {(r.ix, r.iy) for r in P.unscanned(df(room), df(floor), df(covered), "room", C.components, 0.1, side=0.3).collect()}
+    assert got == want and want
+    for side in (1, 2, 5, 8):
+        half = (max(side, 1) | 1) // 2
+        sq = [(i, j) for i in range(-half, half + 1) for j in range(-half, half + 1)]
+        shrunk = {(x, y) for x, y in room if all((x + i, y + j) in room for i, j in sq)}
+        assert {(r.ix, r.iy) for r in P.square(df(room), "room", side, True).collect()} == grown(shrunk, 1, sq)
+
+
+SHIPPED = [[-1.85, 4.0], [-9.1, 4.0], [-9.1, -7.15], [-1.85, -7.15]]  # facts of the shipped layout: its floor, bounds and wall
+SHIPPED_BOUNDS = (-9.331, 0.285, -7.411, 4.038)
+SHIPPED_WALL = {(-9.1, -7.15), (-9.1, 4.0), (-9.25, 4.0), (-9.25, -7.3), (-1.7, -7.3), (-1.7, 4.0), (-1.85, 4.0), (-1.85, -7.15)}
+
+
+def room_of(spark, ring, bounds, size, missing=lambda x, y: False):
+    sides = Y.sides_of(spark.createDataFrame([(0, 0, ring)], "room long, ring long, points array<array<double>>"), "room")
+    (x0, y0), (x1, y1) = np.min(ring, 0), np.max(ring, 0)
+    cells = [(0, int(x), int(y)) for x in range(int(np.floor(x0 / size)) - 3, int(x1 / size) + 4) for y in range(int(np.floor(y0 / size)) - 3, int(y1 / size) + 4) if not missing((x + 0.5) * size, (y + 0.5) * size)]
+    tall = spark.createDataFrame(cells, "room long, ix long, iy long")
+    b = spark.createDataFrame([(0, *bounds)], "room long, x0 double, x1 double, y0 double, y1 double")
+    return sides, Y.wall_intervals(sides, tall, b, "room", size)
+
+
+def test_the_shipped_room_is_open_where_the_scan_ends(spark):
+    sides, intervals = room_of(spark, SHIPPED, SHIPPED_BOUNDS, 0.04)
+    assert sorted((r.side, r.inward) for r in sides.collect()) == [(0, -1), (1, 1), (2, 1), (3, -1)]
+    assert sorted((r.side, r.wall) for r in intervals.collect()) == [(0, False), (1, True), (2, True), (3, True)]
+    walls = Y.wall_polygons(sides, intervals, "room").collect()
+    assert len(walls) == 1 and walls[0].holes == [] and len(walls[0].points) == 8 and {tuple(p) for p in walls[0].points} == SHIPPED_WALL
+
+
+def test_openings_partitions_and_rows(spark):
+    """A door of 1.2 m is open, a gap of 0.6 m is not; 0.4 m of wall between openings is none; a corner turns inwards."""
+    ring = [[0.0, 0.0], [10.0, 0.0], [10.0, 6.0], [4.0, 6.0], [4.0, 8.0], [0.0, 8.0]]
+    missing = lambda x, y: y < 1 and (2 < x < 3.2 or 5 < x < 5.6 or 7 < x < 8.2 or 8.6 < x < 9.6)
+    sides, intervals = room_of(spark, ring, (-5.0, 15.0, -5.0, 15.0), 0.1, missing)
+    got = sorted((r.wall, round(r.s0, 3), round(r.s1, 3)) for r in intervals.where("side = 0").collect())
+    assert got == [(False, 2.0, 3.2), (False, 7.0, 10.0), (True, 0.0, 2.0), (True, 3.2, 7.0)]
+    walls = Y.wall_polygons(sides, intervals, "room").collect()
+    total = sum(abs(Y.area_of(np.array(w.points))) - sum(abs(Y.area_of(np.array(h))) for h in w.holes) for w in walls)
+    # perimeter and five outer corners less the inner one's, less the openings
+    assert total == pytest.approx(0.15 * (36 - 1.2 - 3.0) + (5 - 1) * 0.15**2, abs=0.02) and len(walls) == 2
+    shape = "room long, x0 double, x1 double, y0 double, y1 double"
+    inner, row = spark.createDataFrame([(0, 5.0, 5.15, 1.0, 4.0)], shape), spark.createDataFrame([(0, -0.15, 0.0, 2.0, 3.0)], shape)
+    more = Y.wall_polygons(sides, intervals, "room", inner, row).collect()
+    assert len(more) == 4 and round(sum(w.area for w in more) - sum(w.area for w in walls), 3) == round(0.15 * 3 - 0.15, 3)
+    closed = Y.wall_polygons(sides, intervals.where("false"), "room").collect()
+    assert len(closed) == 1 and len(closed[0].holes) == 1
+
+
+def test_polygons_have_their_holes(spark):
+    """Two frames, one within the hole of the other, and a block; sides lie a quarter of a cell within."""
+    frame = lambda a, b: {(x, y) for x in range(a, b) for y in range(a, b)} - {(x, y) for x in range(a + 2, b - 2) for y in range(a + 2, b - 2)}
+    cells = frame(0, 20) | frame(6, 14) | {(x, y) for x in range(30, 34) for y in range(3)}
+    df = spark.createDataFrame([(0, *c) for c in cells], "room long, ix long, iy long")
+    got = Y.polygons(df, "room", size=1.0).collect()
+    boxes = [(min(p[0] for p in r.points), max(p[0] for p in r.points), [(min(p[0] for p in h), max(p[0] for p in h)) for h in r.holes]) for r in got]
+    assert boxes == [(0.25, 19.75, [(1.75, 18.25)]), (6.25, 13.75, [(7.75, 12.25)]), (30.25, 33.75, [])]
+    assert [r.area for r in got] == [19.5**2 - 16.5**2, 7.5**2 - 4.5**2, 3.5 * 2.5]
+    assert [len(r.holes) for r in Y.polygons(df, "room", size=1.0, least_area=25.0).collect()] == [1, 0]
+
+
+def test_boxes_of_components(spark):
+    size = 0.05
+    block = [(x, y, 0.9) for x in range(40, 60) for y in range(10, 22)]
+    low = [(x, y, 0.35 if (x + y) % 4 else 2.0) for x in range(2, 12) for y in range(30, 42)]  # a fourth of its cells lies higher: three quarters do not
+    tee = [(x, y, 1.5) for x in range(80, 110) for y in range(10, 20)] + [(x, y, 1.5) for x in range(90, 100) for y in range(20, 30)]
+    thin = [(x, 60, 1.0) for x in range(0, 90)]
+    none = [(x, y, None) for x in range(120, 130) for y in range(50, 60)]
+    df = spark.createDataFrame([(0, *c) for c in block + low + tee + thin + none], "room long, ix long, iy long, height double")
+    got = sorted((round(r.xa, 2), round(r.xb, 2), round(r.ya, 2), round(r.yb, 2), r.kind, round(r.height, 2)) for r in Y.boxes(df, "room", size, C.components).collect())
+    assert got == [(0.1, 0.6, 1.5, 2.1, "low", 0.75)[:4] + got[0][4:], (2.0, 3.0, 0.5, 1.1, "equipment", 0.9), (4.0, 5.5, 0.5, 1.0, "equipment", 1.5), (4.5, 5.0, 1.0, 1.5, "equipment", 1.5)]
+    assert got[0][5] == round(round(float(np.percentile([h for *_, h in low], 75)) / 0.05) * 0.05, 3)
+    sides = Y.sides_of(spark.createDataFrame([(0, 0, [[0.0, 0.4], [3.1, 0.4], [3.1, 9.0], [0.0, 9.0]])], "room long, ring long, points array<array<double>>"), "room")
+    moved = {(round(r.xa, 2), round(r.xb, 2), round(r.ya, 2), round(r.yb, 2)) for r in Y.boxes(df, "room", size, C.components, sides).collect()}
+    assert (2.0, 3.1, 0.4, 1.1) in moved and (0.0, 0.6, 1.5, 2.1) in moved and (4.0, 5.5, 0.5, 1.0) in moved
 
 
 def test_shift_is_found(spark, sf):
@@ -348,15 +477,46 @@ def test_plan_bounds_and_lines(spark):
     assert lines == {("x", 0): round(1 / 0.023, 3), ("x", 10): round(11 / 0.023, 3), ("x", 20): round(21 / 0.023, 3), ("y", 0): round(5 / 0.023, 3)}
 
 
+@pytest.mark.parametrize("wide", [72, 360, 1000])
+def test_a_peak_stands_out_on_fine_bins_too(wide):
+    """Edges a degree wide, so that neighbouring bins are alike; a mirrored picture fits less."""
+    rng = np.random.default_rng(4)
+    fine = rng.random((5, 361))
+    fine[:, -1] = fine[:, 0]
+    a = np.stack([np.interp(np.arange(wide) / wide * 360, np.arange(361), row) for row in fine])
+    b = np.roll(a, 2, 1) + 0.001 * rng.random((5, wide))
+    shift, peak, ratio = Y.correlate(a, b)
+    assert abs(shift - 2) < 0.5 and peak > 0.99 and ratio > 1.1
+    assert Y.correlate(a[:, ::-1], b)[1] < 0.9 * peak
+
+
 def test_renderings_that_line_up(spark):
     rng = np.random.default_rng(3)
-    a, rows = rng.random(720), rng.random(360)
-    turned = lambda v, k: np.roll(v, k).tolist()
-    cases = [(1, a.tolist(), turned(a, 0), a[::-1].tolist(), rows.tolist(), turned(rows, 0)), (2, a.tolist(), turned(a, 5), a[::-1].tolist(), rows.tolist(), turned(rows, 0)),
-             (3, a[::-1].tolist(), turned(a, 0), a.tolist(), rows.tolist(), turned(rows, 0)), (4, a.tolist(), turned(a, 0), a[::-1].tolist(), rows.tolist(), turned(rows, -4))]
-    df = spark.createDataFrame(cases, "scan long, render array<double>, photo array<double>, mirror array<double>, render_rows array<double>, photo_rows array<double>")
+    a = rng.random((90, 360))
+    a = sum(np.roll(np.roll(a, i, 0), j, 1) for i in range(-2, 3) for j in range(-1, 2)) / 15
+    full = a.copy()
+    a[:6] = np.nan  # not rendered
+    down = np.concatenate([rng.random((2, 360)), full[:-2]])
+    mirrored = a[:, ::-1]
+    cases = {1: (a, full, mirrored), 2: (a, np.roll(full, 5, 1), mirrored), 3: (mirrored, full, a), 4: (a, down, mirrored), 5: (a, rng.random((90, 360)), mirrored)}
+    null = lambda m: [[None if np.isnan(v) else float(v) for v in row] for row in m]
+    df = spark.createDataFrame([(k, *map(null, v)) for k, v in cases.items()], "scan long, render array<array<double>>, photo array<array<double>>, mirror array<array<double>>")
     got = {r.scan: r for r in Y.reprojection(df, "scan").collect()}
-    assert got[1].ok and not got[2].ok and abs(got[2].yaw_shift - 2.5) < 0.3 and got[3].mirrored and not got[3].ok and abs(got[4].pitch_shift - 2.0) < 0.3 and not got[4].ok
+    assert got[1].ok and abs(got[1].yaw_shift) < 0.1 and abs(got[1].pitch_shift) < 0.1 and got[1].ratio > 1.1
+    assert not got[2].ok and abs(got[2].yaw_shift - 5) < 0.1
+    assert got[3].mirrored and not got[3].ok
+    assert not got[4].ok and abs(got[4].pitch_shift + 4.0) < 0.3 and abs(got[4].yaw_shift) < 0.3
+    assert not got[5].ok
+
+
+def test_tilt_does_not_wrap():
+    rng = np.random.default_rng(6)
+    a = rng.random((80, 90))
+    for d in (-3, 0, 2):
+        b = rng.random((80, 90))
+        b[max(d, 0) : 80 + min(d, 0)] = a[max(-d, 0) : 80 - max(d, 0)]
+        assert abs(Y.tilted(a, b, 0, 5) - d) < 0.2
+    assert abs(Y.tilted(a, np.roll(a, 9, 1), 9, 5)) < 0.2
 
 
 def test_any_split_of_patches_gives_the_batch_result(spark, folder):
