@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators import greedy
+from sightline.operators.link import within_tolerance
 from sightline.sources.shared import forget, kept
 
 
@@ -55,10 +57,11 @@ def stacks(d: DataFrame, tol: float, site: str, step: float = 1.0) -> DataFrame:
     return s.select("id", "stack", "place", "size", ((F.col("place") - (F.col("size") - 1) / 2) * step).alias("shift"))
 
 
-def suppressed(c: DataFrame, by: list[str]) -> DataFrame:
+def suppressed(c: DataFrame, by: list[str], most: int = greedy.MOST) -> DataFrame:
     """Non-maximum suppression: strongest first, a box goes if its centre lies in one that was kept.
 
-    ``c`` (ord, x1, y1, x2, y2, conf); a group is one rendered view, a few boxes.
+    ``c`` (ord, x1, y1, x2, y2, conf); ``ord`` is unique in a group. Groups are rendered views; those of more than ``most``
+    boxes are decided in rounds over pairs of a box and the centres in it.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["conf", "ord"], ascending=[False, True], kind="stable")
@@ -66,16 +69,43 @@ def suppressed(c: DataFrame, by: list[str]) -> DataFrame:
         cx, cy = (b[:, 0] + b[:, 2]) / 2, (b[:, 1] + b[:, 3]) / 2
         kept: list[int] = []
         for k in range(len(b)):
-            if not any(b[m, 0] <= cx[k] <= b[m, 2] and b[m, 1] <= cy[k] <= b[m, 3] for m in kept):
+            m = b[kept]
+            if not ((m[:, 0] <= cx[k]) & (cx[k] <= m[:, 2]) & (m[:, 1] <= cy[k]) & (cy[k] <= m[:, 3])).any():
                 kept.append(k)
         return pdf.iloc[kept]
 
-    return c.groupBy(*by).applyInPandas(run, c.schema)
-
-
-def led_clusters(c: DataFrame, scan: str, share: float = 0.5) -> DataFrame:
+    small, large = greedy.split_by_size(c, by, most)
+    out = small.groupBy(*by).applyInPandas(run, c.schema)
+    if large is None:
+        return out
+    node = F.struct(*by, "ord")
+    chosen = greedy.taken(large.select(node.alias("node")), covered_centres(large, by))
+    return out.unionByName(large.withColumn("node", node).join(chosen, "node", "left_semi").drop("node"))
+
+
+def covered_centres(c: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs (early, late) of a box and a weaker one whose centre lies in it. A box takes the cells of a grid as wide as its
+    longer side, rounded up to a power of two, which are four at most; a centre looks in the grid of each width there
+    is, of which there are no more than exponents of a double."""
+    node = F.struct(*by, "ord")
+    longer = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(1e-9))
+    boxes = c.select(*by, node.alias("early"), "x1", "y1", "x2", "y2", "conf", "ord", F.ceil(F.log2(longer)).cast("int").alias("level"))
+    levels = F.array(*(F.lit(r["level"]) for r in boxes.select("level").distinct().collect()))
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    for axis in "xy":
+        boxes = boxes.withColumn(f"c{axis}", F.explode(F.sequence(cell(F.col(f"{axis}1")), cell(F.col(f"{axis}2")))))
+    middle = {axis: (F.col(f"{axis}1") + F.col(f"{axis}2")) / 2 for axis in "xy"}
+    centres = c.select(*by, node.alias("late"), *(m.alias(f"m{axis}") for axis, m in middle.items()), F.col("conf").alias("own"), F.col("ord").alias("place"), F.explode(levels).alias("level"))
+    centres = centres.withColumns({f"c{axis}": cell(F.col(f"m{axis}")) for axis in "xy"})
+    stronger = (F.col("conf") > F.col("own")) | ((F.col("conf") == F.col("own")) & (F.col("ord") < F.col("place")))
+    met = boxes.join(centres, [*by, "level", "cx", "cy"]).where(stronger & F.col("mx").between(F.col("x1"), F.col("x2")) & F.col("my").between(F.col("y1"), F.col("y2")))
+    return met.select("early", "late")
+
+
+def led_clusters(c: DataFrame, scan: str, share: float = 0.5, most: int = greedy.MOST) -> DataFrame:
     """Leader clustering by direction: strongest first, a candidate joins the first cluster whose leader is within a
-    share of the larger angular size; leaders never change. ``c`` (scan, ord, yaw, pitch, size, conf, view)."""
+    share of the larger angular size; leaders never change. ``c`` (scan, ord, yaw, pitch, size, conf, view); ``ord`` is
+    unique in a scan. In scans of more than ``most`` candidates leaders are found in rounds over pairs that are near."""
     fields = f"{scan} long, ord long, cluster long, leader long"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,16 +122,34 @@ def led_clusters(c: DataFrame, scan: str, share: float = 0.5) -> DataFrame:
                 lead.append(k)
         return pd.DataFrame({scan: pdf[scan].to_numpy(), "ord": ords, "cluster": of, "leader": [ords[lead[n]] for n in of]})
 
-    return c.groupBy(scan).applyInPandas(run, fields)
-
-
-def constrained(points: DataFrame, site: str, same_deg: float = 3.0, reach: float = 0.15) -> DataFrame:
-    """Clusters under cannot-link rules, one site at a time: ``id, cluster, refused``.
+    small, large = greedy.split_by_size(c, [scan], most)
+    out = small.groupBy(scan).applyInPandas(run, fields)
+    if large is None:
+        return out
+    rank = F.struct((-F.col("conf")).alias("conf"), F.col("ord"))
+    n = large.select(F.col(scan).alias("scan"), F.struct(rank.alias("rank"), F.col(scan).alias("scan")).alias("id"), "yaw", "pitch", (F.col("size") * share).alias("tol"))
+    views = n.select("scan", F.col("id").alias("device"), "tol", F.col("yaw").alias("vyaw"), F.col("pitch").alias("vpitch"))
+    near = within_tolerance(n, views).where("id <> device").select(F.least("id", "device").alias("early"), F.greatest("id", "device").alias("late")).distinct()
+    near, _ = kept(near, "near")
+    leads, _ = kept(greedy.taken(n.select(F.col("id").alias("node")), near), "leaders")
+    number = F.row_number().over(Window.partitionBy("node.scan").orderBy("node.rank")) - 1
+    leads = leads.withColumn("cluster", number.cast("long"))
+    joined = near.join(leads.select(F.col("node").alias("early")), "early", "left_semi").groupBy("late").agg(F.min("early").alias("node"))
+    member = n.join(leads.select(F.col("node").alias("id")), "id", "left_anti").select("id").join(joined.withColumnRenamed("late", "id"), "id")
+    both = leads.select(F.col("node").alias("id"), "node").unionByName(member.select("id", "node")).join(leads, "node")
+    return out.unionByName(both.select(F.col("id.scan").cast("long").alias(scan), F.col("id.rank.ord").cast("long").alias("ord"), "cluster", F.col("node.rank.ord").cast("long").alias("leader")))
+
+
+def constrained(points: DataFrame, site: str, same_deg: float = 3.0, reach: float = 0.15, most: int = greedy.MOST) -> DataFrame:
+    """Clusters under cannot-link rules: ``id, cluster, refused`` (merges refused in the site).
 
     Two detections of one image further apart than ``same_deg`` never share a cluster. First those of one scan nearer than
     that merge, by angle then ids; then points within ``reach``, by distance then ids. A merge that would bring a forbidden
     pair together is refused and counted. ``points`` (site, id, scan, image, yaw, pitch, x, y, z); without a direction a
     detection has no angles, without a place no distances.
+
+    What no chain of possible merges joins is never compared, so a site of more than ``most`` points goes by the
+    components of its possible merges.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
@@ -132,7 +180,21 @@ def constrained(points: DataFrame, site: str, same_deg: float = 3.0, reach: floa
                 of[k] = lo
         return pd.DataFrame({site: pdf[site], "id": pdf["id"], "cluster": [int(pdf["id"][k]) for k in of], "refused": refused})
 
-    return points.groupBy(site).applyInPandas(run, f"{site} long, id long, cluster long, refused long")
+    shape = f"{site} long, id long, cluster long, refused long"
+    small, large = greedy.split_by_size(points, [site], most)
+    out = small.groupBy(site).applyInPandas(run, shape)
+    if large is None:
+        return out
+    node = F.struct(F.col(site).alias("site"), "id")
+    n = large.withColumn("node", node)
+    seen = n.select(F.struct(F.col(site).alias("site"), "scan").alias("scan"), F.col("node").alias("id"), "yaw", "pitch")
+    looked = within_tolerance(seen, seen.select("scan", F.col("id").alias("device"), F.lit(same_deg).alias("tol"), F.col("yaw").alias("vyaw"), F.col("pitch").alias("vpitch")))
+    close = stack_edges(n.where("x is not null and y is not null").select(site, F.col("node").alias("id"), "x", "y"), reach * (1 + 1e-9) + 1e-12, site)
+    roots = components(looked.where("id < device").select(F.col("id").alias("a"), F.col("device").alias("b")).unionByName(close))
+    parts = n.join(roots, "node", "left").withColumn("_root", F.coalesce("root", "node")).drop("node", "root")
+    by_part = parts.groupBy("_root").applyInPandas(lambda pdf: run(pdf).assign(lead=pdf["id"].min()), f"{shape}, lead long")
+    total = F.sum(F.when(F.col("id") == F.col("lead"), F.col("refused"))).over(Window.partitionBy(site))
+    return out.unionByName(by_part.select(site, "id", "cluster", total.alias("refused")))
 
 
 def device_aggregate(m: DataFrame, key: str) -> DataFrame:

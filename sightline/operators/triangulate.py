@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import direction, dot, half_up, lsq_solution, lsq_sums, zero_padded
+from sightline.operators import greedy
 from sightline.operators.link import within_tolerance
 
 #: Metres between two rays, nearest and furthest range, least angle of two rays, degrees of support, degrees
@@ -196,11 +197,16 @@ def same_devices(old: DataFrame, new: DataFrame, limit: float = 0.3) -> DataFram
     return placed.unionByName(looked.withColumn("dist", F.lit(None).cast("double")))
 
 
-def greedy_match(pairs: DataFrame, first_free: bool) -> DataFrame:
+#: Pairs of a site that one task goes through; sites with more are matched in rounds.
+MOST_PAIRS = 1_000_000
+
+
+def greedy_match(pairs: DataFrame, first_free: bool, most: int = MOST_PAIRS) -> DataFrame:
     """One-to-one matches of each site's eligible pairs (site, a, b, dist): by distance, then by order of a and b; or,
     with ``first_free``, each ``a`` in order takes its first free ``b`` in order.
 
     Spark sorts a site's pairs, on disk where they are many, and they pass in batches; only the ids already taken are held.
+    Sites of more than ``most`` pairs are matched in rounds, over all tasks.
     """
     order = ["a", "b"] if first_free else ["dist", "a", "b"]
     kinds = {"site": pa.int64(), "a": pa.int64(), "b": pa.int64(), "dist": pa.float64()}
@@ -221,7 +227,13 @@ def greedy_match(pairs: DataFrame, first_free: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], schema=schema)
 
     typed = pairs.select(*(F.col(c).cast("double" if c == "dist" else "long").alias(c) for c in kinds))
-    return typed.repartition("site").sortWithinPartitions("site", *order).mapInArrow(run, "site long, a long, b long, dist double")
+    small, large = greedy.split_by_size(typed, ["site"], most)
+    out = small.repartition("site").sortWithinPartitions("site", *order).mapInArrow(run, "site long, a long, b long, dist double")
+    if large is None:
+        return out
+    if first_free:  # equal pairs, where distance doesn't order them, are one
+        large = large.groupBy("site", "a", "b").agg(F.min("dist").alias("dist"))
+    return out.unionByName(greedy.matched(large.distinct(), ["site", "a"], ["site", "b"], ["site", *order]))
 
 
 def close_pairs(old: DataFrame, new: DataFrame, site: str, limit: float = 0.2) -> DataFrame:

@@ -193,7 +193,12 @@ def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "view").where("a < b").withColumn("iou", iou).where("iou > 0.1").select("a", "b", F.round("iou", 6).alias("iou"), F.round(part, 6).alias("covered"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {A.BOX}, b AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY conf DESC, ord) AS k FROM box),
+r(view, k, took) AS (SELECT view, 1, [{{'ord': ord, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] FROM b WHERE k = 1 UNION ALL
+ SELECT r.view, r.k + 1, CASE WHEN len(list_filter(took, lambda m: (b.x1 + b.x2) / 2 BETWEEN m.x1 AND m.x2 AND (b.y1 + b.y2) / 2 BETWEEN m.y1 AND m.y2)) = 0
+ THEN list_append(took, {{'ord': b.ord, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}}) ELSE took END FROM r JOIN b ON b.view = r.view AND b.k = r.k + 1),
+e AS (SELECT view, arg_max(took, k) AS took FROM r GROUP BY view), o AS (SELECT unnest(took).ord AS ord FROM e)
+SELECT ord, view, round(conf, 6) AS conf FROM b SEMI JOIN o USING (ord)""")
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent; a test compares with a plain loop."""
     return C.suppressed(A.boxes(spark, sf_dir), ["view"]).select("ord", "view", F.round("conf", 6).alias("conf"))

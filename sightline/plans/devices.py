@@ -506,7 +506,14 @@ def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["site", "cell"]).where(dist <= 300).select("site", "a", "b", F.round(dist, 4).alias("dist"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT s_suppkey // 8 AS site, s_suppkey AS a, s_acctbal AS u FROM supplier), c AS (SELECT c_custkey // 120 AS site, c_custkey AS b, c_acctbal AS v FROM customer),
+p AS (SELECT s.site, a, b, round(abs(u - v), 4) AS dist FROM s JOIN c ON s.site = c.site AND abs(u - v) <= 300),
+o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY dist, a, b) AS k FROM p),
+r(site, k, was, bs, took) AS (SELECT site, 1, [a], [b], [{'a': a, 'b': b, 'dist': dist}] FROM o WHERE k = 1 UNION ALL
+ SELECT r.site, r.k + 1, CASE WHEN fine THEN list_append(was, a) ELSE was END, CASE WHEN fine THEN list_append(bs, b) ELSE bs END, CASE WHEN fine THEN list_append(took, {'a': a, 'b': b, 'dist': dist}) ELSE took END
+ FROM (SELECT r.*, o.a, o.b, o.dist, NOT list_contains(was, o.a) AND NOT list_contains(bs, o.b) AS fine FROM r JOIN o ON o.site = r.site AND o.k = r.k + 1) r),
+e AS (SELECT site, arg_max(took, k) AS took FROM r GROUP BY site), x AS (SELECT site, unnest(took) AS t FROM e)
+SELECT CAST(site AS BIGINT) AS site, t.a AS a, t.b AS b, t.dist AS dist FROM x""")
 def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one by distance; order-dependent, a test compares with a plain loop."""
     return G.greedy_match(match_pairs(spark, sf_dir), first_free=False)
