@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import half_up
-from sightline.operators.spatial import SIDES
+from sightline.operators.spatial import SIDES, gap_groups
+from sightline.sources.shared import kept
 
 
 def _mask(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
@@ -406,131 +407,156 @@ def boxes(cells: DataFrame, room: str, size: float, components, sides: DataFrame
 #: without neighbours, grid of all results.
 ROW_GAP, BESIDE, WALK, CROSSED, DEPTH, DEEPEST, LOW, CUT = 0.25, 0.3, 12.0, 0.24, 0.8, 2.6, 1.0, 2.6
 NARROW, WIDE, ALONE, SNAP = 0.6, 1.2, 0.8, 0.05
+#: Devices nearer than this along a row stand above each other; times its width that a stretch must have to be divided; a
+#: narrower panel goes with its neighbour.
+STACKED, LONG, LEAST_PANEL = 0.3, 1.4, 0.35
 
 
 def on_grid(v: float) -> float:
     return round(round(v / SNAP) * SNAP, 3)
 
 
-class Strips:
-    """A room's masks turned so that a side of the room is in front: the first axis runs along the front, the second
-    behind it. Shares of boxes come from sums over corners."""
-
-    def __init__(self, cells: pd.DataFrame, fx: int, fy: int, size: float):
-        ix, iy = cells["ix"].to_numpy(), cells["iy"].to_numpy()
-        # cell k of an axis covers k to k + 1; turned round it is cell -k - 1
-        along = (iy if fx > 0 else -iy - 1) if fx else (-ix - 1 if fy > 0 else ix)
-        behind = (-ix - 1 if fx > 0 else ix) if fx else (-iy - 1 if fy > 0 else iy)
-        self.size, self.a0, self.b0 = size, along.min(), behind.min()
-        self.shape = (along.max() - self.a0 + 1, behind.max() - self.b0 + 1)
-        self.sums, self.tops = {}, np.full(self.shape, np.nan)
-        for name in ("floor", "inside", "like"):
-            m = np.zeros(self.shape)
-            m[along - self.a0, behind - self.b0] = cells[name].to_numpy(float)
-            self.sums[name] = np.pad(m.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-        self.tops[along - self.a0, behind - self.b0] = cells["top"].to_numpy(float)
-
-    def window(self, s0, s1, n0, n1) -> tuple[np.ndarray, ...]:
-        """Cells that boxes touch: ``s`` along the front, ``n`` the depth axis (world, growing away from the front)."""
-        low = lambda v, o: np.floor(np.asarray(v, float) / self.size + 1e-6).astype(int) - o
-        high = lambda v, o: np.ceil(np.asarray(v, float) / self.size - 1e-6).astype(int) - o
-        return (np.clip(low(s0, self.a0), 0, self.shape[0]), np.clip(high(s1, self.a0), 0, self.shape[0]),
-                np.clip(low(n0, self.b0), 0, self.shape[1]), np.clip(high(n1, self.b0), 0, self.shape[1]))
-
-    def share(self, name: str, s0, s1, n0, n1) -> np.ndarray:
-        a, b, c, d = np.broadcast_arrays(*self.window(s0, s1, n0, n1))
-        t, area = self.sums[name], np.maximum(b - a, 0) * np.maximum(d - c, 0)
-        return np.where(area > 0, (t[b, d] - t[a, d] - t[b, c] + t[a, c]) / np.maximum(area, 1), 0.0)
-
-
-def walked(m: Strips, start: float, sign: int, back: float) -> float:
-    """How far a row reaches from ``start``: on over strips that look like cabinets and show no floor, across short gaps,
-    until the room ends or a gap is too long. ``back``: where the front is on the depth axis."""
-    k = np.arange(int(WALK / m.size))
-    a, b = (start + k * m.size, start + (k + 1) * m.size) if sign > 0 else (start - (k + 1) * m.size, start - k * m.size)
-    inside = m.share("inside", a, b, back + 0.04, back + 0.36) > 0.5
-    fine = inside & (m.share("floor", a, b, back + 0.04, back + 0.5) <= 0.25) & (m.share("like", a, b, back + 0.04, back + 0.36) >= 0.6)
-    last = np.maximum.accumulate(np.where(fine, k, -1))
-    stop = np.flatnonzero(~fine & (~inside | ((k - last) * m.size > CROSSED)))
-    reached = last[stop[0]] if len(stop) else last[-1] if len(k) else -1
-    return start + sign * (reached + 1) * m.size
-
-
-def measured_depth(m: Strips, lo: float, hi: float, back: float) -> float:
-    """Median of probes every 12 cm, each from 30 cm behind the front to the first floor or the end of the room; a row
-    that nearly reaches the room's end stands against it."""
-    s, n = np.arange(lo + 0.1, hi - 0.1, 0.12)[:, None], 0.3 + m.size * np.arange(max(1, int(np.ceil((DEEPEST - 0.3) / m.size - 1e-9))))[None]
-    depth = DEPTH
-    if len(s):
-        ends = (m.share("inside", s, s + 0.12, back + n, back + n + m.size) < 0.5) | (m.share("floor", s, s + 0.12, back + n, back + n + m.size) >= 0.5)
-        depth = float(np.median(np.where(ends.any(1), n[0][np.argmax(ends, 1)], n[0, -1] + m.size)))
-    if depth >= DEEPEST - 0.05:
-        depth = DEPTH
-    mid, more = (lo + hi) / 2, depth + m.size * np.arange(int(np.ceil(0.25 / m.size - 1e-9)))
-    out = m.share("inside", mid - 0.2, mid + 0.2, back + more, back + more + m.size) < 0.5
-    return max(on_grid(float(more[np.argmax(out)]) if out.any() else depth), 0.4)
-
-
-def panels(along: np.ndarray, lo: float, hi: float) -> list[tuple[float, float]]:
-    """Borders of a row's panels: half-way between devices (stacked ones share a panel), what is left at the ends as end
-    panels, long ones divided, narrow ones merged with their neighbour."""
-    v = np.sort(along)
-    centre = np.array([g.mean() for g in np.split(v, np.flatnonzero(np.diff(v) > 0.3) + 1)])
-    wide = float(np.clip(np.median(np.diff(centre)), NARROW, WIDE)) if len(centre) > 1 else ALONE
-    first, last = centre[0] - wide / 2, centre[-1] + wide / 2
-    borders = [lo, *([first] if first - lo >= 0.3 else []), *((centre[1:] + centre[:-1]) / 2), *([last] if hi - last >= 0.3 else []), hi]
-    fine: list[float] = []
-    for a, b in zip(borders, borders[1:], strict=False):
-        parts = max(round((b - a) / wide), 1) if b - a > 1.4 * wide else 1
-        fine += [a + (b - a) * k / parts for k in range(parts)]
-    fine.append(hi)
-    kept = [fine[0]]
-    for k, border in enumerate(fine[1:], 1):
-        if len(kept) > 1 and (border - fine[k - 1] < 0.35 or kept[-1] - kept[-2] < 0.35):
-            kept[-1] = border
-        else:
-            kept.append(border)
-    return [(on_grid(a), on_grid(b)) for a, b in zip(kept, kept[1:], strict=False)]
+def snapped(v: Column) -> Column:
+    return F.round(F.bround(v / SNAP) * SNAP, 3)
+
+
+def fronts(devices: DataFrame, room: str) -> DataFrame:
+    """Devices (room, id, x, y, side) with the row they stand in: those that face one side and follow each other within
+    ROW_GAP, measured towards the side (``u``), are one; ``s`` runs along the row, a quarter turn left of the side."""
+    toward = F.element_at(F.create_map(*(x for name, fx, fy in SIDES for x in (F.lit(name), F.array(F.lit(fx), F.lit(fy))))), F.col("side"))
+    d = devices.withColumn("toward", toward).withColumns({"fx": F.col("toward")[0], "fy": F.col("toward")[1]})
+    d = d.withColumns({"u": F.col("x") * F.col("fx") + F.col("y") * F.col("fy"), "s": F.col("y") * F.col("fx") - F.col("x") * F.col("fy")})
+    d = gap_groups(d.withColumn("_at", F.struct(room, "side")), "_at", "u", ROW_GAP, "id")
+    return d.select(room, "side", F.col("group").alias("row"), "id", "x", "y", "fx", "fy", "u", "s")
+
+
+def strip_shares(strips: DataFrame, cells: DataFrame, room: str, size: float, key: list[str], masks: tuple[str, ...]) -> DataFrame:
+    """Share of the cells in each strip of a row where each mask is set: (key..., masks...). A strip lies from ``s0`` to
+    ``s1`` along the row and from ``n0`` to ``n1`` behind its ``front``; of the room's grid it takes the cells it touches."""
+    x = lambda s, n: (F.col("front") - F.col(n)) * F.col("fx") - F.col(s) * F.col("fy")
+    y = lambda s, n: (F.col("front") - F.col(n)) * F.col("fy") + F.col(s) * F.col("fx")
+    w = strips
+    for axis, at in (("x", x), ("y", y)):
+        ends = at("s0", "n0"), at("s1", "n1")
+        first = F.greatest(F.floor(F.least(*ends) / size + 1e-6), F.col(f"i{axis}0"))
+        last = F.least(F.ceil(F.greatest(*ends) / size - 1e-6) - 1, F.col(f"i{axis}1"))
+        w = w.withColumns({f"_{axis}a": first, f"_{axis}b": last})
+    for axis in "xy":
+        w = w.withColumn(f"i{axis}", F.explode_outer(F.when(F.col(f"_{axis}a") <= F.col(f"_{axis}b"), F.sequence(f"_{axis}a", f"_{axis}b"))))
+    met = w.select(room, *key, "ix", "iy").join(cells.select(room, "ix", "iy", *masks), [room, "ix", "iy"], "left")
+    return met.groupBy(room, *key).agg(*(F.avg(F.coalesce(F.col(m), F.lit(False)).cast("double")).alias(m) for m in masks))
+
+
+def reached(rows: DataFrame, cells: DataFrame, room: str, size: float) -> DataFrame:
+    """How far each row goes: (room, side, row, lo, hi). From BESIDE its outer devices it goes on strip by strip, WALK at
+    most, while what lies behind the front looks like cabinets and shows no floor; it crosses places that don't, CROSSED at
+    most, and ends where the room does."""
+    key = ["side", "row", "sign", "k"]
+    ends = F.array(*(F.struct(F.lit(sign).alias("sign"), e.alias("start")) for sign, e in ((-1, F.col("s_min") - BESIDE), (1, F.col("s_max") + BESIDE))))
+    w = rows.select("*", F.explode(ends).alias("e")).select("*", "e.*").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(int(WALK / size + 1e-9) - 1))))
+    near, far = (F.col("start") + F.col("sign") * (F.col("k") + j) * size for j in (0, 1))
+    w = w.withColumns({"s0": F.least(near, far), "s1": F.greatest(near, far), "n0": F.lit(0.04)})
+    front = strip_shares(w.withColumn("n1", F.lit(0.36)), cells, room, size, key, ("inside", "like"))
+    aisle = strip_shares(w.withColumn("n1", F.lit(0.5)), cells, room, size, key, ("floor",))
+    inside = F.col("inside") > 0.5
+    j = front.join(aisle, [room, *key]).withColumn("fine", inside & (F.col("floor") <= 0.25) & (F.col("like") >= 0.6))
+    upto = Window.partitionBy(room, "side", "row", "sign").orderBy("k")
+    last = F.coalesce(F.max(F.when(F.col("fine"), F.col("k"))).over(upto), F.lit(-1))
+    j = j.withColumn("last", last).withColumn("stop", ~F.col("fine") & (~inside | ((F.col("k") - F.col("last")) * size > CROSSED)))
+    ended = j.groupBy(room, "side", "row", "sign").agg(F.coalesce(F.min_by("last", F.when(F.col("stop"), F.col("k"))), F.max("last")).alias("last"))
+    far = ended.groupBy(room, "side", "row").agg(*(F.max(F.when(F.col("sign") == sign, (F.col("last") + 1) * size)).alias(n) for n, sign in (("before", -1), ("beyond", 1))))
+    return rows.join(far, [room, "side", "row"]).withColumns({"lo": snapped(F.col("s_min") - BESIDE - F.col("before")), "hi": snapped(F.col("s_max") + BESIDE + F.col("beyond"))}).drop("before", "beyond")
+
+
+def measured(rows: DataFrame, cells: DataFrame, room: str, size: float) -> DataFrame:
+    """Rows (with lo, hi) with their ``depth`` and ``height``. Probes every 12 cm go from 30 cm behind the front to the
+    first floor or the end of the room, and the median counts; a back that ends just short of the room's stands against
+    it. The height is the 75th percentile of the tops in the first 30 cm."""
+    key = ["side", "row"]
+    steps = max(1, int(np.ceil((DEEPEST - 0.3) / size - 1e-9)))
+    number = F.ceil((F.col("hi") - F.col("lo") - 0.2) / 0.12 - 1e-9).cast("int")
+    p = rows.where(number > 0).withColumn("probe", F.explode(F.sequence(F.lit(0), number - 1))).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    s0, n0 = F.col("lo") + 0.1 + F.col("probe") * 0.12, F.lit(0.3) + F.col("k") * size
+    p = strip_shares(p.withColumns({"s0": s0, "s1": s0 + 0.12, "n0": n0, "n1": n0 + size}), cells, room, size, [*key, "probe", "k"], ("inside", "floor"))
+    end = F.coalesce(F.min(F.when((F.col("inside") < 0.5) | (F.col("floor") >= 0.5), F.col("k"))), F.lit(steps))
+    deep = p.groupBy(room, *key, "probe").agg((F.lit(0.3) + end * size).alias("n")).groupBy(room, *key).agg(F.percentile("n", 0.5).alias("depth"))
+    r = rows.join(deep, [room, *key], "left").withColumn("depth", F.when(F.col("depth") < DEEPEST - 0.05, F.col("depth")).otherwise(DEPTH))
+    middle, more = (F.col("lo") + F.col("hi")) / 2, F.col("depth") + F.col("k") * size
+    q = r.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(int(np.ceil(0.25 / size - 1e-9)) - 1))))
+    q = q.withColumns({"s0": middle - 0.2, "s1": middle + 0.2, "n0": more, "n1": more + size})
+    back = strip_shares(q, cells, room, size, [*key, "k"], ("inside",)).where("inside < 0.5").groupBy(room, *key).agg(F.min("k").alias("wall"))
+    r = r.join(back, [room, *key], "left").withColumn("depth", F.greatest(snapped(F.col("depth") + F.coalesce("wall", F.lit(0)) * size), F.lit(0.4))).drop("wall")
+    # tops of the cells at the front
+    at = cells.where("top is not null").join(r.select(room, *key, "fx", "fy", "front", "lo", "hi"), room)
+    lies = lambda along, low, high: (F.col(along) + 1 > F.floor(low / size + 1e-6)) & (F.col(along) < F.ceil(high / size - 1e-6))
+    u0, u1 = F.col("front") - 0.3, F.col("front")
+    along = F.col("fx") != 0
+    x0, x1 = (F.when(along, F.when(F.col("fx") > 0, u).otherwise(-v)).otherwise(F.when(F.col("fy") > 0, -b).otherwise(a)) for u, v, a, b in ((u0, u1, F.col("lo"), F.col("hi")), (u1, u0, F.col("hi"), F.col("lo"))))
+    y0, y1 = (F.when(along, F.when(F.col("fx") > 0, a).otherwise(-b)).otherwise(F.when(F.col("fy") > 0, u).otherwise(-v)) for u, v, a, b in ((u0, u1, F.col("lo"), F.col("hi")), (u1, u0, F.col("hi"), F.col("lo"))))
+    tops = at.where(lies("ix", x0, x1) & lies("iy", y0, y1)).groupBy(room, *key).agg(F.percentile("top", 0.75).alias("height"))
+    height = snapped(F.least(F.greatest(F.coalesce("height", F.lit(2.2)), F.lit(LOW)), F.lit(CUT)))
+    return r.join(tops, [room, *key], "left").withColumn("height", height)
+
+
+def divided(rows: DataFrame, devices: DataFrame, room: str) -> DataFrame:
+    """Panels of rows (with lo, hi): (room, side, row, panel, s0, s1). Devices that stand above each other share a panel; its
+    borders lie half-way to the next, and where the row goes on beyond the outer ones, half a panel from them. Long
+    stretches are divided evenly, and a panel narrower than LEAST_PANEL goes with the one before it."""
+    key = [room, "side", "row"]
+    d = gap_groups(devices.withColumn("_row", F.struct(*key)).drop("row"), "_row", "s", STACKED, "id").select(room, "side", F.col("_row.row").alias("row"), "group", "s")
+    centre = d.groupBy(*key, "group").agg(F.avg("s").alias("c")).withColumn("before", F.lag("c").over(Window.partitionBy(*key).orderBy("c")))
+    per = centre.groupBy(*key).agg(F.min("c").alias("first"), F.max("c").alias("last"), F.percentile(F.col("c") - F.col("before"), 0.5).alias("wide"), F.collect_list((F.col("c") + F.col("before")) / 2).alias("between"))
+    per = per.withColumn("wide", F.when(F.col("wide").isNull(), ALONE).otherwise(F.least(F.greatest("wide", F.lit(NARROW)), F.lit(WIDE))))
+    r = rows.select(*key, "lo", "hi").join(per, key)
+    left, right = F.col("first") - F.col("wide") / 2, F.col("last") + F.col("wide") / 2
+    none = F.array().cast("array<double>")
+    border = F.array_sort(F.concat(F.array("lo", "hi"), "between", F.when(left - F.col("lo") >= BESIDE, F.array(left)).otherwise(none), F.when(F.col("hi") - right >= BESIDE, F.array(right)).otherwise(none)))
+    r = r.withColumn("border", border)
+    stretch = F.zip_with(F.slice("border", F.lit(1), F.size("border") - 1), F.slice("border", F.lit(2), F.size("border") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    r = r.select(*key, "wide", F.explode(stretch).alias("x")).select(*key, "wide", "x.*")
+    parts = F.when(F.col("b") - F.col("a") > LONG * F.col("wide"), F.greatest(F.bround((F.col("b") - F.col("a")) / F.col("wide")), F.lit(1.0))).otherwise(1.0).cast("int")
+    r = r.withColumn("parts", parts).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    end = lambda j: F.col("a") + (F.col("b") - F.col("a")) * (F.col("i") + j) / F.col("parts")
+    each = r.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(end(0).alias("a"), end(1).alias("b")))).alias("parts"))
+    narrow = lambda x: x["b"] - x["a"] < LEAST_PANEL
+
+    def joined(done: Column, x: Column) -> Column:
+        before = F.element_at(done, -1)
+        both = F.array(F.struct(before["a"].alias("a"), x["b"].alias("b")))
+        return F.when((F.size(done) > 0) & (narrow(x) | narrow(F.get(done, F.size(done) - 1))), F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), both)).otherwise(F.concat(done, F.array(x)))
+
+    fold = F.aggregate("parts", F.array().cast("array<struct<a:double,b:double>>"), lambda done, x: F.when(F.size(done) == 0, F.array(x)).otherwise(joined(done, x)))
+    return each.select(*key, F.posexplode(fold).alias("panel", "x")).select(*key, F.col("panel").cast("long").alias("panel"), snapped(F.col("x.a")).alias("s0"), snapped(F.col("x.b")).alias("s1"))
 
 
 def cabinet_rows(devices: DataFrame, cells: DataFrame, room: str, size: float) -> DataFrame:
     """Panels of the cabinet rows of each room: (room, side, row, devices, front, depth, height, panel, s0, s1).
 
-    Devices that face one side and whose fronts are within ROW_GAP make a row. From its outer devices it is walked out
-    over strips that look like cabinets; its depth is measured by probes, its height is the 75th percentile of the tops of
-    its front, and it is divided into panels. ``front`` lies along the side's axis, ``s0`` and ``s1`` along the row
-    (a quarter turn left of the side). ``devices`` (room, id, x, y, side), ``cells`` (room, ix, iy, floor, solid, inside,
-    top); a room without cells has no rows. A room is one group, whose size is that of a room.
+    ``front`` lies along the side's axis, ``s0`` and ``s1`` along the row (a quarter turn left of the side). ``devices``
+    (room, id, x, y, side), ``cells`` (room, ix, iy, floor, solid, inside, top); a room without cells has no rows. Rows
+    are taken out, walked and measured by joins of strips with cells, whatever the number of rows in a room.
     """
-    names = [room, "side", "row", "devices", "front", "depth", "height", "panel", "s0", "s1"]
-
-    def run(d: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(c):
-            c = c.assign(like=c["solid"] | (c["inside"] & ~c["floor"]))
-            for side, fx, fy in SIDES:
-                mine = d[d["side"] == side]
-                if not len(mine):
-                    continue
-                m = Strips(c, fx, fy, size)
-                u, s = (mine["x"] * fx + mine["y"] * fy).to_numpy(), (mine["y"] * fx - mine["x"] * fy).to_numpy()
-                order = np.argsort(u, kind="stable")
-                for k, at in enumerate(np.split(order, np.flatnonzero(np.diff(u[order]) > ROW_GAP) + 1)):
-                    front = float(np.median(u[at]))
-                    lo, hi = (walked(m, e, sign, -front) for e, sign in ((s[at].min() - BESIDE, -1), (s[at].max() + BESIDE, 1)))
-                    lo, hi = on_grid(lo), on_grid(hi)
-                    a, b, p, q = m.window(lo, hi, -front, -front + 0.3)
-                    tops = m.tops[a:b, p:q]
-                    tops = tops[np.isfinite(tops)]
-                    height = on_grid(float(np.clip(np.percentile(tops, 75) if tops.size else 2.2, LOW, CUT)))
-                    depth = measured_depth(m, lo, hi, -front)
-                    for j, (x, y) in enumerate(panels(s[at], lo, hi)):
-                        out.append((d[room].iloc[0], side, k, len(at), round(front, 2), depth, height, j, x, y))
-        return pd.DataFrame(out, columns=names)
-
-    typed = cells.select(room, "ix", "iy", "floor", "solid", "inside", F.when(F.col("solid"), F.col("top").cast("double")).alias("top"))
-    return devices.groupBy(room).cogroup(typed.groupBy(room)).applyInPandas(
-        run, f"{room} long, side string, row long, devices long, front double, depth double, height double, panel long, s0 double, s1 double")
+    d, rows = row_frames(devices, cells, room, size)
+    return divided(rows, d, room).join(rows, [room, "side", "row"]).select(room, "side", "row", "devices", F.round("front", 2).alias("front"), "depth", "height", "panel", "s0", "s1")
+
+
+def row_frames(devices: DataFrame, cells: DataFrame, room: str, size: float) -> tuple[DataFrame, DataFrame]:
+    """Devices with their rows, and the rows with their ends, depth and height, written once."""
+    typed = cells.select(room, "ix", "iy", "floor", "solid", "inside", (F.col("solid") | (F.col("inside") & ~F.col("floor"))).alias("like"), F.when(F.col("solid"), F.col("top").cast("double")).alias("top"))
+    grid = typed.groupBy(room).agg(*(f(c).alias(f"{c}{n}") for c in ("ix", "iy") for n, f in ((0, F.min), (1, F.max))))
+    d, _ = kept(fronts(devices, room), "fronts")
+    rows = d.groupBy(room, "side", "row", "fx", "fy").agg(F.count("*").alias("devices"), F.percentile("u", 0.5).alias("front"), F.min("s").alias("s_min"), F.max("s").alias("s_max")).join(grid, room)
+    rows, _ = kept(reached(rows, typed, room, size), "rows")
+    rows, _ = kept(measured(rows, typed, room, size), "rows")
+    return d, rows
+
+
+def device_faces(devices: DataFrame, rows: DataFrame, room: str) -> DataFrame:
+    """Where each device of a row (``fronts``) sits on its cabinets' face: (room, id, side, top, x, y). The face lies on the
+    grid; ``rows`` have front and height."""
+    j = devices.join(rows.select(room, "side", "row", "front", "height"), [room, "side", "row"])
+    off = F.col("u") - snapped(F.col("front"))
+    return j.select(room, "id", "side", F.col("height").alias("top"), *(F.round(F.col(c) - off * F.col(f"f{c}"), 3).alias(c) for c in "xy"))
 
 
 def partitions(tall: DataFrame, room: str, size: float, least: float = 0.8, thickest: float = 0.5, wall: float = 0.15) -> DataFrame:

@@ -470,11 +470,22 @@ def rectangle_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cabinet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panels of the rows of each room: suppliers stand as devices before the mask's cells; a test has a room with known rows."""
+    """Panels of the rows of each room; tests have rooms with known rows."""
+    return Y.cabinet_rows(*row_inputs(spark, sf_dir), "room", 0.25)
+
+
+def row_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as devices before the mask's cells."""
     k = F.col("s_suppkey")
     d = table(spark, sf_dir, "supplier").select(F.floor(k / 10).alias("room"), k.alias("id"), F.when(k % 2 == 0, 4.9).otherwise(8.2).alias("x"), (2.0 + k % 10 * 0.8).alias("y"), F.when(k % 2 == 0, "+x").otherwise("-y").alias("side"))
     c = mask(spark, sf_dir).select("room", "ix", "iy", (F.col("ix") >= 20).alias("floor"), (F.col("ix") < 20).alias("solid"), F.lit(True).alias("inside"), (F.lit(1.5) + F.col("iy") % 4 * 0.3).alias("top"))
-    return Y.cabinet_rows(d, c, "room", 0.25)
+    return d, c
+
+
+@query()
+def device_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices of ``cabinet_rows`` on the faces of their cabinets."""
+    return Y.device_faces(*Y.row_frames(*row_inputs(spark, sf_dir), "room", 0.25), "room")
 
 
 @query()

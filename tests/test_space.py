@@ -398,6 +398,43 @@ def test_cabinet_rows(spark, side):
     assert {(r.room, r.side, r["row"], r.devices) for r in got} == {(0, side, 0, 4)}  # a room without cells has none
     assert all(r.front == 0 and r.depth == pytest.approx(0.6) and r.height == pytest.approx(2.0) for r in got)
     assert [(r.s0, r.s1) for r in got] == [(0.0, 0.8), (0.8, 1.6), (1.6, 2.4)]
+    faces = {r.id: r for r in Y.device_faces(*Y.row_frames(d, c, "room", size), "room").collect()}
+    assert sorted(faces) == [1, 2, 3, 4] and all(r.top == pytest.approx(2.0) and r.side == side for r in faces.values())
+    for i, u, s in at:
+        assert (faces[i].x, faces[i].y) == pytest.approx(turn(0.0, s), abs=1e-9)
+
+
+def panels_of(spark, devices, body, size=0.1, holes=()):
+    """Panels of one row that faces +y, its front at y = 0 and 0.8 m deep, from body[0] to body[1]; floor in front of it, and
+    in the holes (from, to, depth) behind the front. The room ends half a metre beyond x = 9 and at y = -0.8."""
+    cells = []
+    for ix in range(-20, 100):
+        for iy in range(-20, 30):
+            x, y = (ix + 0.5) * size, (iy + 0.5) * size
+            inside = -0.8 < y and x < 9.5
+            solid = inside and y < 0 and body[0] < x < body[1] and not any(a < x < b for a, b in holes)
+            cells.append((0, ix, iy, inside and not solid, solid, inside, (1.2 if x < 2 else 2.2) if solid else None))
+    c = spark.createDataFrame(cells, "room long, ix long, iy long, floor boolean, solid boolean, inside boolean, top double")
+    d = spark.createDataFrame([(0, i, float(x), float(y), "+y") for i, (x, y) in enumerate(devices)], "room long, id long, x double, y double, side string")
+    got = Y.cabinet_rows(d, c, "room", size).orderBy("row", "panel").collect()
+    # along a row that faces +y one goes towards smaller x
+    return [(r["row"], -r.s1, -r.s0) for r in reversed(got)], {(r["row"], r.depth, r.height) for r in got}
+
+
+def test_rows_end_and_divide(spark):
+    got, rest = panels_of(spark, [(3.0, 0.0), (4.0, 0.0), (4.1, 0.0), (5.0, 0.0)], (1.0, 8.0))
+    # borders half-way between devices (two above each other at 4.05); a metre wide on average, the long ends divided in two
+    assert [round(b, 2) for _, _, b in got][-1] == 8.0 and round(got[0][1], 2) == 1.0
+    assert [(round(a, 2), round(b, 2)) for _, a, b in got] == [(1.0, 1.75), (1.75, 2.5), (2.5, 3.5), (3.5, 4.5), (4.5, 5.5), (5.5, 6.75), (6.75, 8.0)] and rest == {(0, 0.8, 2.2)}
+    # a gap of 20 cm is crossed, one of 40 cm ends the row
+    crossed, _ = panels_of(spark, [(3.0, 0.0), (4.0, 0.0)], (1.0, 8.0), holes=[(5.2, 5.4)])
+    ended, _ = panels_of(spark, [(3.0, 0.0), (4.0, 0.0)], (1.0, 8.0), holes=[(5.2, 5.6)])
+    assert max(b for *_, b in crossed) == 8.0 and max(b for *_, b in ended) == pytest.approx(5.2)
+    # a device alone has a panel 0.8 m wide; fronts 0.3 m apart are two rows
+    alone, _ = panels_of(spark, [(4.0, 0.0)], (3.5, 4.5))
+    assert [(round(a, 2), round(b, 2)) for _, a, b in alone] == [(3.5, 4.5)]
+    two, _ = panels_of(spark, [(4.0, 0.0), (4.0, -0.3)], (3.0, 5.0))
+    assert {r for r, *_ in two} == {0, 1}
 
 
 @pytest.fixture()
