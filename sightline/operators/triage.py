@@ -141,3 +141,11 @@ def label_text(reads: DataFrame, least: float = 65.0) -> DataFrame:
 def best_text(pieces: DataFrame) -> DataFrame:
     """The best piece of text for each box: highest score, then the later text."""
     return pieces.groupBy("box_id").agg(F.max(F.struct("score", "text")).alias("b")).select("box_id", "b.text", "b.score")
+
+
+def looked_up(detections: DataFrame, types: DataFrame, instances: DataFrame) -> DataFrame:
+    """Detections with the library's entry of their type and of the device they are linked to: ``type`` and ``library``
+    structs, null where there is none. ``types`` (assetTypeId, ...), ``instances`` (instanceId, ...) with unique ids."""
+    t = types.select("assetTypeId", F.struct(*(c for c in types.columns if c != "assetTypeId")).alias("type"))
+    i = instances.select("instanceId", F.struct(*(c for c in instances.columns if c != "instanceId")).alias("library"))
+    return detections.join(t, "assetTypeId", "left").join(i, "instanceId", "left")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.expressions import zero_padded
 from sightline import schema as S
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, by the file system that its scheme names."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+from sightline.functions.expressions import half_even, zero_padded
+from sightline.sources.shared import exists
+from sightline.sources.sinks import POINTER
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -38,7 +39,7 @@ def poses(spark: SparkSession, path: str) -> DataFrame:
 
 def with_scan_ids(images: DataFrame) -> DataFrame:
     """Images of one place (position rounded to centimetres) share a dense id, counted in first-seen order."""
-    key = F.transform("translation", lambda v: F.round(v, 2))
+    key = F.transform("translation", lambda v: half_even(v, 2))
     seen = images.groupBy(key.alias("_k")).agg(F.min("ord").alias("_first"))
     # one row for each place: a site's cameras, so numbering them in one window is small
     ids = seen.withColumn("n", F.row_number().over(Window.orderBy("_first")) - 1).select("_k", F.concat(F.lit("scan-"), zero_padded(F.col("n"))).alias("scanPointId"))
@@ -61,6 +62,62 @@ def cloud(spark: SparkSession, path: str, scan: str | None = None) -> DataFrame:
     return df.where(F.col("scan") == scan) if scan is not None else df
 
 
+#: Points of a chunk.
+CHUNK = 200_000
+
+
+def archive_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Scans of a folder of archives, by its manifest alone: (index, file, name, points, hasRGB, translation, rotation_wxyz)."""
+    scan = "file string, name string, pointsRaw long, hasRGB boolean, translation array<double>, rotation_wxyz array<double>"
+    m = spark.read.text(f"{folder}/manifest.json", wholetext=True).select(F.from_json("value", f"scans array<struct<{scan.replace(' ', ':').replace(',:', ',')}>>").alias("m"))
+    s = m.select(F.posexplode("m.scans").alias("index", "s"))
+    return s.select("index", "s.file", "s.name", F.col("s.pointsRaw").alias("points"), F.coalesce("s.hasRGB", F.lit(False)).alias("hasRGB"), "s.translation", "s.rotation_wxyz")
+
+
+def archive_cloud(spark: SparkSession, folder: str, scans: list[int] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Points of a folder of compressed archives, one a scan, with a manifest: (scan, ord, x, y, z, r, g, b), colours null
+    where there are none. Only the files of the scans named are opened; a file's points pass in chunks."""
+    files = {r["file"]: r["index"] for r in archive_headers(spark, folder).select("index", "file").collect() if scans is None or r["index"] in scans}
+    schema = pa.schema([("scan", pa.int32()), ("ord", pa.int64()), *((c, pa.float32()) for c in "xyz"), *((c, pa.int32()) for c in "rgb")])
+    out = "scan int, ord long, x float, y float, z float, r int, g int, b int"
+    if not files:
+        return spark.createDataFrame([], out)
+
+    def points(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                scan = files[path.rsplit("/", 1)[1]]
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    xyz = z["xyz"].astype(np.float32)
+                    rgb = z["rgb"] if "rgb" in z else None
+                for at in range(0, len(xyz), chunk):
+                    part = xyz[at : at + chunk]
+                    n = len(part)
+                    colours = [pa.array(rgb[at : at + chunk, k].astype(np.int32)) if rgb is not None else pa.nulls(n, pa.int32()) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, scan, np.int32)), pa.array(np.arange(at, at + n)), *(pa.array(np.ascontiguousarray(part[:, k])) for k in range(3)), *colours], schema=schema)
+
+    names = "{" + ",".join(sorted(files)) + "}"
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder).select("path", "content").mapInArrow(points, out)
+
+
+def published(spark: SparkSession, target: str) -> DataFrame:
+    """The version of an artefact that its pointer names (see ``sinks.put``)."""
+    version = spark.read.text(f"{target}/{POINTER}").first()["value"]
+    return spark.read.parquet(f"{target}/{version}")
+
+
+DOC = "array<struct<title:string,url:string>>"
+
+
+def library(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The asset library: types (assetTypeId, name, manufacturer, manufacturerDocs) and instances (instanceId, assetTypeId,
+    documents). A list that the file lacks is empty."""
+    kind = (f"assetTypes array<struct<assetTypeId:string,name:string,manufacturer:string,manufacturerDocs:{DOC}>>, "
+            f"instances array<struct<instanceId:string,assetTypeId:string,documents:{DOC}>>")
+    one = spark.read.schema(kind).json(path, multiLine=True)
+    return one.select(F.explode("assetTypes").alias("t")).select("t.*"), one.select(F.explode("instances").alias("i")).select("i.*")
+
+
 def headers(spark: SparkSession, manifest: str) -> DataFrame:
     """Scan headers alone; no points are read."""
     return spark.read.json(manifest)

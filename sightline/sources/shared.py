@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +24,30 @@ def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     nothing and a result that is used several times is worked out once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    KEPT[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Kept tables that results may still be read from. They go when the driver's program ends.
+KEPT: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def forget_all() -> None:
+    for path, spark in list(KEPT.items()):
+        with contextlib.suppress(Exception):  # the JVM may have gone before
+            forget(spark, path)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a kept table that nothing reads any more."""
+    KEPT.pop(path, None)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, by the file system that its scheme names."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -468,7 +468,7 @@ def test_sinks(spark, folder):
     gates = spark.createDataFrame([(True, True)], "a boolean, b boolean")
     assert sinks.publish(df, gates, f"{folder}/pub") == (True, f"{folder}/pub")
     assert sinks.publish(df.limit(1), gates.withColumn("b", F.lit(False)), f"{folder}/pub") == (False, f"{folder}/pub-rejected")
-    assert spark.read.parquet(f"{folder}/pub").count() == 2
+    assert readers.published(spark, f"{folder}/pub").count() == 2 and readers.published(spark, f"{folder}/pub-rejected").count() == 1
     assert sinks.report(gates, f"{folder}/report", run=1) == 0
     failed = gates.withColumn("b", F.lit(False))
     assert sinks.report(failed, f"{folder}/other", {"b": 3}) == 3 and sinks.report(failed, f"{folder}/other") == 1
@@ -485,10 +485,73 @@ def test_sinks(spark, folder):
     assert json.loads(spark.read.text(f"{folder}/nulls").orderBy("value").first().value) == {"id": "a", "top": None}
     told = []
     sinks.stored_or_error(df, f"{folder}/kv", told.append)
-    assert told == [f"{folder}/kv"] and spark.read.parquet(f"{folder}/kv").count() == 2
+    assert told == [f"{folder}/kv"] and readers.published(spark, f"{folder}/kv").count() == 2
     with pytest.raises(sinks.StoreError):
         sinks.stored_or_error(df, "nowhere://x/y", told.append)
-    assert len(told) == 1 and spark.read.parquet(f"{folder}/kv").count() == 2
+    assert len(told) == 1 and readers.published(spark, f"{folder}/kv").count() == 2
+
+
+def test_a_failing_write_or_rename_leaves_what_was_published(spark, folder, monkeypatch):
+    df = spark.createDataFrame([(k,) for k in range(3)], "k long")
+    for n in (1, 2, 3):
+        sinks.put(df.limit(n), f"{folder}/p")
+    assert readers.published(spark, f"{folder}/p").count() == 3
+    assert len([n for n in os.listdir(f"{folder}/p") if n.startswith("v")]) == sinks.VERSIONS
+
+    def refused(*_):
+        raise OSError("no")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "replace", refused)
+        with pytest.raises(sinks.StoreError):
+            sinks.stored_or_error(df.limit(1), f"{folder}/p")
+    bad = df.select(F.raise_error(F.lit("no")).alias("k"))
+    with pytest.raises(sinks.StoreError):
+        sinks.stored_or_error(bad, f"{folder}/p")
+    assert readers.published(spark, f"{folder}/p").count() == 3
+    sinks.stored_or_error(df.limit(2), f"{folder}/p")
+    assert readers.published(spark, f"{folder}/p").count() == 2
+
+
+def test_clouds_of_archives(spark, folder):
+    rng = np.random.default_rng(1)
+    scans = []
+    for k, n in enumerate((5, 12, 0)):
+        xyz = rng.random((n, 3)).astype(np.float32)
+        more = {"rgb": rng.integers(0, 256, (n, 3)).astype(np.uint8)} if k == 1 else {}
+        np.savez_compressed(f"{folder}/scan_{k:02d}.npz", xyz=xyz, **more)
+        scans.append((xyz, more.get("rgb")))
+    with open(f"{folder}/manifest.json", "w") as f:
+        json.dump({"voxel": 0.01, "scans": [{"file": f"scan_{k:02d}.npz", "name": f"s{k}", "pointsRaw": 100 + k, "hasRGB": k == 1, "translation": [1.0, 2.0, float(k)], "rotation_wxyz": [1.0, 0.0, 0.0, 0.0]} for k in range(3)]}, f)
+    assert [(r["index"], r.file, r.points, r.hasRGB, r.translation[2]) for r in readers.archive_headers(spark, folder).orderBy("index").collect()] == [(k, f"scan_{k:02d}.npz", 100 + k, k == 1, float(k)) for k in range(3)]
+    got = {}
+    for r in readers.archive_cloud(spark, folder, chunk=5).collect():
+        got.setdefault(r.scan, []).append(tuple(r)[1:])
+    assert {k: len(v) for k, v in got.items()} == {0: 5, 1: 12}
+    for k in (0, 1):
+        xyz, rgb = scans[k]
+        assert sorted(got[k]) == [(i, *map(float, xyz[i]), *(map(int, rgb[i]) if rgb is not None else (None,) * 3)) for i in range(len(xyz))]
+    with open(f"{folder}/scan_01.npz", "wb") as f:
+        f.write(b"broken")  # not opened where it isn't asked for
+    assert readers.archive_cloud(spark, folder, [0]).count() == 5 and readers.archive_cloud(spark, folder, [7]).count() == 0
+
+
+def test_label_files_split_by_the_order_of_images(spark, folder):
+    rows = [(100 + 7 * k, 0, 0.5, 0.5, 0.25, 0.25) for k in range(20)]
+    sinks.label_files(spark.createDataFrame(rows, "image long, class int, cx double, cy double, w double, h double"), f"{folder}/labels")
+    assert sorted(int(n.split("=")[1]) for n in os.listdir(f"{folder}/labels/split=val") if "=" in n) == [100, 107, 114]
+    assert len([n for n in os.listdir(f"{folder}/labels/split=train") if "=" in n]) == 17
+
+
+def test_library_lookups(spark, folder):
+    from sightline.operators import triage
+
+    with open(f"{folder}/library.json", "w") as f:
+        json.dump({"assetTypes": [{"assetTypeId": "t1", "name": "Relay", "manufacturer": "M", "manufacturerDocs": [{"title": "Guide", "url": "u"}]}, {"assetTypeId": "t2", "name": "Meter"}], "instances": [{"instanceId": "i1", "assetTypeId": "t1", "documents": [{"title": "Report", "url": "v"}], "more": 1}]}, f)
+    types, instances = readers.library(spark, f"{folder}/library.json")
+    d = spark.createDataFrame([("d1", "t1", "i1"), ("d2", "t2", None), ("d3", "t9", "i9"), ("d4", None, None)], "id string, assetTypeId string, instanceId string")
+    got = {r.id: (r.type and r.type.name, r.library and r.library.documents[0].title) for r in triage.looked_up(d, types, instances).collect()}
+    assert got == {"d1": ("Relay", "Report"), "d2": ("Meter", None), "d3": (None, None), "d4": (None, None)}
 
 
 def test_readers_of_files_and_scans(spark, folder):
