@@ -113,12 +113,19 @@ def cylinder_hits(rays: DataFrame, points: DataFrame, start: float = 0.4, stop:
     if stop * tan > box:
         raise ValueError("cells must be at least as wide as the widest radius")
     n = int(2 * (stop - start) / box) + 1
-    s = rays.withColumn("_t", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: start + k * box / 2)))
-    for a in "xyz":
-        at = cell(F.col(f"o{a}") + F.col("_t") * F.col(f"d{a}"), box)
-        s = s.withColumn(f"_c{a}", F.explode(F.array(at - 1, at, at + 1)))
-    cells = s.select("site", "ray", "ox", "oy", "oz", "dx", "dy", "dz", "_cx", "_cy", "_cz").distinct()
-    p = points.select("site", "pid", "x", "y", "z", *(cell(a, box).alias(f"_c{a}") for a in "xyz"))
+    if stop / box > 500:
+        raise ValueError("a ray may cross 500 cells at most")
+    # a ray's cells, each once: as whole numbers of ten bits an axis, counted from the cell of its origin
+    steps = F.transform(F.sequence(F.lit(0), F.lit(n)), lambda k: start + k * box / 2)
+    part = lambda a, t: (cell(F.col(f"o{a}") + t * F.col(f"d{a}"), box) - cell(f"o{a}", box) + 512).cast("long")
+    middle = F.array_distinct(F.transform(steps, lambda t: part("x", t) * 2**20 + part("y", t) * 2**10 + part("z", t)))
+    around = F.array(*(F.lit(i * 2**20 + j * 2**10 + k).cast("long") for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
+    reached = F.array_distinct(F.flatten(F.transform(middle, lambda c: F.transform(around, lambda d: c + d))))
+    s = rays.select("site", "ray", "ox", "oy", "oz", "dx", "dy", "dz", F.explode(reached).alias("_at"))
+    for a, low in (("x", 20), ("y", 10), ("z", 0)):
+        s = s.withColumn(f"_c{a}", cell(f"o{a}", box).cast("long") + F.shiftright("_at", low).bitwiseAND(F.lit(1023)) - 512)
+    cells = s.drop("_at")
+    p = points.select("site", "pid", "x", "y", "z", *(cell(a, box).cast("long").alias(f"_c{a}") for a in "xyz"))
     j = cells.join(p, ["site", "_cx", "_cy", "_cz"])
     along = sum(((F.col(a) - F.col(f"o{a}")) * F.col(f"d{a}") for a in "xyz"), F.lit(0.0))
     off = sum(((F.col(a) - F.col(f"o{a}") - F.col("t") * F.col(f"d{a}")) ** 2 for a in "xyz"), F.lit(0.0))
@@ -258,16 +265,34 @@ def grid_edges(cells: DataFrame, by: str, eight: bool = True) -> DataFrame:
     return n.join(c, [by, "ix", "iy"]).select(F.struct(F.col(by), F.col("a.ix"), F.col("a.iy")).alias("a"), F.struct(by, "ix", "iy").alias("b"))
 
 
+def gaps_between(cells: DataFrame, by: str) -> DataFrame:
+    """Empty stretches between cells of a row: (by, iy, a, b), ends included."""
+    w = Window.partitionBy(by, "iy").orderBy("ix")
+    g = cells.select(by, "iy", (F.lag("ix").over(w) + 1).alias("a"), (F.col("ix") - 1).alias("b"))
+    return g.where("a <= b")
+
+
 def filled(cells: DataFrame, by: str, components) -> DataFrame:
-    """Cells plus the holes in them: empty cells of the bounding box that no path joins to its border."""
-    b = cells.groupBy(by).agg(*(f(F.col(c)).alias(f"{c}_{n}") for c in ("ix", "iy") for n, f in (("lo", F.min), ("hi", F.max))))
-    box = b.select(by, F.explode(F.sequence(F.col("ix_lo") - 1, F.col("ix_hi") + 1)).alias("ix"), "iy_lo", "iy_hi", "ix_lo", "ix_hi")
-    box = box.withColumn("iy", F.explode(F.sequence(F.col("iy_lo") - 1, F.col("iy_hi") + 1)))
-    empty = box.join(cells.select(by, "ix", "iy"), [by, "ix", "iy"], "left_anti")
-    comp = components(grid_edges(empty, by, eight=False))
-    node = empty.withColumn("node", F.struct(by, "ix", "iy")).join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    outer = node.where("ix < ix_lo or ix > ix_hi or iy < iy_lo or iy > iy_hi").select("root").distinct()
-    return cells.select(by, "ix", "iy").unionByName(node.join(outer, "root", "left_anti").select(by, "ix", "iy"))
+    """Cells (distinct) plus the holes in them: empty cells that no path of four neighbours joins to the outside.
+
+    Works on the empty stretches between cells of a row, of which there are fewer than cells, however large the box around
+    them: two that touch in neighbouring rows are joined, and what touches a row's outside, or a row without cells, is
+    outside. Whom a stretch's ends touch is found in order of place, not by pairs."""
+    cells = cells.select(by, "ix", "iy")
+    gaps, _ = kept(gaps_between(cells, by).withColumn("node", F.struct(by, "iy", "a")), "gaps")  # read several times
+    rows = cells.groupBy(by, "iy").agg(F.min("ix").alias("lo"), F.max("ix").alias("hi"))
+    next_to = gaps.select(by, "node", "a", "b", F.explode(F.array(F.lit(-1), F.lit(1))).alias("step")).withColumn("iy", F.col("node.iy") + F.col("step"))
+    j = next_to.join(rows, [by, "iy"], "left")
+    open_ = j.where("lo is null or a < lo or b > hi").select("node").distinct()
+    here = gaps.select(by, "iy", F.col("a").alias("at"), F.lit(0).alias("asks"), "node", "b")
+    ask = next_to.select(by, "iy", F.col("a").alias("at"), F.lit(1).alias("asks"), "node", F.lit(None).cast("long").alias("b"))
+    upto = Window.partitionBy(by, "iy").orderBy("at", "asks")
+    met = here.withColumn("b", F.col("b").cast("long")).unionByName(ask).withColumn("other", F.last(F.when(F.col("asks") == 0, F.struct("node", "b")), ignorenulls=True).over(upto))
+    edges = met.where("asks = 1 and other.b >= at").select(F.col("node").alias("a"), F.col("other.node").alias("b"))
+    labelled = gaps.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    outside = labelled.join(open_, "node", "left_semi").select("root").distinct()
+    holes = labelled.join(outside, "root", "left_anti").select(by, F.explode(F.sequence("a", "b")).alias("ix"), "iy")
+    return cells.unionByName(holes)
 
 
 def disc_share(centres: DataFrame, cells: DataFrame, grid: DataFrame, radius: float, size: float, site: str) -> DataFrame:

@@ -74,6 +74,17 @@ def test_components_and_holes_of_a_grid(grid):
     assert {(v.ix, v.iy) for v in P.filled(df, "room", C.components).collect()} == cells | holes
 
 
+def test_holes_of_far_cells(spark):
+    """A frame, a ring in its hole, an open bay, and one cell a million rows away: only holes are filled."""
+    frame = {(x, y) for x in range(12) for y in range(9)} - {(x, y) for x in range(1, 11) for y in range(1, 8)}
+    ring = {(x, y) for x in range(4, 8) for y in range(3, 6)} - {(5, 4), (6, 4)}
+    bay = {(20, y) for y in range(6)} | {(25, y) for y in range(6)} | {(x, 0) for x in range(20, 26)}
+    cells = frame | ring | bay | {(3, 1_000_000), (-1_000_000, 4)}
+    df = spark.createDataFrame([(0, *c) for c in cells], "room long, ix long, iy long")
+    got = {(r.ix, r.iy) for r in P.filled(df, "room", C.components).collect()}
+    assert got == cells | {(x, y) for x in range(12) for y in range(9)}
+
+
 def test_morphology(grid):
     cells, df = grid
     sq = list(P.SQUARE)
