@@ -204,7 +204,16 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.suppressed(A.boxes(spark, sf_dir), ["view"]).select("ord", "view", F.round("conf", 6).alias("conf"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {A.BOX}, b AS (SELECT view AS scan, ord, size, sin(radians(yaw)) * cos(radians(pitch)) AS vx, cos(radians(yaw)) * cos(radians(pitch)) AS vy, sin(radians(pitch)) AS vz,
+ row_number() OVER (PARTITION BY view ORDER BY conf DESC, ord) AS k FROM box),
+r(scan, k, leads, got) AS (SELECT scan, 1, [{{'ord': ord, 'vx': vx, 'vy': vy, 'vz': vz, 'size': size}}], [{{'ord': ord, 'cluster': 0, 'leader': ord}}] FROM b WHERE k = 1 UNION ALL
+ SELECT scan, k, CASE WHEN place = 0 THEN list_append(leads, me) ELSE leads END,
+ list_append(got, {{'ord': me.ord, 'cluster': CAST(CASE WHEN place = 0 THEN len(leads) ELSE place - 1 END AS INTEGER), 'leader': CASE WHEN place = 0 THEN me.ord ELSE leads[place].ord END}})
+ FROM (SELECT r.scan, r.k + 1 AS k, leads, got, {{'ord': b.ord, 'vx': b.vx, 'vy': b.vy, 'vz': b.vz, 'size': b.size}} AS me,
+ coalesce(list_position(list_transform(leads, lambda m: degrees(acos(least(greatest(m.vx * b.vx + m.vy * b.vy + m.vz * b.vz, -1), 1))) <= 0.5 * greatest(m.size, b.size)), true), 0) AS place
+ FROM r JOIN b ON b.scan = r.scan AND b.k = r.k + 1) n),
+e AS (SELECT scan, arg_max(got, k) AS got FROM r GROUP BY scan), x AS (SELECT scan, unnest(got) AS g FROM e)
+SELECT scan, g.ord AS ord, CAST(g.cluster AS BIGINT) AS cluster, g.leader AS leader FROM x""")
 def leader_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent; a test compares with a plain loop."""
     return C.led_clusters(A.boxes(spark, sf_dir).withColumn("scan", F.col("view")), "scan")

@@ -530,7 +530,19 @@ def registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT s_suppkey // 8 AS site, s_suppkey AS a, CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 11 / 10 END AS x, CAST(s_suppkey % 13 AS DOUBLE) AS y FROM supplier),
+c AS (SELECT c_custkey // 120 AS site, c_custkey AS b, CASE WHEN c_custkey % 3 <> 1 THEN c_custkey % 11 / 10 + 0.05 END AS x, CAST(c_custkey % 13 AS DOUBLE) AS y FROM customer),
+m AS (SELECT unnest([1, 3]) AS m), sv AS (SELECT s.*, a * m % 4 AS scan, a * m * 7 % 360 - 180 AS yaw, a * m % 40 - 20 AS pitch FROM s, m), cv AS (SELECT c.*, b * m % 4 AS scan, b * m * 7 % 360 - 180 AS yaw, b * m % 40 - 20 AS pitch FROM c, m),
+p AS (SELECT s.site, a, b FROM s JOIN c ON s.site = c.site WHERE sqrt((s.x - c.x) ** 2 + (s.y - c.y) ** 2 + (1.0::DOUBLE - 1.1::DOUBLE) ** 2) <= 0.3 UNION
+ SELECT sv.site, a, b FROM sv JOIN cv ON sv.site = cv.site AND sv.scan = cv.scan WHERE (sv.x IS NULL OR cv.x IS NULL) AND {_ang('sv.yaw', 'sv.pitch', 'cv.yaw', 'cv.pitch')} <= 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY a, b) AS k FROM p),
+r(site, k, was, bs) AS (SELECT site, 1, [a], [b] FROM o WHERE k = 1 UNION ALL
+ SELECT r.site, r.k + 1, CASE WHEN fine THEN list_append(was, a) ELSE was END, CASE WHEN fine THEN list_append(bs, b) ELSE bs END
+ FROM (SELECT r.*, o.a, o.b, NOT list_contains(was, o.a) AND NOT list_contains(bs, o.b) AS fine FROM r JOIN o ON o.site = r.site AND o.k = r.k + 1) r),
+e AS (SELECT site, arg_max(was, k) AS was, arg_max(bs, k) AS bs FROM r GROUP BY site), t AS (SELECT site, unnest(was) AS a, unnest(bs) AS b FROM e),
+j AS (SELECT c.*, t.a, top FROM c LEFT JOIN t ON t.site = c.site AND t.b = c.b LEFT JOIN (SELECT site, max(a) AS top FROM s GROUP BY site) u ON u.site = c.site)
+SELECT site, coalesce(a, coalesce(top, 0) + row_number() OVER (PARTITION BY site, a IS NULL ORDER BY x DESC NULLS LAST, y, b)) AS device, 'seen' AS state FROM j
+UNION ALL SELECT s.site, s.a, 'missing' FROM s LEFT JOIN t ON t.site = s.site AND t.a = s.a WHERE t.a IS NULL""")
 def match_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids kept across a rerun: earlier devices, in order, take the first free cluster that may be them; the others count
     on by place (-x, y, z). A test compares with a plain loop."""
@@ -660,7 +672,14 @@ def tag_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sampled(d, "device", F.col("scan").isin(2, 5), 5).select("device", "id", "scan")
 
 
-@query()
+@query(f"""WITH RECURSIVE {A.DET}, h AS (SELECT device // 30 AS site, device, device % 4 <> 0 AS later, ord, id, id % 1000 // 90 AS scan FROM det WHERE scan IS NOT NULL),
+f AS (SELECT *, dense_rank() OVER (PARTITION BY site, scan ORDER BY later, device) AS n FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY later, device, ord, id, scan) AS k FROM f WHERE n <= 8),
+r(site, k, took) AS (SELECT site, 1, [{{'device': device, 'id': id, 'scan': scan}}] FROM o WHERE k = 1 UNION ALL
+ SELECT r.site, r.k + 1, CASE WHEN len(took) < 8 AND len(list_filter(took, lambda t: t.scan = o.scan OR t.device = o.device)) = 0 THEN list_append(took, {{'device': o.device, 'id': o.id, 'scan': o.scan}}) ELSE took END
+ FROM r JOIN o ON o.site = r.site AND o.k = r.k + 1),
+e AS (SELECT site, arg_max(took, k) AS took FROM r GROUP BY site), x AS (SELECT site, took, unnest(range(1, len(took) + 1)) AS place FROM e)
+SELECT CAST(site AS BIGINT) AS site, took[place].device AS device, took[place].id AS id, CAST(took[place].scan AS BIGINT) AS scan, CAST(place AS INTEGER) AS place FROM x""")
 def ray_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-dependent choice of rays to look at, for each block of users; a test compares with a plain loop."""
     d, k = A.detections(spark, sf_dir), F.col("device")

@@ -488,7 +488,14 @@ def device_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.device_faces(*Y.row_frames(*row_inputs(spark, sf_dir), "room", 0.25), "room")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MASK}, cr AS (SELECT unnest([0, 1, -1, 0, 0]) AS i, unnest([0, 0, 0, 1, -1]) AS j), e0 AS (SELECT room, ix - i AS ix, iy - j AS iy FROM c, cr
+ GROUP BY 1, 2, 3 HAVING count(*) = 5), o AS (SELECT DISTINCT room, ix + i AS ix, iy + j AS iy FROM e0, cr),
+al AS (SELECT room * 2 AS room, iy AS line, ix AS v FROM o UNION ALL SELECT room * 2 + 1, ix, iy FROM o),
+g AS (SELECT *, v - row_number() OVER (PARTITION BY room, line ORDER BY v) AS run FROM al), w AS (SELECT *, count(*) OVER (PARTITION BY room, line, run) AS m FROM g),
+n AS (SELECT room, line AS ix, v AS iy FROM w WHERE m >= 3), {JOINED},
+z AS (SELECT room, min(iy) * 0.25 AS a, (max(iy) + 1) * 0.25 AS b, (quantile_cont(ix, 0.5) + 0.5) * 0.25 AS mid FROM k GROUP BY room, root HAVING (max(ix) - min(ix) + 1) * 0.25 <= 1.0)
+SELECT room // 2 AS room, CASE room % 2 WHEN 0 THEN 'x' ELSE 'y' END AS axis, CAST(CASE room % 2 WHEN 0 THEN a ELSE mid - 0.075 END AS DOUBLE) AS x0, CAST(CASE room % 2 WHEN 0 THEN b ELSE mid + 0.075 END AS DOUBLE) AS x1,
+ CAST(CASE room % 2 WHEN 0 THEN mid - 0.075 ELSE a END AS DOUBLE) AS y0, CAST(CASE room % 2 WHEN 0 THEN mid + 0.075 ELSE b END AS DOUBLE) AS y1 FROM z""")
 def partition_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Straight lines of tall cells; a test has a room with known walls."""
     return Y.partitions(P.opened(mask(spark, sf_dir), "room", P.CROSS), "room", 0.25, thickest=1.0)
