@@ -646,6 +646,16 @@ def cross_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumns({"auto_rate": F.round("auto_rate", 6)} | {c: F.round(c, 5) for c in ("median_dist", "max_dist")})
 
 
+@query(f"""WITH {PAIRING}, sn AS (SELECT site, count(*) AS headers FROM h GROUP BY site), sp AS (SELECT site, count(*) AS points FROM c GROUP BY site),
+sg AS (SELECT site, count(*) AS paired, max(dist) AS worst, bool_and(used = 1 AND dist < 0.1) AS s FROM f GROUP BY site)
+SELECT 'A0' AS gate, bool_and(coalesce(headers, 0) = coalesce(points, 0) AND coalesce(paired, 0) = coalesce(headers, 0) AND coalesce(s, false)) AS passed, round(max(worst), 5) AS value
+ FROM sn FULL JOIN sp USING (site) LEFT JOIN sg USING (site)""")
+def pairing_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate A0: all sites' headers are paired one to one."""
+    h, c = pairing_sides(spark, sf_dir)
+    return gates.paired(L.pairing_gate(L.nearest_pairing(h, c), h, c)).withColumn("value", F.round("value", 5))
+
+
 @query(f"""WITH {CROSS}, h AS (SELECT 'A5' AS gate, avg(CASE method WHEN 'ray' THEN 1.0 ELSE 0.0 END) FILTER (id % 2 = 0) >= 0.8 AND quantile_cont(dist,
  0.5) < 0.1 AS passed, round(quantile_cont(dist, 0.5), 5) AS value FROM x),
 n AS (SELECT user_id AS cluster, event_id % 97 AS device, count(*) AS n FROM events GROUP BY 1, 2),
@@ -656,7 +666,7 @@ w AS (SELECT 'walkway' AS gate, avg((s_suppkey % 25 = 0)::INT) < 0.05 AS passed,
 z AS (SELECT 'sizes' AS gate, sum(strlen(c_name)) < 100000 AS passed, CAST(sum(strlen(c_name)) AS DOUBLE) AS value FROM customer)
 SELECT * FROM h UNION ALL SELECT * FROM a UNION ALL SELECT * FROM w UNION ALL SELECT * FROM z""".replace("h AS (SELECT 'A5'", "h5 AS (SELECT 'A5'").replace("SELECT * FROM h UNION", "SELECT * FROM h5 UNION"))
 def publication_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gates of distances, clusters, walkway and sizes (A0 and A3 are in tests)."""
+    """Gates of distances, clusters, walkway and sizes; ``pairing_gates`` and ``reprojection_gate`` are the others."""
     m = table(spark, sf_dir, "events").select(F.col("user_id").alias("cluster"), (F.col("event_id") % 97).alias("device"))
     discs = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 25 == 0).alias("blocked"))
     size = table(spark, sf_dir, "customer").agg(F.sum(F.octet_length("c_name")).alias("text_bytes"), F.lit(0).alias("picture_bytes"))

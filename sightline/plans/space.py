@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import expressions as E
 from sightline.operators import cluster as C
+from sightline.operators import gates
 from sightline.operators import layout as Y
 from sightline.operators import spatial as P
 from sightline.plans import adapters as A
@@ -520,6 +521,17 @@ def ring_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.pmod(F.round("shift"), F.lit(64.0)).cast("int").alias("shift"), (F.col("peak") > 0.99).alias("sure"))
 
 
+@query()
+def reprojection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gate A3 over vectors as pictures of four rows, one in nine turned by a bin; tests have known pictures."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    row = lambda k: F.slice("v", F.lit(16 * k + 1), F.lit(16))
+    turn = lambda r: F.when(F.col("vec_id") % 9 == 0, F.concat(F.slice(r, 16, 1), F.slice(r, 1, 15))).otherwise(r)
+    rows = [row(k) for k in range(4)]
+    pictures = e.select("vec_id", F.array(*rows).alias("render"), F.array(*map(turn, rows)).alias("photo"), F.array(*map(F.reverse, rows)).alias("mirror"))
+    return gates.reprojected(Y.reprojection(pictures, "vec_id")).withColumn("value", F.round("value", 5))
+
+
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: the events as a stream, in hourly windows; every batch's changed windows are appended, the last of each counts."""
