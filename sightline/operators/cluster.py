@@ -2,24 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.operators import greedy
 from sightline.operators.link import within_tolerance
 from sightline.sources.shared import forget, kept
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task joins; more are contracted in rounds.
+FEW_EDGES = 100_000
+
+
+def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of a few edges (lo, hi) in one task: each node with the smallest of its component."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    ends = pa.concat_arrays([b.column(c) for c in ("lo", "hi") for b in held])
+    plain = lambda x: tuple(map(plain, x.values())) if isinstance(x, dict) else x
+    keys = [plain(x) for x in ends.to_pylist()]
+    place = {k: i for i, k in enumerate(sorted(set(keys)))}
+    ids = np.array([place[k] for k in keys])
+    least = np.arange(len(place))
+    lo, hi = ids[: len(ids) // 2], ids[len(ids) // 2 :]
+    while True:  # every end takes the smaller root, and roots the roots of theirs, until none changes
+        m = np.minimum(least[lo], least[hi])
+        new = least.copy()
+        for end in (lo, hi):
+            np.minimum.at(new, end, m)
+            np.minimum.at(new, least[end], m)
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    first = np.zeros(len(place), dtype=np.int64)
+    first[ids[::-1]] = np.arange(len(ids))[::-1]
+    yield pa.RecordBatch.from_arrays([ends.take(pa.array(first)), ends.take(pa.array(first[least]))], names=["node", "root"])
+
+
+def components(edges: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """``node, root`` (smallest node of its component) of all nodes with an edge (a, b).
 
-    Alternates pointing every neighbour at the smallest one around it with keeping one pointer a node, so long chains
+    Up to ``few`` edges, by count, are joined in one task. Of more it alternates pointing every neighbour at the smallest one around it with keeping one pointer a node, so long chains
     shorten by half and hubs stay single rows. Stops when nothing changes; an error if that isn't so after ``rounds``.
     """
     e = edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     (e, path), before = kept(e, "components"), None
+    if e.limit(few + 1).count() <= few:
+        kind = e.schema["lo"].dataType
+        return e.coalesce(1).mapInArrow(joined, T.StructType([T.StructField("node", kind), T.StructField("root", kind)]))
     for _ in range(rounds):
         ends = e.unionByName(e.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
         least = ends.groupBy("lo").agg(F.least(F.min("hi"), F.first("lo")).alias("m"))

@@ -114,3 +114,14 @@ def test_percentiles_of_skewed_values(spark, monkeypatch):
     # what is put in order of the skewed key: a small share of its values for each percentile
     brackets = spark.createDataFrame([(float(x),) for x in v["a"]], "v double").agg(F.percentile_approx("v", [0.5 - 3 / 1000, 0.5 + 3 / 1000], 1000)).first()[0]
     assert ((v["a"] >= brackets[0]) & (v["a"] <= brackets[1])).sum() <= 8 * len(v["a"]) / 1000 + 2
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "struct<site:long,id:string>"])
+def test_components_in_a_task_as_in_rounds(spark, kind):
+    rng = random.Random(4)
+    pairs = [(k, k + 1) for k in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(7, 7), (900, 899), (899, 900)]
+    node = {"long": lambda c: F.col(c), "string": lambda c: F.col(c).cast("string")}.get(kind, lambda c: F.struct((F.col(c) % 3 * 0).alias("site"), F.col(c).cast("string").alias("id")))
+    e = spark.createDataFrame(pairs, "a long, b long").select(node("a").alias("a"), node("b").alias("b"))
+    one, many = (sorted(map(tuple, C.components(e, few=few).collect())) for few in (1000, 0))
+    assert one == many and len(one) > 200 and C.components(e.limit(0)).count() == 0
+    assert C.components(e).dtypes == C.components(e, few=0).dtypes
