@@ -105,12 +105,12 @@ def suppressed(c: DataFrame, by: list[str], most: int = greedy.MOST) -> DataFram
         pdf = pdf.sort_values(["conf", "ord"], ascending=[False, True], kind="stable")
         b = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float)
         cx, cy = (b[:, 0] + b[:, 2]) / 2, (b[:, 1] + b[:, 3]) / 2
-        kept: list[int] = []
+        # which centres lie in which boxes: a group is small, so the square of it is
+        inside = (b[:, 0] <= cx[:, None]) & (cx[:, None] <= b[:, 2]) & (b[:, 1] <= cy[:, None]) & (cy[:, None] <= b[:, 3])
+        kept = np.zeros(len(b), bool)
         for k in range(len(b)):
-            m = b[kept]
-            if not ((m[:, 0] <= cx[k]) & (cx[k] <= m[:, 2]) & (m[:, 1] <= cy[k]) & (cy[k] <= m[:, 3])).any():
-                kept.append(k)
-        return pdf.iloc[kept]
+            kept[k] = not (inside[k] & kept).any()
+        return pdf[kept]
 
     small, large = greedy.split_by_size(c, by, most)
     out = small.groupBy(*by).applyInPandas(run, c.schema)
