@@ -25,6 +25,21 @@ def voxel_first(points: DataFrame, size: float, keep: list[str], by: list[str] |
     return p.groupBy(*keys).agg(F.min_by(F.struct("ord", "x", "y", "z", *keep), "ord").alias("p"), F.count("*").alias("n")).select(*keys, "p.*", "n")
 
 
+def cloud_levels(points: DataFrame, fine: float, coarse: float, keep: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A cloud of scans (scan, ord, x, y, z) at two sizes, and a row for each scan: (fine, coarse, scans).
+
+    Each scan is thinned to ``fine`` voxels by itself, then all together, then to ``coarse`` ones from what is left: always
+    the first point, in order of scan and ``ord``, so whole scans are shuffled once, and afterwards what they left.
+    ``scans`` has points read, points left and the mean place of a scan."""
+    thin = points.select("*", *(cell(c, fine).alias(f"i{c}") for c in "xyz")).groupBy("scan", "ix", "iy", "iz").agg(F.min_by(F.struct("ord", "x", "y", "z", *keep), "ord").alias("p"))
+    each, _ = kept(thin.select("scan", "p.*"), "scans")
+    first = each.withColumn("ord", F.struct("scan", "ord")).drop("scan")
+    small = voxel_first(first, fine, keep).drop("n")
+    read = points.groupBy("scan").agg(F.count("*").alias("read"), *(F.avg(c).alias(f"mean_{c}") for c in "xyz"))
+    scans = read.join(each.groupBy("scan").agg(F.count("*").alias("left")), "scan", "left")
+    return small, voxel_first(small.drop("ix", "iy", "iz"), coarse, keep).drop("n"), scans
+
+
 def clean(points: DataFrame) -> DataFrame:
     return points.where(finite("x", "y", "z"))
 

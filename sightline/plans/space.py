@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,19 @@ def voxel_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.voxel_first(P.clean(A.points(spark, sf_dir)), 0.5, ["pid"]).select("ix", "iy", "iz", "pid", "n")
 
 
+_line = "(room, l_orderkey, l_linenumber, pid, l_suppkey, l_extendedprice)"
+
+
+@query(f"""WITH {A.PTS}, f AS (SELECT CAST(floor(x / 0.25) AS BIGINT) AS ix, CAST(floor(y / 0.25) AS BIGINT) AS iy, CAST(floor(z / 0.25) AS BIGINT) AS iz, arg_min(pid, {_line}) AS pid FROM pts GROUP BY 1, 2, 3),
+g AS (SELECT CAST(floor(x / 1.5) AS BIGINT) AS ix, CAST(floor(y / 1.5) AS BIGINT) AS iy, CAST(floor(z / 1.5) AS BIGINT) AS iz, arg_min(pid, {_line}) AS pid FROM pts GROUP BY 1, 2, 3)
+SELECT 'fine' AS level, * FROM f UNION ALL SELECT 'coarse', * FROM g""")
+def voxel_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans thinned by themselves, together and once more; the SQL takes each level from all points, with the same rows."""
+    points = P.clean(A.points(spark, sf_dir)).withColumnRenamed("room", "scan")
+    fine, coarse, _ = P.cloud_levels(points, 0.25, 1.5, ["pid"])
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("level"), "ix", "iy", "iz", "pid") for name, df in (("fine", fine), ("coarse", coarse))))
+
+
 @query("""SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.001), 2) AS lo, round(quantile_cont(l_extendedprice, 0.5), 2) AS mid,
  round(quantile_cont(l_extendedprice, 0.995), 2) AS hi, round(quantile_cont(l_extendedprice, 0.999), 2) AS top FROM lineitem GROUP BY 1""")
 def percentile_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,12 @@ def json_map(spark: SparkSession, path: str, value_schema: str, key: str) -> Dat
     return m.select(F.posexplode("m").alias("ord", "e")).select("ord", F.col("e.key").alias(key), "e.value.*")
 
 
+def source_hash(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` and the first twelve digits of the SHA-1 of each text file, lines ending as on any system."""
+    one = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", "\r\n", "\n").alias("text"))
+    return one.select("path", F.substring(F.sha1("text"), 1, 12).alias("hash"))
+
+
 def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The file's rows, or none where there is no file."""
     return json_array(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)

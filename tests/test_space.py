@@ -554,6 +554,30 @@ def test_label_files_split_by_the_order_of_images(spark, folder):
     assert len([n for n in os.listdir(f"{folder}/labels/split=train") if "=" in n]) == 17
 
 
+def test_source_hashes(spark, folder):
+    import hashlib
+
+    for name, text in (("a.json", b'{"x": 1}\r\n\r\n["\xc3\xa4"]\r\n'), ("b.json", b'{"x": 1}\n\n["\xc3\xa4"]\n'), ("c.json", b"other\n")):
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(text)
+    got = {r.path.rsplit("/", 1)[1]: r.hash for r in readers.source_hash(spark, f"{folder}/*.json").collect()}
+    assert got["a.json"] == got["b.json"] == hashlib.sha1(b'{"x": 1}\n\n["\xc3\xa4"]\n').hexdigest()[:12] and got["c.json"] != got["a.json"]
+
+
+def test_levels_of_a_cloud(spark):
+    rng = random.Random(2)
+    rows = [(f"s{k % 3}", k, rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(0, 0.3)) for k in range(600)]
+    fine, coarse, scans = P.cloud_levels(spark.createDataFrame(rows, "scan string, ord long, x double, y double, z double").repartition(5), 0.2, 0.7, [])
+    for df, size in ((fine, 0.2), (coarse, 0.7)):
+        want = {}
+        for s, k, *p in sorted(rows):
+            want.setdefault(tuple(int(np.floor(v / size)) for v in p), (s, k))
+        assert {(r.ix, r.iy, r.iz): tuple(r.ord) for r in df.collect()} == want
+    got = {r.scan: r for r in scans.collect()}
+    assert all(r["read"] == 200 and r.left <= 200 for r in got.values()) and got["s1"].mean_x == pytest.approx(np.mean([r[2] for r in rows if r[0] == "s1"]))
+    assert got["s0"].left == len({tuple(int(np.floor(v / 0.2)) for v in r[2:]) for r in rows if r[0] == "s0"})
+
+
 def test_library_lookups(spark, folder):
     from sightline.operators import triage
 
