@@ -360,7 +360,8 @@ def _ang(y1: str, p1: str, y2: str, p2: str) -> str:
     return (f"degrees(acos(least(greatest(sin(radians({p1})) * sin(radians({p2})) + cos(radians({p1})) * cos(radians({p2})) * cos(radians({y1} - {y2})), -1), 1)))")
 
 
-@query(f"""WITH {A.DET}, {A.SCANS}, s AS (SELECT s_suppkey AS device, s_suppkey // 24 AS site, s_suppkey - s_suppkey % 3 AS ascan,
+#: Links of detections by SQL, as a table `links`.
+LINKS = f"""{A.DET}, {A.SCANS}, s AS (SELECT s_suppkey AS device, s_suppkey // 24 AS site, s_suppkey - s_suppkey % 3 AS ascan,
  CAST(s_suppkey * 61 % 3600 AS DOUBLE) / 10 - 180 AS ayaw, CAST(s_suppkey * 13 % 60 - 30 AS DOUBLE) AS apitch,
  CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 11 AS DOUBLE) / 2 END AS x, CAST(s_suppkey % 13 AS DOUBLE) AS y, CAST(2.0 AS DOUBLE) AS z,
  CAST(2.0 AS DOUBLE) + s_suppkey % 3 AS tol FROM supplier),
@@ -370,10 +371,13 @@ v AS (SELECT device, tol, ascan AS scan, ayaw AS vyaw, apitch AS vpitch FROM s U
  SELECT device, tol, scan, degrees(atan2(dx, dy)), degrees(asin(least(greatest(dz / r, -1), 1))) FROM p WHERE r <= 8),
 q AS (SELECT d.id, v.device, {_ang('yaw', 'pitch', 'vyaw', 'vpitch')} AS dist, tol FROM det d JOIN v ON d.scan = v.scan),
  m AS (SELECT id, device, min(dist) AS dist FROM q WHERE dist <= tol GROUP BY 1, 2),
-b AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS second FROM m WINDOW w AS (PARTITION BY id ORDER BY dist, device))
-SELECT det.id, CASE WHEN coalesce(second - dist < 1, false) THEN NULL ELSE b.device END AS device, round(dist, 5) AS dist,
+b AS (SELECT *, row_number() OVER w AS rn, lead(dist) OVER w AS second FROM m WINDOW w AS (PARTITION BY id ORDER BY dist, device)),
+links AS (SELECT det.id, CASE WHEN coalesce(second - dist < 1, false) THEN NULL ELSE b.device END AS device, round(dist, 5) AS dist,
  CASE WHEN b.device IS NULL THEN 'none' WHEN coalesce(second - dist < 1, false) THEN 'ambiguous' ELSE 'linked' END AS outcome FROM det LEFT
- JOIN b ON det.id = b.id AND rn = 1""")
+ JOIN b ON det.id = b.id AND rn = 1)"""
+
+
+@query(f"WITH {LINKS} SELECT * FROM links")
 def link_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = L.link(A.detections(spark, sf_dir), L.views_of(linkable(spark, sf_dir), A.scans(spark, sf_dir)))
     # of an ambiguous detection the device is null; `none` has no device in either form

@@ -16,16 +16,26 @@ from sightline.sources.shared import exists
 from sightline.sources.sinks import POINTER
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """An array of objects, or files of one object a line, with a fixed schema. Bad records keep nulls."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def json_array(spark: SparkSession, path: str, schema: str, lines: bool | None = None) -> DataFrame:
+    """An array of objects, or files of one object a line, with a fixed schema. Bad records keep nulls.
+
+    ``lines`` says which; where it is null the first line that isn't blank does. Files of lines are split among tasks; a
+    file with an array is read by one.
+    """
+    if lines is None:
+        first = spark.read.text(path).where("trim(value) <> ''").first()
+        text = first["value"].strip() if first is not None else ""
+        lines = text.startswith("{") and text.endswith("}")
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def json_map(spark: SparkSession, path: str, value_schema: str, key: str) -> DataFrame:
-    """An object whose names are keys: one row for each, in file order (``ord``)."""
+    """An object whose names are keys: one row for each, in file order (``ord``). Of a folder with one file for each value
+    of its partition columns these columns come first."""
     raw = spark.read.text(path, wholetext=True)
-    m = raw.select(F.map_entries(F.from_json("value", f"map<string,struct<{value_schema}>>")).alias("m"))
-    return m.select(F.posexplode("m").alias("ord", "e")).select("ord", F.col("e.key").alias(key), "e.value.*")
+    by = [c for c in raw.columns if c != "value"]
+    m = raw.select(*by, F.map_entries(F.from_json("value", f"map<string,struct<{value_schema}>>")).alias("m"))
+    return m.select(*by, F.posexplode("m").alias("ord", "e")).select(*by, "ord", F.col("e.key").alias(key), "e.value.*")
 
 
 def source_hash(spark: SparkSession, path: str) -> DataFrame:
@@ -43,13 +53,16 @@ def poses(spark: SparkSession, path: str) -> DataFrame:
     return with_scan_ids(json_map(spark, path, S.POSE.replace("\n", " "), "image"))
 
 
-def with_scan_ids(images: DataFrame) -> DataFrame:
-    """Images of one place (position rounded to centimetres) share a dense id, counted in first-seen order."""
+def with_scan_ids(images: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Images of one place (position rounded to centimetres) share a dense id, counted in first-seen order; of several
+    sites (columns ``by``, without nulls) each counts its own."""
+    by = by or []
     key = F.transform("translation", lambda v: half_even(v, 2))
-    seen = images.groupBy(key.alias("_k")).agg(F.min("ord").alias("_first"))
+    seen = images.groupBy(*by, key.alias("_k")).agg(F.min("ord").alias("_first"))
     # one row for each place: a site's cameras, so numbering them in one window is small
-    ids = seen.withColumn("n", F.row_number().over(Window.orderBy("_first")) - 1).select("_k", F.concat(F.lit("scan-"), zero_padded(F.col("n"))).alias("scanPointId"))
-    return images.withColumn("_k", key).join(ids, "_k").drop("_k")
+    ids = seen.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("_first")) - 1)
+    ids = ids.select(*by, "_k", F.concat(F.lit("scan-"), zero_padded(F.col("n"))).alias("scanPointId"))
+    return images.withColumn("_k", key).join(ids, [*by, "_k"]).drop("_k")
 
 
 def store(spark: SparkSession, path: str, schema: str, seed: DataFrame) -> tuple[DataFrame, bool]:
@@ -152,6 +165,6 @@ def query_filters(params: dict[str, str], allowed: dict[str, str]) -> dict[str,
     return out
 
 
-def scan_images(images: DataFrame) -> DataFrame:
-    """Images of each scan, in file order."""
-    return images.groupBy("scanPointId").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "image"))), lambda s: s["image"]).alias("images"))
+def scan_images(images: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Images of each scan, in file order; of several sites by their columns ``by`` too."""
+    return images.groupBy(*(by or []), "scanPointId").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "image"))), lambda s: s["image"]).alias("images"))

@@ -19,12 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver's program ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    KEPT[path] = spark
+    return path
+
+
 def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written once to the shared folder and read back, and its path: cuts the plan, so that a lost executor loses
     nothing and a result that is used several times is worked out once."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    KEPT[path] = spark
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

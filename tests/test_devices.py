@@ -14,6 +14,7 @@ from sightline.operators import live as V
 from sightline.operators import maintenance as M
 from sightline.operators import triage as T
 from sightline.operators import triangulate as G
+from sightline.sources import readers, sinks
 
 D = dt.date.fromisoformat
 
@@ -398,6 +399,9 @@ def test_reset_leaves_the_seed(spark, tmp_path):
     spark.createDataFrame([("s1", 3), ("u1", 1)], seed.schema).write.parquet(f"{tmp_path}/log")
     M.reset(seed, f"{tmp_path}/log")
     assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/log").collect()] == [("s1", 1)]
+    sinks.put(seed.union(seed), f"{tmp_path}/published")
+    M.reset(seed, f"{tmp_path}/published")
+    assert [tuple(r) for r in readers.published(spark, f"{tmp_path}/published").collect()] == [("s1", 1)]
 
 
 def test_marker_lines(spark):

@@ -472,6 +472,40 @@ def test_readers(spark, folder):
     assert readers.query_filters({"floor": "2", "x": "1", "r": "abc"}, {"floor": "int", "r": "double"}) == {"floor": 2}
 
 
+def test_objects_of_lines_and_of_arrays_are_all_read(spark, folder):
+    """Files of lines once gave only their first object."""
+    df = spark.range(50).selectExpr("id", "if(id % 3 = 0, null, concat('a, ', id, '\\n]')) AS v")
+    sinks.json_lines(df, f"{folder}/lines", 3)
+    sinks.json_arrays(df, f"{folder}/arrays", 3)
+    sinks.json_arrays(df.limit(0), f"{folder}/none")
+    want = sorted((r.id, r.v or "") for r in df.collect())
+    for name in ("lines", "arrays"):
+        for lines in (None, name == "lines"):
+            got = readers.json_array(spark, f"{folder}/{name}", "id long, v string", lines).collect()
+            assert sorted((r.id, r.v or "") for r in got) == want
+    for name in (n for n in os.listdir(f"{folder}/arrays") if n.endswith(".txt")):
+        with open(f"{folder}/arrays/{name}") as f:
+            assert isinstance(json.load(f), list)
+    assert readers.json_array(spark, f"{folder}/none", "id long, v string").count() == 0
+    with open(f"{folder}/empty.json", "w"):
+        pass
+    assert readers.json_array(spark, f"{folder}/empty.json", "id long").count() == 0
+
+
+def test_each_site_counts_its_scans(spark):
+    rows = [("a", 0, "a0", [0.0, 0.0]), ("a", 1, "a1", [9.0, 0.0]), ("a", 2, "a2", [0.001, 0.0]), ("b", 0, "b0", [9.0, 0.0]), ("b", 1, "b1", [9.004, 0.0])]
+    got = readers.with_scan_ids(spark.createDataFrame(rows, "site string, ord long, image string, translation array<double>"), ["site"])
+    assert {(r.site, r.scanPointId): r.images for r in readers.scan_images(got, ["site"]).collect()} == {("a", "scan-00"): ["a0", "a2"], ("a", "scan-01"): ["a1"], ("b", "scan-00"): ["b0", "b1"]}
+
+
+def test_large_scans_are_exported_by_several_tasks_and_small_ones_together(spark, folder):
+    p = spark.range(4000).selectExpr("if(id % 2 = 0, 'hot', concat('s', id % 20)) AS scan", "id * 1.0 AS x", "0.0 AS y", "1.0 AS z").repartition(16)
+    got = {r.scan: r.points for r in sinks.export_cloud(p, f"{folder}/cloud").collect()}
+    assert got["hot"] == 2000 and sum(got.values()) == 4000
+    files = [len([f for f in os.listdir(f"{folder}/cloud/scan={s}") if f.endswith(".parquet")]) for s in got]
+    assert sum(files) < 3 * len(got)  # not one for each task and scan
+
+
 def test_sinks(spark, folder):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "id string, v double")
     sinks.both(df, f"{folder}/one", f"{folder}/two")
