@@ -159,9 +159,21 @@ def docs_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.docs_for_variant(devices, docs)
 
 
-@query()
+# the longest common subsequence a letter of the name at a time: its length up to the token's k-th letter is the largest,
+# up to there, of what it was and of one more than it was before a letter that is equal
+@query(r"""WITH RECURSIVE raw AS (SELECT p_partkey AS id, unnest(list_concat([p_name], string_split_regex(p_name, '\s+'))) AS raw FROM part),
+tok AS (SELECT DISTINCT id, regexp_replace(upper(raw), '[^A-Z0-9]', '', 'g') AS token FROM raw WHERE length(regexp_replace(upper(raw), '[^A-Z0-9]', '', 'g')) >= 2),
+ids AS (SELECT DISTINCT unnest(string_split(p_type, ' ')) AS identifier FROM part),
+nam AS (SELECT identifier, regexp_replace(upper(identifier), '[^A-Z0-9]', '', 'g') AS name FROM ids WHERE regexp_replace(upper(identifier), '[^A-Z0-9]', '', 'g') <> ''),
+pair AS (SELECT token, identifier, name FROM (SELECT DISTINCT token FROM tok), nam WHERE length(token) BETWEEN ceil(length(name) * (65 / 135.0)) AND floor(length(name) / (65 / 135.0))),
+lcs AS (SELECT token, identifier, name, 0 AS j, list_transform(range(length(token) + 1), lambda k: 0) AS best FROM pair UNION ALL
+ SELECT token, identifier, name, j + 1, list_transform(range(length(token) + 1), lambda k: list_max(list_transform(range(k + 1), lambda i:
+ CASE WHEN i > 0 AND token[i] = name[j + 1] THEN greatest(best[i] + 1, best[i + 1]) ELSE best[i + 1] END))) FROM lcs WHERE j < length(name)),
+sc AS (SELECT token, identifier, 200.0::DOUBLE * best[length(token) + 1] / (length(token) + length(name)) AS score FROM lcs WHERE j = length(name)),
+top AS (SELECT id, identifier, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, identifier DESC) AS rn FROM tok JOIN sc ON tok.token = sc.token)
+SELECT p_partkey AS id, CASE WHEN score >= 65 THEN identifier END AS identifier, round(coalesce(score, 0), 6) AS score, coalesce(score >= 65, false) AS hit FROM part LEFT JOIN top ON p_partkey = id AND rn = 1""")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best brand or type word for each part name. DuckDB has no common-subsequence ratio; a test compares with brute force."""
+    """Best type word for each part name, and a test with brute force."""
     p = table(spark, sf_dir, "part")
     names = p.select(F.explode(F.split("p_type", " ")).alias("identifier")).distinct()
     return X.fuzzy_match(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")), names).withColumn("score", F.round("score", 6))

@@ -535,7 +535,25 @@ def ring_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.pmod(F.round("shift"), F.lit(64.0)).cast("int").alias("shift"), (F.col("peak") > 0.99).alias("sure"))
 
 
-@query()
+_vertex = "CASE WHEN abs({l} - 2 * {m} + {r}) > 1e-12 THEN 0.5 * ({l} - {r}) / ({l} - 2 * {m} + {r}) ELSE 0 END"
+
+
+# every shift by all products; the three tilts of four rows by the rows that both pictures have
+@query(f"""WITH px AS (SELECT vec_id, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings),
+a AS (SELECT vec_id, i // 16 AS y, i % 16 AS x, v FROM px),
+b AS (SELECT vec_id, y, CASE WHEN vec_id % 9 = 0 THEN (x + 1) % 16 ELSE x END AS x, v FROM a),
+pic AS (SELECT false AS mirror, vec_id, y, x, v FROM a UNION ALL SELECT true, vec_id, y, 15 - x, v FROM a),
+c AS (SELECT mirror, a.vec_id, (b.x - a.x + 16) % 16 AS s, sum(a.v * b.v) AS ab, sum(a.v) AS sa, sum(b.v) AS sb, sum(a.v * a.v) AS aa, sum(b.v * b.v) AS bb FROM pic a JOIN b ON a.vec_id = b.vec_id AND a.y = b.y GROUP BY 1, 2, 3),
+r AS (SELECT mirror, vec_id, s, (ab - sa * sb / 64) / sqrt((aa - sa * sa / 64) * (bb - sb * sb / 64)) AS r FROM c),
+t AS (SELECT mirror, vec_id, arg_max(s, r) AS t, max(r) AS peak FROM r GROUP BY 1, 2),
+n AS (SELECT t.vec_id, t, peak, max(r) FILTER (r.s = (t + 15) % 16) AS l, max(r) FILTER (r.s = (t + 1) % 16) AS h, max(r) FILTER (r.s <> t) AS far FROM t JOIN r ON r.vec_id = t.vec_id AND NOT r.mirror AND NOT t.mirror GROUP BY 1, 2, 3),
+w AS (SELECT *, t + {_vertex.format(l="l", m="peak", r="h")} AS shift FROM n),
+d AS (SELECT w.vec_id, b.y - a.y AS d, corr(a.v, b.v) AS fit FROM w JOIN a ON a.vec_id = w.vec_id JOIN b ON b.vec_id = w.vec_id AND b.x = (a.x + CAST(floor(shift + 0.5) AS BIGINT) + 16) % 16 AND abs(b.y - a.y) <= 1 GROUP BY 1, 2),
+f AS (SELECT vec_id, max(fit) FILTER (d = -1) AS l, max(fit) FILTER (d = 0) AS m, max(fit) FILTER (d = 1) AS h FROM d GROUP BY 1),
+p AS (SELECT vec_id, CASE WHEN m > l AND m >= h THEN {_vertex.format(l="l", m="m", r="h")} WHEN l >= m AND l >= h THEN -1 ELSE 1 END AS tilt FROM f),
+ok AS (SELECT abs(CASE WHEN w.shift > 8 THEN w.shift - 16 ELSE w.shift END) * 22.5 < 0.5 AND abs(tilt) * 45 < 0.5 AND NOT m.peak > 1.05 * w.peak AND (far <= 0 OR w.peak / far > 1.1) AS ok
+ FROM w JOIN p ON w.vec_id = p.vec_id JOIN t m ON m.vec_id = w.vec_id AND m.mirror)
+SELECT 'A3' AS gate, bool_and(ok) AS passed, round(avg(CAST(ok AS DOUBLE)), 5) AS value FROM ok""")
 def reprojection_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate A3 over vectors as pictures of four rows, one in nine turned by a bin; tests have known pictures."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
