@@ -97,42 +97,91 @@ def _sees(p: np.ndarray, o: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (r >= NEAR) & (r <= FAR) & (np.degrees(np.arccos(np.clip(cos, -1, 1))) <= SUPPORT)
 
 
+#: Pairs of a point or ray with a ray that are looked at in one go.
+AT_ONCE = 500_000
+
+
+def _candidates(o: np.ndarray, d: np.ndarray, scan: np.ndarray, gap_m: float, angle: float) -> np.ndarray:
+    """Points halfway between two rays of different scans that come close, by the first ray and then the second."""
+    n, found = len(o), [np.empty((0, 3))]
+    step = max(1, AT_ONCE // max(n, 1))
+    for at in range(0, n, step):
+        i, j = np.nonzero((np.arange(at, min(at + step, n))[:, None] < np.arange(n)[None]) & (scan[at : at + step, None] != scan[None]))
+        i += at
+        w, b = o[i] - o[j], (d[i] * d[j]).sum(1)
+        dd, e, m = (d[i] * w).sum(1), (d[j] * w).sum(1), 1 - b * b
+        ok = m >= 1e-9
+        m = np.where(ok, m, 1.0)
+        t, s = (b * e - dd) / m, (e - b * dd) / m
+        p1, p2 = o[i] + t[:, None] * d[i], o[j] + s[:, None] * d[j]
+        gap = np.sqrt(((p1 - p2) ** 2).sum(1))
+        ang = np.degrees(np.arccos(np.clip(np.abs(b), 0, 1)))
+        ok &= (gap <= gap_m) & (t >= NEAR) & (t <= FAR) & (s >= NEAR) & (s <= FAR) & (ang >= angle)
+        found.append(((p1 + p2) / 2)[ok])
+    return np.concatenate(found)
+
+
+class _Support:
+    """Which rays see which points, as lists of the pairs that do, both ways, with a score for each point: ten for each
+    free ray and the rays' confidence, if they are of two scans. Once rays are taken only points that they see are scored
+    anew, so all rounds together cost about as much as the pairs times the rays of a point."""
+
+    def __init__(self, points: np.ndarray, o: np.ndarray, d: np.ndarray, scan: np.ndarray, conf: np.ndarray) -> None:
+        n, step = len(o), max(1, AT_ONCE // max(len(o), 1))
+        seen = [np.nonzero(_sees(points[at : at + step], o, d)) for at in range(0, len(points), step)]
+        of_point = np.concatenate([np.empty(0, np.int64), *(p + k * step for k, (p, _) in enumerate(seen))])
+        self.rays = np.concatenate([np.empty(0, np.int64), *(r for _, r in seen)])
+        self.first = np.searchsorted(of_point, np.arange(len(points) + 1))
+        by_ray = np.argsort(self.rays, kind="stable")
+        self.points, self.first_of_ray = of_point[by_ray], np.searchsorted(self.rays[by_ray], np.arange(n + 1))
+        self.scan, self.conf = np.unique(scan, return_inverse=True)[1].astype(np.int64), conf
+        self.free, self.score = np.ones(n, bool), np.empty(len(points))
+        for at in range(0, len(points), AT_ONCE // 10):
+            self._rescore(np.arange(at, min(at + AT_ONCE // 10, len(points))))
+
+    def _rescore(self, points: np.ndarray) -> None:
+        size = self.first[points + 1] - self.first[points]
+        k = np.repeat(np.arange(len(points)), size)
+        rays = self.rays[np.arange(size.sum()) + np.repeat(self.first[points] - (np.cumsum(size) - size), size)]
+        k, rays = k[self.free[rays]], rays[self.free[rays]]
+        n = len(points)
+        scans = np.bincount(np.unique(k * (self.scan.max() + 1) + self.scan[rays]) // (self.scan.max() + 1), minlength=n)
+        total = 10 * np.bincount(k, minlength=n) + np.bincount(k, weights=self.conf[rays], minlength=n)
+        self.score[points] = np.where(scans >= 2, total, -np.inf)
+
+    def best(self) -> int | None:
+        """The first of the points with the largest score."""
+        k = int(np.argmax(self.score)) if len(self.score) else None
+        return None if k is None or self.score[k] == -np.inf else k
+
+    def of(self, point: int) -> np.ndarray:
+        rays = self.rays[self.first[point] : self.first[point + 1]]
+        return rays[self.free[rays]]
+
+    def take(self, rays: np.ndarray) -> None:
+        self.free[rays] = False
+        self._rescore(np.unique(np.concatenate([self.points[self.first_of_ray[r] : self.first_of_ray[r + 1]] for r in rays])))
+
+
 def consensus(pdf: pd.DataFrame, gap_m: float = GAP, angle: float = MIN_ANGLE) -> pd.DataFrame:
     """Clusters of one site's rays: strongest candidate first, refined once; leftovers joined by direction within a scan."""
     pdf = pdf.sort_values("ord").reset_index(drop=True)
     o, d = pdf[["ox", "oy", "oz"]].to_numpy(float), pdf[["dx", "dy", "dz"]].to_numpy(float)
-    scan, conf, n = pdf["scan"].to_numpy(), pdf["conf"].to_numpy(float), len(pdf)
-    i, j = np.triu_indices(n, 1)
-    keep = scan[i] != scan[j]
-    i, j = i[keep], j[keep]
-    w, b = o[i] - o[j], (d[i] * d[j]).sum(1)
-    dd, e, m = (d[i] * w).sum(1), (d[j] * w).sum(1), 1 - b * b
-    ok = m >= 1e-9
-    m = np.where(ok, m, 1.0)
-    t, s = (b * e - dd) / m, (e - b * dd) / m
-    p1, p2 = o[i] + t[:, None] * d[i], o[j] + s[:, None] * d[j]
-    gap = np.sqrt(((p1 - p2) ** 2).sum(1))
-    ang = np.degrees(np.arccos(np.clip(np.abs(b), 0, 1)))
-    ok &= (gap <= gap_m) & (t >= NEAR) & (t <= FAR) & (s >= NEAR) & (s <= FAR) & (ang >= angle)
-    points = ((p1 + p2) / 2)[ok]
-    free, cluster, out = np.ones(n, bool), np.full(n, -1), []
-    sees = _sees(points, o, d) if len(points) else np.zeros((0, n), bool)
-    while len(points):
-        live = sees & free[None]
-        scans = np.array([len(set(scan[row])) if row.any() else 0 for row in live])
-        score = np.where(scans >= 2, 10 * live.sum(1) + (live * conf[None]).sum(1), -np.inf)
-        best = int(np.argmax(score))
-        if score[best] == -np.inf:
-            break
-        members = live[best]
+    scan, n = pdf["scan"].to_numpy(), len(pdf)
+    points = _candidates(o, d, scan, gap_m, angle)
+    support = _Support(points, o, d, scan, pdf["conf"].to_numpy(float))
+    cluster, out = np.full(n, -1), []
+    while (best := support.best()) is not None:
+        members = support.of(best)
         place = _point(o[members], d[members])
         place = points[best] if place is None else place
-        again = _sees(place[None], o, d)[0] & free
+        again = np.flatnonzero(_sees(place[None], o, d)[0] & support.free)
         if len(set(scan[again])) >= 2:
             members = again
         cluster[members] = len(out)
-        free &= ~members
+        support.take(members)
         out.append(place)
+    free = support.free
     single: list[list[int]] = []
     for k in np.flatnonzero(free):
         for g in single:
