@@ -9,6 +9,7 @@ import tempfile
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sightline.operators import cluster as C
@@ -518,6 +519,8 @@ def test_sinks(spark, folder):
     failed = gates.withColumn("b", F.lit(False))
     assert sinks.report(failed, f"{folder}/other", {"b": 3}) == 3 and sinks.report(failed, f"{folder}/other") == 1
     assert spark.read.json(f"{folder}/report").count() == 1
+    assert sinks.report(gates.limit(0), f"{folder}/none") == 1  # a run that ended before its gates
+    assert json.loads(spark.read.json(f"{folder}/none").first().facts) == {"exit_code": 1}
     assert sinks.cached(df, f"{folder}/cache", size=1).count() == 2
     assert sinks.cached(df.limit(0), f"{folder}/cache", size=1).count() == 2
     p = spark.createDataFrame([("s1", 1.0, 2.0, 3.0), ("s1", 3.0, 2.0, 3.0), ("s2", 0.0, 0.0, 0.0)], "scan string, x double, y double, z double")
@@ -586,6 +589,11 @@ def test_label_files_split_by_the_order_of_images(spark, folder):
     sinks.label_files(spark.createDataFrame(rows, "image long, class int, cx double, cy double, w double, h double"), f"{folder}/labels")
     assert sorted(int(n.split("=")[1]) for n in os.listdir(f"{folder}/labels/split=val") if "=" in n) == [100, 107, 114]
     assert len([n for n in os.listdir(f"{folder}/labels/split=train") if "=" in n]) == 17
+    wide = spark.createDataFrame([(1, 0, 1234.5, 0.5, 0.25, 0.25)], "image long, class int, cx double, cy double, w double, h double")
+    sinks.label_files(wide, f"{folder}/wide")
+    assert spark.read.text(f"{folder}/wide").first().value == "0 1234.500000 0.500000 0.250000 0.250000"
+    with pytest.raises(PySparkException, match="without class"):
+        sinks.label_files(wide.withColumn("w", F.lit(None).cast("double")), f"{folder}/null")
 
 
 def test_source_hashes(spark, folder):
