@@ -204,11 +204,14 @@ def grid_counts(points: DataFrame, size: float, by: str, least: int) -> DataFram
             .agg(F.count("*").alias("n")).withColumn("mask", F.col("n") >= least))
 
 
-def occupancy(points: DataFrame, size: float, by: str, dz: float, z0: float = 0.0) -> DataFrame:
-    """Counts of 3D cells, at 255 at most: columns of ``size``, bins of ``dz`` from ``z0`` upwards."""
+def in_bins(points: DataFrame, size: float, dz: float, z0: float) -> DataFrame:
     iz = F.floor((F.col("z") - z0) / dz).cast("long")
-    return (points.where(F.col("z") >= z0).select(by, *(cell(c, size).cast("long").alias(f"i{c}") for c in "xy"), iz.alias("iz")).groupBy(by, "ix", "iy", "iz")
-            .agg(F.least(F.count("*"), F.lit(255)).alias("n")))
+    return points.withColumns({f"i{c}": cell(c, size).cast("long") for c in "xy"} | {"iz": iz})
+
+
+def occupancy(points: DataFrame, size: float, by: str, dz: float, z0: float = 0.0) -> DataFrame:
+    """Counts of 3D cells, at 255 at most: columns of ``size``, bins of ``dz``, of which 0 begins at ``z0``; those below are counted too."""
+    return in_bins(points, size, dz, z0).groupBy(by, "ix", "iy", "iz").agg(F.least(F.count("*"), F.lit(255)).alias("n"))
 
 
 #: Fixed values, in metres above the floor: half the band of the floor's colour, the band of what stands on it; half the
@@ -216,16 +219,36 @@ def occupancy(points: DataFrame, size: float, by: str, dz: float, z0: float = 0.
 FLOOR_COLOUR, STANDING, FLOOR_BAND, SOLID, LOW_SOLID, CEILING = 0.04, (0.3, 2.0), 0.05, 0.12, 1.0, 2.6
 
 
+def colour_bands(floor_z: float) -> dict[str, Column]:
+    h = F.col("z") - floor_z
+    return {"floor": F.abs(h) <= FLOOR_COLOUR, "mid": h.between(*STANDING)}
+
+
 def column_colours(points: DataFrame, size: float, by: str, floor_z: float = 0.0) -> DataFrame:
     """Mean colour (whole numbers, 0 where there is none) and number of points (65535 at most) of each column, on the floor
     and in the band of what stands on it: ``floor_r, floor_g, floor_b, floor_n`` and the same of ``mid``."""
-    h = F.col("z") - floor_z
-    bands = {"floor": F.abs(h) <= FLOOR_COLOUR, "mid": h.between(*STANDING)}
+    bands = colour_bands(floor_z)
     mean = lambda c, band: F.coalesce(F.floor(F.avg(F.when(band, F.col(c)))), F.lit(0)).cast("long")
     return (points.select("*", *(cell(c, size).cast("long").alias(f"i{c}") for c in "xy")).groupBy(by, "ix", "iy")
             .agg(*(e for k, band in bands.items() for e in (*(mean(c, band).alias(f"{k}_{c}") for c in "rgb"), F.least(F.count_if(band), F.lit(65535)).alias(f"{k}_n")))))
 
 
+def room_grid(points: DataFrame, size: float, by: str, dz: float, z0: float = 0.0, floor_z: float = 0.0) -> DataFrame:
+    """``occupancy`` with colours: ``r, g, b``, the mean of each cell (null where there is none), and ``column_colours`` of its column.
+
+    Points are aggregated once, to sums of cells; sums of a column are those of its cells."""
+    bands = {"cell": F.lit(True)} | colour_bands(floor_z)
+    sums = lambda k, c: (f(F.when(bands[k], F.col(c))).alias(f"{k}_{c}_{n}") for n, f in (("sum", F.sum), ("count", F.count)))
+    cells = in_bins(points, size, dz, z0).groupBy(by, "ix", "iy", "iz").agg(
+        *(F.count_if(band).alias(f"{k}_count") for k, band in bands.items()), *(e for k in bands for c in "rgb" for e in sums(k, c)))
+    column = Window.partitionBy(by, "ix", "iy")
+    whole = lambda name: F.sum(name).over(column)
+    mean = lambda k, c: F.coalesce(F.floor(F.try_divide(whole(f"{k}_{c}_sum"), whole(f"{k}_{c}_count"))), F.lit(0)).cast("long")
+    return cells.select(
+        by, "ix", "iy", "iz", F.least("cell_count", F.lit(255)).alias("n"), *(F.try_divide(f"cell_{c}_sum", f"cell_{c}_count").alias(c) for c in "rgb"),
+        *(e for k in colour_bands(floor_z) for e in (*(mean(k, c).alias(f"{k}_{c}") for c in "rgb"), F.least(whole(f"{k}_count"), F.lit(65535)).alias(f"{k}_n"))))
+
+
 def column_top(occ: DataFrame, by: str, dz: float, z0: float, least: int = 2, solid: float = SOLID, low: float = LOW_SOLID, cap: float = CEILING) -> DataFrame:
     """What each column holds: ``top``, the upper edge of its highest occupied bin between ``solid`` and ``cap`` (0 if there
     is none), ``any`` and ``low`` (one of these bins, one up to ``low``), and ``floor`` (enough points about height 0).

@@ -79,12 +79,18 @@ OCC = f"""{A.PTS}, occ AS (SELECT room, CAST(floor(x / 0.5) AS BIGINT) AS ix, CA
  CAST(least(count(*), 255) AS BIGINT) AS n FROM pts GROUP BY 1, 2, 3, 4)"""
 
 
-@query(f"WITH {OCC} SELECT * FROM occ")
-def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.occupancy(A.points(spark, sf_dir), 0.5, "room", 0.25, -0.1).withColumn("n", F.col("n").cast("long"))
+_colour = ", ".join(f"CAST(coalesce(floor(avg({c}) FILTER ({test})), 0) AS BIGINT) AS {k}_{c}" for k, test in (("floor", "abs(z) <= 0.04"), ("mid", "z BETWEEN 0.3 AND 2.0")) for c in "rgb")
+_mean = ", ".join(f"CAST(sum({c}) AS DOUBLE) / count({c}) AS {c}" for c in "rgb")
 
 
-_colour = ", ".join(f"CAST(coalesce(floor(avg({c}) FILTER ({test})), 0) AS BIGINT) AS {k}_{c}" for k, test in (("floor", "abs(z) <= 0.04"), ("mid", "z BETWEEN 0.3 AND 2.0")) for c in "rgb")
+@query(f"""WITH {A.PTS}, p AS (SELECT *, CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor(y / 0.5) AS BIGINT) AS iy, CAST(floor((z + 0.1) / 0.25) AS BIGINT) AS iz FROM pts),
+ c AS (SELECT room, ix, iy, iz, CAST(least(count(*), 255) AS BIGINT) AS n, {_mean} FROM p GROUP BY 1, 2, 3, 4),
+ k AS (SELECT room, ix, iy, {_colour}, least(count(*) FILTER (abs(z) <= 0.04), 65535) AS floor_n, least(count(*) FILTER (z BETWEEN 0.3 AND 2.0), 65535) AS mid_n FROM p GROUP BY 1, 2, 3)
+SELECT c.*, floor_r, floor_g, floor_b, floor_n, mid_r, mid_g, mid_b, mid_n FROM c
+ JOIN k ON c.room IS NOT DISTINCT FROM k.room AND c.ix IS NOT DISTINCT FROM k.ix AND c.iy IS NOT DISTINCT FROM k.iy""")
+def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell's points and mean colour, with the colours and points of its column on the floor and above it."""
+    return P.room_grid(A.points(spark, sf_dir), 0.5, "room", 0.25, -0.1)
 
 
 @query(f"""WITH {A.PTS} SELECT room, CAST(floor(x / 0.5) AS BIGINT) AS ix, CAST(floor(y / 0.5) AS BIGINT) AS iy, {_colour},

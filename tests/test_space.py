@@ -1,5 +1,6 @@
 """Clouds, grids, layout, sources, sinks and streams."""
 
+import collections
 import datetime
 import itertools
 import json
@@ -7,6 +8,7 @@ import os
 import random
 import tempfile
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -16,7 +18,7 @@ from sightline.operators import cluster as C
 from sightline.operators import layout as Y
 from sightline.operators import maintenance as M
 from sightline.operators import spatial as P
-from sightline.plans import space
+from sightline.plans import registry, space
 from sightline.sources import readers, sinks
 from sightline.streaming import log as streamed
 
@@ -280,6 +282,49 @@ def test_colours_are_of_columns(spark):
     assert [got[0][c] for c in names] == [10, 20, 31, 2, 100, 50, 0, 2] and [got[3][c] for c in names] == [0] * 8
 
 
+def test_cells_have_colours_and_none_is_left_out(spark):
+    """Against a loop: cells below the grid's first bin, without a height or over 255 points, colours that are missing."""
+    rng = random.Random(8)
+    heights = [-0.9, -0.1, -0.04, 0.0, 0.04, 0.05, 0.3, 1.0, 1.0, 2.0, 2.01, 7.5, None]
+    channel = lambda: rng.choice([None, *[rng.randrange(256)] * 9])
+    rows = [(rng.choice([None, 1, 2]), rng.choice([None, -0.5, 0.5, 1.5]), rng.choice([-0.5, 0.5]), rng.choice(heights), channel(), channel(), channel()) for _ in range(3000)]
+    rows += [(1, 0.5, 0.5, 1.0, 255, 7, 0)] * 300
+    cells, columns = {}, {}
+    for room, x, y, z, *rgb in rows:
+        column = (room, None if x is None else int(np.floor(x)), int(np.floor(y)))
+        cells.setdefault((*column, None if z is None else int(np.floor((z + 0.1) / 0.25))), []).append(rgb)
+        bands = columns.setdefault(column, ([], []))
+        for band, inside in zip(bands, (z is not None and abs(z) <= 0.04, z is not None and 0.3 <= z <= 2.0), strict=True):
+            if inside:
+                band.append(rgb)
+    given = lambda points, k: [p[k] for p in points if p[k] is not None]
+    mean = lambda v: sum(v) / len(v) if v else None
+    want = {key: (min(len(p), 255), *(mean(given(p, k)) for k in range(3)),
+                  *(v for band in columns[key[:3]] for v in (*(int(mean(given(band, k)) or 0) for k in range(3)), len(band)))) for key, p in cells.items()}
+    df = spark.createDataFrame(rows, "room long, x double, y double, z double, r int, g int, b int")
+    got = P.room_grid(df, 1.0, "room", 0.25, -0.1)
+    assert got.columns == ["room", "ix", "iy", "iz", "n", *"rgb", *(f"{k}_{c}" for k in ("floor", "mid") for c in "rgbn")]
+    got = [tuple(r) for r in got.collect()]
+    assert len(got) == len(want) and {r[:4]: r[4:] for r in got} == want and max(r[4] for r in got) == 255
+    assert {tuple(r[:4]): r.n for r in P.occupancy(df, 1.0, "room", 0.25, -0.1).collect()} == {key: v[0] for key, v in want.items()}
+
+
+def test_occupancy_of_odd_lines(spark, sf, tmp_path):
+    """Lines below the grid, without a height, place, room or colour: the query gives the rows of its SQL, colours included."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    odd = {"l_discount": F.when(k % 7 == 0, -F.col("l_discount")).when(k % 11 == 0, None).otherwise(F.col("l_discount")), "l_quantity": F.when(k % 13 != 0, F.col("l_quantity")),
+           "l_returnflag": F.when(k % 17 != 0, F.col("l_returnflag")), "l_suppkey": F.when(k % 5 != 0, F.col("l_suppkey"))}
+    li.withColumns(odd).unionByName(li.where("l_orderkey = 1").limit(1).withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("again")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = db.execute(registry.ORACLES["occupancy"])
+    names, want = [d[0] for d in want.description], want.fetchall()
+    got = space.occupancy(spark, str(tmp_path))
+    assert got.columns == names and {f"{k}_{c}" for k in ("floor", "mid") for c in "rgbn"} <= set(names)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want) and any(r[3] is not None and r[3] < 0 for r in want)
+
+
 def test_unscanned_floor_against_a_loop(spark):
     rng = random.Random(5)
     room = {(x, y) for x in range(30) for y in range(24)} - {(x, y) for x in range(25, 30) for y in range(18, 24)}
