@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sightline.llm.common import MEMORIES, as_batch, pieces, texts
+from sightline.llm.common import MEMORIES, as_batch, pieces, release_memory, texts
 
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Beyond these scripts a chunk is looked at for characters that Unicode versions class differently.
@@ -359,6 +359,7 @@ def forget() -> None:
     if encoder.cache_info().currsize:
         encoder.cache_clear()
         gc.collect()
+        release_memory()
 
 
 MEMORIES["bpe"] = forget

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -79,6 +80,15 @@ def drop_memories() -> None:
         empty()
 
 
+def release_memory() -> None:
+    """Give back to the system what earlier stages' tasks freed: Arrow's pool and the C library's heap keep it in a worker.
+    Without a C library that can do so, the heap stays as it is."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: Bytes of an Arrow batch, about, so that rows with long texts don't fill a worker's memory.
 BATCH = 8 << 20
 

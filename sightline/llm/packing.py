@@ -7,7 +7,8 @@ windows are leftovers: their pieces, with their ids, go to merge tasks (a fixed
 fill windows one after the other. What a merge task has at the very end is cut into lengths that are powers of
 two, which need no padding.
 
-Memory of a task: the open windows and one document. What is shuffled: at most ``open_windows`` windows for each
+Memory of a task: the open windows, the words of ``PIECE`` bytes of text or of one document, and the encoder's bounded memory of
+words. What is shuffled: at most ``open_windows`` windows for each
 input partition, whatever the size of the partition or of any one document.
 
 Defined cases: null text counts as empty and gives the closing id alone; an empty table gives no rows; repeated
@@ -26,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.bpe import default_vocabulary, encoder
-from sightline.llm.common import as_batch, pieces, stored, texts
+from sightline.llm.common import as_batch, pieces, release_memory, stored, texts
 
 WIDTH, OPEN, MERGE = 4096, 16, 64
+#: Bytes of text that are encoded at once, about: the words of 8 MB took 100 MB of a worker more. A longer text goes by itself.
+PIECE = 1 << 20
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 OUT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                  ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -115,10 +118,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, width:
     end = end_id.to_bytes(4, "little")
 
     def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # of the stages before; the encoder's memory of words comes on top
         enc, part = encoder(path, True), TaskContext.get().partitionId()
         packer = Packer(width, open_windows, part * ROOM)
         for b in batches:
-            for p in pieces(b):
+            for p in pieces(b, PIECE):
                 for doc, (ids, _) in zip(p.column("doc_id").to_pylist(), enc.batch(p.column("text").to_pylist()), strict=True):
                     packer.put(doc, 0, ids + end, len(ids) // 4 + 1)
                 for out in flush(packer):
