@@ -141,7 +141,7 @@ def cylinder_hits(rays: DataFrame, points: DataFrame, start: float = 0.4, stop:
         s = s.withColumn(f"_c{a}", cell(f"o{a}", box).cast("long") + F.shiftright("_at", low).bitwiseAND(F.lit(1023)) - 512)
     cells = s.drop("_at")
     p = points.select("site", "pid", "x", "y", "z", *(cell(a, box).cast("long").alias(f"_c{a}") for a in "xyz"))
-    j = cells.join(p, ["site", "_cx", "_cy", "_cz"])
+    j = cells.hint("merge").join(p, ["site", "_cx", "_cy", "_cz"])  # Spark takes the spread cells for no more than the rays
     along = sum(((F.col(a) - F.col(f"o{a}")) * F.col(f"d{a}") for a in "xyz"), F.lit(0.0))
     off = sum(((F.col(a) - F.col(f"o{a}") - F.col("t") * F.col(f"d{a}")) ** 2 for a in "xyz"), F.lit(0.0))
     reach = F.greatest(F.lit(least), F.col("t") * tan)
