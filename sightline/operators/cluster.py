@@ -20,6 +20,21 @@ from sightline.sources.shared import forget, kept
 FEW_EDGES = 100_000
 
 
+def smallest_reached(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """For each of the numbers below ``n`` the smallest that edges (lo, hi) join it to."""
+    least = np.arange(n)
+    while True:  # every end takes the smaller root, and roots the roots of theirs, until none changes
+        m = np.minimum(least[lo], least[hi])
+        new = least.copy()
+        for end in (lo, hi):
+            np.minimum.at(new, end, m)
+            np.minimum.at(new, least[end], m)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
 def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Components of a few edges (lo, hi) in one task: each node with the smallest of its component."""
     held = [b for b in batches if b.num_rows]
@@ -30,18 +45,7 @@ def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = [plain(x) for x in ends.to_pylist()]
     place = {k: i for i, k in enumerate(sorted(set(keys)))}
     ids = np.array([place[k] for k in keys])
-    least = np.arange(len(place))
-    lo, hi = ids[: len(ids) // 2], ids[len(ids) // 2 :]
-    while True:  # every end takes the smaller root, and roots the roots of theirs, until none changes
-        m = np.minimum(least[lo], least[hi])
-        new = least.copy()
-        for end in (lo, hi):
-            np.minimum.at(new, end, m)
-            np.minimum.at(new, least[end], m)
-        new = new[new]
-        if (new == least).all():
-            break
-        least = new
+    least = smallest_reached(ids[: len(ids) // 2], ids[len(ids) // 2 :], len(place))
     first = np.zeros(len(place), dtype=np.int64)
     first[ids[::-1]] = np.arange(len(ids))[::-1]
     yield pa.RecordBatch.from_arrays([ends.take(pa.array(first)), ends.take(pa.array(first[least]))], names=["node", "root"])

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.functions.expressions import finite
+from sightline.operators.cluster import smallest_reached
 from sightline.sources.shared import kept
 
 
@@ -294,15 +298,64 @@ def closed(cells: DataFrame, by: str, shape=SQUARE) -> DataFrame:
     return erode(dilate(cells, by, shape), by, shape)
 
 
+#: Steps to a cell's neighbours, one of each two opposite ones.
+FOUR, EIGHT = ((1, 0), (0, 1)), ((1, 0), (0, 1), (1, 1), (1, -1))
+
+
 def grid_edges(cells: DataFrame, by: str, eight: bool = True) -> DataFrame:
     """Pairs of neighbouring cells as ids; ids are (by, ix, iy) packed by hash-free arithmetic on strings."""
-    half = ((1, 0), (0, 1), (1, 1), (1, -1)) if eight else ((1, 0), (0, 1))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in half))
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in (EIGHT if eight else FOUR)))
     c = cells.select(by, "ix", "iy")
     n = c.withColumn("s", F.explode(steps)).select(by, F.struct("ix", "iy").alias("a"), (F.col("ix") + F.col("s.i")).alias("ix"), (F.col("iy") + F.col("s.j")).alias("iy"))
     return n.join(c, [by, "ix", "iy"]).select(F.struct(F.col(by), F.col("a.ix"), F.col("a.iy")).alias("a"), F.struct(by, "ix", "iy").alias("b"))
 
 
+#: A tile has two to this power of cells a side.
+TILE = 8
+
+
+def rooted(ix: np.ndarray, iy: np.ndarray, eight: bool) -> np.ndarray:
+    """For each of a tile's cells the place of the smallest cell (ix, iy) that neighbours join it to."""
+    high = int(iy.max() - iy.min()) + 3  # with an empty rim
+    cells, first, back = np.unique((ix - ix.min() + 1) * high + (iy - iy.min() + 1), return_index=True, return_inverse=True)
+    number = np.full((int(ix.max() - ix.min()) + 3) * high, -1)
+    number[cells] = np.arange(len(cells))
+    ends = [number[cells + i * high + j] for i, j in (EIGHT if eight else FOUR)]
+    lo, hi = np.concatenate([np.flatnonzero(e >= 0) for e in ends]), np.concatenate([e[e >= 0] for e in ends])
+    return first[smallest_reached(lo, hi, len(cells))[back]]
+
+
+def labelled(cells: DataFrame, by: str, components, eight: bool = False) -> DataFrame:
+    """``cells`` (by, ix, iy and other columns) with ``root``, the smallest cell (by, ix, iy) of their component; a cell
+    without one of its keys is alone.
+
+    Neighbours within a tile are joined by one task, which holds a tile at a time, so that ``components`` gets only the edges
+    over the sides of tiles, as pairs of the roots there."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        alone = any(tile[c].null_count for c in (by, "ix", "iy"))  # the same for all rows of a group
+        at = pa.array(np.arange(tile.num_rows) if alone else rooted(tile["ix"].to_numpy(), tile["iy"].to_numpy(), eight))
+        for c in ("ix", "iy"):
+            tile = tile.append_column(f"_r{c}", tile[c].take(at))
+        return tile
+
+    tile_of = lambda x: F.shiftright(x, TILE)
+    schema = T.StructType([*cells.schema.fields, *(T.StructField(f"_r{c}", cells.schema[c].dataType) for c in ("ix", "iy"))])
+    own, _ = kept(cells.groupBy(by, tile_of("ix"), tile_of("iy")).applyInArrow(run, schema), "tiles")  # read several times
+    own = own.withColumn("root", F.struct(by, F.col("_rix").alias("ix"), F.col("_riy").alias("iy"))).drop("_rix", "_riy")
+    last = F.lit(2**TILE - 1)
+    rim = own.where(F.col("ix").bitwiseAND(last).isin(0, 2**TILE - 1) | F.col("iy").bitwiseAND(last).isin(0, 2**TILE - 1)).select(by, "ix", "iy", "root")
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in (EIGHT if eight else FOUR)))
+    over = rim.select(by, F.col("root").alias("a"), F.explode(steps).alias("s"), F.col("ix").alias("_ix"), F.col("iy").alias("_iy"))
+    over = over.withColumns({"ix": F.col("_ix") + F.col("s.i"), "iy": F.col("_iy") + F.col("s.j")})
+    over = over.where((tile_of("ix") != tile_of("_ix")) | (tile_of("iy") != tile_of("_iy"))).select(by, "ix", "iy", "a")
+    edges, _ = kept(over.join(rim.withColumnRenamed("root", "b"), [by, "ix", "iy"]).select("a", "b").distinct(), "sides")
+    if edges.isEmpty():
+        return own
+    beyond = components(edges).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return own.join(beyond, own["root"] == beyond["_node"], "left").withColumn("root", F.coalesce("_root", "root")).drop("_node", "_root")
+
+
 def gaps_between(cells: DataFrame, by: str) -> DataFrame:
     """Empty stretches between cells of a row: (by, iy, a, b), ends included."""
     w = Window.partitionBy(by, "iy").orderBy("ix")

@@ -233,10 +233,8 @@ def morphology_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {MASK}, n AS (SELECT * FROM c), {JOINED} SELECT room, root // 1000000 AS ix, root % 1000000 AS iy, count(*) AS size FROM k GROUP BY room, root""")
 def grid_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected cells (four neighbours) with their sizes; a test compares with a flood fill too."""
-    m = mask(spark, sf_dir)
-    r = C.components(P.grid_edges(m, "room", eight=False))
-    j = m.withColumn("node", F.struct("room", "ix", "iy")).join(r, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return j.groupBy("root").agg(F.count("*").alias("size")).select("root.room", "root.ix", "root.iy", "size")
+    cells = P.labelled(mask(spark, sf_dir), "room", C.components)
+    return cells.groupBy("root").agg(F.count("*").alias("size")).select("root.room", "root.ix", "root.iy", "size")
 
 
 @query(f"""WITH RECURSIVE {EMPTY} SELECT room, ix, iy FROM c UNION ALL SELECT room, ix, iy FROM h""")

@@ -1,7 +1,12 @@
 """What tables of many times the size showed: plans that send more to the driver than they say, and cells by tiles."""
 
+import random
 import re
 
+import pytest
+
+from sightline.operators import cluster as C
+from sightline.operators import spatial as P
 from sightline.plans import registry
 
 
@@ -19,3 +24,56 @@ def sent(df) -> list[str]:
 
 def test_spread_rays_are_not_sent_to_every_task(spark, sf):
     assert not [x for x in sent(registry.QUERIES["cylinder_hits"](spark, sf)) if "Generate" in x]
+
+
+def flood(cells, steps):
+    left, out = set(cells), {}
+    while left:
+        first = min(left)
+        todo = [first]
+        left.remove(first)
+        while todo:
+            c = todo.pop()
+            out[c] = first
+            for i, j in steps:
+                n = (c[0] + i, c[1] + j)
+                if n in left:
+                    left.remove(n)
+                    todo.append(n)
+    return out
+
+
+@pytest.fixture
+def given(monkeypatch):
+    """Edges that ``components`` gets."""
+    seen, whole = [], C.components
+
+    def counted(edges, *args, **kwargs):
+        seen.append(edges.count())
+        return whole(edges, *args, **kwargs)
+
+    monkeypatch.setattr(C, "components", counted)
+    return seen
+
+
+@pytest.mark.parametrize("eight", [False, True])
+def test_components_over_the_sides_of_tiles(spark, monkeypatch, eight):
+    """A spiral and loose cells over tiles of four cells, on both sides of zero, in two rooms and one without a name."""
+    rng = random.Random(3)
+    loose = {(x, y) for x in range(-14, 10) for y in range(-9, 13) if rng.random() < 0.5}
+    spiral = {(x, y) for k in range(0, 12, 2) for x in range(-k - 20, k + 1 - 20) for y in (-k - 30, k - 30)} | {(x, y) for k in range(0, 12, 2) for y in range(-k - 30, k + 1 - 30) for x in (-k - 20, k - 20)}
+    cells = loose | spiral
+    monkeypatch.setattr(P, "TILE", 2)
+    df = spark.createDataFrame([(room, x, y, f"{x} {y}") for room in (5, 7, None) for x, y in sorted(cells)], "room long, ix long, iy long, more string")
+    got = P.labelled(df, "room", lambda edges: C.components(edges, few=0), eight).collect()
+    want = flood(cells, [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0) and (eight or not i or not j)])
+    for room in (5, 7):
+        assert {(r.ix, r.iy): (r.root.room, r.root.ix, r.root.iy) for r in got if r.room == room} == {c: (room, *root) for c, root in want.items()}
+    assert len(got) == 3 * len(cells) and all(r.more == f"{r.ix} {r.iy}" and (r.room is not None or r.root[1:] == (r.ix, r.iy)) for r in got)
+
+
+def test_neighbours_in_a_tile_are_joined_there(spark, sf, given):
+    """Grids of a few thousand cells a room give ``components`` no edges, or only those over the sides of tiles."""
+    for name in ("grid_components",):
+        registry.QUERIES[name](spark, sf).collect()
+        assert not given, name
