@@ -442,10 +442,11 @@ def kept_components(cells: DataFrame, by: str, components, least_area: float, si
     """Cells of the components that are large enough (square metres, for cells of ``size``) and, with ``support`` (by, ix,
     iy: cells that stand on something), hold enough such cells, in number and as a share."""
     cells = cells.select(by, "ix", "iy")
-    node = cells.withColumn("node", F.struct(by, "ix", "iy")).join(components(grid_edges(cells, by, eight=eight)), "node", "left")
-    node = node.withColumn("root", F.coalesce("root", "node")).drop("node")
-    stands = (support if support is not None else cells.where("false")).select(by, "ix", "iy", F.lit(1).alias("stands"))
-    size_of = node.join(stands, [by, "ix", "iy"], "left").groupBy("root").agg(F.count("*").alias("n"), F.count("stands").alias("low"))
+    if support is not None:
+        cells = cells.join(support.select(by, "ix", "iy").distinct().withColumn("stands", F.lit(1)), [by, "ix", "iy"], "left")
+    node = labelled(cells, by, components, eight)
+    low = F.count("stands") if support is not None else F.lit(0)
+    size_of = node.groupBy("root").agg(F.count("*").alias("n"), low.alias("low"))
     fine = F.col("n") * (size * size) >= least_area
     if support is not None:
         fine = fine & (F.col("low") >= least_support) & (F.col("low") >= least_share * F.col("n"))

@@ -74,6 +74,6 @@ def test_components_over_the_sides_of_tiles(spark, monkeypatch, eight):
 
 def test_neighbours_in_a_tile_are_joined_there(spark, sf, given):
     """Grids of a few thousand cells a room give ``components`` no edges, or only those over the sides of tiles."""
-    for name in ("grid_components",):
+    for name in ("grid_components", "supported_cells"):
         registry.QUERIES[name](spark, sf).collect()
         assert not given, name
