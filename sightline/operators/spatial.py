@@ -514,9 +514,9 @@ def unscanned(room: DataFrame, floor: DataFrame, covered: DataFrame, by: str, co
     """Cells of a room's floor that no scan has seen: those of ``room`` farther than two cells from measured ``floor`` and
     not ``covered`` by solids, rows, boxes or walls; opened and closed by a square of ``side`` metres; only places of
     ``least_area`` square metres and more (four neighbours). All are (by, ix, iy), distinct."""
+    room = room.select(by, "ix", "iy").hint("merge")  # a grid that is spread to its cells looks as small as before to Spark
     seen = dilate(dilate(floor, by, CROSS), by, CROSS)
-    left = room.select(by, "ix", "iy").join(seen.unionByName(covered.select(by, "ix", "iy")).distinct(), [by, "ix", "iy"], "left_anti")
+    left = room.join(seen.unionByName(covered.select(by, "ix", "iy")).distinct(), [by, "ix", "iy"], "left_anti")
     whole = int(side / size + 1e-9)
-    left = square(square(left, by, whole, True), by, whole, False).join(room.select(by, "ix", "iy"), [by, "ix", "iy"], "left_semi")
-    left, _ = kept(left, "unscanned")  # labelled and then joined
+    left = square(square(left, by, whole, True), by, whole, False).join(room, [by, "ix", "iy"], "left_semi")
     return kept_components(left, by, components, least_area, size)

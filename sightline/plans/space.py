@@ -15,7 +15,7 @@ from sightline.operators import layout as Y
 from sightline.operators import spatial as P
 from sightline.plans import adapters as A
 from sightline.plans.base import query, table
-from sightline.sources.shared import shared_folder
+from sightline.sources.shared import kept, shared_folder
 
 
 @query(f"""WITH {A.PTS}, c AS (SELECT *, floor(x / 0.5) AS ix, floor(y / 0.5) AS iy, floor(z / 0.5) AS iz FROM pts)
@@ -657,6 +657,6 @@ y AS (SELECT room, root FROM k GROUP BY room, root HAVING count(*) * 0.0625 >= 1
 def unseen_pockets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Floor that no scan has seen: the rooms' grids without what lies by some of the mask's cells (measured floor) and
     without others (solids), as squares of three cells fit, in places of one and a half square metres."""
-    m = mask(spark, sf_dir)
+    m, _ = kept(mask(spark, sf_dir), "mask")  # read three times
     box = grid(m).select("room", F.explode(F.sequence("ix0", "ix1")).alias("ix"), "iy0", "iy1").select("room", "ix", F.explode(F.sequence("iy0", "iy1")).alias("iy"))
     return P.unscanned(box, m.where("ix % 16 < 5 and iy % 20 < 7"), m.where("ix % 16 in (9, 10) or iy % 20 = 12"), "room", C.components, 0.25, side=0.75, least_area=1.5)

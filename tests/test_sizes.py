@@ -74,6 +74,13 @@ def test_components_over_the_sides_of_tiles(spark, monkeypatch, eight):
 
 def test_neighbours_in_a_tile_are_joined_there(spark, sf, given):
     """Grids of a few thousand cells a room give ``components`` no edges, or only those over the sides of tiles."""
-    for name in ("grid_components", "supported_cells"):
+    for name in ("grid_components", "supported_cells", "unseen_pockets"):
         registry.QUERIES[name](spark, sf).collect()
         assert not given, name
+
+
+def test_a_spread_room_is_not_sent_to_every_task(spark, sf, monkeypatch):
+    found, kept = [], P.kept
+    monkeypatch.setattr(P, "kept", lambda df, name: (found.extend(x for x in sent(df) if "Generate" in x and name == "tiles"), kept(df, name))[1])
+    registry.QUERIES["unseen_pockets"](spark, sf)
+    assert not found
