@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.expressions import half_up
-from sightline.operators.spatial import SIDES, gap_groups
+from sightline.operators.spatial import SIDES, gap_groups, labelled, lines
 from sightline.sources.shared import kept
 
 
@@ -564,12 +564,11 @@ def partitions(tall: DataFrame, room: str, size: float, least: float = 0.8, thic
     run of at least ``least`` metres along an axis; neighbouring runs are one line, which is left out if it is thicker than
     ``thickest``; it becomes a wall of fixed thickness around its median."""
     from sightline.operators.cluster import components
-    from sightline.operators.spatial import grid_edges
 
+    tall, _ = kept(tall.select(room, "ix", "iy"), "tall")  # read for either axis
     run = walls(tall, room, int(least / size)).select(room, "axis", "line", F.explode(F.sequence("start", "end")).alias("at"))
-    lines = run.select(F.struct(room, "axis").alias("key"), F.col("line").alias("ix"), F.col("at").alias("iy"))
-    node = lines.withColumn("node", F.struct("key", "ix", "iy")).join(components(grid_edges(lines, "key", eight=False)), "node", "left")
-    one = node.groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.min("iy").alias("a"), F.max("iy").alias("b"), F.min("ix").alias("p"), F.max("ix").alias("q"), F.percentile("ix", 0.5).alias("mid"))
+    cells = run.select(F.struct(room, "axis").alias("key"), F.col("line").alias("ix"), F.col("at").alias("iy"))
+    one = labelled(cells, "key", components).groupBy("key", "root").agg(F.min("iy").alias("a"), F.max("iy").alias("b"), F.min("ix").alias("p"), F.max("ix").alias("q"), F.percentile("ix", 0.5).alias("mid"))
     one = one.where((F.col("q") - F.col("p") + 1) * size <= thickest).withColumn("centre", (F.col("mid") + 0.5) * size)
     ends = {"0": (F.col("a") * size, F.col("centre") - wall / 2), "1": ((F.col("b") + 1) * size, F.col("centre") + wall / 2)}
     flat = F.col("key.axis") == "x"
@@ -578,15 +577,9 @@ def partitions(tall: DataFrame, room: str, size: float, least: float = 0.8, thic
 
 def walls(cells: DataFrame, room: str, least: int) -> DataFrame:
     """Straight wall evidence: runs of at least ``least`` tall cells along x or y (room, axis, line, start, end)."""
-    from sightline.operators.spatial import gap_groups
-
-    out = None
-    for axis, line, along in (("x", "iy", "ix"), ("y", "ix", "iy")):
-        c = cells.select(F.struct(room, F.col(line).alias("line")).alias("k"), F.col(along).cast("double").alias("v")).distinct()
-        g = gap_groups(c, "k", "v", 1.0, "v").groupBy("k", "group").agg(F.min("v").cast("long").alias("start"), F.max("v").cast("long").alias("end"), F.count("*").alias("n"))
-        one = g.where(F.col("n") >= least).select(f"k.{room}", F.lit(axis).alias("axis"), "k.line", "start", "end")
-        out = one if out is None else out.unionByName(one)
-    return out
+    c = cells.select(room, "ix", "iy").distinct()
+    runs = [lines(c, room, along).where(F.col("end") - F.col("start") + 1 >= least).select(room, F.lit(along[1]).alias("axis"), "line", "start", "end") for along in ("ix", "iy")]
+    return runs[0].unionByName(runs[1])
 
 
 def as_rectangle(ring: Column) -> Column:

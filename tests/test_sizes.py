@@ -6,6 +6,7 @@ import re
 import pytest
 
 from sightline.operators import cluster as C
+from sightline.operators import layout as Y
 from sightline.operators import spatial as P
 from sightline.plans import registry
 
@@ -74,7 +75,7 @@ def test_components_over_the_sides_of_tiles(spark, monkeypatch, eight):
 
 def test_neighbours_in_a_tile_are_joined_there(spark, sf, given):
     """Grids of a few thousand cells a room give ``components`` no edges, or only those over the sides of tiles."""
-    for name in ("grid_components", "supported_cells", "unseen_pockets"):
+    for name in ("grid_components", "supported_cells", "unseen_pockets", "partition_walls"):
         registry.QUERIES[name](spark, sf).collect()
         assert not given, name
 
@@ -84,3 +85,8 @@ def test_a_spread_room_is_not_sent_to_every_task(spark, sf, monkeypatch):
     monkeypatch.setattr(P, "kept", lambda df, name: (found.extend(x for x in sent(df) if "Generate" in x and name == "tiles"), kept(df, name))[1])
     registry.QUERIES["unseen_pockets"](spark, sf)
     assert not found
+
+
+def test_walls_are_runs_of_cells_that_repeat(spark):
+    cells = spark.createDataFrame([(0, x, 4) for x in range(-3, 5)] * 2 + [(0, 9, y) for y in (1, 2, 2, 4)], "room long, ix long, iy long")
+    assert [tuple(r) for r in Y.walls(cells, "room", 3).collect()] == [(0, "x", 4, -3, 4)]
