@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import islice
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -348,25 +352,41 @@ def grouped_mask(mask: np.ndarray, area: np.ndarray, least: float) -> np.ndarray
 BOX_SIDE, BOX_AREA, BOXES, BOX_QUANTILE, BOX_LEAST, BOX_LOW, AGAINST = 0.3, 0.12, 10, 75, 0.2, 0.6, 0.15
 
 
+def in_groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each key, which follow one another, as a table; no more than a key and a batch are held."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        parts = [x for c in keys for x in (b.column(c).is_null().to_numpy(zero_copy_only=False), b.column(c).fill_null(0).to_numpy())]
+        new = np.flatnonzero(np.any([p[1:] != p[:-1] for p in parts], axis=0)) + 1
+        for start, end in zip([0, *new], [*new, b.num_rows], strict=True):
+            key = tuple(p[start] for p in parts)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(start, end - start))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def boxes(cells: DataFrame, room: str, size: float, components, sides: DataFrame | None = None) -> DataFrame:
     """What stands in rooms as boxes along the axes: (room, component, n, kind, height, xa, xb, ya, yb).
 
     ``cells`` (room, ix, iy, height; null where no solid was measured) are joined to components (four neighbours), each of
     which is taken apart into its largest rectangles, ten at most, as long as they have the least area and sides; a box is
     as high as three quarters of its cells reach. One that stands just off a side of its room stands against it. A
-    component, not a room, is one group.
+    component, not a room, is held at a time.
     """
-    from sightline.operators.spatial import grid_edges
-
-    one = cells.groupBy(room, "ix", "iy").agg(F.max("height").alias("height"))
-    node = one.withColumn("node", F.struct(room, "ix", "iy")).join(components(grid_edges(one, room, eight=False)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    node = labelled(cells.groupBy(room, "ix", "iy").agg(F.max("height").alias("height")), room, components)
     least = int(np.ceil(BOX_SIDE / size - 1e-9))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, x0, y0 = _mask(pdf)
+    def run(cells: pa.Table) -> Iterator[tuple]:
+        m, x0, y0 = _mask(cells)
         high = np.full(m.shape, np.nan)
-        high[pdf["iy"] - y0, pdf["ix"] - x0] = pdf["height"]
-        rows, left = [], Rectangles(m, least)
+        high[cells["iy"].to_numpy() - y0, cells["ix"].to_numpy() - x0] = cells["height"].to_numpy()
+        key, left = [cells[c][0].as_py() for c in (room, "cx", "cy")], Rectangles(m, least)
         for n in range(1, BOXES + 1):
             b = left.take()
             if b is None or (b[1] - b[0]) * (b[3] - b[2]) * size * size < BOX_AREA - 1e-9:
@@ -377,12 +397,19 @@ def boxes(cells: DataFrame, room: str, size: float, components, sides: DataFrame
             if h.size < 4:
                 continue
             top = max(on_grid(float(np.percentile(h, BOX_QUANTILE))), BOX_LEAST)
-            rows.append((pdf[room].iloc[0], pdf["cx"].iloc[0], pdf["cy"].iloc[0], n, "low" if top < BOX_LOW else "equipment", top,
-                         *(on_grid(v * size) for v in (x0 + c0, x0 + c1, y0 + r0, y0 + r1))))
-        return pd.DataFrame(rows, columns=[room, "cx", "cy", "n", "kind", "height", "xa", "xb", "ya", "yb"])
+            yield *key, n, "low" if top < BOX_LOW else "equipment", top, *(on_grid(v * size) for v in (x0 + c0, x0 + c1, y0 + r0, y0 + r1))
+
+    names = (room, "cx", "cy", "n", "kind", "height", "xa", "xb", "ya", "yb")
+    kinds = (pa.int64(),) * 4 + (pa.string(),) + (pa.float64(),) * 5
+
+    def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for one in in_groups(batches, (room, "cx", "cy")) for r in run(one))
+        while some := list(islice(rows, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
 
-    cut = node.select(room, F.col("root.ix").alias("cx"), F.col("root.iy").alias("cy"), "ix", "iy", "height").groupBy(room, "cx", "cy").applyInPandas(
-        run, f"{room} long, cx long, cy long, n long, kind string, height double, xa double, xb double, ya double, yb double")
+    # a room has many components of a few cells, which as groups of Spark's own cost more than their boxes
+    dealt = node.select(room, F.col("root.ix").alias("cx"), F.col("root.iy").alias("cy"), "ix", "iy", F.col("height").cast("double")).repartition(room, "cx", "cy").sortWithinPartitions(room, "cx", "cy")
+    cut = dealt.mapInArrow(stream, f"{room} long, cx long, cy long, n long, kind string, height double, xa double, xb double, ya double, yb double")
     if sides is None:
         return cut
     line = sides.groupBy(room).agg(F.array_sort(F.collect_list(F.struct("ring", "side", "flat", "at", "lo", "hi"))).alias("sides"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from sightline.operators import cluster as C
@@ -75,7 +76,7 @@ def test_components_over_the_sides_of_tiles(spark, monkeypatch, eight):
 
 def test_neighbours_in_a_tile_are_joined_there(spark, sf, given):
     """Grids of a few thousand cells a room give ``components`` no edges, or only those over the sides of tiles."""
-    for name in ("grid_components", "supported_cells", "unseen_pockets", "partition_walls"):
+    for name in ("grid_components", "supported_cells", "unseen_pockets", "partition_walls", "equipment_boxes"):
         registry.QUERIES[name](spark, sf).collect()
         assert not given, name
 
@@ -90,3 +91,13 @@ def test_a_spread_room_is_not_sent_to_every_task(spark, sf, monkeypatch):
 def test_walls_are_runs_of_cells_that_repeat(spark):
     cells = spark.createDataFrame([(0, x, 4) for x in range(-3, 5)] * 2 + [(0, 9, y) for y in (1, 2, 2, 4)], "room long, ix long, iy long")
     assert [tuple(r) for r in Y.walls(cells, "room", 3).collect()] == [(0, "x", 4, -3, 4)]
+
+
+def test_boxes_of_keys_over_many_batches():
+    rows = [(None, 1)] * 3 + [(0, 1)] * 5 + [(0, 2)] + [(1, 2)] * 4
+    batch = lambda part: pa.RecordBatch.from_pylist([{"room": r, "cx": c, "v": v} for r, c, v in part], schema=pa.schema({"room": pa.int64(), "cx": pa.int64(), "v": pa.int64()}))
+    numbered = [(*r, k) for k, r in enumerate(rows)]
+    for width in (1, 2, 5, 99):
+        got = [t.to_pylist() for t in Y.in_groups([batch(numbered[k : k + width]) for k in range(0, len(rows), width)] + [batch([])], ("room", "cx"))]
+        assert [[(r["room"], r["cx"]) for r in g] for g in got] == [[k] * n for k, n in (((None, 1), 3), ((0, 1), 5), ((0, 2), 1), ((1, 2), 4))]
+        assert [r["v"] for g in got for r in g] == list(range(len(rows)))
