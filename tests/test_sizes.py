@@ -10,6 +10,7 @@ from sightline.operators import cluster as C
 from sightline.operators import layout as Y
 from sightline.operators import spatial as P
 from sightline.plans import registry
+from sightline.sources import sinks
 
 
 def sent(df) -> list[str]:
@@ -101,3 +102,13 @@ def test_boxes_of_keys_over_many_batches():
         got = [t.to_pylist() for t in Y.in_groups([batch(numbered[k : k + width]) for k in range(0, len(rows), width)] + [batch([])], ("room", "cx"))]
         assert [[(r["room"], r["cx"]) for r in g] for g in got] == [[k] * n for k, n in (((None, 1), 3), ((0, 1), 5), ((0, 2), 1), ((1, 2), 4))]
         assert [r["v"] for g in got for r in g] == list(range(len(rows)))
+
+
+def test_label_files_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Small as they are, files of many images are made by several tasks, each image's by one."""
+    monkeypatch.setattr(sinks, "IMAGES", 10, raising=False)
+    labels = spark.range(180).selectExpr("id % 60 as image", "0 as class", "0.5d as cx", "0.5d as cy", "0.1d as w", "0.1d as h")
+    assert sinks.label_files(labels, str(tmp_path / "labels")) == 60
+    files = list((tmp_path / "labels").glob("split=*/image=*/part-*"))
+    assert len(files) == 60 and len({f.name[:10] for f in files}) > 1
+    assert all(f.read_text().splitlines() == ["0 0.500000 0.500000 0.100000 0.100000"] * 3 for f in files)
